@@ -73,15 +73,32 @@ def _decompositions() -> tuple[str, str, dict[str, str]]:
     return "".join(sources), "".join(targets), longer
 
 
+def _class_of(chars: str) -> str:
+    """Regex class of non-ASCII characters, neighbours joined into ranges.
+
+    The intersection lets the matcher pass over ASCII without trying the ranges.
+    """
+    points = sorted(map(ord, chars))
+    starts = [p for p in points if p - 1 not in points]
+    ends = [p for p in points if p + 1 not in points]
+    ranges = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True))
+    return rf"[[^\x00-\x7F]&&[{ranges}]]"
+
+
 def nfkd_ascii(c: Column) -> Column:
-    """NFKD decomposition with everything outside ASCII dropped."""
+    """NFKD decomposition with everything outside ASCII dropped.
+
+    Most texts are plain ASCII and pass through. Of the others only the
+    non-ASCII part is searched for characters that expand, and only texts with
+    such a character are cut into pieces and looked up.
+    """
     sources, targets, longer = _decompositions()
     table = F.create_map(*[F.lit(v) for pair in longer.items() for v in pair])
-    chars = "[" + "".join(rf"\x{{{ord(ch):X}}}" for ch in longer) + "]"
-    # Cut the text around the characters that expand; only those pieces are looked up.
-    pieces = F.split(c, f"(?={chars})|(?<={chars})")
+    expanding = _class_of("".join(longer))
+    pieces = F.split(c, f"(?={expanding})|(?<={expanding})")
     expanded = F.array_join(F.transform(pieces, lambda p: F.coalesce(table[p], p)), "")
-    expanded = F.when(F.rlike(c, F.lit(chars)), expanded).otherwise(c)
+    beyond_ascii = F.regexp_replace(c, r"[\x00-\x7F]+", "")
+    expanded = F.when(F.rlike(beyond_ascii, F.lit(expanding)), expanded).otherwise(c)
     ascii_only = F.regexp_replace(F.translate(expanded, sources, targets), r"[^\x00-\x7F]+", "")
     return F.when(F.rlike(c, F.lit(r"[^\x00-\x7F]")), ascii_only).otherwise(c)
 

@@ -9,22 +9,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postwise.functions.rounding import round_exact
-from postwise.operators.features import stratified_folds, with_balanced_weights
+from postwise.operators.features import label_counts, stratified_folds
 
 
 def fit_reliability(labelled: DataFrame, tol: float = 1e-6) -> LogisticRegressionModel:
     """L2 logistic regression with C = 1 and balanced weights on ``features``.
 
     The weights sum to the number of rows, so a penalty of 1/rows is the same
-    objective as C = 1. The vectors are kept for the iterations.
+    objective as C = 1. Only the two class counts come to the driver; the
+    vectors are kept on the executors (memory, then disk) for the iterations.
     """
-    vectors = (
-        with_balanced_weights(labelled.select("label", "features"))
-        .select("label", "weight", array_to_vector("features").alias("vector"))
-        .persist()
-    )
+    counts = {row["label"]: row["n"] for row in label_counts(labelled).collect()}
+    rows = sum(counts.values())
+    weight = F.lit(None).cast("double")
+    for label, n in counts.items():
+        weight = F.when(F.col("label") == label, rows / (len(counts) * n)).otherwise(weight)
+    vectors = labelled.select("label", weight.alias("weight"), array_to_vector("features").alias("vector")).persist()
     try:
-        rows = vectors.count()
         return LogisticRegression(
             featuresCol="vector", weightCol="weight", maxIter=1000, tol=tol,
             regParam=1.0 / max(rows, 1), elasticNetParam=0.0, standardization=False,
@@ -34,9 +35,12 @@ def fit_reliability(labelled: DataFrame, tol: float = 1e-6) -> LogisticRegressio
 
 
 def raw_probability(model: LogisticRegressionModel, df: DataFrame, output: str) -> DataFrame:
-    vectors = df.withColumn("vector", array_to_vector("features"))
-    scored = model.transform(vectors).withColumn(output, vector_to_array("probability")[1])
-    return scored.drop("vector", "rawPrediction", "probability", "prediction")
+    """Add the unrounded probability of class 1."""
+    plain = model.copy().setProbabilityCol("_probability").setRawPredictionCol("_raw").setPredictionCol("_class")
+    scored = plain.transform(df.withColumn("vector", array_to_vector("features")))
+    return scored.withColumn(output, vector_to_array("_probability")[1]).drop(
+        "vector", "_raw", "_probability", "_class"
+    )
 
 
 def score_reliability(model: LogisticRegressionModel, df: DataFrame, output: str = "reliability") -> DataFrame:

@@ -12,7 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postwise.constants import BANDS
+from postwise.constants import (
+    ANSWER_LATENCY_BUCKETS,
+    BANDS,
+    CONTEXT_CHARS_BUCKETS,
+    CONTEXT_CHARS_TARGET,
+    HTTP_LATENCY_BUCKETS,
+)
 from postwise.functions.scoring import verdict_label
 
 WINDOW_MINUTES = 5
