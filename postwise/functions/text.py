@@ -95,7 +95,9 @@ def nfkd_ascii(c: Column) -> Column:
     sources, targets, longer = _decompositions()
     table = F.create_map(*[F.lit(v) for pair in longer.items() for v in pair])
     expanding = _class_of("".join(longer))
-    pieces = F.split(c, f"(?={expanding})|(?<={expanding})")
+    # The mark is a non-character, which is dropped with the rest beyond ASCII.
+    marked = F.regexp_replace(c, f"({expanding})", "\ufdd0$1\ufdd0")
+    pieces = F.split(marked, "\ufdd0")
     expanded = F.array_join(F.transform(pieces, lambda p: F.coalesce(table[p], p)), "")
     beyond_ascii = F.regexp_replace(c, r"[\x00-\x7F]+", "")
     expanded = F.when(F.rlike(beyond_ascii, F.lit(expanding)), expanded).otherwise(c)

@@ -84,8 +84,9 @@ def classification_by_category(classified: DataFrame) -> DataFrame:
 
 def prob_histogram(classified: DataFrame, n_bins: int = 10) -> DataFrame:
     """Posts per probability bin with the side the bin belongs to."""
+    scored = classified.filter(F.col("fake_news_prob").isNotNull())
     bin_at = F.least(F.greatest((F.col("fake_news_prob") * n_bins).cast("int"), F.lit(0)), F.lit(n_bins - 1))
-    binned = _counted(classified.select((bin_at / n_bins).alias("bin_start")), ["bin_start"])
+    binned = _counted(scored.select((bin_at / n_bins).alias("bin_start")), ["bin_start"])
     side = F.when(F.col("bin_start") >= 0.5, "real").otherwise("fake")
     return binned.withColumn("side", side).orderBy("bin_start")
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postwise.functions.text import WORD
@@ -26,12 +26,17 @@ def terms(text: Column) -> Column:
 
 
 def term_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, term, tf); a document without terms has no rows."""
-    tokens = docs.select(key, F.explode(terms(F.col(text))).alias("term"))
+    """(key, term, tf); a document without terms has no rows.
+
+    The texts are placed by document key before they are cut, so the count per
+    document and term needs no shuffle of the much larger token rows.
+    """
+    placed = docs.select(key, text).repartition(key)
+    tokens = placed.select(key, F.explode(terms(F.col(text))).alias("term"))
     return tokens.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def term_weights(docs: DataFrame, counts: DataFrame, key: str) -> DataFrame:
+def term_weights(docs: DataFrame, counts: DataFrame) -> DataFrame:
     """(term, df, idf) with the smooth idf ``ln((1 + n) / (1 + df)) + 1``."""
     n = docs.agg(F.count(F.lit(1))).scalar()
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -60,23 +65,27 @@ def unit_weights(weighted: DataFrame, key: str) -> DataFrame:
     return raw.select(key, "term", (F.col("_raw") / norm).alias("weight"))
 
 
-def tfidf(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Unit-length TF-IDF weights of every document."""
-    counts = term_counts(docs, key, text)
-    return unit_weights(join_weights(counts, term_weights(docs, counts, key)), key)
-
-
 def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
-    """Store the index: ``counts``, ``terms`` and ``postings`` tables below ``path``.
+    """Store the index: ``counts``, ``terms`` and ``vectors`` tables below ``path``.
 
-    Each table is read back for the next, so the texts are tokenised once.
+    Each table is read back for the next, so the texts are read and tokenised
+    once and a lost executor costs one step at most. ``vectors`` has one row
+    per document with its (term, weight) entries; the grouping follows the
+    placement the unit lengths already need.
     """
     spark = docs.sparkSession
     term_counts(docs, key, text).write.parquet(f"{path}/counts")
     counts = spark.read.parquet(f"{path}/counts")
-    term_weights(docs, counts, key).write.parquet(f"{path}/terms")
+    term_weights(docs, counts).write.parquet(f"{path}/terms")
     weights = spark.read.parquet(f"{path}/terms")
-    unit_weights(join_weights(counts, weights), key).write.parquet(f"{path}/postings")
+    postings = unit_weights(join_weights(counts, weights), key)
+    vectors = postings.groupBy(key).agg(F.collect_list(F.struct("term", "weight")).alias("entries"))
+    vectors.write.parquet(f"{path}/vectors")
+
+
+def read_postings(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
+    """(key, term, weight) rows of a stored index."""
+    return spark.read.parquet(f"{path}/vectors").select(key, F.inline("entries"))
 
 
 def query_weights(queries: DataFrame, weights: DataFrame, key: str = "query_id", text: str = "text") -> DataFrame:
@@ -85,100 +94,114 @@ def query_weights(queries: DataFrame, weights: DataFrame, key: str = "query_id",
     return unit_weights(counts.join(weights.select("term", "idf"), "term"), key)
 
 
-def _score_block(block: list, k: int, doc_key: str):
-    """Function that scores Arrow batches of documents against one block of queries.
+def _block_scorer(block: list[tuple[int, int, float]], k: int, doc_key: str):
+    """Function from Arrow batches of (document, term position, weight) to the best ``k`` per query.
 
-    ``block`` holds (query position, term position, weight) rows ordered by term.
+    ``block`` holds (term position, query position, weight) in term order. The
+    rows of a document follow each other and never leave their task.
     """
-    q_of, t_of, w_of = (np.asarray(column) for column in zip(*block, strict=True))
-    n_queries, n_terms = int(q_of.max()) + 1, int(t_of.max()) + 1
-    first = np.searchsorted(t_of, np.arange(n_terms + 1))
-    rows_at_once = max(1, SCORE_CELLS // n_queries)
+    term_of, query_of, weight_of = (np.asarray(column) for column in zip(*block, strict=True))
+    n_queries, n_terms = int(query_of.max()) + 1, int(term_of.max()) + 1
+    first = np.searchsorted(term_of, np.arange(n_terms + 1))
+    docs_at_once = max(1, SCORE_CELLS // n_queries)
 
-    def best_of(ids: np.ndarray, owner: np.ndarray, term: np.ndarray, weight: np.ndarray):
-        """Top k documents per query among ``ids``, which are in rising order."""
+    def scores_of(owner: np.ndarray, term: np.ndarray, weight: np.ndarray, n_docs: int) -> np.ndarray:
+        """(documents, queries) similarities, ten decimals."""
         hits = first[term + 1] - first[term]
         entry = np.repeat(np.arange(len(term)), hits)
-        at = np.arange(len(entry)) - np.repeat(np.cumsum(hits) - hits, hits) + np.repeat(first[term], hits)
-        cells = owner[entry] * n_queries + q_of[at]
-        scores = np.bincount(cells, weight[entry] * w_of[at], len(ids) * n_queries)
-        scores = np.round(scores.reshape(len(ids), n_queries), 10)
-        order = np.argsort(-scores, axis=0, kind="stable")[:k]
-        best = np.take_along_axis(scores, order, axis=0)
-        row, query = np.nonzero(best > 0)
-        return query, ids[order[row, query]], best[row, query]
+        place = np.arange(len(entry)) - np.repeat(np.cumsum(hits) - hits, hits) + np.repeat(first[term], hits)
+        cells = owner[entry] * n_queries + query_of[place]
+        sums = np.bincount(cells, weight[entry] * weight_of[place], n_docs * n_queries)
+        return np.round(sums.reshape(n_docs, n_queries), 10)
+
+    def merge(best, docs: np.ndarray, term: np.ndarray, weight: np.ndarray):
+        """Best (scores, documents) after these rows of whole documents."""
+        starts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
+        owner = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(docs)]))
+        for low in range(0, len(starts), docs_at_once):
+            ids = docs[starts[low : low + docs_at_once]]
+            rows = slice(*np.searchsorted(owner, [low, low + len(ids)]))
+            fresh = scores_of(owner[rows] - low, term[rows], weight[rows], len(ids))
+            scores = np.concatenate([best[0], fresh])
+            names = np.concatenate([best[1], np.broadcast_to(ids[:, None], fresh.shape)])
+            order = np.lexsort((names, -scores), axis=0)[:k]
+            best = np.take_along_axis(scores, order, axis=0), np.take_along_axis(names, order, axis=0)
+        return best
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.zeros((0, n_queries)), np.zeros((0, n_queries), np.int64)
+        pending = None
         for batch in batches:
-            batch = pa.Table.from_batches([batch]).sort_by(doc_key).combine_chunks()
-            for start in range(0, batch.num_rows, rows_at_once):
-                part = batch.slice(start, rows_at_once)
-                entries = part["entries"].combine_chunks()
-                owner = np.repeat(np.arange(part.num_rows), entries.value_lengths().to_numpy())
-                flat = entries.flatten()
-                term = flat.field("term_at").to_numpy()
-                weight = flat.field("weight").to_numpy()
-                query, doc, similarity = best_of(part[doc_key].to_numpy(), owner, term, weight)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(query, pa.int32()), pa.array(doc), pa.array(similarity)],
-                    ["query_at", doc_key, "similarity"],
-                )
+            columns = [batch[name].to_numpy() for name in (doc_key, "term_at", "weight")]
+            if pending is not None:
+                columns = [np.concatenate(pair) for pair in zip(pending, columns, strict=True)]
+            docs = columns[0]
+            # The last document may go on in the next batch.
+            last = len(docs) - np.argmax(docs[::-1] != docs[-1]) if len(docs) and docs[0] != docs[-1] else 0
+            if last:
+                best = merge(best, *(column[:last] for column in columns))
+            pending = [column[last:] for column in columns]
+        if pending is not None and len(pending[0]):
+            best = merge(best, *pending)
+        rank, query = np.nonzero(best[0] > 0)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(query, pa.int32()), pa.array(best[1][rank, query]), pa.array(best[0][rank, query])],
+            ["query_at", doc_key, "similarity"],
+        )
 
     return score
 
 
-def _query_blocks(query_rows: DataFrame, query_key: str) -> list[list]:
-    """Query ids in blocks of at most ``QUERY_WEIGHTS`` weights (at least one query each)."""
+def _query_blocks(query_rows: DataFrame, query_key: str) -> list[tuple]:
+    """Key ranges holding at most ``QUERY_WEIGHTS`` weights each (at least one query)."""
     sizes = query_rows.groupBy(query_key).agg(F.count(F.lit(1)).alias("n")).orderBy(query_key)
-    blocks, current, filled = [], [], 0
-    for row in sizes.toLocalIterator():
-        if current and filled + row["n"] > QUERY_WEIGHTS:
-            blocks.append(current)
-            current, filled = [], 0
-        current.append(row[query_key])
-        filled += row["n"]
-    return [*blocks, current] if current else blocks
+    blocks, filled = [], 0
+    for query, n in sizes.toLocalIterator():
+        if blocks and filled + n <= QUERY_WEIGHTS:
+            blocks[-1] = (blocks[-1][0], query)
+            filled += n
+        else:
+            blocks.append((query, query))
+            filled = n
+    return blocks
 
 
 def retrieve(
     query_rows: DataFrame,
-    postings: DataFrame,
+    vectors: DataFrame,
     k: int = 5,
     query_key: str = "query_id",
     doc_key: str = "doc_id",
 ) -> DataFrame:
     """Top ``k`` documents per query by cosine, similarity above zero only.
 
-    (query, document) pairs are never shuffled: every task holds one bounded
-    block of query weights, scores its documents in place and passes on the
-    best ``k`` per query. More queries than one block holds mean more blocks,
-    each a further pass over the stored postings. Ties fall to the lower
-    document key; similarities are compared at ten decimals.
-
-    ``postings`` should be a stored index, integer document keys.
+    (query, document) pairs are never shuffled, and neither are the documents:
+    every task holds one bounded block of query weights, scores the documents
+    it reads and passes on its best ``k`` per query. More queries than one
+    block holds mean more blocks, each one more scan of the stored vectors.
+    Ties fall to the lower document key; similarities are compared at ten
+    decimals. Keys are integers.
     """
-    spark = postings.sparkSession
-    results = []
-    for ids in _query_blocks(query_rows, query_key):
-        rows = query_rows.filter(F.col(query_key).between(ids[0], ids[-1])).collect()
-        vocabulary = sorted({r["term"] for r in rows})
-        term_at = {term: i for i, term in enumerate(vocabulary)}
-        query_at = {q: i for i, q in enumerate(ids)}
+    spark = vectors.sparkSession
+    empty = spark.createDataFrame([], f"{query_key} long, {doc_key} long, similarity double")
+    best = None
+    query_rows = query_rows.persist()
+    for low, high in _query_blocks(query_rows, query_key):
+        rows = query_rows.filter(F.col(query_key).between(low, high)).collect()
+        term_at = {term: i for i, term in enumerate(sorted({r["term"] for r in rows}))}
+        query_at = {q: i for i, q in enumerate(sorted({r[query_key] for r in rows}))}
         block = sorted((term_at[r["term"]], query_at[r[query_key]], r["weight"]) for r in rows)
-        scorer = _score_block([(q, t, w) for t, q, w in block], k, doc_key)
+        # Both lookups hold at most one block of query weights.
         lookup = spark.createDataFrame(list(term_at.items()), "term string, term_at int")
         names = spark.createDataFrame([(i, q) for q, i in query_at.items()], f"query_at int, {query_key} long")
-        entries = (
-            postings.join(F.broadcast(lookup), "term")
-            .groupBy(doc_key)
-            .agg(F.collect_list(F.struct("term_at", "weight")).alias("entries"))
+        entries = vectors.select(F.col(doc_key).cast("long").alias(doc_key), F.inline("entries"))
+        matched = entries.join(F.broadcast(lookup), "term").select(doc_key, "term_at", "weight")
+        scored = matched.mapInArrow(
+            _block_scorer(block, k, doc_key), f"query_at int, {doc_key} long, similarity double"
         )
-        scored = entries.mapInArrow(scorer, f"query_at int, {doc_key} long, similarity double")
-        results.append(scored.join(F.broadcast(names), "query_at").select(query_key, doc_key, "similarity"))
-    if not results:
-        return spark.createDataFrame([], f"{query_key} long, {doc_key} long, similarity double, rank int")
-    best = results[0]
-    for other in results[1:]:
-        best = best.unionByName(other)
+        found = scored.join(F.broadcast(names), "query_at").select(query_key, doc_key, "similarity")
+        best = found if best is None else best.unionByName(found)
+    query_rows.unpersist()
     order = Window.partitionBy(query_key).orderBy(F.desc("similarity"), doc_key)
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = (empty if best is None else best).withColumn("rank", F.row_number().over(order))
+    return ranked.filter(F.col("rank") <= k)

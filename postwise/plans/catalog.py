@@ -340,11 +340,11 @@ def distinct_keys(spark, sf):
 
 
 def _documents(spark, sf):
-    return given.table(spark, sf, "documents").select("doc_id", "text")
+    return given.texts(spark, sf, "documents").select("doc_id", "text")
 
 
 def _pages(spark, sf):
-    return given.table(spark, sf, "pages").select("page_id", F.col("html").alias("text"))
+    return given.texts(spark, sf, "pages").select("page_id", F.col("html").alias("text"))
 
 
 @query
@@ -615,7 +615,9 @@ def verdict_labels(spark, sf):
 
 @query
 def tfidf_weights(spark, sf):
-    return rounded(retrieval.tfidf(_documents(spark, sf)), "weight")
+    path = scratch_path(spark, "index")
+    retrieval.write_index(_documents(spark, sf), path)
+    return rounded(retrieval.read_postings(spark, path), "weight")
 
 
 @query
@@ -624,7 +626,7 @@ def retrieved_documents(spark, sf):
     retrieval.write_index(_documents(spark, sf), path)
     queries = given.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     wanted = retrieval.query_weights(queries, spark.read.parquet(f"{path}/terms"))
-    found = retrieval.retrieve(wanted, spark.read.parquet(f"{path}/postings"))
+    found = retrieval.retrieve(wanted, spark.read.parquet(f"{path}/vectors"))
     return found.select("query_id", "doc_id", six("similarity").alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 

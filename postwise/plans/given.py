@@ -14,6 +14,7 @@ from postwise.constants import EMOTIONS
 from postwise.functions.handles import source_label, unique_id
 from postwise.functions.scoring import real_fake
 from postwise.functions.text import clean_text, normalize_text
+from postwise.sources.tables import spread_small
 
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
@@ -22,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread_small(table(spark, sf_dir, name))
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_times(table(spark, sf_dir, "events"))
 
@@ -52,7 +57,7 @@ def _category() -> Column:
 
 def _dated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     times = events(spark, sf_dir).select(F.col("event_id").alias("doc_id"), "ts")
-    return table(spark, sf_dir, "documents").join(times, "doc_id")
+    return texts(spark, sf_dir, "documents").join(times, "doc_id")
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +178,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("conv_id") % 4 == 2, "VERDICT: maybe\n")
         .otherwise("")
     )
-    turns = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    turns = texts(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
     return turns.select("conv_id", "turn", F.concat(prefix, F.col("text")).alias("text"))
 
 

@@ -20,6 +20,20 @@ def read_landing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.PAYLOAD).json(path)
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread a table that is too small to be split by its files over all cores.
+
+    Text work is heavy per row, and a small file is one task however many cores
+    there are. Only tables below one input split per core are shuffled; larger
+    ones keep the splits of their files.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split else df
+
+
 def parse_instant(c: Column) -> Column:
     """ISO-8601 text to a UTC timestamp; text that is no timestamp gives null."""
     return c.try_cast("timestamp")
