@@ -5,32 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postwise.session import broadcast_if_small, stored
+
 
 def distinct_keys(df: DataFrame, key: str = "unique_id") -> DataFrame:
     return df.select(key).filter(F.col(key).isNotNull()).distinct()
 
 
-def unseen(candidates: DataFrame, stored: DataFrame, key: str = "unique_id") -> DataFrame:
-    """Rows of ``candidates`` whose key is not in ``stored``.
+def unseen(candidates: DataFrame, stored_rows: DataFrame, key: str = "unique_id") -> DataFrame:
+    """Rows of ``candidates`` whose key is not in ``stored_rows``.
 
-    Only the two key columns are compared in full. The pending keys then pick
-    the wide rows by a semi-join, which Spark turns into a broadcast or a
-    filtered scan when few keys are pending, so texts already handled are not
-    shuffled. Both key lists are made distinct first (partial aggregation), so
-    a key with many copies costs one row per task.
+    Only the two key columns are compared in full, both made distinct first
+    (partial aggregation), so a key with many copies costs one row per task.
+    The pending keys are written down and counted: few of them pick the wide
+    rows by broadcast, and texts already handled are never shuffled. Many of
+    them are joined by shuffle, where adaptive execution splits hot keys.
     """
-    pending = distinct_keys(candidates, key).join(distinct_keys(stored, key), key, "left_anti")
-    return candidates.join(pending, key, "left_semi")
+    pending = distinct_keys(candidates, key).join(distinct_keys(stored_rows, key), key, "left_anti")
+    return candidates.join(broadcast_if_small(stored(pending, "pending")), key, "left_semi")
 
 
-def unseen_batch(batch: DataFrame, stored: DataFrame, key: str = "unique_id") -> DataFrame:
-    """As ``unseen`` for a batch with one row per key that is small beside ``stored``.
+def unseen_batch(batch: DataFrame, stored_rows: DataFrame, key: str = "unique_id") -> DataFrame:
+    """As ``unseen`` for a batch with one row per key that is small beside ``stored_rows``.
 
-    The stored keys are first cut down to those of the batch, so the history
-    is scanned once and hardly shuffled.
+    The batch is written down and counted; the stored keys are cut down to
+    those of the batch in one scan, without a shuffle when the batch is small.
     """
-    known = stored.select(key).join(batch.select(key), key, "left_semi").distinct()
-    return batch.join(known, key, "left_anti")
+    batch = stored(batch, "batch")
+    keys = broadcast_if_small(batch.select(key))
+    known = stored(stored_rows.select(key).join(keys, key, "left_semi").distinct(), "known")
+    return batch.join(broadcast_if_small(known), key, "left_anti")
 
 
 def scorable(cleaned: DataFrame) -> DataFrame:

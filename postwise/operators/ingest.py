@@ -97,10 +97,10 @@ def merge_feeds(account_rows: DataFrame, keyword_rows: DataFrame) -> DataFrame:
     return first_rows(both, "unique_id", ["_feed", "uri"]).drop("_feed")
 
 
-def new_posts(payloads: DataFrame, stored: DataFrame, **options) -> DataFrame:
+def new_posts(payloads: DataFrame, known: DataFrame, **options) -> DataFrame:
     """Posts of one landed batch that are not stored yet."""
     merged = merge_feeds(account_posts(payloads), keyword_posts(payloads, **options))
-    return unseen_batch(merged, stored)
+    return unseen_batch(merged, known)
 
 
 def with_defaults(df: DataFrame) -> DataFrame:

@@ -48,19 +48,22 @@ def score_reliability(model: LogisticRegressionModel, df: DataFrame, output: str
     return raw_probability(model, df, output).withColumn(output, round_exact(F.col(output), 4))
 
 
+def _area(scored: DataFrame, score: str) -> float:
+    return BinaryClassificationEvaluator(rawPredictionCol=score, labelCol="label", numBins=0).evaluate(scored)
+
+
 def roc_auc(scored: DataFrame, score: str = "probability") -> float:
     """Exact area under the curve (every distinct score a threshold); 0.0 for one class."""
     classes = scored.agg(F.min("label").alias("low"), F.max("label").alias("high")).first()
-    if classes["low"] is None or classes["low"] == classes["high"]:
-        return 0.0
-    return BinaryClassificationEvaluator(rawPredictionCol=score, labelCol="label", numBins=0).evaluate(scored)
+    return 0.0 if classes["low"] == classes["high"] else _area(scored, score)
 
 
 def evaluate(scored: DataFrame, score: str = "probability") -> dict[str, float]:
     """ROC-AUC and accuracy at 0.5, four decimals."""
     hit = ((F.col(score) >= 0.5).cast("double") == F.col("label")).cast("double")
-    accuracy = scored.agg(F.avg(hit).alias("accuracy")).first()["accuracy"]
-    return {"roc_auc": round(roc_auc(scored, score), 4), "accuracy": round(accuracy or 0.0, 4)}
+    found = scored.agg(F.min("label").alias("low"), F.max("label").alias("high"), F.avg(hit).alias("accuracy")).first()
+    auc = 0.0 if found["low"] == found["high"] else _area(scored, score)
+    return {"roc_auc": round(auc, 4), "accuracy": round(found["accuracy"] or 0.0, 4)}
 
 
 def cross_validate(labelled: DataFrame, folds: int = 5, key: str = "unique_id") -> DataFrame:

@@ -27,7 +27,7 @@ from postwise.operators import (
 )
 from postwise.operators import service_metrics as metrics
 from postwise.plans import given, jobs
-from postwise.session import scratch_path
+from postwise.session import scratch_path, stored
 from postwise.sources import models, tables
 from postwise.streaming import posts as post_streams
 from postwise.streaming import windows as window_streams
@@ -143,7 +143,7 @@ def newest_energy_logs(spark, sf):
 @query
 def reloaded_clusters(spark, sf):
     path = scratch_path(spark, "kmeans")
-    rows = given.feature_posts(spark, sf)
+    rows = _feature_rows(spark, sf)
     model = clustering.fit_clusters(rows, key="doc_id", partitions=8)
     centers = clustering.centers_of(model)
     fake = clustering.orient(clustering.assign_clusters(rows, centers)).first()["fake_cluster"]
@@ -441,7 +441,7 @@ def feature_matrix(spark, sf):
 
 @query
 def fitted_clusters(spark, sf):
-    rows = given.feature_posts(spark, sf)
+    rows = _feature_rows(spark, sf)
     model = clustering.fit_clusters(rows, key="doc_id", partitions=8)
     return clustering.classify_posts(rows, clustering.centers_of(model)).select(
         "doc_id", "cluster", "fake_news_prob", "is_real"
@@ -460,7 +460,7 @@ def _given_centers(rows):
 
 
 def _assigned(spark, sf):
-    rows = given.feature_posts(spark, sf)
+    rows = _feature_rows(spark, sf)
     return clustering.assign_clusters(rows, _given_centers(rows))
 
 
@@ -488,7 +488,7 @@ def cluster_orientation(spark, sf):
 
 @query
 def cluster_scores(spark, sf):
-    rows = given.feature_posts(spark, sf)
+    rows = _feature_rows(spark, sf)
     scored = clustering.classify_posts(rows, _given_centers(rows))
     return scored.select("doc_id", six("fake_news_prob").alias("fake_news_prob"), "is_real")
 
@@ -525,23 +525,22 @@ def balanced_weights(spark, sf):
     return weighted.select("unique_id", "label", six("weight").alias("weight"))
 
 
-def _training_rows(spark, sf):
-    """Labelled feature rows, stored once because the fits read them repeatedly."""
-    path = scratch_path(spark, "training")
-    labelled = features.labelled_posts(given.feature_posts(spark, sf))
-    labelled.select("unique_id", "label", "features").write.parquet(path)
-    return spark.read.parquet(path)
+def _feature_rows(spark, sf):
+    """Feature rows of the posts, stored once because fits and passes read them repeatedly."""
+    columns = ["doc_id", "unique_id", "category", "source_label", "normalized_text", "vector_label", "features"]
+    return stored(given.feature_posts(spark, sf).select(*columns), "features")
 
 
 @query
 def reliability_scores(spark, sf):
-    model = reliability.fit_reliability(_training_rows(spark, sf))
-    return reliability.score_reliability(model, given.feature_posts(spark, sf)).select("doc_id", "reliability")
+    rows = _feature_rows(spark, sf)
+    model = reliability.fit_reliability(features.labelled_posts(rows))
+    return reliability.score_reliability(model, rows).select("doc_id", "reliability")
 
 
 @query
 def cross_validated_auc(spark, sf):
-    return reliability.cross_validate(_training_rows(spark, sf), folds=5)
+    return reliability.cross_validate(features.labelled_posts(_feature_rows(spark, sf)), folds=5)
 
 
 @query

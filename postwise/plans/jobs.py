@@ -15,7 +15,7 @@ from postwise import schemas
 from postwise.functions.text import clean_text, normalize_text
 from postwise.operators import clustering, emotion, features, incremental, ingest, reliability
 from postwise.operators.dedup import first_rows
-from postwise.session import scratch_path
+from postwise.session import stored
 from postwise.sources import models
 from postwise.sources.tables import append, read_landing, read_table
 
@@ -26,21 +26,22 @@ EMOTION_COLUMNS = [f.name for f in schemas.EMOTION if f.name != "classified_at"]
 
 def ingest_stage(spark: SparkSession, landing: str, posts_path: str) -> None:
     """Landed payloads to new raw posts."""
-    stored = read_table(spark, posts_path, schemas.POSTS)
-    fresh = ingest.new_posts(read_landing(spark, landing), stored)
+    known = read_table(spark, posts_path, schemas.POSTS)
+    fresh = ingest.new_posts(read_landing(spark, landing), known)
     append(fresh.select("text", "username", "created_at", "unique_id", "category", "source_label"), posts_path)
 
 
-def cleaned_rows(posts: DataFrame, cleaned: DataFrame) -> DataFrame:
-    """Clean rows of the posts not cleaned yet, one per key."""
-    pending = first_rows(incremental.posts_to_clean(posts, cleaned), "unique_id", ["created_at", "text"])
-    ready = normalize_text(clean_text(pending))
+def cleaned_rows(posts: DataFrame) -> DataFrame:
+    """Clean rows of raw posts, one per key."""
+    ready = normalize_text(clean_text(first_rows(posts, "unique_id", ["created_at", "text"])))
     return ingest.with_defaults(ready).select(*CLEANED_COLUMNS)
 
 
 def clean_stage(spark: SparkSession, posts_path: str, cleaned_path: str) -> None:
+    """Raw posts not cleaned yet to the cleaned table."""
     posts = read_table(spark, posts_path, schemas.POSTS)
-    append(cleaned_rows(posts, read_table(spark, cleaned_path, schemas.CLEANED)), cleaned_path)
+    pending = incremental.posts_to_clean(posts, read_table(spark, cleaned_path, schemas.CLEANED))
+    append(cleaned_rows(pending), cleaned_path)
 
 
 Encoder = Callable[[DataFrame], DataFrame]
@@ -67,17 +68,13 @@ def classify_stage(
     """
     cleaned = read_table(spark, cleaned_path, schemas.CLEANED)
     pending = incremental.posts_to_classify(cleaned, read_table(spark, classified_path, schemas.CLASSIFIED))
-    rows_path = scratch_path(spark, "features")
-    feature_rows(pending, encoder).write.parquet(rows_path)
-    rows = spark.read.parquet(rows_path)
+    rows = stored(feature_rows(pending, encoder), "features")
     handled = rows.count()
     if not handled:
         return 0
     model = clustering.fit_clusters(rows, key="unique_id")
-    clustered_path = scratch_path(spark, "clustered")
     assigned = clustering.assign_clusters(rows, clustering.centers_of(model)).drop("features")
-    assigned.write.parquet(clustered_path)
-    clustered = spark.read.parquet(clustered_path)
+    clustered = stored(assigned, "clustered")
     fake_cluster = clustering.orient(clustered).first()["fake_cluster"]
     scored = clustering.score_posts(clustered, fake_cluster)
     append(scored.select(*CLASSIFIED_COLUMNS), classified_path, loaded_at="classified_at")
@@ -103,9 +100,7 @@ def reliability_stage(
     features.require_samples(labelled, min_reliable, min_misinformation)
     if style == "zeros":
         labelled = labelled.withColumn("style_features", F.array(*[F.lit(0.0)] * 5))
-    rows_path = scratch_path(spark, "training")
-    feature_rows(labelled, encoder).select("unique_id", "label", "features").write.parquet(rows_path)
-    rows = spark.read.parquet(rows_path)
+    rows = stored(feature_rows(labelled, encoder).select("unique_id", "label", "features"), "training")
     models.save_reliability(reliability.fit_reliability(rows), model_path)
     return reliability.summarise_folds(reliability.cross_validate(rows, folds))
 

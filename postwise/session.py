@@ -1,11 +1,15 @@
-"""Session builder and the shared scratch folder."""
+"""Session builder, the shared scratch folder and size-checked broadcasts."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Most rows a broadcast key list may have (about 100 bytes each).
+BROADCAST_ROWS = 1_000_000
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -37,3 +41,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="postwise-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/postwise/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the scratch folder and read it back.
+
+    Later uses neither repeat its work nor lose it with an executor.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Broadcast hint for a stored frame of few rows; larger ones are joined by shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from postwise import schemas
 from postwise.functions.scoring import real_fake
 from postwise.operators.dedup import first_rows
+from postwise.session import broadcast_if_small, stored
 
 POSTS_VIEW = ["username", "created_at", "category", "normalized_text"]
 CLASSIFIED_VIEW = ["username", "category", "is_real", "fake_news_prob", "classified_at"]
@@ -66,11 +67,12 @@ def merge_rows(
     """``existing`` with whole rows replaced or added from ``updates``.
 
     ``order`` names the winner where the updates repeat a key; without it the
-    updates must already hold one row per key.
+    updates must already hold one row per key. The winners are written down
+    and counted: the existing rows are only shuffled when there are many.
     """
     winners = first_rows(updates, key, order) if order else updates
-    winners = winners.select(*existing.columns)
-    kept = existing.join(winners.select(key), key, "left_anti").select(*existing.columns)
+    winners = stored(winners.select(*existing.columns), "winners")
+    kept = existing.join(broadcast_if_small(winners.select(key)), key, "left_anti").select(*existing.columns)
     return kept.unionByName(winners)
 
 
@@ -109,17 +111,30 @@ def read_latest(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     return spark.read.schema(schema).parquet(f"{path}/version-{known[-1]}")
 
 
-def write_version(df: DataFrame, path: str) -> int:
-    """Write the next version beside the current one; readers switch when it is complete."""
-    known = versions(df.sparkSession, path)
+def write_version(df: DataFrame, path: str, keep: int | None = None) -> int:
+    """Write the next version beside the current one; readers switch when it is complete.
+
+    With ``keep`` only that many versions stay; older ones are deleted.
+    """
+    spark = df.sparkSession
+    known = versions(spark, path)
     number = known[-1] + 1 if known else 1
     df.write.mode("overwrite").parquet(f"{path}/version-{number}")
+    if keep:
+        fs, folder = _folder(spark, path)
+        for old in [v for v in known if v <= number - keep]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"version-{old}"), True)
     return number
 
 
 def upsert(
-    updates: DataFrame, path: str, key: str, schema: T.StructType, order: list[Column] | None = None
+    updates: DataFrame,
+    path: str,
+    key: str,
+    schema: T.StructType,
+    order: list[Column] | None = None,
+    keep: int | None = None,
 ) -> int:
     """Merge ``updates`` into the versioned table at ``path``; returns the version written."""
     current = read_latest(updates.sparkSession, path, schema)
-    return write_version(merge_rows(current, updates, key, order), path)
+    return write_version(merge_rows(current, updates, key, order), path, keep)

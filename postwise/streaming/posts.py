@@ -54,11 +54,12 @@ def store_new_posts(posts_path: str) -> Callable[[DataFrame, int], None]:
     older than the watermark.
     """
 
+    columns = [name for name in schemas.POSTS.names if name != "utc_saved_at"]
+
     def handle(batch: DataFrame, _: int) -> None:
-        stored = read_table(batch.sparkSession, posts_path, schemas.POSTS)
-        unique = first_rows(batch.select(*[f.name for f in schemas.POSTS if f.name in batch.columns]),
-                            "unique_id", ["created_at", "text"])
-        append(unseen_batch(unique, stored), posts_path)
+        known = read_table(batch.sparkSession, posts_path, schemas.POSTS)
+        unique = first_rows(batch.select(*columns), "unique_id", ["created_at", "text"])
+        append(unseen_batch(unique, known), posts_path)
 
     return handle
 
@@ -67,8 +68,8 @@ def store_cleaned_posts(cleaned_path: str) -> Callable[[DataFrame, int], None]:
     """Batch handler: clean the raw posts not cleaned yet and append them."""
 
     def handle(batch: DataFrame, _: int) -> None:
-        stored = read_table(batch.sparkSession, cleaned_path, schemas.CLEANED)
-        append(cleaned_rows(batch, stored), cleaned_path)
+        known = read_table(batch.sparkSession, cleaned_path, schemas.CLEANED)
+        append(unseen_batch(cleaned_rows(batch), known), cleaned_path)
 
     return handle
 

@@ -18,6 +18,7 @@ from postwise.sources.tables import upsert
 from postwise.streaming.posts import run_available
 
 LATENESS = "10 minutes"
+KEPT_VERSIONS = 5
 
 
 def daily_posts(stream: DataFrame, ts: str = "created_at", delay: str = LATENESS) -> DataFrame:
@@ -53,8 +54,8 @@ def verdict_windows(log: DataFrame, ts: str = "ts", delay: str = LATENESS) -> Da
 def store_windows(path: str, schema: T.StructType) -> Callable[[DataFrame, int], None]:
     """Batch handler: replace the rows of changed windows.
 
-    A window is identified by all columns but the counts. The handled table
-    has one row per window, so rewriting it is cheap.
+    A window is identified by all columns but the counts. The table has one
+    row per window, so rewriting it is cheap; the last few versions are kept.
     """
     counts = {"count", "requests", "errors"}
     names = [field.name for field in schema if field.name not in counts]
@@ -62,7 +63,7 @@ def store_windows(path: str, schema: T.StructType) -> Callable[[DataFrame, int],
 
     def handle(batch: DataFrame, _: int) -> None:
         key = F.concat_ws("|", *[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names])
-        upsert(batch.withColumn("window_key", key), path, "window_key", keyed)
+        upsert(batch.withColumn("window_key", key), path, "window_key", keyed, keep=KEPT_VERSIONS)
 
     return handle
 
