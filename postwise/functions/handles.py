@@ -29,5 +29,9 @@ def source_label(handle: Column, domains: Sequence[str] = RELIABLE_DOMAINS) -> C
 
 
 def unique_id(username: Column, created_at: Column) -> Column:
-    """Key of a post: ``username_created_at``; null if a part is missing."""
-    return F.concat(username, F.lit("_"), created_at.cast("string"))
+    """Key of a post: ``username_created_at``; a missing part is written ``None``.
+
+    A null key would make all such posts one post.
+    """
+    missing = F.lit("None")
+    return F.concat(F.coalesce(username, missing), F.lit("_"), F.coalesce(created_at.cast("string"), missing))

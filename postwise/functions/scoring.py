@@ -14,10 +14,8 @@ def share_score(to_fake: Column, to_real: Column) -> Column:
     return to_fake / (to_fake + to_real + EPSILON)
 
 
-def margin_score(to_fake: Column, to_real: Column, is_fake: Column) -> Column:
-    """Interactive score: how much nearer the own centre is, through a sigmoid."""
-    closer = F.when(is_fake, to_fake).otherwise(to_real)
-    farther = F.when(is_fake, to_real).otherwise(to_fake)
+def margin_score(closer: Column, farther: Column, is_fake: Column) -> Column:
+    """Interactive score: the relative margin between two distances through a sigmoid."""
     margin = (farther - closer) / (closer + EPSILON)
     confidence = 1.0 / (1.0 + F.exp(-margin * MARGIN_GAIN))
     return round_exact(F.when(is_fake, 1.0 - confidence).otherwise(confidence), 4)

@@ -141,9 +141,9 @@ def with_style_features(df: DataFrame, text: str = "text", output: str = "style_
         "*",
         F.length(t).alias("_chars"),
         F.length(F.regexp_replace(t, r"\P{IsUppercase}+", "")).alias("_caps"),
-        F.length(F.regexp_replace(t, "[^!]+", "")).alias("_bangs"),
-        F.length(F.regexp_replace(t, "[^?]+", "")).alias("_asks"),
-        F.length(F.regexp_replace(t, f"[{SPACE}]+", "")).alias("_inked"),
+        (F.length(t) - F.length(F.replace(t, F.lit("!")))).alias("_bangs"),
+        (F.length(t) - F.length(F.replace(t, F.lit("?")))).alias("_asks"),
+        F.length(F.array_join(w, "")).alias("_inked"),
         F.size(w).alias("_words"),
         F.size(F.array_distinct(w)).alias("_distinct"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -15,18 +16,24 @@ from postwise.constants import CLUSTERS, SEED
 from postwise.functions.scoring import margin_score, share_score
 from postwise.functions.rounding import percent
 
+# Rows per partition of a fit (389 doubles are about 3 KB a row), and the fewest partitions.
+FIT_PARTITION_ROWS = 50_000
+MIN_FIT_PARTITIONS = 8
+
 
 def fit_clusters(
-    features: DataFrame, k: int = CLUSTERS, seed: int = SEED, key: str | None = None, partitions: int = 200
+    features: DataFrame, k: int = CLUSTERS, seed: int = SEED, key: str | None = None
 ) -> KMeansModel:
     """Fit KMeans on the array column ``features``.
 
     With ``key`` the rows are placed by its hash and sorted inside their
     partitions first, so the model does not depend on how the input was laid
-    out. The vectors are kept (memory, then disk) for the iterations.
+    out; the number of partitions follows the number of rows. The vectors are
+    kept (memory, then disk) for the iterations.
     """
     rows = features
     if key:
+        partitions = max(MIN_FIT_PARTITIONS, math.ceil(features.count() / FIT_PARTITION_ROWS))
         rows = rows.repartition(partitions, key).sortWithinPartitions(key)
     vectors = rows.select(array_to_vector("features").alias("vector")).persist()
     try:
@@ -93,16 +100,10 @@ def orient(clustered: DataFrame, k: int = CLUSTERS) -> DataFrame:
     )
 
 
-def _sides(fake_cluster: Column) -> tuple[Column, Column]:
-    to_fake = F.get("distances", fake_cluster)
-    to_real = F.get("distances", 1 - fake_cluster)
-    return to_fake, to_real
-
-
 def score_posts(clustered: DataFrame, fake_cluster: int | Column) -> DataFrame:
     """Add ``fake_news_prob`` (high means real), its alias ``real_score`` and ``is_real``."""
     fake = fake_cluster if isinstance(fake_cluster, Column) else F.lit(fake_cluster)
-    to_fake, to_real = _sides(fake)
+    to_fake, to_real = F.get("distances", fake), F.get("distances", 1 - fake)
     return (
         clustered.withColumn("fake_news_prob", share_score(to_fake, to_real))
         .withColumn("real_score", F.col("fake_news_prob"))
@@ -110,11 +111,21 @@ def score_posts(clustered: DataFrame, fake_cluster: int | Column) -> DataFrame:
     )
 
 
-def score_claims(clustered: DataFrame, fake_cluster: int | Column) -> DataFrame:
-    """Interactive score of any number of claims: ``probability``, ``verdict``, ``based_on``."""
+def score_claims(
+    clustered: DataFrame, fake_cluster: int | Column, own_center: bool = False
+) -> DataFrame:
+    """Interactive score of any number of claims: ``probability``, ``verdict``, ``based_on``.
+
+    As in the service this replaces, a fake claim counts as close to centre 0
+    and a real one to centre 1, whichever cluster is the fake one; with fake
+    cluster 1 that turns the score round. ``own_center`` measures from the
+    claim's own centre instead; for fake cluster 0 both are the same.
+    """
     fake = fake_cluster if isinstance(fake_cluster, Column) else F.lit(fake_cluster)
-    to_fake, to_real = _sides(fake)
-    scored = clustered.withColumn("probability", margin_score(to_fake, to_real, F.col("cluster") == fake))
+    is_fake = F.col("cluster") == fake
+    near = F.col("cluster") if own_center else F.when(is_fake, 0).otherwise(1)
+    score = margin_score(F.get("distances", near), F.get("distances", 1 - near), is_fake)
+    scored = clustered.withColumn("probability", score)
     verdict = F.concat(percent(F.col("probability")).cast("string"), F.lit("% real"))
     return scored.withColumn("verdict", verdict).withColumn("based_on", F.lit("kmeans"))
 

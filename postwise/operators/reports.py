@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from postwise.constants import CATEGORY_PRIORITY, KEYWORD_BLACKLIST, MIN_KEYWORD_LENGTH
 from postwise.functions.rounding import percent, round_scaled
-from postwise.functions.text import words
+from postwise.functions.text import SPACE
 
 
 def _counted(df: DataFrame, keys: list[str], name: str = "count") -> DataFrame:
@@ -34,21 +34,21 @@ def top_users_per_category(posts: DataFrame, top_k: int = 10) -> DataFrame:
     return top.orderBy("category", "rank").drop("rank")
 
 
-def keywords(text: Column) -> Column:
-    """Words that count as keywords: letters only, long enough, not on the blacklist."""
-    letters = F.lit(rf"^[A-Za-z]{{{MIN_KEYWORD_LENGTH},}}$")
-    return F.filter(words(text), lambda w: F.rlike(w, letters) & ~w.isin(*KEYWORD_BLACKLIST))
+def keyword_rows(posts: DataFrame, *keep: str) -> DataFrame:
+    """One row per keyword: whole words of letters, long enough, not on the blacklist."""
+    word = rf"(?<![^{SPACE}])[A-Za-z]{{{MIN_KEYWORD_LENGTH},}}+(?![^{SPACE}])"
+    found = F.regexp_extract_all(F.col("normalized_text"), F.lit(word), F.lit(0))
+    rows = posts.select(*keep, F.explode(found).alias("keyword"))
+    return rows.filter(~F.col("keyword").isin(*KEYWORD_BLACKLIST))
 
 
 def trending_keywords(posts: DataFrame, top_k: int = 20) -> DataFrame:
-    found = posts.select(F.explode(keywords(F.col("normalized_text"))).alias("keyword"))
-    counted = found.groupBy("keyword").agg(F.count(F.lit(1)).alias("count"))
+    counted = keyword_rows(posts).groupBy("keyword").agg(F.count(F.lit(1)).alias("count"))
     return counted.orderBy(F.desc("count"), "keyword").limit(top_k)
 
 
 def trending_keywords_by_category(posts: DataFrame, top_k: int = 12) -> DataFrame:
-    found = posts.select("category", F.explode(keywords(F.col("normalized_text"))).alias("keyword"))
-    counted = _counted(found, ["category", "keyword"])
+    counted = _counted(keyword_rows(posts, "category"), ["category", "keyword"])
     top = _top_per(counted, "category", [F.desc("count"), "keyword"], top_k)
     return top.orderBy("category", "rank").drop("rank")
 

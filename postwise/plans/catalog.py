@@ -144,7 +144,7 @@ def newest_energy_logs(spark, sf):
 def reloaded_clusters(spark, sf):
     path = scratch_path(spark, "kmeans")
     rows = _feature_rows(spark, sf)
-    model = clustering.fit_clusters(rows, key="doc_id", partitions=8)
+    model = clustering.fit_clusters(rows, key="doc_id")
     centers = clustering.centers_of(model)
     fake = clustering.orient(clustering.assign_clusters(rows, centers)).first()["fake_cluster"]
     models.save_clusters(spark, model, fake, path)
@@ -257,11 +257,14 @@ def _scored_emotions(spark, sf):
 
 @query
 def emotion_badges(spark, sf):
+    # The outer form keeps Spark from testing the array in a filter, which would run the model twice.
     shown = _scored_emotions(spark, sf).select(
-        "doc_id", F.explode(emotion.emotion_badges(F.col("emotions"))).alias("badge")
+        "doc_id", F.explode_outer(emotion.emotion_badges(F.col("emotions"))).alias("badge")
     )
     badge = emotion.badge_text(F.col("badge.emotion"), F.col("badge.score"))
-    return shown.select("doc_id", F.col("badge.emotion").alias("emotion"), badge.alias("badge"))
+    return shown.filter(F.col("badge").isNotNull()).select(
+        "doc_id", F.col("badge.emotion").alias("emotion"), badge.alias("badge")
+    )
 
 
 # Joins against stored keys
@@ -271,6 +274,14 @@ def _judged_keys(spark, sf):
     return given.posts(spark, sf).join(given.table(spark, sf, "labels"), "doc_id", "left_semi").select("unique_id")
 
 
+def _stored_cleaned(spark, sf):
+    """The cleaned table as the stages keep it: the text is cleaned once and read back."""
+    cleaned = given.cleaned(spark, sf)
+    return stored(
+        cleaned.select("doc_id", "unique_id", "username", "category", "source_label", "normalized_text"), "cleaned"
+    )
+
+
 @query
 def posts_to_clean(spark, sf):
     pending = incremental.posts_to_clean(given.posts(spark, sf), _judged_keys(spark, sf))
@@ -281,12 +292,12 @@ def posts_to_clean(spark, sf):
 def posts_to_classify(spark, sf):
     stored = given.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"))
     classified = given.posts(spark, sf).join(stored, "doc_id", "left_semi").select("unique_id")
-    return incremental.posts_to_classify(given.cleaned(spark, sf), classified).select("doc_id", "unique_id")
+    return incremental.posts_to_classify(_stored_cleaned(spark, sf), classified).select("doc_id", "unique_id")
 
 
 @query
 def posts_for_emotion(spark, sf):
-    return incremental.posts_for_emotion(given.cleaned(spark, sf), _judged_keys(spark, sf))
+    return incremental.posts_for_emotion(_stored_cleaned(spark, sf), _judged_keys(spark, sf))
 
 
 @query
@@ -434,7 +445,7 @@ def hashed_embeddings(spark, sf):
 @query
 def feature_matrix(spark, sf):
     rows = given.feature_posts(spark, sf)
-    return rows.select("doc_id", F.posexplode("features").alias("position", "value")).select(
+    return rows.select("doc_id", F.posexplode_outer("features").alias("position", "value")).select(
         "doc_id", F.col("position").cast("long").alias("position"), six("value").alias("value")
     )
 
@@ -442,7 +453,7 @@ def feature_matrix(spark, sf):
 @query
 def fitted_clusters(spark, sf):
     rows = _feature_rows(spark, sf)
-    model = clustering.fit_clusters(rows, key="doc_id", partitions=8)
+    model = clustering.fit_clusters(rows, key="doc_id")
     return clustering.classify_posts(rows, clustering.centers_of(model)).select(
         "doc_id", "cluster", "fake_news_prob", "is_real"
     )
@@ -501,7 +512,7 @@ def claim_scores(spark, sf):
 
 
 def _labelled(spark, sf):
-    return features.labelled_posts(given.cleaned(spark, sf))
+    return features.labelled_posts(_stored_cleaned(spark, sf))
 
 
 @query
@@ -576,7 +587,7 @@ def top_emotion(spark, sf):
 
 @query
 def emotion_ranking(spark, sf):
-    ranked = _scored_emotions(spark, sf).select("doc_id", F.posexplode("emotions").alias("place", "entry"))
+    ranked = _scored_emotions(spark, sf).select("doc_id", F.posexplode_outer("emotions").alias("place", "entry"))
     return ranked.select("doc_id", F.col("place").cast("long").alias("place"), "entry.emotion", "entry.score")
 
 

@@ -396,7 +396,8 @@ SELECT doc_id, round(CASE WHEN fake = 0 THEN d0 ELSE d1 END / (d0 + d1 + 1e-8),
 
 ORACLES["claim_scores"] = f"""WITH {FEATURES},
 margins AS (SELECT doc_id, cluster = fake AS is_fake,
-    1 / (1 + exp(-20 * (greatest(d0, d1) - least(d0, d1)) / (least(d0, d1) + 1e-8))) AS confidence FROM sides),
+    1 / (1 + exp(-20 * CASE WHEN cluster = fake THEN (d1 - d0) / (d0 + 1e-8) ELSE (d0 - d1) / (d1 + 1e-8) END)) AS confidence
+  FROM sides),
 scored AS (SELECT doc_id,
     printf('%.4f', CASE WHEN is_fake THEN 1 - confidence ELSE confidence END)::DOUBLE AS probability FROM margins)
 SELECT doc_id, probability, round_even(probability * 100, 0)::BIGINT || '% real' AS verdict, 'kmeans' AS based_on

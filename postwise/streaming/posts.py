@@ -16,6 +16,7 @@ from postwise.plans.jobs import cleaned_rows
 from postwise.sources.tables import append, read_table
 
 REPEAT_WINDOW = "1 day"
+REPEAT_LANES = 32
 
 
 def read_payload_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -26,11 +27,15 @@ def without_repeats(payloads: DataFrame, delay: str = REPEAT_WINDOW) -> DataFram
     """Drop repeats of a key that arrive within ``delay`` of each other.
 
     The watermark is on arrival, not on the post's own time: posts of any age
-    are accepted, and the state still stays bounded.
+    are accepted, and the state still stays bounded. Repeats are dropped within
+    the lane of their input partition first, so the copies of a hot key do not
+    all travel to the one task that owns the key.
     """
     keyed = complete(payloads).withColumn("unique_id", unique_id(F.col("username"), F.col("created_at")))
-    arrived = keyed.withColumn("ingested_at", F.current_timestamp())
-    return arrived.withWatermark("ingested_at", delay).dropDuplicatesWithinWatermark(["unique_id"])
+    arrived = keyed.withColumn("ingested_at", F.current_timestamp()).withWatermark("ingested_at", delay)
+    lanes = arrived.withColumn("_lane", F.spark_partition_id() % REPEAT_LANES)
+    thinned = lanes.dropDuplicatesWithinWatermark(["unique_id", "_lane"]).drop("_lane")
+    return thinned.dropDuplicatesWithinWatermark(["unique_id"])
 
 
 def run_available(

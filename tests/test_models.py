@@ -94,8 +94,8 @@ def _two_groups(spark):
 
 def test_clusters_orientation_and_reload(spark, tmp_path):
     frame = _two_groups(spark)
-    model = clustering.fit_clusters(frame, key="unique_id", partitions=4)
-    same = clustering.fit_clusters(frame.repartition(7), key="unique_id", partitions=4)
+    model = clustering.fit_clusters(frame, key="unique_id")
+    same = clustering.fit_clusters(frame.repartition(7), key="unique_id")
     assert np.allclose(clustering.centers_of(model), clustering.centers_of(same))
     centers = clustering.centers_of(model)
     assigned = clustering.assign_clusters(frame, centers)
@@ -105,8 +105,10 @@ def test_clusters_orientation_and_reload(spark, tmp_path):
     assert {r["is_real"] for r in scored if r["source_label"] == "reliable"} == {True}
     assert {r["is_real"] for r in scored if r["category"] == "Misinformation"} == {False}
     assert all(0 <= r["fake_news_prob"] <= 1 and (r["fake_news_prob"] > 0.5) == r["is_real"] for r in scored)
-    claims = clustering.score_claims(assigned, oriented["fake_cluster"]).collect()
-    assert all(0 <= r["probability"] <= 1 and r["verdict"].endswith("% real") for r in claims)
+    for own_center in (False, True):
+        claims = clustering.score_claims(assigned, oriented["fake_cluster"], own_center).collect()
+        assert all(0 <= r["probability"] <= 1 and r["verdict"].endswith("% real") for r in claims)
+    assert all((r["probability"] > 0.5) == (r["cluster"] != oriented["fake_cluster"]) for r in claims)
     models.save_clusters(spark, model, oriented["fake_cluster"], str(tmp_path / "m"))
     loaded, fake = models.load_clusters(spark, str(tmp_path / "m"))
     assert clustering.centers_of(loaded) == centers and fake == oriented["fake_cluster"]
@@ -116,6 +118,19 @@ def test_clusters_orientation_and_reload(spark, tmp_path):
     assert np.allclose(np.sort(measured.ravel()), np.sort(wanted.ravel()))
 
 
+def test_claim_scores_for_both_orientations(spark):
+    frame = spark.createDataFrame([(0, [0.5, 0.6]), (1, [0.6, 0.5])], "cluster int, distances array<double>")
+    near, far = 0.5, 0.6
+    sure = 1 / (1 + np.exp(-20 * (far - near) / (near + 1e-8)))
+    turned = 1 / (1 + np.exp(-20 * (near - far) / (far + 1e-8)))
+    got = [r["probability"] for r in clustering.score_claims(frame, 0).orderBy("cluster").collect()]
+    assert got == [round(1 - sure, 4), round(sure, 4)]
+    got = [r["probability"] for r in clustering.score_claims(frame, 1).orderBy("cluster").collect()]
+    assert got == [round(turned, 4), round(1 - turned, 4)]
+    got = [r["probability"] for r in clustering.score_claims(frame, 1, own_center=True).orderBy("cluster").collect()]
+    assert got == [round(sure, 4), round(1 - sure, 4)]
+
+
 def test_orientation_without_signal_makes_cluster_zero_real(spark):
     plain = spark.createDataFrame([(0, "unverified", "Discover"), (1, None, None)], "cluster int, source_label string, category string")
     row = clustering.orient(plain).first()
