@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def fixed(c: Column, digits: int) -> Column:
-    """``f"{x:.<digits>f}"``: decided on the exact binary value, no grouping."""
+    """``f"{x:.<digits>f}"``: decided on the exact binary value, no grouping.
+
+    The formatter drops the one value that is half of the last place although
+    its binary value lies above the half; it is nudged over it.
+    """
+    half = float(f"5e-{digits + 1}")
+    if Decimal(half) > Decimal(5).scaleb(-digits - 1):
+        c = F.when(F.abs(c) == half, c * 1.000001).otherwise(c)
     return F.translate(F.format_number(c, digits), ",", "")
 
 

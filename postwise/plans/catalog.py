@@ -55,7 +55,8 @@ def query(build: Query) -> Query:
 
 
 def six(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    """Round half away from zero on the scaled value, as both engines compute it."""
+    return F.round((F.col(c) if isinstance(c, str) else c) * 1e6, 0) / 1e6
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -413,7 +414,7 @@ def normalized_pages(spark, sf):
 def _style_columns(df, key):
     styled = text.with_style_features(df)
     return styled.select(
-        key, *[six(F.col("style_features")[i]).alias(name) for i, name in enumerate(text.STYLE_COLUMNS)]
+        key, *[F.col("style_features")[i].alias(name) for i, name in enumerate(text.STYLE_COLUMNS)]
     )
 
 

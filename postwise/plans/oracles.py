@@ -121,7 +121,7 @@ styled AS (SELECT {key}, w, greatest(len(w), 1) AS n,
 
 
 STYLE_SELECT = ", ".join(
-    f"round({c}::DOUBLE, 6) AS {c}"
+    f"{c}::DOUBLE AS {c}"
     for c in ("caps_ratio", "exclamation_density", "question_density", "lexical_diversity", "avg_word_length")
 )
 

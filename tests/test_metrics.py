@@ -7,6 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from postwise.functions.rounding import fixed, round_exact
 from postwise.operators import energy, reports
 from postwise.operators import service_metrics as metrics
 
@@ -90,3 +91,12 @@ def test_breakdown_has_three_rows_per_node(spark):
     node = spark.createDataFrame([("n", 1.0, 2.0, 3.0)], "node_name string, avg_cpu_wh double, avg_ram_wh double, avg_gpu_wh double")
     got = {r["component"]: r["avg_wh"] for r in energy.energy_breakdown(node).collect()}
     assert got == {"CPU": 1.0, "RAM": 2.0, "GPU": 3.0}
+
+
+def test_rounding_follows_python(spark):
+    values = [0.0005, 0.0015, 5e-05, 0.00015, 0.5, 1.5, 2.5, 0.125, 2.675, 1234567.125, 0.0, 1.0, 1e-12, 0.99995, -0.0005]
+    values += [i * 5e-4 for i in range(200)] + [i * 5e-5 for i in range(200)]
+    frame = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (1, 2, 3, 4):
+        for row in frame.withColumn("s", fixed(F.col("x"), digits)).withColumn("r", round_exact(F.col("x"), digits)).collect():
+            assert row["s"] == f"{row['x']:.{digits}f}" and row["r"] == round(row["x"], digits)
