@@ -10,18 +10,22 @@ from pyspark.sql import functions as F
 from postwise.constants import RELIABLE_DOMAINS
 
 
+def suffixes(handle: Column) -> Column:
+    """All dot-suffixes of a handle, the whole handle first."""
+    labels = F.split(F.lower(handle), r"\.")
+    return F.transform(
+        F.sequence(F.lit(1), F.size(labels)),
+        lambda start: F.array_join(F.slice(labels, start, F.size(labels)), "."),
+    )
+
+
 def is_reliable(handle: Column, domains: Sequence[str] = RELIABLE_DOMAINS) -> Column:
     """Handle equals a listed domain or is a sub-handle of one.
 
     Every dot-suffix of the handle is looked up in the list, so the work grows
     with the dots in a handle and not with the length of the list.
     """
-    labels = F.split(F.lower(handle), r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda start: F.array_join(F.slice(labels, start, F.size(labels)), "."),
-    )
-    return F.exists(suffixes, lambda suffix: suffix.isin(*domains))
+    return F.exists(suffixes(handle), lambda suffix: suffix.isin(*domains))
 
 
 def source_label(handle: Column, domains: Sequence[str] = RELIABLE_DOMAINS) -> Column:

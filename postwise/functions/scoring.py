@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postwise.constants import EPSILON, LIKELY, MARGIN_GAIN, POSSIBLE, PROBABLE
@@ -73,3 +73,27 @@ def tone(p: Column) -> Column:
 
 def real_fake(is_real: Column) -> Column:
     return F.when(is_real, "Real").when(~is_real, "Fake")
+
+
+def answer_claims(
+    claims: DataFrame,
+    finetuned: str = "finetuned",
+    reliability: str = "reliability",
+    kmeans: str = "kmeans",
+) -> DataFrame:
+    """Answer any number of claims from the probabilities of the available scorers.
+
+    Adds ``probability``, ``based_on``, ``verdict``, ``label``, ``score_pct``,
+    ``band`` and ``tone``; a missing scorer is a null column.
+    """
+    probability, based_on = cascade(F.col(finetuned), F.col(reliability), F.col(kmeans))
+    scored = claims.withColumn("probability", probability).withColumn("based_on", based_on)
+    p = F.col("probability")
+    return scored.select(
+        "*",
+        verdict_text(p).alias("verdict"),
+        verdict_label(p).alias("label"),
+        score_percent(p).alias("score_pct"),
+        probability_band(p).alias("band"),
+        tone(p).alias("tone"),
+    )

@@ -14,9 +14,10 @@ from postwise.constants import (
     RELIABLE_DOMAINS,
     THEMES,
 )
-from postwise.functions.handles import source_label, unique_id
+from postwise.functions.handles import source_label, suffixes, unique_id
 from postwise.operators.dedup import first_rows
 from postwise.operators.incremental import unseen_batch
+from postwise.session import broadcast_if_small, stored
 
 POST_COLUMNS = ["username", "text", "created_at", "category", "source_label"]
 
@@ -103,6 +104,20 @@ def new_posts(payloads: DataFrame, known: DataFrame, **options) -> DataFrame:
     return unseen_batch(merged, known)
 
 
+def label_sources(posts: DataFrame, domains: DataFrame) -> DataFrame:
+    """Add ``source_label`` from a table of domains instead of a list.
+
+    The distinct handles are matched, not the posts: their dot-suffixes are
+    joined to the domains, and the reliable handles are looked up per post.
+    """
+    handles = stored(posts.select("username").distinct(), "handles")
+    matched = handles.select("username", F.explode(suffixes(F.col("username"))).alias("domain"))
+    reliable = stored(matched.join(domains, "domain", "left_semi").select("username").distinct(), "reliable")
+    flagged = reliable.withColumn("source_label", F.lit("reliable"))
+    labelled = posts.drop("source_label").join(broadcast_if_small(flagged), "username", "left")
+    return labelled.withColumn("source_label", F.coalesce("source_label", F.lit("unverified")))
+
+
 def with_defaults(df: DataFrame) -> DataFrame:
     """Missing source labels become ``unverified``, missing style features zeros."""
     zeros = F.array(*[F.lit(0.0)] * 5)

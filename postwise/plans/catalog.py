@@ -28,7 +28,7 @@ from postwise.operators import (
 from postwise.operators import service_metrics as metrics
 from postwise.plans import given, jobs
 from postwise.session import scratch_path, stored
-from postwise.sources import models, tables
+from postwise.sources import models, parameters, tables
 from postwise.streaming import posts as post_streams
 from postwise.streaming import windows as window_streams
 
@@ -184,6 +184,13 @@ def page_source_labels(spark, sf):
     return pages.withColumn("source_label", handles.source_label(F.col("host"), PAGE_DOMAINS))
 
 
+@query
+def source_labels_by_table(spark, sf):
+    plain = given.posts(spark, sf).select("doc_id", "username")
+    labelled = ingest.label_sources(plain, parameters.reliable_domains(spark))
+    return labelled.select("doc_id", "username", "source_label")
+
+
 @query
 def themed_posts(spark, sf):
     return ingest.keyword_posts(given.payloads(spark, sf)).select("uri", "category", "source_label")
@@ -443,6 +450,12 @@ def hashed_embeddings(spark, sf):
     return encoded.select("doc_id", F.size("embedding").cast("long").alias("width"), six(norm).alias("norm"))
 
 
+@query
+def encoded_embeddings(spark, sf):
+    encoded = features.encode(given.cleaned(spark, sf), given.stand_in_encoder)
+    return encoded.select("doc_id", *[six(F.col("embedding")[i]).alias(f"e{i}") for i in range(3)])
+
+
 @query
 def feature_matrix(spark, sf):
     rows = given.feature_posts(spark, sf)
@@ -592,17 +605,32 @@ def emotion_ranking(spark, sf):
     return ranked.select("doc_id", F.col("place").cast("long").alias("place"), "entry.emotion", "entry.score")
 
 
-@query
-def scorer_cascade(spark, sf):
+def _claims(spark, sf):
+    """One claim per document with the probabilities of the scorers that have its inputs."""
     labels = given.table(spark, sf, "labels").select("doc_id", "quality")
     vectors = given.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     docs = given.table(spark, sf, "documents").select("doc_id", "n_chars")
     rows = docs.join(labels, "doc_id", "left").join(vectors, "doc_id", "left")
-    finetuned = F.when(F.col("quality").isNotNull(), (F.col("n_chars") % 101) / F.lit(100.0))
-    trained = F.when(F.col("embedding").isNotNull(), (F.col("n_chars") % 103) / F.lit(102.0))
-    nearest = (F.col("n_chars") % 107) / F.lit(106.0)
-    probability, based_on = scoring.cascade(finetuned, trained, nearest)
-    return rows.select("doc_id", six(probability).alias("probability"), based_on.alias("based_on"))
+    return rows.select(
+        "doc_id",
+        F.when(F.col("quality").isNotNull(), (F.col("n_chars") % 101) / F.lit(100.0)).alias("finetuned"),
+        F.when(F.col("embedding").isNotNull(), (F.col("n_chars") % 103) / F.lit(102.0)).alias("reliability"),
+        ((F.col("n_chars") % 107) / F.lit(106.0)).alias("kmeans"),
+    )
+
+
+@query
+def scorer_cascade(spark, sf):
+    probability, based_on = scoring.cascade(F.col("finetuned"), F.col("reliability"), F.col("kmeans"))
+    return _claims(spark, sf).select("doc_id", six(probability).alias("probability"), based_on.alias("based_on"))
+
+
+@query
+def answered_claims(spark, sf):
+    answered = scoring.answer_claims(_claims(spark, sf))
+    return answered.select(
+        "doc_id", six("probability").alias("probability"), "based_on", "verdict", "label", "score_pct", "band", "tone"
+    )
 
 
 @query

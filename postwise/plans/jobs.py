@@ -116,3 +116,17 @@ def emotion_stage(
     pending = incremental.posts_for_emotion(cleaned, read_table(spark, emotion_path, schemas.EMOTION))
     scored = emotion.top_emotion(emotion.emotion_scores(pending, load_model))
     append(scored.select(*EMOTION_COLUMNS), emotion_path, loaded_at="classified_at")
+
+
+def run_stages(
+    spark: SparkSession,
+    landing: str,
+    root: str,
+    load_model: Callable[[], Callable[[np.ndarray], np.ndarray]],
+    encoder: Encoder = features.hashed_embeddings,
+) -> None:
+    """The default chain below ``root``: ingest, clean, classify, emotion."""
+    ingest_stage(spark, landing, f"{root}/posts")
+    clean_stage(spark, f"{root}/posts", f"{root}/cleaned")
+    classify_stage(spark, f"{root}/cleaned", f"{root}/classified", f"{root}/models/kmeans", encoder)
+    emotion_stage(spark, f"{root}/cleaned", f"{root}/emotions", load_model)

@@ -269,6 +269,8 @@ FROM pages p JOIN events e ON e.event_id = p.page_id * 50 WHERE p.html <> ''"""
 
 ORACLES["source_labels"] = f"WITH {POSTS} SELECT doc_id, username, source_label FROM posts"
 
+ORACLES["source_labels_by_table"] = ORACLES["source_labels"]
+
 ORACLES["page_source_labels"] = rf"""WITH hosts AS (
   SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages)
 SELECT page_id, host, {_label("host", PAGE_DOMAINS)} AS source_label FROM hosts"""
@@ -379,6 +381,12 @@ SELECT conv_id, turn, verdict,
 ORACLES["hashed_embeddings"] = f"""WITH {CLEANED}
 SELECT doc_id, 384::BIGINT AS width, CASE WHEN normalized_text = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS norm FROM cleaned"""
 
+_COUNTS = [f"(1 + length(normalized_text) - length(replace(normalized_text, '{letter}', '')))" for letter in "aei"]
+_LENGTH = "sqrt(" + " + ".join(f"{c} * {c}" for c in _COUNTS) + ")"
+ORACLES["encoded_embeddings"] = f"WITH {CLEANED} SELECT doc_id, " + ", ".join(
+    f"round({c} / {_LENGTH}, 6) AS e{i}" for i, c in enumerate(_COUNTS)
+) + " FROM cleaned"
+
 ORACLES["feature_matrix"] = f"WITH {FEATURES} SELECT doc_id, i - 1 AS position, round(v, 6) AS value FROM cells"
 
 ORACLES["centroid_distances"] = f"""WITH {FEATURES}
@@ -436,13 +444,23 @@ SELECT printf('%.4f', (sum(mean_rank) FILTER (label = 1) - count(*) FILTER (labe
 ORACLES["top_emotion"] = f"WITH {RANKED} SELECT doc_id, emotion, score AS emotion_score FROM ranked WHERE position = 0"
 ORACLES["emotion_ranking"] = f"WITH {RANKED} SELECT doc_id, position AS place, emotion, score FROM ranked"
 
-ORACLES["scorer_cascade"] = """SELECT d.doc_id,
-  round(CASE WHEN l.doc_id IS NOT NULL THEN (n_chars % 101) / 100.0::DOUBLE
-             WHEN e.vec_id IS NOT NULL THEN (n_chars % 103) / 102.0::DOUBLE
-             ELSE (n_chars % 107) / 106.0::DOUBLE END, 6) AS probability,
-  CASE WHEN l.doc_id IS NOT NULL THEN 'xlm_roberta_finetuned' WHEN e.vec_id IS NOT NULL THEN 'reliability_classifier'
-       ELSE 'kmeans' END AS based_on
-FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN embeddings e ON e.vec_id = d.doc_id"""
+CLAIMS = """claims AS (SELECT d.doc_id,
+    CASE WHEN l.doc_id IS NOT NULL THEN (n_chars % 101) / 100.0::DOUBLE
+         WHEN e.vec_id IS NOT NULL THEN (n_chars % 103) / 102.0::DOUBLE
+         ELSE (n_chars % 107) / 106.0::DOUBLE END AS p,
+    CASE WHEN l.doc_id IS NOT NULL THEN 'xlm_roberta_finetuned' WHEN e.vec_id IS NOT NULL THEN 'reliability_classifier'
+         ELSE 'kmeans' END AS based_on
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN embeddings e ON e.vec_id = d.doc_id)"""
+
+ORACLES["scorer_cascade"] = f"WITH {CLAIMS} SELECT doc_id, round(p, 6) AS probability, based_on FROM claims"
+
+ORACLES["answered_claims"] = f"""WITH {CLAIMS}
+SELECT doc_id, round(p, 6) AS probability, based_on, round_even(p * 100, 0)::BIGINT || '% real' AS verdict,
+  CASE WHEN p >= 0.6 THEN 'true' WHEN p >= 0.4 THEN 'very likely true' WHEN p >= 0.2 THEN 'uncertain'
+       WHEN p > 0 THEN 'very likely false' ELSE 'false' END AS label,
+  round_even(p * 100, 0)::BIGINT AS score_pct,
+  CASE WHEN p >= 0.6 THEN 'success' WHEN p >= 0.4 THEN 'warning' ELSE 'danger' END AS band,
+  CASE WHEN p >= 0.4 THEN 'reliable' ELSE 'potentially misleading' END AS tone FROM claims"""
 
 ORACLES["verdict_labels"] = f"""WITH {REQUESTS},
 asked AS (SELECT ts, CASE WHEN status = 200 THEN probability END AS probability,
