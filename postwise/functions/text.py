@@ -106,18 +106,24 @@ def nfkd_ascii(c: Column) -> Column:
 
 
 def collapse_spaces(c: Column) -> Column:
-    """One blank per whitespace run, none at the ends; expects ASCII text."""
-    return F.trim(F.regexp_replace(c, r"[\s\x1c-\x1f]+", " "))
+    """One blank per whitespace run, none at the ends; expects ASCII text.
+
+    A single blank is already right and is not matched.
+    """
+    runs = r"[\t\n\x0b\f\r\x1c-\x1f][\s\x1c-\x1f]*+| [\s\x1c-\x1f]++"
+    return F.trim(F.regexp_replace(c, runs, " "))
 
 
 def clean(c: Column) -> Column:
     """Lowercase, then drop links, mentions, hashtags, emojis and punctuation.
 
-    Mentions, hashtags and emojis share one pass: what follows a dropped
-    mention is never a word character, so the order cannot change the result.
+    All but the links go in one pass: what follows a dropped mention is never a
+    word character, so the order cannot change the result. Single ``@`` and
+    ``#`` are matched alone, because a mention may start right after them.
     """
-    marks = F.regexp_replace(strip_urls(F.lower(c)), rf"[@#][{WORD}]+|[{EMOJI}]+", "")
-    return strip_punctuation(marks)
+    others = "".join(rf"\x{ord(p):02x}" for p in string.punctuation if p not in "@#")
+    marks = rf"[@#][{WORD}]++|[{others}]++|[@#]|[{EMOJI}]++"
+    return F.regexp_replace(strip_urls(F.lower(c)), marks, "")
 
 
 def normalize(c: Column) -> Column:

@@ -14,6 +14,7 @@ from postwise.constants import EMOTIONS
 from postwise.functions.handles import source_label, unique_id
 from postwise.functions.scoring import real_fake
 from postwise.functions.text import clean_text, normalize_text
+from postwise.operators.features import align_embeddings
 from postwise.sources.tables import spread_small
 
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
@@ -90,7 +91,11 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize_text(clean_text(posts(spark, sf_dir))).drop("text", "clean_text")
+    return _cleaned(posts(spark, sf_dir))
+
+
+def _cleaned(raw: DataFrame) -> DataFrame:
+    return normalize_text(clean_text(raw)).drop("text", "clean_text")
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,13 +188,12 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned posts that have a given vector, with ``features``."""
-    from postwise.operators.features import align_embeddings
-
+    """Cleaned posts that have a given vector, with ``features``; other posts are not cleaned."""
     vectors = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("doc_id"), "embedding", F.col("label").alias("vector_label")
     )
-    return align_embeddings(cleaned(spark, sf_dir), vectors, "doc_id")
+    with_vector = posts(spark, sf_dir).join(vectors.select("doc_id"), "doc_id", "left_semi")
+    return align_embeddings(_cleaned(with_vector), vectors, "doc_id")
 
 
 def stand_in_emotion_model():
