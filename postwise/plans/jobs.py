@@ -32,16 +32,15 @@ def ingest_stage(spark: SparkSession, landing: str, posts_path: str) -> None:
 
 
 def cleaned_rows(posts: DataFrame) -> DataFrame:
-    """Clean rows of raw posts, one per key."""
-    ready = normalize_text(clean_text(first_rows(posts, "unique_id", ["created_at", "text"])))
-    return ingest.with_defaults(ready).select(*CLEANED_COLUMNS)
+    """Cleaned table rows of raw posts."""
+    return ingest.with_defaults(normalize_text(clean_text(posts))).select(*CLEANED_COLUMNS)
 
 
 def clean_stage(spark: SparkSession, posts_path: str, cleaned_path: str) -> None:
     """Raw posts not cleaned yet to the cleaned table."""
     posts = read_table(spark, posts_path, schemas.POSTS)
     pending = incremental.posts_to_clean(posts, read_table(spark, cleaned_path, schemas.CLEANED))
-    append(cleaned_rows(pending), cleaned_path)
+    append(cleaned_rows(first_rows(pending, "unique_id", ["created_at", "text"])), cleaned_path)
 
 
 Encoder = Callable[[DataFrame], DataFrame]

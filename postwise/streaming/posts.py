@@ -74,7 +74,8 @@ def store_cleaned_posts(cleaned_path: str) -> Callable[[DataFrame, int], None]:
 
     def handle(batch: DataFrame, _: int) -> None:
         known = read_table(batch.sparkSession, cleaned_path, schemas.CLEANED)
-        append(unseen_batch(cleaned_rows(batch), known), cleaned_path)
+        unique = first_rows(batch, "unique_id", ["created_at", "text"])
+        append(cleaned_rows(unseen_batch(unique, known)), cleaned_path)
 
     return handle
 

@@ -8,7 +8,7 @@ from postwise import schemas
 from postwise.functions import handles
 from postwise.operators import dedup, incremental, ingest
 from postwise.plans import given, jobs
-from postwise.sources import tables
+from postwise.sources import parameters, tables
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -101,3 +101,20 @@ def test_stages_add_nothing_when_rerun(spark, tmp_path):
     assert set(schemas.CLASSIFIED.names) == set(classified.columns)
     summary = jobs.reliability_stage(spark, path["cleaned"], path["reliability"], folds=2).first()
     assert 0.0 <= summary["mean_auc"] <= 1.0
+
+
+def test_parameter_tables(spark):
+    assert parameters.reliable_domains(spark).count() == 39
+    assert parameters.reliable_accounts(spark).count() == 10
+    themes = parameters.keyword_themes(spark).orderBy("theme_rank", "keyword_rank").collect()
+    assert len(themes) == 20 and (themes[0]["category"], themes[0]["keyword"]) == ("Discover", "news")
+    bounds = {r["name"]: r["value"] for r in parameters.thresholds(spark).collect()}
+    assert bounds["likely"] == 0.6 and bounds["error_rate_second"] == 5.0
+
+
+def test_labels_from_a_table_equal_labels_from_the_list(spark):
+    rows = [("reuters.com",), ("x.reuters.com",), ("fakereuters.com",), (None,), ("x.reuters.com",)]
+    posts = spark.createDataFrame(rows, "username string")
+    listed = posts.withColumn("source_label", handles.source_label(F.col("username")))
+    labelled = ingest.label_sources(posts, parameters.reliable_domains(spark)).select("username", "source_label")
+    assert sorted(map(str, labelled.collect())) == sorted(map(str, listed.collect()))
