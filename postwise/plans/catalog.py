@@ -260,7 +260,7 @@ def emotion_percent(spark, sf):
 
 
 def _scored_emotions(spark, sf):
-    return emotion.emotion_scores(given.cleaned(spark, sf), given.stand_in_emotion_model)
+    return emotion.emotion_scores(given.cleaned(spark, sf), given.stand_in_emotion_model())
 
 
 @query
@@ -452,7 +452,7 @@ def hashed_embeddings(spark, sf):
 
 @query
 def encoded_embeddings(spark, sf):
-    encoded = features.encode(given.cleaned(spark, sf), given.stand_in_encoder)
+    encoded = features.encode(given.cleaned(spark, sf), given.stand_in_encoder())
     return encoded.select("doc_id", *[six(F.col("embedding")[i]).alias(f"e{i}") for i in range(3)])
 
 

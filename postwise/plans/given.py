@@ -196,21 +196,24 @@ def feature_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_embeddings(_cleaned(with_vector), vectors, "doc_id")
 
 
-def stand_in_emotion_model():
-    """Scores by letter frequency over the whole text; a stand-in, not a model."""
-    letters = "aeiouns"
+def _letter_counter(letters: str, shares: bool):
+    """Model loader that counts letters of whole texts; travels to the workers by value."""
 
-    def predict(texts: np.ndarray) -> np.ndarray:
-        counts = np.array([[1 + text.count(letter) for letter in letters] for text in texts], dtype=np.float64)
-        return counts / counts.sum(axis=1, keepdims=True)
+    def load():
+        def predict(texts: np.ndarray) -> np.ndarray:
+            counts = np.array([[1 + text.count(letter) for letter in letters] for text in texts], dtype=np.float64)
+            return counts / counts.sum(axis=1, keepdims=True) if shares else counts
 
-    return predict
+        return predict
 
+    return load
 
-def stand_in_encoder():
-    """Letter counts of the whole text as a vector; a stand-in, not a model."""
 
-    def predict(texts: np.ndarray) -> np.ndarray:
-        return np.array([[1 + text.count(letter) for letter in "aei"] for text in texts], dtype=np.float64)
+def stand_in_emotion_model():
+    """Loader of emotion scores by letter frequency; a stand-in, not a model."""
+    return _letter_counter("aeiouns", shares=True)
 
-    return predict
+
+def stand_in_encoder():
+    """Loader of three-letter count vectors; a stand-in, not a model."""
+    return _letter_counter("aei", shares=False)

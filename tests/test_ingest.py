@@ -89,7 +89,7 @@ def test_stages_add_nothing_when_rerun(spark, tmp_path):
     tables.append(feed, path["posts"])
 
     def run():
-        jobs.run_stages(spark, path["landing"], str(tmp_path), given.stand_in_emotion_model)
+        jobs.run_stages(spark, path["landing"], str(tmp_path), given.stand_in_emotion_model())
         return [spark.read.parquet(path[n]).count() for n in ("posts", "cleaned", "classified", "emotions")]
 
     first, again = run(), run()
