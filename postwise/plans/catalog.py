@@ -7,6 +7,7 @@ that results of different engines can be compared by value.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -898,6 +899,18 @@ def memory_and_disk(spark, sf):
 # Streams
 
 
+@contextmanager
+def _state_partitions(spark):
+    """No more state partitions than cores while a stream runs; they are fixed when it starts."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _event_stream(spark, sf):
     schema = given.table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
@@ -913,7 +926,8 @@ def streamed_posts(spark, sf):
     labelled = arrived.withColumn("category", F.lit("Discover")).withColumn(
         "source_label", handles.source_label(F.col("username"))
     )
-    post_streams.stream_posts(labelled, stored, scratch_path(spark, "checkpoint"))
+    with _state_partitions(spark):
+        post_streams.stream_posts(labelled, stored, scratch_path(spark, "checkpoint"))
     return spark.read.parquet(stored).select("unique_id", "username", "category", "source_label")
 
 
@@ -922,14 +936,16 @@ def streamed_cleaning(spark, sf):
     raw, stored = scratch_path(spark, "raw"), scratch_path(spark, "cleaned")
     given.posts(spark, sf).select("text", "username", "created_at", "unique_id", "category", "source_label").write.parquet(raw)
     stream = spark.readStream.schema(schemas.POSTS).parquet(raw)
-    post_streams.stream_cleaning(stream, stored, scratch_path(spark, "checkpoint"))
+    with _state_partitions(spark):
+        post_streams.stream_cleaning(stream, stored, scratch_path(spark, "checkpoint"))
     cleaned = spark.read.parquet(stored)
     return cleaned.select("unique_id", "normalized_text", six(F.col("style_features")[0]).alias("caps_ratio"))
 
 
 def _stream_to_table(spark, windows):
     path = scratch_path(spark, "windows")
-    window_streams.stream_windows(windows, path, scratch_path(spark, "checkpoint"))
+    with _state_partitions(spark):
+        window_streams.stream_windows(windows, path, scratch_path(spark, "checkpoint"))
     stored = tables.read_latest(spark, path, windows.schema)
     return stored.withColumn("window_start", clock("window_start"))
 
