@@ -30,7 +30,9 @@ from pyspark.sql import types as T
 from postwise.llm.common import attach, table, worker_cache
 
 # Distinct words, with their marks, that a worker keeps with their ids before it starts anew.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
+# Arcs looked up so far that a worker keeps.
+TABLE_ARCS = 1_000_000
 NEVER = 1 << 62
 CONTROLS = re.compile("[\x1c-\x1f]")
 
@@ -52,7 +54,7 @@ class Automaton:
         self.parts: dict[int, tuple[int, int, int]] = {}
         for time, (a, b) in enumerate(merges):
             self._gadget(time, a, b)
-        self.table: dict[tuple[int, int], bool] = {}
+        self.table: dict[int, bool] = {}
 
     def _gadget(self, time: int, a: str, b: str) -> None:
         left, right, both = self.ids[a], self.ids[b], self.ids[a + b]
@@ -83,10 +85,10 @@ class Automaton:
             token, _, needed = self.parts[token]
 
     def arc(self, state: int, token: int) -> bool:
-        key = (state, token)
+        key = state << 32 | token
         found = self.table.get(key)
         if found is None:
-            if len(self.table) > 4_000_000:
+            if len(self.table) >= TABLE_ARCS:
                 self.table.clear()
             found = self.table[key] = self._allowed(state, token)
         return found

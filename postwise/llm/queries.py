@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postwise.llm import bpe, sharding
+from postwise.llm import bpe, licenses, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": bpe.query,
+    "op6_licenses": licenses.query,
     "op10_sharding": sharding.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_licenses": licenses.oracle_sql(),
+}
