@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postwise.llm import bpe, licenses, sharding
+from postwise.llm import bpe, licenses, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": bpe.query,
     "op6_licenses": licenses.query,
+    "op9_toxicity": toxicity.query,
     "op10_sharding": sharding.query,
 }
 
