@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postwise.llm import bpe, licenses, quality_rules, sharding, toxicity
+from postwise.llm import bpe, licenses, quality_rules, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": bpe.query,
     "op6_licenses": licenses.query,
     "op7_quality_rules": quality_rules.query,
+    "op8_simhash": simhash.query,
     "op9_toxicity": toxicity.query,
     "op10_sharding": sharding.query,
 }
