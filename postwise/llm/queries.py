@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postwise.llm import bpe, decontamination, licenses, quality_rules, sharding, simhash, toxicity
+from postwise.llm import bpe, decontamination, licenses, quality_rules, sharding, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.query,
     "op4_bpe": bpe.query,
+    "op5_warc": warc.query,
     "op6_licenses": licenses.query,
     "op7_quality_rules": quality_rules.query,
     "op8_simhash": simhash.query,
