@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postwise.llm import bpe, decontamination, licenses, quality_rules, quality_votes, sharding, simhash, toxicity, warc
+from postwise.llm import bpe, decontamination, licenses, mixing, quality_rules, quality_votes, sharding, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.query,
+    "op2_mixing": mixing.query,
     "op3_quality_votes": quality_votes.query,
     "op4_bpe": bpe.query,
     "op5_warc": warc.query,
