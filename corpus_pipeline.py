@@ -3,12 +3,54 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from postwise.llm import bpe, decontamination, quality_rules, simhash, toxicity
 from postwise.llm.common import stored, table
 
-STAGES: list = []
 
-# The stages have no common SQL statement; tests/llm compares them with brute-force versions.
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not call toxic; it learns from the labelled rows not held out."""
+    return toxicity.remove_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the thresholds of their language and source."""
+    return quality_rules.remove_failing(docs)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by fingerprints of three-word shingles within three bits."""
+    return simhash.keep_one(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage near a benchmark item."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, packed ids, and the SHA-256 of the ids and of the decoded text."""
+    path, kept = bpe.default_tokenizer(), ["doc_id", "lang", "source"]
+    coded = bpe.decode(bpe.encode(docs, path, keep=kept), path, keep=[*kept, "n_tokens", "ids"])
+    return coded.select(
+        *kept,
+        "n_tokens",
+        "ids",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("quality rules", quality_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("tokens", token_stage),
+]
+
+# Classifier, fingerprints and tokens have no SQL statement; tests/llm compares the stages with plain versions.
 ORACLE_SQL = None
 
 

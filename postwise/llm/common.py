@@ -44,6 +44,16 @@ def whole_text(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def boxed(df: DataFrame, **columns: str) -> DataFrame:
+    """Every row as one struct ``row``, beside copies of some columns under names of the caller's.
+
+    Work on the copies cannot meet a column of the input, whatever its name;
+    ``select("row.*")`` gives the rows back.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    return df.select(row, *[F.col(f"`{c}`").alias(name) for name, c in columns.items()])
+
+
 def worker_cache() -> dict:
     """Objects that live as long as the Python worker, such as compiled tables."""
     return sys.__dict__.setdefault("_postwise_llm_cache", {})

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postwise.llm.common import attach, table
+from postwise.llm.common import attach, boxed, table
 from postwise.llm.licenses import WORD_BYTES
 
 SIMILARITY = 0.8
@@ -297,8 +297,7 @@ def decontaminate(
 ) -> DataFrame:
     """The rows of ``docs`` in which no item leaks, with their columns unchanged."""
     for block in blocks(items, item_id, item_text):
-        boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("body"))
-        marked = mark(boxed, block, "body", SIMILARITY, ["row"])
+        marked = mark(boxed(docs, body=text), block, "body", SIMILARITY, ["row"])
         docs = marked.filter(F.size("leak_items") == 0).select("row.*")
     return docs
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postwise.llm.common import attach, stored, table
+from postwise.llm.common import attach, boxed, stored, table
 
 # Rates in per mille with the tolerance: a rate within it of the median is never an outlier.
 RATES = {
@@ -164,16 +164,14 @@ def limits(sketch: DataFrame, groups: list[str], suffix: str) -> DataFrame:
     return rows.groupBy(*groups).agg(F.max("_rows").alias(f"_rows_{suffix}"), *found)
 
 
-def judge(df: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """Measured rows with ``base_failed`` and ``kept``.
+def judge(df: DataFrame, counted: DataFrame) -> DataFrame:
+    """Measured rows with ``base_failed`` and ``kept``; the sketches are those of ``counted``.
 
-    Null languages and sources are groups of their own. Every row of ``df`` gets one row back.
-    ``df`` is read twice, so it should be a stored table.
+    Both have ``_lang`` and ``_source`` beside the counts. Null languages and sources are groups of
+    their own. Every row of ``df`` gets one row back.
     """
-    # Escaped names cannot meet columns of the input.
-    key = {"_lang": F.col(f"`{lang}`"), "_source": F.col(f"`{source}`")}
-    rated = df.withColumns({**key, **rates()})
-    by_source = stored(sketches(rated, ["_lang", "_source"]), "sketches")
+    rated = df.withColumns(rates())
+    by_source = stored(sketches(counted.withColumns(rates()), ["_lang", "_source"]), "sketches")
     by_lang = merged(by_source, ["_lang"])
     whole = merged(by_lang, [])
     out = rated
@@ -205,10 +203,25 @@ def judge(df: DataFrame, lang: str = "lang", source: str = "source") -> DataFram
     return out.select(*df.columns, failed.alias("base_failed"), (~failed & normal).alias("kept"))
 
 
+def _measured(docs: DataFrame, keep: list[str]) -> DataFrame:
+    kept = boxed(docs, body="text", _lang="lang", _source="source")
+    names = ["row"] if keep == ["*"] else []
+    ids = [F.col(f"row.`{c}`").alias(c) for c in keep if c != "*"]
+    return measure(kept.select(*names, *ids, "body", "_lang", "_source"), "body", [*names, *[c for c in keep if c != "*"], "_lang", "_source"])
+
+
 def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """doc_id, counts and verdicts of documents; only the counts are stored, not the texts."""
-    counted = measure(docs.select(*dict.fromkeys([*keep, "lang", "source", "text"])), keep=[*keep, "lang", "source"])
-    return judge(stored(counted, "measured"))
+    """Some columns, counts and verdicts of documents; only these are stored, not the texts."""
+    counted = stored(_measured(docs, keep), "measured")
+    return judge(counted, counted).drop("_lang", "_source")
+
+
+def remove_failing(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their columns unchanged.
+
+    The counts are taken twice, so that neither texts nor row numbers have to be stored.
+    """
+    return judge(_measured(docs, ["*"]), _measured(docs, [])).filter("kept").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postwise.llm.common import attach, stored, table
+from postwise.llm.common import attach, boxed, stored, table
 
 SHINGLE = 3
 MOST_BITS = 3
@@ -243,14 +243,41 @@ def near_duplicates(
     """
     slim = df.select(F.col(f"`{id_column}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
     rows = stored(fingerprints(slim, size, "_text", keep=["_id"]), "fingerprints")
-    points = stored(rows.groupBy("fp").agg(F.min("_id").alias("least")), "points")
-    roots = components(links(points.select("fp"), most))
-    named = points.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = _rooted(rows, most)
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))
     answer = named.join(smallest, "root").select("fp", "component")
     return rows.join(answer, "fp").select(F.col("_id").alias(id_column), "fp", "component")
 
 
+def _rooted(rows: DataFrame, most: int) -> DataFrame:
+    """``fp``, its smallest id ``least`` and the ``root`` of its component."""
+    points = stored(rows.groupBy("fp").agg(F.min("_id").alias("least")), "points")
+    roots = components(links(points.select("fp"), most))
+    return points.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def keep_one(
+    df: DataFrame, size: int = SHINGLE, most: int = MOST_BITS, id_column: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """One row of each component of near-duplicates, with its columns unchanged.
+
+    The row with the smallest id stays, a null id last; among rows with one id the smaller fingerprint
+    and then the smaller hash of the whole row decide, and of equal rows one stays.
+    """
+    mark = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    slim = df.select(F.col(f"`{id_column}`").alias("_id"), mark.alias("_mark"), F.col(f"`{text}`").alias("_text"))
+    rows = stored(fingerprints(slim, size, "_text", keep=["_id", "_mark"]), "fingerprints")
+    copies = rows.groupBy("_id", "fp", "_mark").agg(F.count("*").alias("n"))
+    ranked = F.struct(F.col("_id").isNull().alias("none"), "_id", "fp", "_mark", "n")
+    chosen = copies.join(_rooted(rows, most).select("fp", "root"), "fp").groupBy("root").agg(F.min(ranked).alias("r"))
+    chosen = stored(chosen.select("root", F.col("r._id").alias("_id"), F.col("r._mark").alias("_mark"), "r.n"), "chosen")
+    wide = boxed(df, _own=id_column).withColumn("_mark", F.xxhash64("row.*"))
+    same = [wide["_mark"] == chosen["_mark"], wide["_own"].eqNullSafe(chosen["_id"])]
+    kept = wide.join(chosen, same, "inner").select("row", "root", "n")
+    repeated = kept.filter("n > 1").groupBy("root").agg(F.first("row").alias("row"))
+    return kept.filter("n = 1").select("row.*").unionByName(repeated.select("row.*"))
+
+
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 

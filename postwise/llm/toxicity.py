@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postwise.llm.common import attach, remainder, table, text_bytes
+from postwise.llm.common import attach, boxed, remainder, table, text_bytes
 
 SLOTS = 1 << 20
 ORDERS = (3, 4, 5)
@@ -197,6 +197,12 @@ def train_on_labels(docs: DataFrame, labels: DataFrame) -> Model:
     return train(docs, labels, "doc_id", "text", "toxic", remainder("doc_id", 3) != 1)
 
 
+def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with their columns unchanged."""
+    scored = classify(boxed(docs, body="text"), train_on_labels(docs, labels), "body", keep=["row"])
+    return scored.filter("predicted = 0").select("row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: every document scored for toxicity; learned from rows that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
