@@ -76,10 +76,8 @@ KEYWORD_BLACKLIST = [
     "qui", "sur", "pas", "plus", "ne", "au", "aux",
 ]
 
-# Shortest keyword, posts per keyword search and per account feed.
+# Shortest keyword.
 MIN_KEYWORD_LENGTH = 3
-POSTS_PER_KEYWORD = 25
-POSTS_PER_ACCOUNT = 20
 
 # Report order of the categories.
 CATEGORY_PRIORITY = ["Reliable", "Misinformation", "Hot Topics", "Discover", "Trending"]

@@ -15,21 +15,31 @@ def share_score(to_fake: Column, to_real: Column) -> Column:
 
 
 def margin_score(closer: Column, farther: Column, is_fake: Column) -> Column:
-    """Interactive score: the relative margin between two distances through a sigmoid."""
+    """Interactive score, unrounded: the relative margin between two distances through a sigmoid."""
     margin = (farther - closer) / (closer + EPSILON)
     confidence = 1.0 / (1.0 + F.exp(-margin * MARGIN_GAIN))
-    return round_exact(F.when(is_fake, 1.0 - confidence).otherwise(confidence), 4)
+    return F.when(is_fake, 1.0 - confidence).otherwise(confidence)
 
 
-def softmax_real(logits: Column) -> Column:
-    """Probability of class 1 from two logits, four decimals."""
+def probability_of(score: Column) -> Column:
+    """The probability that is shown and banded: four decimals of a score."""
+    return round_exact(score, 4)
+
+
+def softmax_score(logits: Column) -> Column:
+    """Probability of class 1 from two logits, unrounded."""
     top = F.greatest(logits[0], logits[1])
     fake, real = F.exp(logits[0] - top), F.exp(logits[1] - top)
-    return round_exact(real / (fake + real), 4)
+    return real / (fake + real)
+
+
+def softmax_real(logits: Column) -> Column:
+    """Probability of class 1 from two logits, four decimals."""
+    return probability_of(softmax_score(logits))
 
 
 def cascade(finetuned: Column, reliability: Column, kmeans: Column) -> tuple[Column, Column]:
-    """First available probability and the scorer it came from."""
+    """First available score and the scorer it came from."""
     probability = F.coalesce(finetuned, reliability, kmeans)
     based_on = (
         F.when(finetuned.isNotNull(), "xlm_roberta_finetuned")
@@ -54,8 +64,9 @@ def score_percent(p: Column) -> Column:
     return percent(p)
 
 
-def verdict_text(p: Column) -> Column:
-    return F.concat(percent(p).cast("string"), F.lit("% real"))
+def verdict_text(score: Column) -> Column:
+    """Text of an unrounded score; its percent is rounded once."""
+    return F.concat(percent(score).cast("string"), F.lit("% real"))
 
 
 def probability_band(p: Column) -> Column:
@@ -81,17 +92,19 @@ def answer_claims(
     reliability: str = "reliability",
     kmeans: str = "kmeans",
 ) -> DataFrame:
-    """Answer any number of claims from the probabilities of the available scorers.
+    """Answer any number of claims from the unrounded scores of the available scorers.
 
-    Adds ``probability``, ``based_on``, ``verdict``, ``label``, ``score_pct``,
-    ``band`` and ``tone``; a missing scorer is a null column.
+    Adds ``score``, ``probability`` (its four decimals), ``based_on``, ``verdict``, ``label``, ``score_pct``,
+    ``band`` and ``tone``; a missing scorer is a null column. The verdict text comes from the score, all
+    else from the probability.
     """
-    probability, based_on = cascade(F.col(finetuned), F.col(reliability), F.col(kmeans))
-    scored = claims.withColumn("probability", probability).withColumn("based_on", based_on)
+    score, based_on = cascade(F.col(finetuned), F.col(reliability), F.col(kmeans))
+    scored = claims.withColumn("score", score).withColumn("based_on", based_on)
+    scored = scored.withColumn("probability", probability_of(F.col("score")))
     p = F.col("probability")
     return scored.select(
         "*",
-        verdict_text(p).alias("verdict"),
+        verdict_text(F.col("score")).alias("verdict"),
         verdict_label(p).alias("label"),
         score_percent(p).alias("score_pct"),
         probability_band(p).alias("band"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -13,27 +12,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postwise.constants import CLUSTERS, SEED
-from postwise.functions.scoring import margin_score, share_score
-from postwise.functions.rounding import percent
+from postwise.functions.scoring import margin_score, probability_of, share_score, verdict_text
+from postwise.session import stored
 
-# Rows per partition of a fit (389 doubles are about 3 KB a row), and the fewest partitions.
-FIT_PARTITION_ROWS = 50_000
-MIN_FIT_PARTITIONS = 8
+# Partitions of a fit by key unless the caller names another number.
+FIT_PARTITIONS = 64
 
 
 def fit_clusters(
-    features: DataFrame, k: int = CLUSTERS, seed: int = SEED, key: str | None = None
+    features: DataFrame, k: int = CLUSTERS, seed: int = SEED, key: str | None = None, partitions: int = FIT_PARTITIONS
 ) -> KMeansModel:
     """Fit KMeans on the array column ``features``.
 
-    With ``key`` the rows are placed by its hash and sorted inside their
-    partitions first, so the model does not depend on how the input was laid
-    out; the number of partitions follows the number of rows. The vectors are
-    kept (memory, then disk) for the iterations.
+    With ``key`` the rows are placed by its hash in ``partitions`` and sorted inside
+    them first, so the model does not depend on how the input was laid
+    out. 389 doubles are about 3 KB a row: 64 partitions suit some ten million
+    rows. The vectors are kept (memory, then disk) for the iterations.
     """
     rows = features
     if key:
-        partitions = max(MIN_FIT_PARTITIONS, math.ceil(features.count() / FIT_PARTITION_ROWS))
         rows = rows.repartition(partitions, key).sortWithinPartitions(key)
     vectors = rows.select(array_to_vector("features").alias("vector")).persist()
     try:
@@ -114,7 +111,9 @@ def score_posts(clustered: DataFrame, fake_cluster: int | Column) -> DataFrame:
 def score_claims(
     clustered: DataFrame, fake_cluster: int | Column, own_center: bool = False
 ) -> DataFrame:
-    """Interactive score of any number of claims: ``probability``, ``verdict``, ``based_on``.
+    """Interactive score of any number of claims: ``score``, ``probability``, ``verdict``, ``based_on``.
+
+    The verdict text is made from the unrounded score.
 
     As in the service this replaces, a fake claim counts as close to centre 0
     and a real one to centre 1, whichever cluster is the fake one; with fake
@@ -125,13 +124,16 @@ def score_claims(
     is_fake = F.col("cluster") == fake
     near = F.col("cluster") if own_center else F.when(is_fake, 0).otherwise(1)
     score = margin_score(F.get("distances", near), F.get("distances", 1 - near), is_fake)
-    scored = clustered.withColumn("probability", score)
-    verdict = F.concat(percent(F.col("probability")).cast("string"), F.lit("% real"))
-    return scored.withColumn("verdict", verdict).withColumn("based_on", F.lit("kmeans"))
+    scored = clustered.withColumn("score", score)
+    return (
+        scored.withColumn("probability", probability_of(F.col("score")))
+        .withColumn("verdict", verdict_text(F.col("score")))
+        .withColumn("based_on", F.lit("kmeans"))
+    )
 
 
 def classify_posts(features: DataFrame, centers: Sequence[Sequence[float]]) -> DataFrame:
-    """Nearest centre, orientation and score in one frame."""
-    clustered = assign_clusters(features, centers)
-    fake = orient(clustered, len(centers)).select("fake_cluster").scalar()
+    """Nearest centre, orientation and score in one frame; the distances are measured once and stored."""
+    clustered = stored(assign_clusters(features, centers).drop("features"), "clustered")
+    fake = orient(clustered, len(centers)).first()["fake_cluster"]
     return score_posts(clustered, fake)

@@ -82,8 +82,8 @@ def energy_breakdown(by_node: DataFrame) -> DataFrame:
 
 
 def recent_runs(energy: DataFrame, shown: int = RECENT_RUNS) -> DataFrame:
-    """Newest rows as display text."""
-    newest = energy.orderBy(F.desc("timestamp")).limit(shown)
+    """Newest rows as display text; rows of one instant in the order of run and node."""
+    newest = energy.orderBy(F.desc("timestamp"), "run_id", "node_name").limit(shown)
     return newest.select(
         F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("time"),
         F.col("pipeline_name").alias("pipeline"),

@@ -60,11 +60,26 @@ def feature_array(embedding: Column, style: Column) -> Column:
     return F.concat(embedding.cast("array<double>"), F.coalesce(style, zeros))
 
 
-def align_embeddings(posts: DataFrame, embeddings: DataFrame, key: str = "unique_id") -> DataFrame:
-    """Posts with their embedding, matched by key and never by position."""
-    return posts.join(embeddings, key).withColumn(
-        "features", feature_array(F.col("embedding"), F.col("style_features"))
-    )
+def align_embeddings(
+    posts: DataFrame,
+    embeddings: DataFrame,
+    key: str = "unique_id",
+    encoder: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """All posts with their embedding, matched by key and never by position.
+
+    Posts without a stored vector are encoded by ``encoder``, which adds ``embedding``; without one the
+    first such post stops the job.
+    """
+    row = feature_array(F.col("embedding"), F.col("style_features"))
+    if encoder is None:
+        joined = posts.join(embeddings, key, "left")
+        missing = F.raise_error(F.concat(F.lit("no embedding for "), F.col(key).cast("string")))
+        return joined.withColumn("features", F.when(F.col("embedding").isNotNull(), row).otherwise(missing))
+    vectors = embeddings.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    found = posts.join(vectors, key)
+    rest = encoder(posts.join(vectors.select(key), key, "left_anti"))
+    return found.unionByName(rest, allowMissingColumns=True).withColumn("features", row)
 
 
 def labelled_posts(cleaned: DataFrame, drop_conflicts: bool = False) -> DataFrame:

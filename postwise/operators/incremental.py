@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postwise.session import broadcast_if_small, stored
+from postwise.session import stored
 
 
 def distinct_keys(df: DataFrame, key: str = "unique_id") -> DataFrame:
@@ -17,24 +17,23 @@ def unseen(candidates: DataFrame, stored_rows: DataFrame, key: str = "unique_id"
 
     Only the two key columns are compared in full, both made distinct first
     (partial aggregation), so a key with many copies costs one row per task.
-    The pending keys are written down and counted: few of them pick the wide
-    rows by broadcast, and texts already handled are never shuffled. Many of
-    them are joined by shuffle, where adaptive execution splits hot keys.
+    The pending keys are written down, so the planner knows their bytes: below the broadcast
+    threshold they pick the wide rows without a shuffle, above it they are joined by shuffle, where
+    adaptive execution splits hot keys.
     """
     pending = distinct_keys(candidates, key).join(distinct_keys(stored_rows, key), key, "left_anti")
-    return candidates.join(broadcast_if_small(stored(pending, "pending")), key, "left_semi")
+    return candidates.join(stored(pending, "pending"), key, "left_semi")
 
 
 def unseen_batch(batch: DataFrame, stored_rows: DataFrame, key: str = "unique_id") -> DataFrame:
     """As ``unseen`` for a batch with one row per key that is small beside ``stored_rows``.
 
-    The batch is written down and counted; the stored keys are cut down to
-    those of the batch in one scan, without a shuffle when the batch is small.
+    The batch is written down; the stored keys are cut down to those of the batch in one scan,
+    without a shuffle when its keys are below the broadcast threshold.
     """
     batch = stored(batch, "batch")
-    keys = broadcast_if_small(batch.select(key))
-    known = stored(stored_rows.select(key).join(keys, key, "left_semi").distinct(), "known")
-    return batch.join(broadcast_if_small(known), key, "left_anti")
+    known = stored(stored_rows.select(key).join(batch.select(key), key, "left_semi").distinct(), "known")
+    return batch.join(known, key, "left_anti")
 
 
 def scorable(cleaned: DataFrame) -> DataFrame:

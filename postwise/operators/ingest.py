@@ -1,25 +1,27 @@
-"""Landed payloads to unique, labelled raw posts."""
+"""Landed payloads to unique, labelled raw posts.
+
+A payload says how it was delivered where that is known: by an account's feed or by the search for a
+word. Its category follows from that. Payloads without a known delivery are matched by
+their author and by whole words of their text. All landed posts are kept.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postwise.constants import (
-    POSTS_PER_ACCOUNT,
-    POSTS_PER_KEYWORD,
-    RELIABLE_ACCOUNTS,
-    RELIABLE_DOMAINS,
-    THEMES,
-)
+from postwise.constants import RELIABLE_ACCOUNTS, RELIABLE_DOMAINS, THEMES
 from postwise.functions.handles import source_label, suffixes, unique_id
+from postwise.functions.text import WORD
 from postwise.operators.dedup import first_rows
 from postwise.operators.incremental import unseen_batch
-from postwise.session import broadcast_if_small, stored
+from postwise.session import stored
 
 POST_COLUMNS = ["username", "text", "created_at", "category", "source_label"]
+SEARCH_ORDER = ["theme_rank", "keyword_rank"]
 
 
 def complete(df: DataFrame) -> DataFrame:
@@ -27,69 +29,71 @@ def complete(df: DataFrame) -> DataFrame:
     return df.filter((F.length("text") > 0) & (F.length(F.col("created_at").cast("string")) > 0))
 
 
-def keyword_hits(
-    payloads: DataFrame,
-    themes: dict[str, list[str]] = THEMES,
-    limit: int = POSTS_PER_KEYWORD,
-    lang: str = "en",
-) -> DataFrame:
-    """Newest posts per keyword, one row per (keyword, post).
+def has_word(text: Column, word: str) -> Column:
+    """Whether the lower-case text holds the word with no letter, digit or underscore beside it."""
+    return text.rlike(f"(?<![{WORD}]){re.escape(word.lower())}(?![{WORD}])")
+
+
+def _search_hits(themes: dict[str, list[str]], lang: str) -> Column:
+    """Array of (theme_rank, keyword_rank, category, keyword) of the searches that found a payload."""
+    words = [w.lower() for listed in themes.values() for w in listed]
+    term, text = F.lower("term"), F.lower("text")
+    delivered = (F.coalesce(F.col("feed"), F.lit("")) == "search") & F.coalesce(term.isin(*words), F.lit(False))
+    unknown = ~delivered & (F.coalesce(F.col("feed"), F.lit("")) != "account") & (F.col("lang") == lang)
+    entries = []
+    for theme_rank, (category, listed) in enumerate(themes.items()):
+        for keyword_rank, word in enumerate(listed):
+            entry = F.struct(
+                F.lit(theme_rank).alias("theme_rank"),
+                F.lit(keyword_rank).alias("keyword_rank"),
+                F.lit(category).alias("category"),
+                F.lit(word.lower()).alias("keyword"),
+            )
+            found = F.when(delivered, term == word.lower()).when(unknown, has_word(text, word))
+            entries.append(F.when(found, entry))
+    return F.array_compact(F.array(*entries))
 
-    The keywords are a fixed short list held as a literal; matching filters it
+
+def _from_account(accounts: Sequence[str]) -> Column:
+    feed = F.coalesce(F.col("feed"), F.lit(""))
+    return (feed == "account") | ((feed == "") & F.coalesce(F.col("username").isin(*accounts), F.lit(False)))
+
+
+def keyword_hits(payloads: DataFrame, themes: dict[str, list[str]] = THEMES, lang: str = "en") -> DataFrame:
+    """One row per (keyword, post): the search that delivered the post, or the words of its text.
+
+    The keywords are a fixed short list held as literals; matching filters them
     per row instead of joining, so only actual hits leave the scan.
     """
-    entries = [
-        F.struct(
-            F.lit(theme_rank).alias("theme_rank"),
-            F.lit(keyword_rank).alias("keyword_rank"),
-            F.lit(category).alias("category"),
-            F.lit(keyword.lower()).alias("keyword"),
-        )
-        for theme_rank, (category, keywords) in enumerate(themes.items())
-        for keyword_rank, keyword in enumerate(keywords)
-    ]
-    lowered = payloads.filter(F.col("lang") == lang).withColumn("_lower", F.lower("text"))
-    matches = F.filter(F.array(*entries), lambda e: F.contains(F.col("_lower"), e["keyword"]))
-    hits = lowered.select("*", F.explode(matches).alias("_hit")).select(
-        *payloads.columns, "_hit.theme_rank", "_hit.keyword_rank", "_hit.category", "_hit.keyword"
-    )
-    newest = Window.partitionBy("theme_rank", "keyword_rank").orderBy(F.desc("created_at"), "uri")
-    return hits.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= limit).drop("_rank")
+    hits = payloads.select("*", F.explode(_search_hits(themes, lang)).alias("_hit"))
+    return hits.select(*payloads.columns, "_hit.*")
+
+
+def _labelled(rows: DataFrame, domains: Sequence[str]) -> DataFrame:
+    keyed = complete(rows).withColumn("unique_id", unique_id(F.col("username"), F.col("created_at")))
+    return keyed.withColumn("source_label", source_label(F.col("username"), domains))
 
 
 def keyword_posts(
     payloads: DataFrame,
     themes: dict[str, list[str]] = THEMES,
     domains: Sequence[str] = RELIABLE_DOMAINS,
-    limit: int = POSTS_PER_KEYWORD,
     lang: str = "en",
 ) -> DataFrame:
     """Themed posts: the first hit in search order owns a post, then one row per key."""
-    hits = keyword_hits(payloads, themes, limit, lang)
-    search_order = ["theme_rank", "keyword_rank"]
-    owned = complete(first_rows(hits, "uri", search_order))
-    keyed = owned.withColumn("unique_id", unique_id(F.col("username"), F.col("created_at")))
-    unique = first_rows(keyed, "unique_id", [*search_order, "uri"])
-    labelled = unique.withColumn("source_label", source_label(F.col("username"), domains))
-    return labelled.select("uri", "unique_id", *POST_COLUMNS)
+    owned = _labelled(first_rows(keyword_hits(payloads, themes, lang), "uri", SEARCH_ORDER), domains)
+    unique = first_rows(owned, "unique_id", [*SEARCH_ORDER, "uri"])
+    return unique.select("uri", "unique_id", *POST_COLUMNS)
 
 
 def account_posts(
     payloads: DataFrame,
     accounts: Sequence[str] = RELIABLE_ACCOUNTS,
     domains: Sequence[str] = RELIABLE_DOMAINS,
-    limit: int = POSTS_PER_ACCOUNT,
 ) -> DataFrame:
-    """Newest posts of the listed accounts, category ``Reliable``."""
-    newest = Window.partitionBy("username").orderBy(F.desc("created_at"), "uri")
-    feed = (
-        payloads.filter(F.col("username").isin(*accounts))
-        .withColumn("_rank", F.row_number().over(newest))
-        .filter(F.col("_rank") <= limit)
-    )
-    keyed = complete(feed).withColumn("unique_id", unique_id(F.col("username"), F.col("created_at")))
-    labelled = keyed.withColumn("source_label", source_label(F.col("username"), domains))
-    return labelled.withColumn("category", F.lit("Reliable")).select("uri", "unique_id", *POST_COLUMNS)
+    """Posts from account feeds or by a listed account, category ``Reliable``."""
+    feed = _labelled(payloads.filter(_from_account(accounts)), domains)
+    return feed.withColumn("category", F.lit("Reliable")).select("uri", "unique_id", *POST_COLUMNS)
 
 
 def merge_feeds(account_rows: DataFrame, keyword_rows: DataFrame) -> DataFrame:
@@ -98,10 +102,35 @@ def merge_feeds(account_rows: DataFrame, keyword_rows: DataFrame) -> DataFrame:
     return first_rows(both, "unique_id", ["_feed", "uri"]).drop("_feed")
 
 
+def themed_rows(
+    payloads: DataFrame,
+    themes: dict[str, list[str]] = THEMES,
+    accounts: Sequence[str] = RELIABLE_ACCOUNTS,
+    domains: Sequence[str] = RELIABLE_DOMAINS,
+    lang: str = "en",
+) -> DataFrame:
+    """Every wanted payload with its best category and ``_place``, in one pass without a shuffle.
+
+    An account feed comes before all searches, searches come in their order. Smaller places win.
+    """
+    hits = _search_hits(themes, lang)
+    account = F.struct(
+        F.lit(-1).alias("theme_rank"), F.lit(-1).alias("keyword_rank"), F.lit("Reliable").alias("category"), F.lit("").alias("keyword")
+    )
+    best = F.when(_from_account(accounts), account).otherwise(F.array_min(hits))
+    found = payloads.withColumn("_place", best).filter(F.col("_place").isNotNull())
+    return _labelled(found.withColumn("category", F.col("_place.category")), domains)
+
+
+def themed_posts(payloads: DataFrame, **options) -> DataFrame:
+    """One labelled row per key of all wanted payloads: both feeds, merged, from one pass."""
+    rows = first_rows(themed_rows(payloads, **options), "unique_id", ["_place", "uri"])
+    return rows.select("uri", "unique_id", *POST_COLUMNS)
+
+
 def new_posts(payloads: DataFrame, known: DataFrame, **options) -> DataFrame:
     """Posts of one landed batch that are not stored yet."""
-    merged = merge_feeds(account_posts(payloads), keyword_posts(payloads, **options))
-    return unseen_batch(merged, known)
+    return unseen_batch(themed_posts(payloads, **options), known)
 
 
 def label_sources(posts: DataFrame, domains: DataFrame) -> DataFrame:
@@ -114,7 +143,7 @@ def label_sources(posts: DataFrame, domains: DataFrame) -> DataFrame:
     matched = handles.select("username", F.explode(suffixes(F.col("username"))).alias("domain"))
     reliable = stored(matched.join(domains, "domain", "left_semi").select("username").distinct(), "reliable")
     flagged = reliable.withColumn("source_label", F.lit("reliable"))
-    labelled = posts.drop("source_label").join(broadcast_if_small(flagged), "username", "left")
+    labelled = posts.drop("source_label").join(flagged, "username", "left")
     return labelled.withColumn("source_label", F.coalesce("source_label", F.lit("unverified")))
 
 

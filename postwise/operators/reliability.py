@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postwise.functions.rounding import round_exact
-from postwise.operators.features import label_counts, stratified_folds
+from postwise.operators.features import label_counts, stratified_folds, with_balanced_weights
 
 
 def fit_reliability(labelled: DataFrame, tol: float = 1e-6) -> LogisticRegressionModel:
@@ -43,6 +48,42 @@ def raw_probability(model: LogisticRegressionModel, df: DataFrame, output: str)
     )
 
 
+def linear_probability(features: Column, coefficients: Sequence[float], intercept: float) -> Column:
+    """Unrounded probability of class 1 by the formula of the model, on whole Arrow batches."""
+    weights = np.asarray(coefficients, dtype=np.float64)
+
+    @F.arrow_udf("double")
+    def probability(rows: pa.Array) -> pa.Array:
+        matrix = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), len(weights))
+        return pa.array(1.0 / (1.0 + np.exp(-(matrix @ weights + intercept))))
+
+    return probability(features)
+
+
+def penalised_gradient(model: LogisticRegressionModel, labelled: DataFrame) -> np.ndarray:
+    """Gradient of the training objective at the model, coefficients first, divided by the rows.
+
+    One vector and one number reach the driver. Near zero where the fit has converged.
+    """
+    weighted = raw_probability(model, with_balanced_weights(labelled), "_p")
+    error = F.col("weight") * (F.col("_p") - F.col("label"))
+    cells = weighted.withColumn("_error", error)
+    scaled = cells.select("_error", array_to_vector(F.transform("features", lambda x: x * F.col("_error"))).alias("v"))
+    found = scaled.agg(Summarizer.mean(F.col("v")).alias("v"), F.avg("_error").alias("e"), F.count("*").alias("n")).first()
+    penalty = model.coefficients.toArray() / found["n"]
+    return np.append(found["v"].toArray() + penalty, found["e"])
+
+
+def fold_areas(folded: DataFrame, folds: int = 5, score: str = "probability") -> DataFrame:
+    """ROC-AUC of a given score in each fold."""
+    kept = folded.select("fold", "label", score).persist()
+    try:
+        rows = [(fold, roc_auc(kept.filter(F.col("fold") == fold), score)) for fold in range(folds)]
+    finally:
+        kept.unpersist()
+    return folded.sparkSession.createDataFrame(rows, "fold int, roc_auc double")
+
+
 def score_reliability(model: LogisticRegressionModel, df: DataFrame, output: str = "reliability") -> DataFrame:
     """Add the probability of class 1 with four decimals."""
     return raw_probability(model, df, output).withColumn(output, round_exact(F.col(output), 4))

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +10,6 @@ from postwise.functions.text import WORD
 # A term counts as frequent from one part in this many of all postings, so there
 # are never more frequent terms than this: the bound of the broadcast side.
 FREQUENT_TERMS = 100_000
-# Query weights held by one task at a time (about 16 bytes each).
-QUERY_WEIGHTS = 1_000_000
-# Scores held by one task at a time.
-SCORE_CELLS = 2_000_000
 
 
 def terms(text: Column) -> Column:
@@ -91,79 +83,7 @@ def read_postings(spark: SparkSession, path: str, key: str = "doc_id") -> DataFr
 def query_weights(queries: DataFrame, weights: DataFrame, key: str = "query_id", text: str = "text") -> DataFrame:
     """Unit-length weights of the queries; terms outside the corpus are ignored."""
     counts = term_counts(queries, key, text)
-    return unit_weights(counts.join(weights.select("term", "idf"), "term"), key)
-
-
-def _block_scorer(block: list[tuple[int, int, float]], k: int, doc_key: str):
-    """Function from Arrow batches of (document, term position, weight) to the best ``k`` per query.
-
-    ``block`` holds (term position, query position, weight) in term order. The
-    rows of a document follow each other and never leave their task.
-    """
-    term_of, query_of, weight_of = (np.asarray(column) for column in zip(*block, strict=True))
-    n_queries, n_terms = int(query_of.max()) + 1, int(term_of.max()) + 1
-    first = np.searchsorted(term_of, np.arange(n_terms + 1))
-    docs_at_once = max(1, SCORE_CELLS // n_queries)
-
-    def scores_of(owner: np.ndarray, term: np.ndarray, weight: np.ndarray, n_docs: int) -> np.ndarray:
-        """(documents, queries) similarities, ten decimals."""
-        hits = first[term + 1] - first[term]
-        entry = np.repeat(np.arange(len(term)), hits)
-        place = np.arange(len(entry)) - np.repeat(np.cumsum(hits) - hits, hits) + np.repeat(first[term], hits)
-        cells = owner[entry] * n_queries + query_of[place]
-        sums = np.bincount(cells, weight[entry] * weight_of[place], n_docs * n_queries)
-        return np.round(sums.reshape(n_docs, n_queries), 10)
-
-    def merge(best, docs: np.ndarray, term: np.ndarray, weight: np.ndarray):
-        """Best (scores, documents) after these rows of whole documents."""
-        starts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
-        owner = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(docs)]))
-        for low in range(0, len(starts), docs_at_once):
-            ids = docs[starts[low : low + docs_at_once]]
-            rows = slice(*np.searchsorted(owner, [low, low + len(ids)]))
-            fresh = scores_of(owner[rows] - low, term[rows], weight[rows], len(ids))
-            scores = np.concatenate([best[0], fresh])
-            names = np.concatenate([best[1], np.broadcast_to(ids[:, None], fresh.shape)])
-            order = np.lexsort((names, -scores), axis=0)[:k]
-            best = np.take_along_axis(scores, order, axis=0), np.take_along_axis(names, order, axis=0)
-        return best
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = np.zeros((0, n_queries)), np.zeros((0, n_queries), np.int64)
-        pending = None
-        for batch in batches:
-            columns = [batch[name].to_numpy() for name in (doc_key, "term_at", "weight")]
-            if pending is not None:
-                columns = [np.concatenate(pair) for pair in zip(pending, columns, strict=True)]
-            docs = columns[0]
-            # The last document may go on in the next batch.
-            last = len(docs) - np.argmax(docs[::-1] != docs[-1]) if len(docs) and docs[0] != docs[-1] else 0
-            if last:
-                best = merge(best, *(column[:last] for column in columns))
-            pending = [column[last:] for column in columns]
-        if pending is not None and len(pending[0]):
-            best = merge(best, *pending)
-        rank, query = np.nonzero(best[0] > 0)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(query, pa.int32()), pa.array(best[1][rank, query]), pa.array(best[0][rank, query])],
-            ["query_at", doc_key, "similarity"],
-        )
-
-    return score
-
-
-def _query_blocks(query_rows: DataFrame, query_key: str) -> list[tuple]:
-    """Key ranges holding at most ``QUERY_WEIGHTS`` weights each (at least one query)."""
-    sizes = query_rows.groupBy(query_key).agg(F.count(F.lit(1)).alias("n")).orderBy(query_key)
-    blocks, filled = [], 0
-    for query, n in sizes.toLocalIterator():
-        if blocks and filled + n <= QUERY_WEIGHTS:
-            blocks[-1] = (blocks[-1][0], query)
-            filled += n
-        else:
-            blocks.append((query, query))
-            filled = n
-    return blocks
+    return unit_weights(join_weights(counts, weights), key)
 
 
 def retrieve(
@@ -175,33 +95,18 @@ def retrieve(
 ) -> DataFrame:
     """Top ``k`` documents per query by cosine, similarity above zero only.
 
-    (query, document) pairs are never shuffled, and neither are the documents:
-    every task holds one bounded block of query weights, scores the documents
-    it reads and passes on its best ``k`` per query. More queries than one
-    block holds mean more blocks, each one more scan of the stored vectors.
-    Ties fall to the lower document key; similarities are compared at ten
-    decimals. Keys are integers.
+    The stored vectors are placed by document once, whatever the number of queries. Each task then joins its
+    documents' terms with the query weights and adds up the similarities of its own documents,
+    only for pairs that share a term; the best ``k`` per query of every task are all that is shuffled. Where the
+    query weights are beyond the broadcast threshold, terms are joined by shuffle, frequent query
+    terms spread by adaptive execution. Ties fall to the lower document key; similarities are
+    compared at ten decimals. Keys may be of any orderable type.
     """
-    spark = vectors.sparkSession
-    empty = spark.createDataFrame([], f"{query_key} long, {doc_key} long, similarity double")
-    best = None
-    query_rows = query_rows.persist()
-    for low, high in _query_blocks(query_rows, query_key):
-        rows = query_rows.filter(F.col(query_key).between(low, high)).collect()
-        term_at = {term: i for i, term in enumerate(sorted({r["term"] for r in rows}))}
-        query_at = {q: i for i, q in enumerate(sorted({r[query_key] for r in rows}))}
-        block = sorted((term_at[r["term"]], query_at[r[query_key]], r["weight"]) for r in rows)
-        # Both lookups hold at most one block of query weights.
-        lookup = spark.createDataFrame(list(term_at.items()), "term string, term_at int")
-        names = spark.createDataFrame([(i, q) for q, i in query_at.items()], f"query_at int, {query_key} long")
-        entries = vectors.select(F.col(doc_key).cast("long").alias(doc_key), F.inline("entries"))
-        matched = entries.join(F.broadcast(lookup), "term").select(doc_key, "term_at", "weight")
-        scored = matched.mapInArrow(
-            _block_scorer(block, k, doc_key), f"query_at int, {doc_key} long, similarity double"
-        )
-        found = scored.join(F.broadcast(names), "query_at").select(query_key, doc_key, "similarity")
-        best = found if best is None else best.unionByName(found)
-    query_rows.unpersist()
+    placed = vectors.select(doc_key, "entries").repartition(doc_key)
+    entries = placed.select(doc_key, F.inline("entries"))
+    wanted = query_rows.select(query_key, "term", F.col("weight").alias("_wanted"))
+    matched = entries.join(wanted, "term").select(query_key, doc_key, (F.col("weight") * F.col("_wanted")).alias("_part"))
+    sums = matched.groupBy(query_key, doc_key).agg(F.round(F.sum("_part"), 10).alias("similarity"))
     order = Window.partitionBy(query_key).orderBy(F.desc("similarity"), doc_key)
-    ranked = (empty if best is None else best).withColumn("rank", F.row_number().over(order))
+    ranked = sums.filter(F.col("similarity") > 0).withColumn("rank", F.row_number().over(order))
     return ranked.filter(F.col("rank") <= k)

@@ -7,8 +7,11 @@ that results of different engines can be compared by value.
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextlib import contextmanager
+from functools import partial
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,13 +39,15 @@ from postwise.streaming import windows as window_streams
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Words that occur in the given documents, in the place of the news keywords.
+# Whole words that occur in the given documents, in the place of the news keywords.
 DOCUMENT_THEMES = {
-    "Discover": ["that", "her"],
-    "Trending": ["tion"],
-    "Hot Topics": ["oubl", "The"],
-    "Misinformation": ["esen"],
+    "Discover": ["license", "idiot"],
+    "Trending": ["was"],
+    "Hot Topics": ["pathetic", "Scum"],
+    "Misinformation": ["with"],
 }
+# Partitions of the state of the registered streams; a choice for their small inputs.
+STATE_PARTITIONS = 8
 PAGE_DOMAINS = ["example.com", "example.org"]
 
 
@@ -131,8 +136,9 @@ def upsert_posts(spark, sf):
         .unionByName(added.withColumn("round", F.lit(1)))
     )
     schema = current.select(*columns).schema
-    tables.upsert(current.select(*columns), path, "unique_id", schema)
-    tables.upsert(updates, path, "unique_id", schema, [F.desc("round")])
+    part = tables.key_bucket("unique_id", 16)
+    tables.upsert(current.select(*columns), path, "unique_id", schema, part)
+    tables.upsert(updates, path, "unique_id", schema, part, [F.desc("round")])
     return rounded(tables.read_latest(spark, path, schema), "fake_news_prob")
 
 
@@ -146,15 +152,30 @@ def newest_energy_logs(spark, sf):
 def reloaded_clusters(spark, sf):
     path = scratch_path(spark, "kmeans")
     rows = _feature_rows(spark, sf)
-    model = clustering.fit_clusters(rows, key="doc_id")
-    centers = clustering.centers_of(model)
-    fake = clustering.orient(clustering.assign_clusters(rows, centers)).first()["fake_cluster"]
+    model = clustering.fit_clusters(rows, key="doc_id", partitions=8)
+    clustered = clustering.assign_clusters(rows, clustering.centers_of(model))
+    fake = clustering.orient(clustered).first()["fake_cluster"]
     models.save_clusters(spark, model, fake, path)
     loaded, fake_cluster = models.load_clusters(spark, path)
-    scored = clustering.score_posts(
-        clustering.assign_clusters(rows, clustering.centers_of(loaded)), fake_cluster
-    )
-    return scored.select("doc_id", "cluster", "is_real", "fake_news_prob")
+    again = clustering.assign_clusters(rows, clustering.centers_of(loaded))
+    return _differences(clustering.score_posts(clustered, fake), clustering.score_posts(again, fake_cluster), "fake_news_prob")
+
+
+def _differences(before, after, score):
+    """How far the scores of two frames are apart, row by row."""
+    pairs = before.select("doc_id", F.col(score).alias("a")).join(after.select("doc_id", F.col(score).alias("b")), "doc_id")
+    return pairs.select("doc_id", F.abs(F.col("a") - F.col("b")).alias("difference"))
+
+
+@query
+def reloaded_reliability(spark, sf):
+    path = scratch_path(spark, "reliability")
+    rows = _feature_rows(spark, sf)
+    model = reliability.fit_reliability(features.labelled_posts(rows))
+    models.save_reliability(model, path)
+    loaded = models.load_reliability(path)
+    before, after = (reliability.raw_probability(m, rows, "p") for m in (model, loaded))
+    return _differences(before, after, "p")
 
 
 # Projections and filters
@@ -350,6 +371,13 @@ def merged_feeds(spark, sf):
     return merged.select("uri", "unique_id", "category", "source_label")
 
 
+@query
+def themed_in_one_pass(spark, sf):
+    """Both feeds, merged, from one pass: what the ingest stage and stream store."""
+    found = ingest.themed_posts(given.payloads(spark, sf), themes=DOCUMENT_THEMES)
+    return found.select("uri", "unique_id", "category", "source_label")
+
+
 @query
 def distinct_keys(spark, sf):
     posts = given.posts(spark, sf)
@@ -446,6 +474,13 @@ def parsed_verdicts(spark, sf):
 
 @query
 def hashed_embeddings(spark, sf):
+    encoded = features.hashed_embeddings(given.cleaned(spark, sf))
+    cells = encoded.select("doc_id", F.posexplode("embedding").alias("position", "value")).filter("value <> 0")
+    return cells.select("doc_id", F.col("position").cast("long").alias("position"), six("value").alias("value"))
+
+
+@query
+def hashed_embedding_norms(spark, sf):
     encoded = features.hashed_embeddings(given.cleaned(spark, sf))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
     return encoded.select("doc_id", F.size("embedding").cast("long").alias("width"), six(norm).alias("norm"))
@@ -467,27 +502,43 @@ def feature_matrix(spark, sf):
 
 @query
 def fitted_clusters(spark, sf):
+    """The fitted clusters as a fixed point: every row is at its nearest centre, every centre the mean of its rows.
+
+    ``gap`` is how much nearer another centre is; ``drift`` is the distance from a row's centre to the mean of its
+    rows, in ten thousandths of the centre's length.
+    """
     rows = _feature_rows(spark, sf)
-    model = clustering.fit_clusters(rows, key="doc_id")
-    return clustering.classify_posts(rows, clustering.centers_of(model)).select(
-        "doc_id", "cluster", "fake_news_prob", "is_real"
+    centers = clustering.centers_of(clustering.fit_clusters(rows, key="doc_id", partitions=8))
+    clustered = stored(clustering.assign_clusters(rows, centers), "clustered")
+    means = _means(clustered, "cluster")
+    drift = F.lit(None).cast("double")
+    for i, center in enumerate(centers):
+        length = float(np.linalg.norm(center)) or 1.0
+        far = float(np.linalg.norm(np.array(center) - means[i])) / length if i in means else 0.0
+        drift = F.when(F.col("cluster") == i, far * 1e4).otherwise(drift)
+    own = F.get("distances", F.col("cluster"))
+    return clustered.select(
+        "doc_id", six(own - F.array_min("distances")).alias("gap"), F.floor(drift).cast("long").alias("drift")
     )
 
 
+def _means(rows, side):
+    """Mean feature row of each side: one vector per side reaches the driver."""
+    vectors = rows.select(F.col(side).alias("side"), array_to_vector("features").alias("v"))
+    found = vectors.groupBy("side").agg(Summarizer.mean(F.col("v")).alias("mean")).collect()
+    return {r["side"]: r["mean"].toArray() for r in found}
+
+
 def _given_centers(rows):
     """Mean feature row of the even and of the odd vector labels."""
-    parts = rows.select((F.col("vector_label") % 2).alias("side"), F.posexplode("features").alias("position", "value"))
-    means = parts.groupBy("side", "position").agg(F.avg("value").alias("mean")).collect()
-    width = max(r["position"] for r in means) + 1
-    centers = [[0.0] * width for _ in range(2)]
-    for r in means:
-        centers[r["side"]][r["position"]] = r["mean"]
-    return centers
+    means = _means(rows.withColumn("_side", F.col("vector_label") % 2), "_side")
+    width = len(next(iter(means.values())))
+    return [list(map(float, means.get(side, np.zeros(width)))) for side in range(2)]
 
 
 def _assigned(spark, sf):
     rows = _feature_rows(spark, sf)
-    return clustering.assign_clusters(rows, _given_centers(rows))
+    return stored(clustering.assign_clusters(rows, _given_centers(rows)).drop("features"), "assigned")
 
 
 @query
@@ -522,8 +573,11 @@ def cluster_scores(spark, sf):
 @query
 def claim_scores(spark, sf):
     clustered = _assigned(spark, sf)
-    fake = clustering.orient(clustered).select("fake_cluster").scalar()
-    return clustering.score_claims(clustered, fake).select("doc_id", "probability", "verdict", "based_on")
+    fake = clustering.orient(clustered).first()["fake_cluster"]
+    scored = clustering.score_claims(clustered, fake)
+    return scored.select(
+        "doc_id", "probability", "verdict", scoring.score_percent(F.col("probability")).alias("score_pct"), "based_on"
+    )
 
 
 def _labelled(spark, sf):
@@ -557,16 +611,76 @@ def _feature_rows(spark, sf):
     return stored(given.feature_posts(spark, sf).select(*columns), "features")
 
 
+# Coefficient of place i of a feature row, and the intercept, of a model given by rule.
+GIVEN_WEIGHTS = [((i * 37) % 19 - 9) / 4 for i in range(69)]
+GIVEN_INTERCEPT = -0.25
+GIVEN_CENTERS = [[((i * 11 + side * 5) % 13) / 10 for i in range(69)] for side in range(2)]
+
+
 @query
 def reliability_scores(spark, sf):
-    rows = _feature_rows(spark, sf)
-    model = reliability.fit_reliability(features.labelled_posts(rows))
-    return reliability.score_reliability(model, rows).select("doc_id", "reliability")
+    """Scores by given coefficients."""
+    p = reliability.linear_probability(F.col("features"), GIVEN_WEIGHTS, GIVEN_INTERCEPT)
+    return _feature_rows(spark, sf).select("doc_id", scoring.probability_of(p).alias("reliability"))
+
+
+@query
+def reliability_gradient(spark, sf):
+    """Penalised gradient of the fitted model per coefficient, in thousandths of the number of rows."""
+    labelled = stored(features.labelled_posts(_feature_rows(spark, sf)).select("doc_id", "label", "features"), "labelled")
+    model = reliability.fit_reliability(labelled)
+    found = reliability.penalised_gradient(model, labelled)
+    rows = [(i, int(abs(g) * 1000)) for i, g in enumerate(found)]
+    return spark.createDataFrame(rows, "position long, gradient long")
 
 
 @query
 def cross_validated_auc(spark, sf):
-    return reliability.cross_validate(features.labelled_posts(_feature_rows(spark, sf)), folds=5)
+    """Area under the curve per fold of a given score."""
+    return rounded(reliability.fold_areas(_given_folds(spark, sf)), "roc_auc")
+
+
+@query
+def cross_validation_summary(spark, sf):
+    return rounded(reliability.summarise_folds(reliability.fold_areas(_given_folds(spark, sf))), "mean_auc", "std_auc")
+
+
+def _given_folds(spark, sf):
+    folded = features.stratified_folds(_labelled_scores(spark, sf), folds=5)
+    return folded.select("fold", "label", "probability")
+
+
+def _labelled_scores(spark, sf):
+    scored = given.cleaned(spark, sf).withColumn("probability", (F.col("n_chars") % 997) / F.lit(996.0))
+    return features.labelled_posts(scored)
+
+
+@query
+def fitted_auc_is_valid(spark, sf):
+    """Each fold's model separates the training classes at least as well as chance, on folds of every post."""
+    folds = reliability.cross_validate(features.labelled_posts(_feature_rows(spark, sf)), folds=5)
+    return folds.select(F.col("fold").cast("long").alias("fold"), F.col("roc_auc").between(0.0, 1.0).alias("valid"))
+
+
+@query
+def sample_guards(spark, sf):
+    """Both training guards: the rows of each class, and whether they pass."""
+    counts = features.label_counts(_labelled(spark, sf))
+    found = counts.agg(
+        F.coalesce(F.sum(F.when(F.col("label") == 1, F.col("n"))), F.lit(0)).alias("reliable"),
+        F.coalesce(F.sum(F.when(F.col("label") == 0, F.col("n"))), F.lit(0)).alias("misinformation"),
+    )
+    guards = spark.createDataFrame([("fine-tuning", 30), ("reliability", 1)], "guard string, least long")
+    enough = (F.col("reliable") >= F.col("least")) & (F.col("misinformation") >= F.col("least"))
+    return guards.join(F.broadcast(found)).select("guard", "least", "reliable", "misinformation", enough.alias("passes"))
+
+
+@query
+def training_set(spark, sf):
+    """The stored set of the fine-tuning path: labelled, guarded and split."""
+    path = scratch_path(spark, "training")
+    jobs.training_set_stage(given.cleaned(spark, sf), path, min_reliable=1, min_misinformation=1)
+    return spark.read.parquet(path).select("unique_id", "label", "split")
 
 
 @query
@@ -899,18 +1013,6 @@ def memory_and_disk(spark, sf):
 # Streams
 
 
-@contextmanager
-def _state_partitions(spark):
-    """No more state partitions than cores while a stream runs; they are fixed when it starts."""
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(before), spark.sparkContext.defaultParallelism)))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def _event_stream(spark, sf):
     schema = given.table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
@@ -923,11 +1025,7 @@ def streamed_posts(spark, sf):
     for _ in range(2):
         given.payloads(spark, sf).write.mode("append").json(landing)
     arrived = post_streams.read_payload_stream(spark, landing)
-    labelled = arrived.withColumn("category", F.lit("Discover")).withColumn(
-        "source_label", handles.source_label(F.col("username"))
-    )
-    with _state_partitions(spark):
-        post_streams.stream_posts(labelled, stored, scratch_path(spark, "checkpoint"))
+    post_streams.stream_posts(arrived, stored, scratch_path(spark, "checkpoint"), STATE_PARTITIONS, themes=DOCUMENT_THEMES)
     return spark.read.parquet(stored).select("unique_id", "username", "category", "source_label")
 
 
@@ -936,16 +1034,14 @@ def streamed_cleaning(spark, sf):
     raw, stored = scratch_path(spark, "raw"), scratch_path(spark, "cleaned")
     given.posts(spark, sf).select("text", "username", "created_at", "unique_id", "category", "source_label").write.parquet(raw)
     stream = spark.readStream.schema(schemas.POSTS).parquet(raw)
-    with _state_partitions(spark):
-        post_streams.stream_cleaning(stream, stored, scratch_path(spark, "checkpoint"))
+    post_streams.stream_cleaning(stream, stored, scratch_path(spark, "checkpoint"))
     cleaned = spark.read.parquet(stored)
     return cleaned.select("unique_id", "normalized_text", six(F.col("style_features")[0]).alias("caps_ratio"))
 
 
 def _stream_to_table(spark, windows):
     path = scratch_path(spark, "windows")
-    with _state_partitions(spark):
-        window_streams.stream_windows(windows, path, scratch_path(spark, "checkpoint"))
+    window_streams.stream_windows(windows, path, scratch_path(spark, "checkpoint"), STATE_PARTITIONS)
     stored = tables.read_latest(spark, path, windows.schema)
     return stored.withColumn("window_start", clock("window_start"))
 
@@ -972,10 +1068,26 @@ def streamed_verdict_windows(spark, sf):
 
 @query
 def staged_classification(spark, sf):
-    """Landing files through ingest, cleaning and classification."""
+    """Landing files through ingest, cleaning and classification; which posts come out, in range."""
     paths = {name: scratch_path(spark, name) for name in ("landing", "posts", "cleaned", "classified", "model")}
     given.payloads(spark, sf).write.json(paths["landing"])
-    jobs.ingest_stage(spark, paths["landing"], paths["posts"])
+    jobs.ingest_stage(spark, paths["landing"], paths["posts"], state_partitions=STATE_PARTITIONS)
     jobs.clean_stage(spark, paths["posts"], paths["cleaned"])
     jobs.classify_stage(spark, paths["cleaned"], paths["classified"], paths["model"])
-    return tables.classified_view(spark.read.parquet(paths["classified"])).drop("classified_at")
+    found = tables.read_table(spark, paths["classified"], schemas.CLASSIFIED)
+    return found.select("unique_id", "category", F.col("fake_news_prob").between(0.0, 1.0).alias("in_range"))
+
+
+@query
+def answered_texts(spark, sf):
+    """User turns answered from their text by given models; odd conversations lack the classifier."""
+    turns = given.texts(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", "text")
+    encoder = partial(features.encode, load_model=given.stand_in_vectors())
+    both = jobs.ClaimModels((GIVEN_CENTERS, 0), (GIVEN_WEIGHTS, GIVEN_INTERCEPT))
+    clusters_only = jobs.ClaimModels((GIVEN_CENTERS, 0), None)
+    answered = jobs.answer_texts(turns.filter("conv_id % 2 = 0"), both, encoder).unionByName(
+        jobs.answer_texts(turns.filter("conv_id % 2 = 1"), clusters_only, encoder)
+    )
+    return answered.select(
+        "conv_id", "turn", "probability", "based_on", "verdict", "label", "score_pct", "band", "tone"
+    )

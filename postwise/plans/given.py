@@ -10,12 +10,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postwise.constants import EMOTIONS
+from postwise.constants import EMOTIONS, RELIABLE_ACCOUNTS, THEMES
 from postwise.functions.handles import source_label, unique_id
 from postwise.functions.scoring import real_fake
 from postwise.functions.text import clean_text, normalize_text
-from postwise.operators.features import align_embeddings
-from postwise.sources.tables import spread_small
+from postwise.operators.features import align_embeddings, encode
 
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
@@ -24,8 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Session setting that names the partitions of the text tables; unset, they keep the splits of their files.
+TEXT_PARTITIONS = "spark.postwise.textPartitions"
+
+
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread_small(table(spark, sf_dir, name))
+    """A table of texts; a caller with one-file tables may have them spread by TEXT_PARTITIONS."""
+    wanted = spark.conf.get(TEXT_PARTITIONS, None)
+    rows = table(spark, sf_dir, name)
+    return rows.repartition(int(wanted)) if wanted else rows
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,13 +68,21 @@ def _dated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed posts: uri, username, text, created_at (ISO text), lang."""
+    """Landed posts as delivered: a quarter by the search for a listed word, those of listed accounts
+    with an odd number by their feed, the others without a known delivery."""
+    words = [w for listed in THEMES.values() for w in listed]
+    searched = F.col("doc_id") % 4 == 0
+    fed = _username().isin(*RELIABLE_ACCOUNTS) & (F.col("doc_id") % 2 == 1)
+    word = F.get(F.array(*[F.lit(w) for w in words]), (F.floor(F.col("doc_id") / 4) % len(words)).cast("int"))
     return _dated_documents(spark, sf_dir).select(
         F.concat(F.lit("post/"), F.col("doc_id").cast("string")).alias("uri"),
         _username().alias("username"),
         "text",
         F.date_format("ts", ISO_FORMAT).alias("created_at"),
         "lang",
+        F.when(searched, "search").when(fed, "account").alias("feed"),
+        F.when(searched, word).when(fed, _username()).alias("term"),
+        F.to_date("ts").alias("arrival_date"),
     )
 
 
@@ -188,12 +202,12 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned posts that have a given vector, with ``features``; other posts are not cleaned."""
+    """All cleaned posts with ``features``: their given vector, or else a stand-in of the same width."""
     vectors = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("doc_id"), "embedding", F.col("label").alias("vector_label")
+        F.col("vec_id").alias("doc_id"), "embedding", F.col("label").cast("long").alias("vector_label")
     )
-    with_vector = posts(spark, sf_dir).join(vectors.select("doc_id"), "doc_id", "left_semi")
-    return align_embeddings(_cleaned(with_vector), vectors, "doc_id")
+    rows = align_embeddings(cleaned(spark, sf_dir), vectors, "doc_id", lambda df: encode(df, stand_in_vectors()))
+    return rows.withColumn("vector_label", F.coalesce("vector_label", F.col("doc_id")))
 
 
 def _letter_counter(letters: str, shares: bool):
@@ -214,6 +228,15 @@ def stand_in_emotion_model():
     return _letter_counter("aeiouns", shares=True)
 
 
+# 64 letters, digits and letter pairs, counted without overlap.
+VECTOR_PARTS = [*"abcdefghijklmnopqrstuvwxyz0123456789", *(a + b for a in "aeionrt" for b in "nrst")]
+
+
+def stand_in_vectors():
+    """Loader of 64-wide count vectors for posts without a given one; a stand-in, not a model."""
+    return _letter_counter(VECTOR_PARTS, shares=False)
+
+
 def stand_in_encoder():
     """Loader of three-letter count vectors; a stand-in, not a model."""
     return _letter_counter("aei", shares=False)

@@ -6,29 +6,49 @@ Rerunning a stage adds nothing: keys already stored are left out first.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postwise import schemas
-from postwise.functions.text import clean_text, normalize_text
+from postwise.functions.scoring import answer_claims
+from postwise.functions.text import clean_text, normalize_text, with_style_features
 from postwise.operators import clustering, emotion, features, incremental, ingest, reliability
 from postwise.operators.dedup import first_rows
-from postwise.session import stored
+from postwise.session import exists, released, stored
 from postwise.sources import models
-from postwise.sources.tables import append, read_landing, read_table
+from postwise.sources.tables import append, read_table
+from postwise.streaming.posts import read_payload_stream, stream_posts
 
 CLEANED_COLUMNS = [f.name for f in schemas.CLEANED if f.name != "utc_saved_at"]
 CLASSIFIED_COLUMNS = [f.name for f in schemas.CLASSIFIED if f.name != "classified_at"]
 EMOTION_COLUMNS = [f.name for f in schemas.EMOTION if f.name != "classified_at"]
 
 
-def ingest_stage(spark: SparkSession, landing: str, posts_path: str) -> None:
-    """Landed payloads to new raw posts."""
-    known = read_table(spark, posts_path, schemas.POSTS)
-    fresh = ingest.new_posts(read_landing(spark, landing), known)
-    append(fresh.select("text", "username", "created_at", "unique_id", "category", "source_label"), posts_path)
+def ingest_stage(
+    spark: SparkSession, landing: str, posts_path: str, checkpoint: str | None = None, state_partitions: int | None = None
+) -> None:
+    """Landed payloads that no earlier run has read, to new raw posts.
+
+    The landing folder is read as a file stream, once per file; the checkpoint (beside the posts by
+    default) holds what is done. ``ingest.new_posts`` gives the same rows for a frame of payloads.
+    """
+    checkpoint = checkpoint or f"{posts_path.rstrip('/')}-checkpoint"
+    stream_posts(read_payload_stream(spark, landing), posts_path, checkpoint, state_partitions)
+
+
+def releasing(stage: Callable) -> Callable:
+    """The stage, with its scratch tables deleted when it ends."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, *args, **options):
+        with released(spark):
+            return stage(spark, *args, **options)
+
+    return run
 
 
 def cleaned_rows(posts: DataFrame) -> DataFrame:
@@ -36,6 +56,7 @@ def cleaned_rows(posts: DataFrame) -> DataFrame:
     return ingest.with_defaults(normalize_text(clean_text(posts))).select(*CLEANED_COLUMNS)
 
 
+@releasing
 def clean_stage(spark: SparkSession, posts_path: str, cleaned_path: str) -> None:
     """Raw posts not cleaned yet to the cleaned table."""
     posts = read_table(spark, posts_path, schemas.POSTS)
@@ -52,6 +73,7 @@ def feature_rows(cleaned: DataFrame, encoder: Encoder = features.hashed_embeddin
     return encoder(cleaned).withColumn("features", row).drop("embedding")
 
 
+@releasing
 def classify_stage(
     spark: SparkSession,
     cleaned_path: str,
@@ -81,6 +103,7 @@ def classify_stage(
     return handled
 
 
+@releasing
 def reliability_stage(
     spark: SparkSession,
     cleaned_path: str,
@@ -104,6 +127,55 @@ def reliability_stage(
     return reliability.summarise_folds(reliability.cross_validate(rows, folds))
 
 
+def training_set_stage(
+    cleaned: DataFrame, path: str, min_reliable: int = 30, min_misinformation: int = 30, test_share: float = 0.2
+) -> None:
+    """The labelled set of the fine-tuning path, guarded and split, written to ``path``."""
+    labelled = features.labelled_posts(cleaned)
+    features.require_samples(labelled, min_reliable, min_misinformation)
+    split = features.stratified_split(labelled, test_share)
+    split.select("unique_id", "normalized_text", "label", "split").write.mode("overwrite").parquet(path)
+
+
+class ClaimModels(NamedTuple):
+    """What answers claims: centres with the fake cluster, and coefficients with the intercept; null where missing."""
+
+    clusters: tuple[list[list[float]], int] | None
+    reliability: tuple[list[float], float] | None
+
+
+def load_claim_models(spark: SparkSession, clusters_path: str, reliability_path: str) -> ClaimModels:
+    """The models that the stages have stored; a missing folder is a missing scorer."""
+    clusters = linear = None
+    if exists(spark, clusters_path):
+        model, fake_cluster = models.load_clusters(spark, clusters_path)
+        clusters = (clustering.centers_of(model), fake_cluster)
+    if exists(spark, reliability_path):
+        fitted = models.load_reliability(reliability_path)
+        linear = (list(map(float, fitted.coefficients.toArray())), float(fitted.intercept))
+    return ClaimModels(clusters, linear)
+
+
+def answer_texts(claims: DataFrame, stored_models: ClaimModels, encoder: Encoder = features.hashed_embeddings) -> DataFrame:
+    """Claims answered from their ``text``: encoded with its style, scored by the stored models, first scorer first.
+
+    As in the service this replaces, the text itself is encoded, not its normalised form. A null text
+    counts as empty. Any number of claims, without a pass over them before the answer.
+    """
+    plain = claims.withColumn("text", F.coalesce("text", F.lit("")))
+    rows = feature_rows(with_style_features(plain).withColumn("normalized_text", F.col("text")), encoder)
+    nothing = F.lit(None).cast("double")
+    rows = rows.withColumn("finetuned", nothing).withColumn("reliability", nothing).withColumn("kmeans", nothing)
+    if stored_models.reliability:
+        rows = rows.withColumn("reliability", reliability.linear_probability(F.col("features"), *stored_models.reliability))
+    if stored_models.clusters:
+        centers, fake_cluster = stored_models.clusters
+        scored = clustering.score_claims(clustering.assign_clusters(rows, centers), fake_cluster)
+        rows = scored.withColumn("kmeans", F.col("score")).drop("score", "probability", "verdict", "based_on")
+    return answer_claims(rows).drop("features", "distances", "cluster", "normalized_text", "style_features")
+
+
+@releasing
 def emotion_stage(
     spark: SparkSession,
     cleaned_path: str,

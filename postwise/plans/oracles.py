@@ -14,7 +14,8 @@ from postwise.constants import (
     STYLE_SIZE,
     THEMES,
 )
-from postwise.plans.catalog import DOCUMENT_THEMES, PAGE_DOMAINS
+from postwise.plans.catalog import DOCUMENT_THEMES, GIVEN_CENTERS, GIVEN_INTERCEPT, GIVEN_WEIGHTS, PAGE_DOMAINS
+from postwise.plans.given import VECTOR_PARTS
 
 ORACLES: dict[str, str] = {}
 
@@ -125,11 +126,20 @@ STYLE_SELECT = ", ".join(
     for c in ("caps_ratio", "exclamation_density", "question_density", "lexical_diversity", "avg_word_length")
 )
 
+def _part_counts(text: str) -> list[str]:
+    """Counts of the parts of the stand-in vectors, without overlap, plus one."""
+    return [f"(1 + (length({text}) - length(replace({text}, '{p}', ''))) // {len(p)})" for p in VECTOR_PARTS]
+
+
 FEATURES = f"""{CLEANED}, {_style("documents", "doc_id", "text")},
-vectors AS (SELECT c.*, e.label AS vector_label,
-    list_concat(e.embedding::DOUBLE[], [s.caps_ratio, s.exclamation_density, s.question_density,
+counted AS (SELECT doc_id, [{", ".join(_part_counts("normalized_text"))}]::DOUBLE[] AS n FROM cleaned),
+stand_in AS (SELECT doc_id, list_transform(n, lambda v: v / sqrt(list_sum(list_transform(n, lambda u: u * u)))) AS unit
+  FROM counted),
+vectors AS (SELECT c.*, coalesce(e.label, c.doc_id) AS vector_label,
+    list_concat(coalesce(e.embedding::DOUBLE[], v.unit), [s.caps_ratio, s.exclamation_density, s.question_density,
       s.lexical_diversity, s.avg_word_length]::DOUBLE[]) AS x
-  FROM cleaned c JOIN embeddings e ON e.vec_id = c.doc_id JOIN styled s ON s.doc_id = c.doc_id),
+  FROM cleaned c JOIN stand_in v ON v.doc_id = c.doc_id LEFT JOIN embeddings e ON e.vec_id = c.doc_id
+  JOIN styled s ON s.doc_id = c.doc_id),
 cells AS (SELECT doc_id, vector_label, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM vectors),
 centers AS (SELECT vector_label % 2 AS side, i, avg(v) AS m FROM cells GROUP BY ALL),
 gaps AS (SELECT doc_id, side, sqrt(sum((v - m) * (v - m))) AS d FROM cells JOIN centers USING (i) GROUP BY ALL),
@@ -155,17 +165,24 @@ def _hits(themes: dict[str, list[str]]) -> str:
         for i, (category, words) in enumerate(themes.items())
         for j, word in enumerate(words)
     )
+    listed = [w for words in THEMES.values() for w in words]
+    wanted = [w.lower() for words in themes.values() for w in words]
+    beside = r"[^\p{L}\p{N}_]"
+    found = " ".join(f"WHEN '{w}' THEN regexp_matches(low, '(^|{beside}){w}($|{beside})')" for w in wanted)
     return f"""{POSTS},
+landed AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN 'search'
+    WHEN username IN ({_strings(RELIABLE_ACCOUNTS)}) AND doc_id % 2 = 1 THEN 'account' ELSE '' END AS feed,
+  CASE WHEN doc_id % 4 = 0 THEN lower([{_strings(listed)}][(doc_id // 4) % {len(listed)} + 1]) END AS term FROM posts),
 keywords(theme_rank, theme, keyword_rank, keyword) AS (VALUES {rows}),
 hits AS (
   SELECT p.* EXCLUDE (category), k.*, k.theme AS category
-  FROM posts p JOIN keywords k ON contains(lower(p.text), k.keyword) WHERE p.lang = 'en'
-  QUALIFY row_number() OVER (PARTITION BY theme_rank, keyword_rank ORDER BY created_at DESC, uri) <= 25),
+  FROM (SELECT *, lower(text) AS low FROM landed) p, keywords k
+  WHERE CASE WHEN p.term IN ({_strings(wanted)}) THEN p.term = k.keyword
+    ELSE p.feed <> 'account' AND p.lang = 'en' AND CASE k.keyword {found} END END),
 themed AS (SELECT * FROM hits
   QUALIFY row_number() OVER (PARTITION BY uri ORDER BY theme_rank, keyword_rank) = 1),
-feed AS (SELECT uri, unique_id, username, 'Reliable' AS category, source_label FROM posts
-  WHERE username IN ({_strings(RELIABLE_ACCOUNTS)})
-  QUALIFY row_number() OVER (PARTITION BY username ORDER BY created_at DESC, uri) <= 20),
+feed AS (SELECT uri, unique_id, username, 'Reliable' AS category, source_label FROM landed
+  WHERE feed = 'account' OR (feed = '' AND username IN ({_strings(RELIABLE_ACCOUNTS)}))),
 merged AS (SELECT uri, unique_id, category, source_label FROM (
     SELECT uri, unique_id, category, source_label, 0 AS side FROM feed
     UNION ALL SELECT uri, unique_id, category, source_label, 1 FROM themed)
@@ -237,7 +254,10 @@ shares AS (SELECT doc_id, place, emotion, n / sum(n) OVER (PARTITION BY doc_id)
 ranked AS (SELECT doc_id, emotion, printf('%.4f', share::DOUBLE)::DOUBLE AS score,
   row_number() OVER (PARTITION BY doc_id ORDER BY share DESC, place) - 1 AS position FROM shares)"""
 
-ORACLES["landing_posts"] = f"WITH {POSTS} SELECT uri, username, text, created_at, lang FROM posts"
+ORACLES["landing_posts"] = f"""WITH {_hits(THEMES)} SELECT uri, username, text, created_at, lang,
+  nullif(feed, '') AS feed, CASE feed WHEN 'account' THEN username WHEN 'search' THEN
+    [{_strings([w for words in THEMES.values() for w in words])}][(doc_id // 4) % 20 + 1] END AS term,
+  ts::DATE AS arrival_date FROM landed"""
 
 ORACLES["posts_view"] = f"""WITH {CLEANED}
 SELECT username, strftime(ts, {MICROS}) AS created_at, category, normalized_text FROM cleaned"""
@@ -260,7 +280,8 @@ SELECT c.unique_id || '/reply', c.category, round(c.fake_news_prob, 6)
 FROM classified c JOIN labels l USING (doc_id) WHERE l.toxic = 1"""
 
 ORACLES["newest_energy_logs"] = f"""WITH {ENERGY}
-SELECT run_id, node_name, strftime(timestamp, {MICROS}) AS logged_at, duration_s FROM logs ORDER BY timestamp DESC"""
+SELECT run_id, node_name, strftime(timestamp, {MICROS}) AS logged_at, duration_s FROM logs
+ORDER BY timestamp DESC, run_id, node_name"""
 
 ORACLES["post_keys"] = f"WITH {POSTS} SELECT doc_id, unique_id FROM posts"
 
@@ -339,6 +360,8 @@ QUALIFY row_number() OVER (PARTITION BY username ORDER BY created_at, doc_id) =
 
 ORACLES["merged_feeds"] = f"WITH {_hits(DOCUMENT_THEMES)} SELECT * FROM merged"
 
+ORACLES["themed_in_one_pass"] = ORACLES["merged_feeds"]
+
 ORACLES["distinct_keys"] = f"WITH {POSTS} SELECT DISTINCT unique_id FROM posts"
 
 ORACLES["lowercase_text"] = "SELECT doc_id, lower(text) AS result FROM documents"
@@ -378,7 +401,42 @@ SELECT conv_id, turn, verdict,
   CASE WHEN bare THEN regexp_replace(text_of, '{_BLANK}', '', 'g')
        ELSE regexp_replace(array_to_string(kept, ' '), '{_BLANK}', '', 'g') END AS reasoning FROM lines"""
 
-ORACLES["hashed_embeddings"] = f"""WITH {CLEANED}
+M32 = "4294967296"
+
+
+def _turn(x: str, bits: int) -> str:
+    return f"((({x}) << {bits}) % {M32} | (({x}) >> {32 - bits}))"
+
+
+def _murmur_mix(block: str) -> str:
+    return f"({_turn(f'(({block}) * 3432918353) % {M32}', 15)} * 461845907) % {M32}"
+
+
+def _char(at: str) -> str:
+    return f"unicode(w[{at}])::UBIGINT"
+
+
+# A word falls to the bucket of its 32-bit Murmur3 hash (seed 42, signed, non-negative modulus).
+ORACLES["hashed_embeddings"] = f"""WITH {CLEANED},
+tokens AS (SELECT doc_id, unnest({_words("normalized_text")}) AS w FROM cleaned),
+tf AS (SELECT doc_id, w, count(*) AS n FROM tokens GROUP BY ALL),
+blocks AS (SELECT w, length(w) AS len, list_transform(range(length(w) // 4), lambda i:
+    {_char("4 * i + 1")} + 256 * {_char("4 * i + 2")} + 65536 * {_char("4 * i + 3")} + 16777216 * {_char("4 * i + 4")}) AS b,
+  CASE WHEN length(w) % 4 > 0 THEN {_char("length(w) // 4 * 4 + 1")} ELSE 0 END
+    + CASE WHEN length(w) % 4 > 1 THEN 256 * {_char("length(w) // 4 * 4 + 2")} ELSE 0 END
+    + CASE WHEN length(w) % 4 > 2 THEN 65536 * {_char("length(w) // 4 * 4 + 3")} ELSE 0 END AS tail
+  FROM (SELECT DISTINCT w FROM tf)),
+body AS (SELECT w, len, tail, list_reduce(list_prepend(42::UBIGINT, list_transform(b, lambda k: {_murmur_mix("k::UBIGINT")})),
+  lambda h, k: ({_turn("xor(h, k)", 13)} * 5 + 3864292196) % {M32}) AS h FROM blocks),
+h0 AS (SELECT w, xor(xor(h, CASE WHEN len % 4 > 0 THEN {_murmur_mix("tail::UBIGINT")} ELSE 0 END::UBIGINT), len::UBIGINT) AS h FROM body),
+h1 AS (SELECT w, (xor(h, h >> 16) * 2246822507) % {M32} AS h FROM h0),
+h2 AS (SELECT w, (xor(h, h >> 13) * 3266489909) % {M32} AS h FROM h1),
+h3 AS (SELECT w, xor(h, h >> 16)::BIGINT AS h FROM h2),
+spots AS (SELECT w, ((CASE WHEN h >= 2147483648 THEN h - {M32} ELSE h END % 384) + 384) % 384 AS position FROM h3),
+cells AS (SELECT doc_id, position, sum(n)::DOUBLE AS v FROM tf JOIN spots USING (w) GROUP BY ALL)
+SELECT doc_id, position, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS value FROM cells"""
+
+ORACLES["hashed_embedding_norms"] = f"""WITH {CLEANED}
 SELECT doc_id, 384::BIGINT AS width, CASE WHEN normalized_text = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS norm FROM cleaned"""
 
 _COUNTS = [f"(1 + length(normalized_text) - length(replace(normalized_text, '{letter}', '')))" for letter in "aei"]
@@ -406,10 +464,10 @@ ORACLES["claim_scores"] = f"""WITH {FEATURES},
 margins AS (SELECT doc_id, cluster = fake AS is_fake,
     1 / (1 + exp(-20 * CASE WHEN cluster = fake THEN (d1 - d0) / (d0 + 1e-8) ELSE (d0 - d1) / (d1 + 1e-8) END)) AS confidence
   FROM sides),
-scored AS (SELECT doc_id,
-    printf('%.4f', CASE WHEN is_fake THEN 1 - confidence ELSE confidence END)::DOUBLE AS probability FROM margins)
-SELECT doc_id, probability, round_even(probability * 100, 0)::BIGINT || '% real' AS verdict, 'kmeans' AS based_on
-FROM scored"""
+scored AS (SELECT doc_id, CASE WHEN is_fake THEN 1 - confidence ELSE confidence END AS score FROM margins),
+shown AS (SELECT *, printf('%.4f', score)::DOUBLE AS probability FROM scored)
+SELECT doc_id, probability, round_even(score * 100, 0)::BIGINT || '% real' AS verdict,
+  round_even(probability * 100, 0)::BIGINT AS score_pct, 'kmeans' AS based_on FROM shown"""
 
 ORACLES["labelled_posts"] = f"WITH {LABELLED} SELECT unique_id, label FROM labelled"
 
@@ -454,13 +512,37 @@ CLAIMS = """claims AS (SELECT d.doc_id,
 
 ORACLES["scorer_cascade"] = f"WITH {CLAIMS} SELECT doc_id, round(p, 6) AS probability, based_on FROM claims"
 
-ORACLES["answered_claims"] = f"""WITH {CLAIMS}
-SELECT doc_id, round(p, 6) AS probability, based_on, round_even(p * 100, 0)::BIGINT || '% real' AS verdict,
-  CASE WHEN p >= 0.6 THEN 'true' WHEN p >= 0.4 THEN 'very likely true' WHEN p >= 0.2 THEN 'uncertain'
-       WHEN p > 0 THEN 'very likely false' ELSE 'false' END AS label,
-  round_even(p * 100, 0)::BIGINT AS score_pct,
-  CASE WHEN p >= 0.6 THEN 'success' WHEN p >= 0.4 THEN 'warning' ELSE 'danger' END AS band,
-  CASE WHEN p >= 0.4 THEN 'reliable' ELSE 'potentially misleading' END AS tone FROM claims"""
+def _answer(score: str, p: str) -> str:
+    """Columns of an answer from the unrounded score and the shown probability."""
+    return f"""round_even({score} * 100, 0)::BIGINT || '% real' AS verdict,
+  CASE WHEN {p} >= 0.6 THEN 'true' WHEN {p} >= 0.4 THEN 'very likely true' WHEN {p} >= 0.2 THEN 'uncertain'
+       WHEN {p} > 0 THEN 'very likely false' ELSE 'false' END AS label,
+  round_even({p} * 100, 0)::BIGINT AS score_pct,
+  CASE WHEN {p} >= 0.6 THEN 'success' WHEN {p} >= 0.4 THEN 'warning' ELSE 'danger' END AS band,
+  CASE WHEN {p} >= 0.4 THEN 'reliable' ELSE 'potentially misleading' END AS tone"""
+
+
+ORACLES["answered_claims"] = f"""WITH {CLAIMS}, shown AS (SELECT *, printf('%.4f', p)::DOUBLE AS probability FROM claims)
+SELECT doc_id, probability, based_on, {_answer("p", "probability")} FROM shown"""
+
+_GIVEN = f"{GIVEN_WEIGHTS}::DOUBLE[]"
+_LINEAR = f"1 / (1 + exp(-(list_dot_product(x, {_GIVEN}) + {GIVEN_INTERCEPT})))"
+_GAPS = [f"list_distance(x, {c}::DOUBLE[])" for c in GIVEN_CENTERS]
+_TURN_STYLE = _style("turns", "id", "text")
+ORACLES["answered_texts"] = f"""WITH turns AS (
+  SELECT conv_id * 1000 + turn AS id, conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'user'),
+{_TURN_STYLE},
+counted AS (SELECT id, [{", ".join(_part_counts("text"))}]::DOUBLE[] AS n FROM turns),
+vectors AS (SELECT t.*, list_concat(list_transform(c.n, lambda v: v / sqrt(list_sum(list_transform(c.n, lambda u: u * u)))),
+    [s.caps_ratio, s.exclamation_density, s.question_density, s.lexical_diversity, s.avg_word_length]::DOUBLE[]) AS x
+  FROM turns t JOIN counted c ON c.id = t.id JOIN styled s ON s.id = t.id),
+gaps AS (SELECT conv_id, turn, {_LINEAR} AS linear, {_GAPS[0]} AS d0, {_GAPS[1]} AS d1 FROM vectors),
+margins AS (SELECT *, 1 / (1 + exp(-20 * CASE WHEN d0 <= d1 THEN (d1 - d0) / (d0 + 1e-8) ELSE (d0 - d1) / (d1 + 1e-8) END))
+  AS confidence FROM gaps),
+scored AS (SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN linear WHEN d0 <= d1 THEN 1 - confidence ELSE confidence END AS p,
+  CASE WHEN conv_id % 2 = 0 THEN 'reliability_classifier' ELSE 'kmeans' END AS based_on FROM margins),
+shown AS (SELECT *, printf('%.4f', p)::DOUBLE AS probability FROM scored)
+SELECT conv_id, turn, probability, based_on, {_answer("p", "probability")} FROM shown"""
 
 ORACLES["verdict_labels"] = f"""WITH {REQUESTS},
 asked AS (SELECT ts, CASE WHEN status = 200 THEN probability END AS probability,
@@ -568,7 +650,7 @@ ORACLES["energy_breakdown"] = " UNION ALL ".join(
 ORACLES["recent_runs"] = f"""WITH {ENERGY}
 SELECT strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS time, pipeline_name AS pipeline, node_name AS node,
   printf('%.4f', energy_wh) AS energy_wh, printf('%.3f', co2_mg) AS co2_mg, printf('%.2f', duration_s) AS duration_s
-FROM logs ORDER BY timestamp DESC LIMIT 40"""
+FROM logs ORDER BY timestamp DESC, run_id, node_name LIMIT 40"""
 
 ORACLES["total_requests"] = f"WITH {REQUESTS} SELECT count(*) AS requests FROM log WHERE handler LIKE '%/ask%'"
 
@@ -614,8 +696,8 @@ ORACLES["memory_and_disk"] = f"""WITH used AS (
   SELECT event_id, round(value * 3e7 / 16e9 * 100, 6) AS ram_used, round(value * 1e9 / 500e9 * 100, 6) AS disk_used FROM events)
 SELECT *, {_band("ram_used", 75, 90)} AS ram_band, {_band("disk_used", 75, 90)} AS disk_band FROM used"""
 
-ORACLES["streamed_posts"] = f"""WITH {POSTS}
-SELECT unique_id, username, 'Discover' AS category, source_label FROM posts"""
+ORACLES["streamed_posts"] = f"""WITH {_hits(DOCUMENT_THEMES)}
+SELECT unique_id, p.username, m.category, m.source_label FROM merged m JOIN posts p USING (unique_id)"""
 
 ORACLES["streamed_cleaning"] = f"""WITH {CLEANED}, {_style("documents", "doc_id", "text")}
 SELECT unique_id, normalized_text, round(caps_ratio, 6) AS caps_ratio FROM cleaned JOIN styled USING (doc_id)"""
@@ -628,3 +710,37 @@ SELECT {START}, count(*) AS requests, count(*) FILTER (status = 500) AS errors F
 
 ORACLES["streamed_verdict_windows"] = f"""WITH {REQUESTS}
 SELECT {START}, verdict, count(*) AS requests, count(*) FILTER (status = 500) AS errors FROM windowed GROUP BY start, verdict"""
+
+
+# Fitted models, checked by what must hold for any fit.
+_EVERY = f"WITH {CLEANED}"
+ORACLES["fitted_clusters"] = f"{_EVERY} SELECT doc_id, 0.0::DOUBLE AS gap, 0::BIGINT AS drift FROM cleaned"
+ORACLES["reloaded_clusters"] = f"{_EVERY} SELECT doc_id, 0.0::DOUBLE AS difference FROM cleaned"
+ORACLES["reloaded_reliability"] = ORACLES["reloaded_clusters"]
+ORACLES["reliability_gradient"] = "SELECT unnest(range(70)) AS position, 0::BIGINT AS gradient"
+ORACLES["fitted_auc_is_valid"] = "SELECT unnest(range(5)) AS fold, true AS valid"
+ORACLES["reliability_scores"] = f"""WITH {FEATURES}
+SELECT doc_id, printf('%.4f', {_LINEAR})::DOUBLE AS reliability FROM vectors"""
+
+_AREAS = f"""{_RANKS},
+folded AS (SELECT r.label, (r.rank - 1) % 5 AS fold, (l.n_chars % 997) / 996.0::DOUBLE AS p
+  FROM ranks r JOIN labelled l ON l.unique_id = r.unique_id AND l.label = r.label),
+placed AS (SELECT label, fold, avg(place) OVER (PARTITION BY fold, p) AS mean_rank
+  FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY p) AS place FROM folded)),
+areas AS (SELECT fold::INT AS fold, (sum(mean_rank) FILTER (label = 1)
+      - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2)
+    / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)) AS roc_auc FROM placed GROUP BY fold)"""
+ORACLES["cross_validated_auc"] = f"WITH {_AREAS} SELECT fold, round(roc_auc, 6) AS roc_auc FROM areas"
+ORACLES["cross_validation_summary"] = f"""WITH {_AREAS}
+SELECT round(avg(roc_auc), 6) AS mean_auc, round(stddev_pop(roc_auc), 6) AS std_auc FROM areas"""
+
+ORACLES["sample_guards"] = f"""WITH {LABELLED},
+found AS (SELECT count(*) FILTER (label = 1) AS reliable, count(*) FILTER (label = 0) AS misinformation FROM labelled),
+guards(guard, least) AS (VALUES ('fine-tuning', 30), ('reliability', 1))
+SELECT guard, least::BIGINT AS least, reliable, misinformation,
+  reliable >= least AND misinformation >= least AS passes FROM guards, found"""
+ORACLES["training_set"] = ORACLES["stratified_split"]
+
+ORACLES["staged_classification"] = f"""WITH {_hits(THEMES)},
+kept AS (SELECT m.unique_id, m.category, {_normal("p.text")} AS normalized_text FROM merged m JOIN posts p USING (unique_id))
+SELECT unique_id, category, true AS in_range FROM kept WHERE normalized_text <> ''"""

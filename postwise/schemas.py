@@ -11,8 +11,12 @@ def _schema(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
-# One landed payload: a post as delivered by a feed or a keyword search.
-PAYLOAD = _schema(uri=_S, username=_S, text=_S, created_at=_S, lang=_S)
+# One landed payload: a post as delivered by a feed or a keyword search. ``feed`` is ``account`` or
+# ``search`` and ``term`` the account or search word, both null where unknown; ``arrival_date`` may be
+# the partition column of the landing folder.
+PAYLOAD = _schema(
+    uri=_S, username=_S, text=_S, created_at=_S, lang=_S, feed=_S, term=_S, arrival_date=T.DateType()
+)
 
 POSTS = _schema(
     text=_S, username=_S, created_at=_S, unique_id=_S, utc_saved_at=_TS, category=_S, source_label=_S

@@ -1,16 +1,13 @@
-"""Session builder, the shared scratch folder and size-checked broadcasts."""
+"""Session builder, the shared scratch folder and intermediate tables."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import lru_cache
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Most rows a broadcast key list may have (about 100 bytes each).
-BROADCAST_ROWS = 1_000_000
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -20,6 +17,8 @@ DEFAULTS = {
     "spark.driver.maxResultSize": "1g",
 }
 
+_paths: ContextVar[list[str] | None] = ContextVar("paths", default=None)
+
 
 def build_session(app_name: str = "postwise", **conf: str) -> SparkSession:
     """Session with the library's settings; keyword keys use ``__`` for dots."""
@@ -29,35 +28,48 @@ def build_session(app_name: str = "postwise", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-@lru_cache(maxsize=1)
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="postwise-")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared folder named by ``spark.checkpoint.dir``.
-
-    A local temporary folder is only taken on a local master; on a cluster the
-    executors could not see it, so an unset folder is an error there.
-    """
+    """A fresh folder below the shared folder named by ``spark.checkpoint.dir``, which must be set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = _local_folder()
-    return f"{root.rstrip('/')}/postwise/{name}-{uuid.uuid4().hex}"
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors can reach")
+    path = f"{root.rstrip('/')}/postwise/{name}-{uuid.uuid4().hex}"
+    if (held := _paths.get()) is not None:
+        held.append(path)
+    return path
+
+
+def folder(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path on it."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), jvm_path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = folder(spark, path)
+    return files.exists(place)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Deletes the scratch folders made inside; for stages, whose results are written elsewhere."""
+    token = _paths.set([])
+    try:
+        yield
+    finally:
+        held = _paths.get()
+        _paths.reset(token)
+        for path in held:
+            files, place = folder(spark, path)
+            files.delete(place, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the scratch folder and read it back.
 
-    Later uses neither repeat its work nor lose it with an executor.
+    Later uses neither repeat its work nor lose it with an executor, and the planner knows the
+    size of the files when it chooses a join.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Broadcast hint for a stored frame of few rows; larger ones are joined by shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

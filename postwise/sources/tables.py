@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +11,7 @@ from pyspark.sql import types as T
 from postwise import schemas
 from postwise.functions.scoring import real_fake
 from postwise.operators.dedup import first_rows
-from postwise.session import broadcast_if_small, stored
+from postwise.session import folder, released, stored
 
 POSTS_VIEW = ["username", "created_at", "category", "normalized_text"]
 CLASSIFIED_VIEW = ["username", "category", "is_real", "fake_news_prob", "classified_at"]
@@ -21,20 +23,6 @@ def read_landing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.PAYLOAD).json(path)
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread a table that is too small to be split by its files over all cores.
-
-    Text work is heavy per row, and a small file is one task however many cores
-    there are. Only tables below one input split per core are shuffled; larger
-    ones keep the splits of their files.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * split else df
-
-
 def parse_instant(c: Column) -> Column:
     """ISO-8601 text to a UTC timestamp; text that is no timestamp gives null."""
     return c.try_cast("timestamp")
@@ -52,8 +40,9 @@ def emotion_view(emotions: DataFrame) -> DataFrame:
     return emotions.select(*EMOTION_VIEW)
 
 
-def newest_first(df: DataFrame, ts: str = "timestamp") -> DataFrame:
-    return df.orderBy(F.desc(ts))
+def newest_first(df: DataFrame, ts: str = "timestamp", ties: Sequence[str] = ("run_id", "node_name")) -> DataFrame:
+    """Newest rows first; rows of one instant in the order of the tie columns."""
+    return df.orderBy(F.desc(ts), *ties)
 
 
 def append(df: DataFrame, path: str, loaded_at: str = "utc_saved_at") -> None:
@@ -67,64 +56,68 @@ def merge_rows(
     """``existing`` with whole rows replaced or added from ``updates``.
 
     ``order`` names the winner where the updates repeat a key; without it the
-    updates must already hold one row per key. The winners are written down
-    and counted: the existing rows are only shuffled when there are many.
+    updates must already hold one row per key. The winners are written down, so the planner
+    knows their bytes: the existing rows are only shuffled when there are many.
     """
     winners = first_rows(updates, key, order) if order else updates
     winners = stored(winners.select(*existing.columns), "winners")
-    kept = existing.join(broadcast_if_small(winners.select(key)), key, "left_anti").select(*existing.columns)
+    kept = existing.join(winners.select(key), key, "left_anti").select(*existing.columns)
     return kept.unionByName(winners)
 
 
-def _folder(spark: SparkSession, path: str):
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), jvm_path
-
-
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Append-only table at ``path``; an empty frame of the schema before the first write."""
-    fs, folder = _folder(spark, path)
-    if not fs.exists(folder):
+    files, place = folder(spark, path)
+    if not files.exists(place):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Finished versions of a table; a version counts once its commit marker is there."""
-    fs, folder = _folder(spark, path)
-    if not fs.exists(folder):
+# A keyed table is cut into parts: key buckets, or the days of a time column. An upsert writes a new version of
+# the parts it touches, then a manifest that names the version of every part. Readers follow
+# the newest manifest; files of other parts are not rewritten.
+
+
+def key_bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("string")
+
+
+def day_of(ts: str) -> Column:
+    return F.coalesce(F.date_format(ts, "yyyy-MM-dd"), F.lit("none"))
+
+
+MANIFEST = "part string, version int"
+
+
+def manifests(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished manifests; one counts once its commit marker is there."""
+    files, place = folder(spark, f"{path}/manifests")
+    if not files.exists(place):
         return []
     found = []
-    for status in fs.listStatus(folder):
-        name = status.getPath().getName()
-        done = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("version-") and fs.exists(done):
-            found.append(int(name.removeprefix("version-")))
+    for status in files.listStatus(place):
+        if files.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            found.append(int(status.getPath().getName()))
     return sorted(found)
 
 
-def read_latest(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Newest finished version; an empty frame of the schema before the first one."""
-    known = versions(spark, path)
+def _current(spark: SparkSession, path: str) -> dict[str, int]:
+    known = manifests(spark, path)
     if not known:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/version-{known[-1]}")
+        return {}
+    return {r["part"]: r["version"] for r in spark.read.schema(MANIFEST).parquet(f"{path}/manifests/{known[-1]}").collect()}
 
 
-def write_version(df: DataFrame, path: str, keep: int | None = None) -> int:
-    """Write the next version beside the current one; readers switch when it is complete.
+def _read_parts(spark: SparkSession, path: str, schema: T.StructType, parts: dict[str, int]) -> DataFrame:
+    if not parts:
+        return spark.createDataFrame([], schema)
+    paths = [f"{path}/data/version={version}/part={part}" for part, version in sorted(parts.items())]
+    return spark.read.schema(schema).parquet(*paths)
 
-    With ``keep`` only that many versions stay; older ones are deleted.
-    """
-    spark = df.sparkSession
-    known = versions(spark, path)
-    number = known[-1] + 1 if known else 1
-    df.write.mode("overwrite").parquet(f"{path}/version-{number}")
-    if keep:
-        fs, folder = _folder(spark, path)
-        for old in [v for v in known if v <= number - keep]:
-            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"version-{old}"), True)
-    return number
+
+def read_latest(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The table as of the newest manifest; an empty frame of the schema before the first one."""
+    return _read_parts(spark, path, schema, _current(spark, path))
 
 
 def upsert(
@@ -132,9 +125,53 @@ def upsert(
     path: str,
     key: str,
     schema: T.StructType,
+    part: Column,
     order: list[Column] | None = None,
     keep: int | None = None,
 ) -> int:
-    """Merge ``updates`` into the versioned table at ``path``; returns the version written."""
-    current = read_latest(updates.sparkSession, path, schema)
-    return write_version(merge_rows(current, updates, key, order), path, keep)
+    """Merge ``updates`` into the table at ``path``; returns the number of the manifest written.
+
+    ``part`` gives the part of a row from its key columns: rows with one key share a part. Only the parts that
+    the updates touch are read and written; the driver holds one version number per part. With ``keep``
+    the versions that only older manifests name are deleted.
+    """
+    spark = updates.sparkSession
+    with released(spark):
+        winners = first_rows(updates, key, order) if order else updates
+        winners = stored(winners.select(*schema.names).withColumn("_part", part), "winners")
+        touched = [r["_part"] for r in winners.select("_part").distinct().collect()]
+        current, known = _current(spark, path), manifests(spark, path)
+        number = known[-1] + 1 if known else 1
+        if touched:
+            old = _read_parts(spark, path, schema, {p: v for p, v in current.items() if p in set(touched)})
+            merged = merge_rows(old.withColumn("_part", part), winners, key)
+            # One file per part.
+            dealt = merged.withColumnRenamed("_part", "part").repartition("part")
+            dealt.write.mode("overwrite").partitionBy("part").parquet(f"{path}/data/version={number}")
+        current |= dict.fromkeys(touched, number)
+        rows = spark.createDataFrame(sorted(current.items()), MANIFEST)
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifests/{number}")
+    if keep:
+        _forget(spark, path, [n for n in known if n <= number - keep])
+    return number
+
+
+def _forget(spark: SparkSession, path: str, old: list[int]) -> None:
+    """Delete old manifests, and the parts of versions that no manifest left names."""
+    for number in old:
+        files, place = folder(spark, f"{path}/manifests/{number}")
+        files.delete(place, True)
+    needed = set()
+    for number in manifests(spark, path):
+        needed |= {tuple(r) for r in spark.read.schema(MANIFEST).parquet(f"{path}/manifests/{number}").collect()}
+    files, place = folder(spark, f"{path}/data")
+    if not files.exists(place):
+        return
+    for version in files.listStatus(place):
+        name = version.getPath().getName()
+        if not name.startswith("version="):
+            continue
+        for found in files.listStatus(version.getPath()):
+            part = found.getPath().getName()
+            if part.startswith("part=") and (part.removeprefix("part="), int(name.removeprefix("version="))) not in needed:
+                files.delete(found.getPath(), True)

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from postwise.functions.scoring import verdict_label
 from postwise.operators.service_metrics import WINDOW_MINUTES, ask_requests
-from postwise.sources.tables import upsert
+from postwise.sources.tables import day_of, upsert
 from postwise.streaming.posts import run_available
 
 LATENESS = "10 minutes"
@@ -54,8 +54,8 @@ def verdict_windows(log: DataFrame, ts: str = "ts", delay: str = LATENESS) -> Da
 def store_windows(path: str, schema: T.StructType) -> Callable[[DataFrame, int], None]:
     """Batch handler: replace the rows of changed windows.
 
-    A window is identified by all columns but the counts. The table has one
-    row per window, so rewriting it is cheap; the last few versions are kept.
+    A window is identified by all columns but the counts. The table is cut by the day of the
+    window, and only the days of a batch are rewritten; the last few versions are kept.
     """
     counts = {"count", "requests", "errors"}
     names = [field.name for field in schema if field.name not in counts]
@@ -63,11 +63,12 @@ def store_windows(path: str, schema: T.StructType) -> Callable[[DataFrame, int],
 
     def handle(batch: DataFrame, _: int) -> None:
         key = F.concat_ws("|", *[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names])
-        upsert(batch.withColumn("window_key", key), path, "window_key", keyed, keep=KEPT_VERSIONS)
+        changed = batch.withColumn("window_key", key)
+        upsert(changed, path, "window_key", keyed, day_of("window_start"), keep=KEPT_VERSIONS)
 
     return handle
 
 
-def stream_windows(windows: DataFrame, path: str, checkpoint: str) -> None:
+def stream_windows(windows: DataFrame, path: str, checkpoint: str, state_partitions: int | None = None) -> None:
     """Keep the table at ``path`` equal to the windows seen so far."""
-    run_available(windows, store_windows(path, windows.schema), checkpoint, mode="update")
+    run_available(windows, store_windows(path, windows.schema), checkpoint, "update", state_partitions)

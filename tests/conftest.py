@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pathlib
 import sys
+import tempfile
 
 import pytest
 
@@ -22,6 +23,8 @@ def test_session():
         spark__sql__streaming__forceDeleteTempCheckpointLocation="true",
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="postwise-tests-"))
     return spark
 
 

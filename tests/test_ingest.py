@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pathlib
+
 from pyspark.sql import functions as F
 
 from postwise import schemas
@@ -23,23 +25,66 @@ def test_handles(spark):
 
 
 def _payloads(spark, rows):
-    return spark.createDataFrame(rows, schemas.PAYLOAD)
+    """Rows of uri, username, text, created_at, lang and, where known, feed and term."""
+    return spark.createDataFrame([(*r, *[None] * (8 - len(r))) for r in rows], schemas.PAYLOAD)
 
 
-def test_first_theme_owns_a_post_and_keywords_are_limited(spark):
+def test_first_theme_owns_a_post_and_none_is_lost(spark):
     rows = [(f"u{i}", f"user{i}", "World NEWS about science", f"2024-01-01T00:00:{i:02d}Z", "en") for i in range(40)]
     rows += [("fr", "u", "news", "2024-01-02T00:00:00Z", "fr"), ("empty", "u", "", "2024-01-02T00:00:00Z", "en")]
     found = ingest.keyword_posts(_payloads(spark, rows)).collect()
-    assert len(found) == 25
+    assert len(found) == 40
     assert {r["category"] for r in found} == {"Discover"}
-    assert min(r["created_at"] for r in found) == "2024-01-01T00:00:15Z"
+
+
+def test_words_are_matched_whole(spark):
+    texts = ["He said it rained again", "AI rules", "the ai.", "newsletter", "x_ai", "ai2", "Ai-made", "fact   check", "Fact check!"]
+    rows = [(f"u{i}", "a", t, f"2024-01-01T00:00:{i:02d}Z", "en") for i, t in enumerate(texts)]
+    found = {r["uri"]: r["category"] for r in ingest.keyword_posts(_payloads(spark, rows)).collect()}
+    assert found == {"u1": "Hot Topics", "u2": "Hot Topics", "u6": "Hot Topics", "u8": "Misinformation"}
+
+
+def test_delivery_comes_before_the_text(spark):
+    at = "2024-01-01T00:00:00Z"
+    rows = [
+        ("s", "a", "breaking news", at, "fr", "search", "Hoax"),
+        ("unlisted", "b", "world news", at, "en", "search", "cats"),
+        ("fed", "c", "hoax", at, "en", "account", "c"),
+        ("found", "reuters.com", "plain", at, "en", "search", "AI"),
+        ("listed", "npr.org", "hoax", at, "en"),
+    ]
+    payloads = _payloads(spark, rows)
+    wanted = {"s": "Misinformation", "unlisted": "Discover", "fed": "Reliable", "found": "Hot Topics", "listed": "Reliable"}
+    merged = ingest.merge_feeds(ingest.account_posts(payloads), ingest.keyword_posts(payloads))
+    assert {r["uri"]: r["category"] for r in merged.collect()} == wanted
+    assert {r["uri"]: r["category"] for r in ingest.themed_posts(payloads).collect()} == wanted
+
+
+def _landed():
+    rows = [(f"a{i}", "reuters.com", "hoax", f"2024-01-01T00:00:{i:02d}Z", "en") for i in range(30)]
+    rows += [(f"k{i}", f"user{i}", "news", f"2024-01-01T00:01:{i:02d}Z", "en") for i in range(40)]
+    return rows + [("other", "x", "nothing here", "2024-01-01T00:02:00Z", "en"), ("a1", *rows[1][1:], "search", "hoax")]
+
+
+def test_batch_and_stream_store_all_landed_posts(spark, tmp_path):
+    landing, stored = str(tmp_path / "landing"), str(tmp_path / "posts")
+    _payloads(spark, _landed()).write.json(landing)
+    for _ in range(2):
+        jobs.ingest_stage(spark, landing, stored, state_partitions=4)
+    streamed = spark.read.parquet(stored).select("unique_id", *ingest.POST_COLUMNS)
+    known = spark.createDataFrame([], schemas.POSTS)
+    batch = ingest.new_posts(_payloads(spark, _landed()), known).select("unique_id", *ingest.POST_COLUMNS)
+    assert streamed.count() == 70 and sorted(map(str, streamed.collect())) == sorted(map(str, batch.collect()))
+    _payloads(spark, [("new", "y", "news", "2024-01-03T00:00:00Z", "en")]).write.mode("append").json(landing)
+    jobs.ingest_stage(spark, landing, stored, state_partitions=4)
+    assert spark.read.parquet(stored).count() == 71
 
 
 def test_account_feed_takes_listed_handles_only(spark):
     rows = [(f"u{i}", "reuters.com", "t", f"2024-01-01T00:00:{i:02d}Z", "en") for i in range(30)]
     rows += [("x", "desk.reuters.com", "t", "2024-01-01T00:00:00Z", "en")]
     found = ingest.account_posts(_payloads(spark, rows)).collect()
-    assert len(found) == 20 and {r["username"] for r in found} == {"reuters.com"}
+    assert len(found) == 30 and {r["username"] for r in found} == {"reuters.com"}
     assert {r["source_label"] for r in found} == {"reliable"}
 
 
@@ -68,32 +113,47 @@ def test_unseen_keeps_repeats_and_drops_known(spark):
     assert incremental.unseen(new.limit(0), known).columns == new.columns
 
 
-def test_upsert_versions(spark, tmp_path):
+def test_upsert_rewrites_touched_parts_only(spark, tmp_path):
     path = str(tmp_path / "t")
     schema = spark.createDataFrame([("a", 1)], "k string, v int").schema
+    part = F.substring("k", 1, 1)
     assert tables.read_latest(spark, path, schema).count() == 0
-    tables.upsert(spark.createDataFrame([("a", 1), ("b", 1)], schema), path, "k", schema)
+    tables.upsert(spark.createDataFrame([("a", 1), ("b", 1), ("b2", 1)], schema), path, "k", schema, part)
+    files = {p: p.read_bytes() for p in (tmp_path / "t").rglob("part=a/*.parquet")}
     update = spark.createDataFrame([("b", 2, 1), ("b", 3, 2), ("c", 4, 1)], "k string, v int, at int")
-    assert tables.upsert(update, path, "k", schema, [F.desc("at")]) == 2
-    # An unfinished version is not read.
-    (tmp_path / "t" / "version-3").mkdir()
+    assert tables.upsert(update, path, "k", schema, part, [F.desc("at")]) == 2
+    assert files and {p: p.read_bytes() for p in (tmp_path / "t").rglob("part=a/*.parquet")} == files
+    # An unfinished manifest is not read.
+    (tmp_path / "t" / "manifests" / "3").mkdir()
     rows = {r["k"]: r["v"] for r in tables.read_latest(spark, path, schema).collect()}
-    assert rows == {"a": 1, "b": 3, "c": 4}
+    assert rows == {"a": 1, "b": 3, "b2": 1, "c": 4}
+    for v in range(4):
+        tables.upsert(spark.createDataFrame([("b", v)], schema), path, "k", schema, part, keep=2)
+    assert len(tables.manifests(spark, path)) == 2
+    assert len(list((tmp_path / "t").rglob("part=b"))) == 2 and len(list((tmp_path / "t").rglob("part=a"))) == 1
+    assert {r["k"]: r["v"] for r in tables.read_latest(spark, path, schema).collect()}["b"] == 3
+    assert tables.upsert(update.limit(0), path, "k", schema, part, [F.desc("at")]) > 0
+    assert tables.read_latest(spark, path, schema).count() == 4
+
+
+def _scratch(spark):
+    root = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "postwise"
+    return set(root.iterdir()) if root.exists() else set()
 
 
 def test_stages_add_nothing_when_rerun(spark, tmp_path):
     names = ("landing", "posts", "cleaned", "classified", "emotions", "model", "reliability")
     path = {name: str(tmp_path / name) for name in names}
     given.payloads(spark, SF_DIR).write.json(path["landing"])
-    feed = given.posts(spark, SF_DIR).select([f.name for f in schemas.POSTS if f.name != "utc_saved_at"])
-    tables.append(feed, path["posts"])
+    before = _scratch(spark)
 
     def run():
         jobs.run_stages(spark, path["landing"], str(tmp_path), given.stand_in_emotion_model())
         return [spark.read.parquet(path[n]).count() for n in ("posts", "cleaned", "classified", "emotions")]
 
     first, again = run(), run()
-    assert first == again and first[0] == feed.count()
+    assert first == again
+    assert first[0] == ingest.themed_posts(given.payloads(spark, SF_DIR)).count() > 50
     assert jobs.classify_stage(spark, path["cleaned"], path["classified"], path["model"]) == 0
     classified = spark.read.parquet(path["classified"])
     assert classified.select("unique_id").distinct().count() == classified.count()
@@ -101,6 +161,16 @@ def test_stages_add_nothing_when_rerun(spark, tmp_path):
     assert set(schemas.CLASSIFIED.names) == set(classified.columns)
     summary = jobs.reliability_stage(spark, path["cleaned"], path["reliability"], folds=2).first()
     assert 0.0 <= summary["mean_auc"] <= 1.0
+    assert _scratch(spark) == before
+
+    # Claims are answered by the models that the stages have stored, first scorer first.
+    claims = spark.createDataFrame([(1, "Breaking NEWS!"), (2, None)], "claim_id long, text string")
+    stored_models = jobs.load_claim_models(spark, str(tmp_path / "models" / "kmeans"), path["reliability"])
+    answered = jobs.answer_texts(claims, stored_models).collect()
+    assert {r["based_on"] for r in answered} == {"reliability_classifier"}
+    assert all(r["verdict"] == f"{round(r['score'] * 100)}% real" for r in answered)
+    fallback = jobs.load_claim_models(spark, str(tmp_path / "models" / "kmeans"), str(tmp_path / "missing"))
+    assert {r["based_on"] for r in jobs.answer_texts(claims, fallback).collect()} == {"kmeans"}
 
 
 def test_parameter_tables(spark):

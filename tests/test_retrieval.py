@@ -42,12 +42,11 @@ def _brute_force(k):
     return wanted
 
 
-@pytest.mark.parametrize("query_weights", [1, 3, 1_000_000])
+@pytest.mark.parametrize("threshold", ["-1", "10485760"])
 @pytest.mark.parametrize("frequent", [2, 100_000])
-def test_retrieval_equals_brute_force(spark, tmp_path, monkeypatch, query_weights, frequent):
-    monkeypatch.setattr(retrieval, "QUERY_WEIGHTS", query_weights)
+def test_retrieval_equals_brute_force(spark, tmp_path, monkeypatch, threshold, frequent):
     monkeypatch.setattr(retrieval, "FREQUENT_TERMS", frequent)
-    monkeypatch.setattr(retrieval, "SCORE_CELLS", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     docs = spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, text string").repartition(3)
     queries = spark.createDataFrame(list(enumerate(QUERIES)), "query_id long, text string")
     path = str(tmp_path / "index")
@@ -55,25 +54,10 @@ def test_retrieval_equals_brute_force(spark, tmp_path, monkeypatch, query_weight
     wanted = retrieval.query_weights(queries, spark.read.parquet(f"{path}/terms"))
     found = retrieval.retrieve(wanted, spark.read.parquet(f"{path}/vectors"), k=3)
     got = {(r["query_id"], r["rank"]): (r["doc_id"], round(r["similarity"], 8)) for r in found.collect()}
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == _brute_force(3)
 
 
-def test_documents_longer_than_an_arrow_batch(spark, tmp_path):
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
-    try:
-        docs = spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, text string").coalesce(1)
-        queries = spark.createDataFrame(list(enumerate(QUERIES)), "query_id long, text string")
-        path = str(tmp_path / "index")
-        retrieval.write_index(docs, path)
-        wanted = retrieval.query_weights(queries, spark.read.parquet(f"{path}/terms"))
-        found = retrieval.retrieve(wanted, spark.read.parquet(f"{path}/vectors"), k=5)
-        got = {(r["query_id"], r["rank"]): (r["doc_id"], round(r["similarity"], 8)) for r in found.collect()}
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    assert got == _brute_force(5)
-
-
 def test_no_queries(spark, tmp_path):
     docs = spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, text string")
     path = str(tmp_path / "index")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postwise import schemas
-from postwise.functions.handles import source_label
 from postwise.functions.text import clean_text, normalize_text
 from postwise.sources import tables
 from postwise.streaming import posts as post_streams
@@ -13,7 +12,7 @@ from postwise.streaming import windows as window_streams
 
 
 def _drop(spark, path, rows):
-    spark.createDataFrame(rows, schemas.PAYLOAD).coalesce(1).write.mode("append").json(path)
+    spark.createDataFrame([(*r, None, None, None) for r in rows], schemas.PAYLOAD).coalesce(1).write.mode("append").json(path)
 
 
 def test_two_drops_with_repeats_and_an_old_post(spark, tmp_path):
@@ -22,8 +21,8 @@ def test_two_drops_with_repeats_and_an_old_post(spark, tmp_path):
     second = [first[0], ("u3", "c", "Old post", "2024-01-10T00:00:00Z", "en"), ("u4", "d", "", "2024-03-01T00:00:00Z", "en")]
 
     def run():
-        stream = post_streams.read_payload_stream(spark, landing).withColumn("category", F.lit("Discover"))
-        post_streams.stream_posts(stream.withColumn("source_label", source_label(F.col("username"))), stored, checkpoint)
+        stream = post_streams.read_payload_stream(spark, landing)
+        post_streams.stream_posts(stream, stored, checkpoint, 4, themes={"Discover": ["hello", "news", "old post"]})
 
     _drop(spark, landing, first)
     run()
@@ -34,10 +33,8 @@ def test_two_drops_with_repeats_and_an_old_post(spark, tmp_path):
     assert got == ["a_2024-03-01T00:00:00Z", "b_2024-03-01T00:01:00Z", "c_2024-01-10T00:00:00Z"]
 
     # A fresh checkpoint replays everything; the stored keys still add nothing.
-    stream = post_streams.read_payload_stream(spark, landing).withColumn("category", F.lit("Discover"))
-    post_streams.stream_posts(
-        stream.withColumn("source_label", F.lit("unverified")), stored, str(tmp_path / "other")
-    )
+    stream = post_streams.read_payload_stream(spark, landing)
+    post_streams.stream_posts(stream, stored, str(tmp_path / "other"), 4, themes={"Discover": ["hello", "news", "old post"]})
     assert spark.read.parquet(stored).count() == 3
 
     cleaned = str(tmp_path / "cleaned")
