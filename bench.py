@@ -22,6 +22,10 @@ HEADLINE = [
     "merged_feeds",
     "unseen_posts",
     "cluster_scores",
+    "hashed_embeddings",
+    "cross_validated_auc",
+    "staged_classification",
+    "answered_texts",
     "fitted_clusters",
     "reliability_scores",
     "stratified_split",
@@ -33,6 +37,7 @@ HEADLINE = [
     "http_latency",
     "cpu_busy",
     "streamed_request_windows",
+    "streamed_cleaning",
 ]
 
 
@@ -45,6 +50,8 @@ def main() -> None:
         spark__sql__shuffle__partitions=cpus,
         spark__ui__enabled="false",
         spark__driver__memory="16g",
+        # The bench tables have one file each; their texts are spread over the threads.
+        spark__postwise__textPartitions=cpus,
     )
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}

@@ -19,6 +19,7 @@ most frequent words and the band totals, all of fixed size, are broadcast.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postwise.llm.common import remainder, shared_path, stored, table, text_bytes, whole_text
+from postwise.llm.common import remainder, stored, table, text_bytes, whole_text
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 # Words with a code of their own; the rest is coded by the band of its count.
@@ -47,8 +48,8 @@ SLOTS = 1 << SLOT_BITS
 GATES, KINDS, CELLS = 64, 3, 32
 # Bound of the rows whose decisions fit the gated weights and the refinement.
 FIT_ROWS = 2048
-# Parts of an input partition; a task holds the words of one.
-BLOCKS_PER_PARTITION = 2
+# Input bytes whose distinct words a task holds at once; larger input splits are cut into several blocks.
+BLOCK_BYTES = 16 << 20
 FLUSH_WORDS = 400_000
 SMOOTH = 0.1
 
@@ -543,6 +544,12 @@ def _corpus(totals: DataFrame, ends: int) -> Corpus:
     return Corpus(int(sums[0]) + ends, int(sums[1]) + (ends > 0), ends, head, bands, masses)
 
 
+def _split_bytes(spark: SparkSession) -> int:
+    """Largest split of an input file, as the session has it."""
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").strip().lower()).groups()
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
 def score(df: DataFrame, training: Column, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """One row per row of ``df``: the id, counts, base score, model score and bits per byte.
 
@@ -553,26 +560,26 @@ def score(df: DataFrame, training: Column, text: str = "text", id_column: str =
     decision has probability one half. Repeated rows stay repeated; other columns are left out.
     """
     spark = df.sparkSession
-    block = F.spark_partition_id() * BLOCKS_PER_PARTITION + F.pmod(F.xxhash64(f"`{id_column}`"), F.lit(BLOCKS_PER_PARTITION))
-    path = shared_path(spark, "blocks")
+    pieces = -(-_split_bytes(spark) // BLOCK_BYTES)
+    block = F.spark_partition_id() * pieces + F.pmod(F.xxhash64(f"`{id_column}`"), F.lit(pieces))
     parts = df.select(
         block.cast("long").alias("_block"),
         F.coalesce(training, F.lit(False)).alias("_learn"),
         whole_text(text).cast("binary").alias("_body"),
         F.col(f"`{id_column}`").alias("_id"),
     )
-    parts.write.option("compression", "zstd").parquet(path)
-    parts = spark.read.schema(parts.schema).parquet(path)
+    parts = stored(parts, "blocks", "zstd")
     ends = parts.filter("_learn").count()
     words = stored(
         parts.select("_block", "_learn", "_body").mapInArrow(_sum_words, "block long, word binary, n long, outside boolean"),
         "words",
+        "zstd",
     )
     totals = stored(words.groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0"), "totals")
     corpus = _corpus(totals, ends)
     # A word of a single training row that no held-out row of the block has is known from the row itself.
-    alone = (F.col("c") == 1) & (F.col("n") == 1) & ~F.col("outside")
-    counts = words.join(totals, "word").filter(~alone)
+    once = ((F.col("n") == 1) & ~F.col("outside")).alias("once")
+    counts = words.select("block", "word", once).join(totals, "word").filter("NOT (once AND c = 1)")
     kind = parts.schema["_id"].dataType
     both = counts.select(
         F.col("block").alias("_block"),
@@ -592,7 +599,7 @@ def score(df: DataFrame, training: Column, text: str = "text", id_column: str =
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _coder(*head.value, 6)(batches)
 
-    coded = stored(dealt.mapInArrow(code, schema), "coded")
+    coded = stored(dealt.mapInArrow(code, schema), "coded", "zstd")
     model = _fit(coded, corpus)
     shared = spark.sparkContext.broadcast(model)
 
