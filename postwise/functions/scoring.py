@@ -49,12 +49,12 @@ def cascade(finetuned: Column, reliability: Column, kmeans: Column) -> tuple[Col
     return probability, based_on
 
 
-def verdict_label(p: Column) -> Column:
+def verdict_label(p: Column, likely: float = LIKELY, probable: float = PROBABLE, possible: float = POSSIBLE) -> Column:
     """Five levels; null stays null."""
     return (
-        F.when(p >= LIKELY, "true")
-        .when(p >= PROBABLE, "very likely true")
-        .when(p >= POSSIBLE, "uncertain")
+        F.when(p >= likely, "true")
+        .when(p >= probable, "very likely true")
+        .when(p >= possible, "uncertain")
         .when(p > 0, "very likely false")
         .when(p.isNotNull(), "false")
     )

@@ -378,6 +378,15 @@ def themed_in_one_pass(spark, sf):
     return found.select("uri", "unique_id", "category", "source_label")
 
 
+@query
+def themed_by_tables(spark, sf):
+    """The same from the stored tables of accounts and keywords."""
+    accounts = parameters.as_accounts(parameters.reliable_accounts(spark))
+    themes = parameters.as_themes(parameters.keyword_themes(spark, DOCUMENT_THEMES))
+    found = ingest.themed_posts(given.payloads(spark, sf), themes=themes, accounts=accounts)
+    return found.select("uri", "unique_id", "category", "source_label")
+
+
 @query
 def distinct_keys(spark, sf):
     posts = given.posts(spark, sf)
@@ -670,9 +679,11 @@ def sample_guards(spark, sf):
         F.coalesce(F.sum(F.when(F.col("label") == 1, F.col("n"))), F.lit(0)).alias("reliable"),
         F.coalesce(F.sum(F.when(F.col("label") == 0, F.col("n"))), F.lit(0)).alias("misinformation"),
     )
-    guards = spark.createDataFrame([("fine-tuning", 30), ("reliability", 1)], "guard string, least long")
+    guards = [("fine-tuning", 30), ("reliability", 1)]
+    listed = F.array(*[F.struct(F.lit(g).alias("guard"), F.lit(n).cast("long").alias("least")) for g, n in guards])
     enough = (F.col("reliable") >= F.col("least")) & (F.col("misinformation") >= F.col("least"))
-    return guards.join(F.broadcast(found)).select("guard", "least", "reliable", "misinformation", enough.alias("passes"))
+    rows = found.select("reliable", "misinformation", F.inline(listed))
+    return rows.select("guard", "least", "reliable", "misinformation", enough.alias("passes"))
 
 
 @query
@@ -764,6 +775,15 @@ def verdict_labels(spark, sf):
     )
 
 
+@query
+def verdict_labels_by_table(spark, sf):
+    """Labels by the stored table of thresholds."""
+    bounds = parameters.as_bounds(parameters.thresholds(spark))
+    levels = {name: bounds[name] for name in ("likely", "probable", "possible")}
+    log = given.request_log(spark, sf).filter("status = 200")
+    return log.select(clock_micros("ts").alias("asked_at"), scoring.verdict_label(F.col("probability"), **levels).alias("label"))
+
+
 # Retrieval
 
 

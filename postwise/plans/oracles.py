@@ -362,6 +362,8 @@ ORACLES["merged_feeds"] = f"WITH {_hits(DOCUMENT_THEMES)} SELECT * FROM merged"
 
 ORACLES["themed_in_one_pass"] = ORACLES["merged_feeds"]
 
+ORACLES["themed_by_tables"] = ORACLES["merged_feeds"]
+
 ORACLES["distinct_keys"] = f"WITH {POSTS} SELECT DISTINCT unique_id FROM posts"
 
 ORACLES["lowercase_text"] = "SELECT doc_id, lower(text) AS result FROM documents"
@@ -555,6 +557,9 @@ SELECT strftime(ts, {MICROS}) AS asked_at, probability, label,
   CASE WHEN label IN ('true', 'very likely true') THEN 'reliable'
        WHEN label IS NOT NULL THEN 'potentially misleading' END AS tone FROM asked"""
 
+ORACLES["verdict_labels_by_table"] = f"""WITH {REQUESTS}
+SELECT strftime(ts, {MICROS}) AS asked_at, verdict AS label FROM log WHERE status = 200"""
+
 ORACLES["tfidf_weights"] = f"WITH {TFIDF} SELECT doc_id, term, round(weight, 6) AS weight FROM postings"
 
 ORACLES["retrieved_documents"] = rf"""WITH {TFIDF},

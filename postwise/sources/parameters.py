@@ -27,6 +27,23 @@ def keyword_themes(spark: SparkSession, themes: dict[str, list[str]] = constants
     )
 
 
+def as_themes(table: DataFrame) -> dict[str, list[str]]:
+    """A keyword table as the themes of the ingest operators; a short list by nature."""
+    rows = table.orderBy("theme_rank", "keyword_rank").select("category", "keyword").collect()
+    themes: dict[str, list[str]] = {}
+    for category, keyword in rows:
+        themes.setdefault(category, []).append(keyword)
+    return themes
+
+
+def as_accounts(table: DataFrame) -> list[str]:
+    return [r["username"] for r in table.select("username").distinct().orderBy("username").collect()]
+
+
+def as_bounds(table: DataFrame) -> dict[str, float]:
+    return {r["name"]: r["value"] for r in table.select("name", "value").collect()}
+
+
 def thresholds(spark: SparkSession) -> DataFrame:
     """Probability thresholds and metric bands by name."""
     rows = [
