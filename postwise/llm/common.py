@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 # Rows of an Arrow batch worked on at once; bounds the Python objects alive, not the rows.
 SLICE_ROWS = 512
+# Rows of a batch between Spark and Python unless the session names another number: texts are wide rows.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +29,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/postwise-llm/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -45,15 +47,19 @@ def whole_text(column: str) -> Column:
 
 
 def boxed(df: DataFrame, **columns: str) -> DataFrame:
-    """Every row as one struct ``row``, beside copies of some columns under names of the caller's.
+    """Every row as one struct ``row``, beside copies of some short columns under names of the caller's.
 
-    Work on the copies cannot meet a column of the input, whatever its name;
-    ``select("row.*")`` gives the rows back.
+    Work beside the struct cannot meet a column of the input, whatever its name;
+    ``select("row.*")`` gives the rows back. ``inside`` names a text in the struct for ``attach``.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
     return df.select(row, *[F.col(f"`{c}`").alias(name) for name, c in columns.items()])
 
 
+def inside(df: DataFrame, column: str) -> tuple[str, int]:
+    return "row", df.columns.index(column)
+
+
 def worker_cache() -> dict:
     """Objects that live as long as the Python worker, such as compiled tables."""
     return sys.__dict__.setdefault("_postwise_llm_cache", {})
@@ -65,9 +71,16 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in values.to_pylist()]
 
 
+def narrow_batches(spark: SparkSession) -> None:
+    """Smaller batches for wide rows, where the session has the default number of rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def attach(
     df: DataFrame,
-    text: str,
+    text: str | tuple[str, int],
     fields: Sequence[T.StructField],
     make: Callable[[], Callable[[list[bytes]], list]],
     keep: Sequence[str] | None = None,
@@ -77,7 +90,10 @@ def attach(
     ``make()`` runs once per task and returns a function from the UTF-8 texts of a
     batch to one Arrow-convertible column per field. ``keep`` names the input columns to
     pass on (all by default); one whose name equals a new field, in any case, is replaced.
+    ``text`` may be a struct column and the place of the text in it.
     """
+    narrow_batches(df.sparkSession)
+    text, place = text if isinstance(text, tuple) else (text, None)
     new = {f.name.lower() for f in fields}
     names = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     schema = T.StructType([df.schema[c] for c in names] + list(fields))
@@ -88,7 +104,8 @@ def attach(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = make()
         for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
-            made = score(text_bytes(batch.column(wanted.index(text))))
+            source = batch.column(wanted.index(text))
+            made = score(text_bytes(source if place is None else source.field(place)))
             arrays = [batch.column(wanted.index(n)) for n in names]
             arrays += [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(made, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=out_names)

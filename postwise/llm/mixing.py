@@ -1,19 +1,20 @@
 """Language-model scoring by online logistic context mixing.
 
 A text is a sequence of words and one end. Each token is a path of binary decisions: a Huffman code of
-its class (unknown, end, a set of frequent words, or a band of word counts), then the
-bits of its place in the set of frequent words; or the bits of its group in the band (by its ending) and its
-share c / C of that group; or, for an unknown word, the bits of its bytes. Each decision is predicted from several contexts (none, the last token, the last two tokens, the
-last two frequent words; for bytes the last one, two and three bytes). A context and the node of
-the decision are hashed to a slot with two counts. The predictions, as log odds, are summed with
-weights that a gate chooses by the confidence of the contexts; the weights are learned online,
-decision by decision in small batches, and a last table, adapted in the same pass, refines the mixed probability. The logarithms add
-up to the probability of the text and its bits per byte.
-
-On Spark: word counts come from all training rows. Documents are dealt to blocks, and a block gets
-the counts of its own words by joins on the word, so no task or broadcast holds the vocabulary, and texts are
-shuffled once. The counts of the slots are sums of fixed-size arrays over all training rows. Only those, the
-most frequent words and the band totals, all of fixed size, are broadcast.
+its class (unknown, end, a set of frequent words, or a band of word counts), then the bits of its place
+in the set of frequent words; or the bits of its group in the band (by its ending) and its share c / C
+of that group; or, for an unknown word, the bits of its bytes. Each decision is predicted from several
+contexts (none, the last token, the last two tokens, the last two frequent words; for bytes the last
+one, two and three bytes). A context and the node of the decision are hashed to a slot with two
+counts. The predictions, as log odds, are summed with weights that a gate chooses by the confidence of
+the contexts; the weights are learned online, decision by decision in small batches, and a last table,
+adapted in the same pass, refines the mixed probability. The logarithms add up to the probability of
+the text and its bits per byte.
+
+On Spark: word counts come from all training rows. Documents are dealt to blocks, and a block gets the
+counts of its own words by joins on the word, so no task or broadcast holds the vocabulary, and texts
+are shuffled once. The counts of the slots are sums of fixed-size arrays over all training rows. Only
+those, the most frequent words and the band totals, all of fixed size, are broadcast.
 """
 
 from __future__ import annotations
@@ -546,7 +547,8 @@ def _corpus(totals: DataFrame, ends: int) -> Corpus:
 
 def _split_bytes(spark: SparkSession) -> int:
     """Largest split of an input file, as the session has it."""
-    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").strip().lower()).groups()
+    text = spark.conf.get("spark.sql.files.maxPartitionBytes").strip().lower()
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", text).groups()
     return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
 
 
