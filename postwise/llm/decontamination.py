@@ -18,13 +18,14 @@ n words leaks where a passage has a word edit distance of at most ``(1 - similar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postwise.llm.common import attach, boxed, table
+from postwise.llm.common import attach, boxed, inside, table
 from postwise.llm.licenses import WORD_BYTES
 
 SIMILARITY = 0.8
@@ -152,7 +153,7 @@ class Search:
         get, lists = self.codes.get, []
         for body in texts:
             words = words_of(body)
-            lists.append(np.fromiter((get(w, 0) for w in words), np.uint32, len(words)))
+            lists.append(np.fromiter(map(get, words, repeat(0)), np.uint32, len(words)))
         # One array with a foreign word behind each text, so that no pair spans two texts.
         gap = np.zeros(1, np.uint32)
         codes = np.concatenate([x for c in lists for x in (c, gap)]) if lists else gap
@@ -169,14 +170,22 @@ class Search:
         return out
 
     def _best(self, codes: np.ndarray, low: int, high: int, item: int, starts: set[int]) -> tuple[int, int, int] | None:
-        size, most, best = len(self.items[item][1]), self.edits[item], None
+        words, mask, most, best = self.items[item][1], self.masks[item], self.edits[item], None
+        size = len(words)
+        # A literal copy needs no search.
+        for start in sorted(starts):
+            if low <= start and start + size <= high and codes[start : start + size].tolist() == words:
+                return start - low, start + size - low, 0
         for start in sorted(starts):
             begin = max(low, start - most)
             window = codes[begin : min(high, start + size + most)].tolist()
-            edits, end = _least_edits(self.masks[item], size, window)
+            # Each word of the item that the passage lacks costs an edit.
+            if sum(map(mask.__contains__, window)) < size - most:
+                continue
+            edits, end = _least_edits(mask, size, window)
             if edits <= most and (best is None or edits < best[2]):
                 # The same search backwards from the end finds the begin.
-                turned = {c: int(bin(m + (1 << size))[3:][::-1], 2) for c, m in self.masks[item].items()}
+                turned = {c: int(bin(m + (1 << size))[3:][::-1], 2) for c, m in mask.items()}
                 _, length = _least_edits(turned, size, window[:end][::-1])
                 best = (begin + end - length - low, begin + end - low, edits)
                 if edits == 0:
@@ -235,7 +244,9 @@ def blocks(items: DataFrame, id_column: str, text: str) -> Iterator[list[tuple]]
             yield found
 
 
-def mark(df: DataFrame, block: list[tuple], text: str, similarity: float, keep: list[str] | None) -> DataFrame:
+def mark(
+    df: DataFrame, block: list[tuple], text: str | tuple[str, int], similarity: float, keep: list[str] | None
+) -> DataFrame:
     """``df`` with one entry per leaked item of a block: number in the block, place in words, edits."""
     search = Search([(n, body) for n, (_, body) in enumerate(block)], similarity)
 
@@ -297,7 +308,7 @@ def decontaminate(
 ) -> DataFrame:
     """The rows of ``docs`` in which no item leaks, with their columns unchanged."""
     for block in blocks(items, item_id, item_text):
-        marked = mark(boxed(docs, body=text), block, "body", SIMILARITY, ["row"])
+        marked = mark(boxed(docs), block, inside(docs, text), SIMILARITY, ["row"])
         docs = marked.filter(F.size("leak_items") == 0).select("row.*")
     return docs
 
