@@ -30,9 +30,9 @@ from pyspark.sql import types as T
 from postwise.llm.common import attach, table, worker_cache
 
 # Distinct words, with their marks, that a worker keeps with their ids before it starts anew.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 # Arcs looked up so far that a worker keeps.
-TABLE_ARCS = 1_000_000
+TABLE_ARCS = 500_000
 NEVER = 1 << 62
 CONTROLS = re.compile("[\x1c-\x1f]")
 
@@ -143,8 +143,6 @@ class Tokenizer:
         )
         splits = [p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.words = regex.compile(splits[0]["pattern"]["Regex"]).findall
-        labels = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in special.items()}
-        self.labels = [labels.get(i) for i in range(max(labels) + 1)]
         self.symbols = {b: s for b, s in enumerate(byte_symbols())}
         missing = [s for s in self.symbols.values() for e in {"", self.automaton.word_end} if s + e not in model["vocab"]]
         if missing:
@@ -188,20 +186,30 @@ class Tokenizer:
                 out += self._plain(part)
         return b"".join(out)
 
+
+class Labels:
+    """The label of every arc of the automaton, by id; decoding needs nothing else."""
+
+    def __init__(self, text: str) -> None:
+        spec = json.loads(text)
+        found = {i: t for t, i in spec["model"]["vocab"].items()}
+        found |= {t["id"]: t["content"] for t in spec.get("added_tokens", [])}
+        self.labels = [found.get(i) for i in range(max(found) + 1)]
+
     def decode(self, packed: bytes) -> str:
         """The labels on the arcs, joined as a vocabulary without a decoder joins them."""
         labels = map(self.labels.__getitem__, np.frombuffer(packed, dtype="<u4").tolist())
         return " ".join([label for label in labels if label is not None])
 
 
-def _loader(path: str) -> Callable[[], Tokenizer]:
+def _loader(path: str, kind: type) -> Callable[[], Tokenizer | Labels]:
     with open(path, encoding="utf-8") as file:
         text = file.read()
 
-    def load() -> Tokenizer:
-        cache, key = worker_cache(), ("bpe", hash(text))
+    def load() -> Tokenizer | Labels:
+        cache, key = worker_cache(), (kind.__name__, hash(text))
         if key not in cache:
-            cache[key] = Tokenizer(text)
+            cache[key] = kind(text)
         return cache[key]
 
     return load
@@ -214,7 +222,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", keep: list[str] |
     Null and empty texts have no tokens and empty ids; special tokens in a text count as
     such. Input columns named like the new ones are replaced; an empty table stays empty.
     """
-    load = _loader(tokenizer)
+    load = _loader(tokenizer, Tokenizer)
 
     def make():
         tokens = load()
@@ -230,11 +238,11 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", keep: list[str] |
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """``df`` with ``decoded``, the labels of the packed ids; null ids decode to the empty text."""
-    load = _loader(tokenizer)
+    load = _loader(tokenizer, Labels)
 
     def make():
-        tokens = load()
-        return lambda packed: [[tokens.decode(p) for p in packed]]
+        labels = load()
+        return lambda packed: [[labels.decode(p) for p in packed]]
 
     return attach(df, ids, [T.StructField("decoded", T.StringType())], make, keep)
 

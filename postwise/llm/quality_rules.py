@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postwise.llm.common import attach, boxed, stored, table
+from postwise.llm.common import attach, boxed, inside, stored, table
 
 # Rates in per mille with the tolerance: a rate within it of the median is never an outlier.
 RATES = {
@@ -89,7 +89,7 @@ def measures(body: bytes) -> tuple[int, ...]:
     )
 
 
-def measure(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def measure(df: DataFrame, text: str | tuple[str, int] = "text", keep: list[str] | None = None) -> DataFrame:
     """``df`` with word, symbol, line and repeat counts of the whole text; null has none of them.
 
     Upper-case letters are A-Z; an echo is a word equal to the one before it. Input columns named like the new ones are replaced.
@@ -204,10 +204,9 @@ def judge(df: DataFrame, counted: DataFrame) -> DataFrame:
 
 
 def _measured(docs: DataFrame, keep: list[str]) -> DataFrame:
-    kept = boxed(docs, body="text", _lang="lang", _source="source")
-    names = ["row"] if keep == ["*"] else []
-    ids = [F.col(f"row.`{c}`").alias(c) for c in keep if c != "*"]
-    return measure(kept.select(*names, *ids, "body", "_lang", "_source"), "body", [*names, *[c for c in keep if c != "*"], "_lang", "_source"])
+    """Counts beside language, source and some columns, without the texts."""
+    rows = docs.select(*keep, *[F.col(f"`{c}`").alias(f"_{c}") for c in ("lang", "source", "text")])
+    return measure(rows, "_text", [*keep, "_lang", "_source"])
 
 
 def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -221,7 +220,8 @@ def remove_failing(docs: DataFrame) -> DataFrame:
 
     The counts are taken twice, so that neither texts nor row numbers have to be stored.
     """
-    return judge(_measured(docs, ["*"]), _measured(docs, [])).filter("kept").select("row.*")
+    rows = measure(boxed(docs, _lang="lang", _source="source"), inside(docs, "text"), ["row", "_lang", "_source"])
+    return judge(rows, _measured(docs, [])).filter("kept").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

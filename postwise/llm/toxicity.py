@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postwise.llm.common import attach, boxed, remainder, table, text_bytes
+from postwise.llm.common import attach, boxed, inside, remainder, table, text_bytes
 
 SLOTS = 1 << 20
 ORDERS = (3, 4, 5)
@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str, text: str, label:
 
 
 def classify(
-    df: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None
+    df: DataFrame, model: Model, text: str | tuple[str, int] = "text", threshold: float = THRESHOLD, keep: list[str] | None = None
 ) -> DataFrame:
     """``df`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on).
 
@@ -199,7 +199,7 @@ def train_on_labels(docs: DataFrame, labels: DataFrame) -> Model:
 
 def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with their columns unchanged."""
-    scored = classify(boxed(docs, body="text"), train_on_labels(docs, labels), "body", keep=["row"])
+    scored = classify(boxed(docs), train_on_labels(docs, labels), inside(docs, "text"), keep=["row"])
     return scored.filter("predicted = 0").select("row.*")
 
 

@@ -128,13 +128,13 @@ class _Files:
 def key_ranges(sizes: DataFrame, target: int | None) -> list[tuple[int, int]]:
     """Contiguous key ranges (first, last) of about ``target`` bytes; ``sizes`` has ``key`` and ``bytes``.
 
-    Without a target there are 256 ranges, of 8 to 256 MB each. The driver holds 4,096 sums, and
+    Without a target there are 256 ranges, of 2 to 256 MB each. The driver holds 4,096 sums, and
     4,096 more for every bucket that is larger than a range.
     """
     bounds = sizes.agg(F.min("key").alias("low"), F.max("key").alias("high"), F.sum("bytes").alias("total")).first()
     if bounds["low"] is None:
         return []
-    target = target or min(256 << 20, max(8 << 20, int(bounds["total"]) // 256))
+    target = target or min(256 << 20, max(2 << 20, int(bounds["total"]) // 256))
     open_, done = [(int(bounds["low"]), int(bounds["high"]))], []
     while open_:
         widths = {low: -(-(high - low + 1) // BUCKETS) for low, high in open_}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from postwise.llm import bpe, decontamination, quality_rules, simhash, toxicity
+from postwise.llm import bpe, decontamination, quality_rules, toxicity
 from postwise.llm.common import stored, table
 from test_simhash import plain_components, plain_fingerprint
 
