@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -65,6 +67,15 @@ def worker_cache() -> dict:
     return sys.__dict__.setdefault("_postwise_llm_cache", {})
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: workers live on through later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of every text; null is empty."""
     values = column.cast(pa.binary()) if not pa.types.is_binary(column.type) else column
@@ -109,6 +120,7 @@ def attach(
             arrays = [batch.column(wanted.index(n)) for n in names]
             arrays += [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(made, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=out_names)
+        give_back()
 
     return df.select(*[F.col(f"`{c}`") for c in wanted]).mapInArrow(run, schema)
 
