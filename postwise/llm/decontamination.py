@@ -7,18 +7,20 @@ n words leaks where a passage has a word edit distance of at most ``(1 - similar
    So a leak has a place where a pair from the head of the item stands in the document, and windows begin
    at these places only; the item is embedded from each of these pairs on. No leak is lost by it.
 2. Embedding. The CGK random walk reads the window: step j writes the present word and moves on if a
-   random bit of (j, word) is set. Edit distance becomes Hamming distance of the writings.
-   Windows have the size of an item: walks are cut by size classes of the item rests.
-3. Bit-sampling LSH. Each table samples ``SAMPLED`` steps of one walk; a window meets the items with
-   equal words there. With ``WALKS`` walks and ``TABLES`` tables each, and as many windows per leak as
-   pairs are untouched, the chance to meet no table is small; ``tests/llm`` measures the recall.
+   random bit of (j, word) is set. Edit distance becomes Hamming distance of the writings. Words of
+   no item have codes of their own, so the walk moves on over them as well.
+3. Bit-sampling LSH. Each table samples up to ``SAMPLED`` of the first steps of one walk; a window meets
+   the items with equal words there. How far the steps reach and how many walks there are is chosen per
+   size class of items: the most selective setting that finds ``RECALL`` of copies of its own items
+   planted among foreign words with all allowed edits. ``tests/llm`` measures the recall.
 4. Verification. Every candidate is checked by the exact edit distance of item and passage.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +31,11 @@ from postwise.llm.common import attach, boxed, inside, table
 from postwise.llm.licenses import WORD_BYTES
 
 SIMILARITY = 0.8
-WALKS, TABLES, SAMPLED = 4, 4, 3
+TABLES, SAMPLED = 4, 3
+# Last step that tables sample and number of walks, the most selective first; without steps a word pair is enough.
+SETTINGS = [(12, 8), (8, 8), (6, 8), (5, 8), (4, 8), (3, 8), (2, 8), (1, 4), (0, 1)]
+# Share of the planted copies, for each way to place the edits, that the tables of a class have to find.
+RECALL, COPIES = 0.998, 500
 # Text of the items that one pass over the documents looks for; more items take more passes.
 BLOCK_BYTES = 8 << 20
 SEED = 71
@@ -55,8 +61,8 @@ class Search:
         lists = [(number, words_of(text)) for number, text in items]
         lists = [(number, words) for number, words in lists if words]
         vocabulary = sorted({w for _, words in lists for w in words})
-        # Odd multiples are distinct and spread over 32 bits; 0 is any other word.
-        self.codes = {w: (i * CODE) % (1 << 32) for i, w in enumerate(vocabulary, 1)}
+        # Odd multiples are distinct and spread over 31 bits. Words of items get odd codes, others even ones; 0 is no word.
+        self.codes = {w: (i * CODE) % (1 << 31) * 2 + 1 for i, w in enumerate(vocabulary, 1)}
         self.items = [(number, [self.codes[w] for w in words]) for number, words in lists]
         self.edits = [allowed_edits(len(codes), similarity) for _, codes in self.items]
         self.masks = []
@@ -69,35 +75,95 @@ class Search:
         self.classes = [self._class(rng, low, rests) for low, rests in sorted(self._rests().items())]
 
     def _rests(self) -> dict[int, list[tuple[int, int]]]:
-        """Item rests (item, offset) that windows are compared with, by the power of two of their size."""
+        """Item rests (item, offset) that windows are compared with, by the power of two of the item's size."""
         found: dict[int, list[tuple[int, int]]] = {}
         for i, (_, codes) in enumerate(self.items):
-            heads = range(min(2 * self.edits[i] + 2, max(1, len(codes) - 1)))
-            for offset in heads:
-                low = 1 << ((len(codes) - offset).bit_length() - 1)
-                found.setdefault(low, []).append((i, offset))
+            low = 1 << (len(codes).bit_length() - 1)
+            found.setdefault(low, []).extend((i, offset) for offset in self._heads(i))
         return found
 
+    def _heads(self, item: int) -> range:
+        return range(min(2 * self.edits[item] + 2, max(1, len(self.items[item][1]) - 1)))
+
     def _class(self, rng: np.random.Generator, low: int, rests: list[tuple[int, int]]) -> dict:
-        """Walks and tables for rests of ``low`` to ``2 * low - 1`` words."""
-        steps = max(2, 3 * low // 2)
-        walks = []
-        flat = np.concatenate([np.array(self.items[i][1][o:] + [0] * (steps + 1), np.uint32) for i, o in rests])
-        lengths = [len(self.items[i][1]) - o + steps + 1 for i, o in rests]
+        """Walks and tables for items of ``low`` to ``2 * low - 1`` words."""
+        items = sorted({i for i, _ in rests})
+        planted = [self._planted(rng, items, way) for way in ("even", "random", "dense")]
+        for reach, number in SETTINGS:
+            walks = [self._walk(rng, reach, low > 1) for _ in range(number)]
+            if all(self._found(walks, reach, *copies) >= RECALL for copies in planted):
+                break
+        flat = np.concatenate([np.array(self.items[i][1][o:] + [0] * (reach + 1), np.uint32) for i, o in rests])
+        lengths = [len(self.items[i][1]) - o + reach + 1 for i, o in rests]
         starts = np.cumsum([0, *lengths[:-1]])
-        for _ in range(WALKS):
-            turns = rng.integers(0, 1 << 32, steps, dtype=np.uint32) | np.uint32(1)
-            tables = [
-                np.sort(rng.choice(np.arange(1, steps), min(SAMPLED, steps - 1), replace=False)) for _ in range(TABLES)
-            ]
-            mixers = rng.integers(0, 1 << 63, (TABLES, steps), dtype=np.uint64) | np.uint64(1)
-            walk = {"turns": turns, "tables": tables, "mixers": mixers, "buckets": []}
+        for walk in walks:
             for keys in self._keys(walk, flat, starts):
                 order = np.argsort(keys, kind="stable")
                 walk["buckets"].append((keys[order], order))
-            walks.append(walk)
         pairs = sorted({self._pair(self.items[i][1], o) for i, o in rests})
-        return {"rests": rests, "walks": walks, "pairs": np.array(pairs, np.uint64), "steps": steps}
+        return {"rests": rests, "walks": walks, "pairs": np.array(pairs, np.uint64), "reach": reach}
+
+    @staticmethod
+    def _walk(rng: np.random.Generator, reach: int, paired: bool) -> dict:
+        """A walk whose tables sample steps up to ``reach``; step 0 is in the word pair."""
+        chosen = {tuple(np.sort(rng.choice(reach, min(SAMPLED, reach), replace=False) + 1).tolist()) for _ in range(TABLES)}
+        return {
+            "turns": rng.integers(0, 1 << 32, reach + 1, dtype=np.uint32) | np.uint32(1),
+            "tables": sorted(chosen),
+            "mixers": rng.integers(0, 1 << 63, (len(chosen), reach + 1), dtype=np.uint64) | np.uint64(1),
+            "paired": paired,
+            "buckets": [],
+        }
+
+    def _planted(
+        self, rng: np.random.Generator, items: list[int], way: str
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Copies of items with all allowed edits: the codes of copies and items one after another, and per
+        untouched head pair the number of the copy, its place in a copy and its place in an item."""
+        codes, numbers, places, origins = [0], [], [], []
+        pad = max(reach for reach, _ in SETTINGS) + 1
+        # Long items make fewer copies, of about a million words together.
+        for number in range(max(20, min(COPIES, (1 << 20) // len(self.items[items[0]][1])))):
+            item = items[int(rng.integers(len(items)))]
+            words, edits = self.items[item][1], self.edits[item]
+            size, kinds = len(words), [0] * edits
+            if way == "even":
+                at = [(j * size + size // 2) // edits for j in range(edits)]
+            elif way == "dense":
+                # Runs of two words, as far as the edits go.
+                at = [3 * j + int(rng.integers(3)) // 2 for j in range(edits)]
+            else:
+                at = rng.choice(size, edits, replace=False).tolist()
+                kinds = rng.integers(0, 3, edits).tolist()
+            touched = dict(zip(at, kinds, strict=True))
+            foreign = iter((rng.integers(1, 1 << 31, edits + pad) * 2).tolist())
+            copy, where = [], {}
+            for i, word in enumerate(words):
+                # 0 replaces the word, 1 drops it, 2 puts another one before it.
+                kind = touched.get(i)
+                if kind in (0, 2):
+                    copy.append(next(foreign))
+                if kind in (None, 2):
+                    where[i] = len(copy)
+                    copy.append(word)
+            first, origin = len(codes), len(codes) + len(copy) + pad
+            codes += [*copy, *islice(foreign, pad), *words, *[0] * pad]
+            for o in self._heads(item):
+                if o in where and (size == 1 or where.get(o + 1) == where[o] + 1):
+                    numbers.append(number)
+                    places.append(first + where[o])
+                    origins.append(origin + o)
+        return np.array(codes, np.uint32), np.array(numbers, int), np.array(places, int), np.array(origins, int)
+
+    def _found(
+        self, walks: list[dict], reach: int, codes: np.ndarray, numbers: np.ndarray, places: np.ndarray, origins: np.ndarray
+    ) -> float:
+        """Share of planted copies that share a table entry with their item, of those with an untouched pair."""
+        met = np.zeros(len(places), bool)
+        for walk in walks:
+            for here, there in zip(self._keys(walk, codes, places), self._keys(walk, codes, origins), strict=True):
+                met |= here == there
+        return len(np.unique(numbers[met])) / max(1, len(np.unique(numbers)))
 
     @staticmethod
     def _pair(codes: list[int], offset: int) -> int:
@@ -106,10 +172,13 @@ class Search:
 
     @staticmethod
     def _keys(walk: dict, codes: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-        """Per table, the words that the walks from ``starts`` write at its sampled steps, as one number."""
+        """Per table, the word pairs at ``starts`` and the words that the walks write at its sampled steps, as one number."""
         at = starts.copy()
         last = max((int(t[-1]) for t in walk["tables"] if len(t)), default=0)
-        keys = [np.zeros(len(at), np.uint64) for _ in walk["tables"]]
+        head = codes[at].astype(np.uint64) << np.uint64(32)
+        if walk["paired"]:
+            head |= codes[at + 1]
+        keys = [head * mixer for mixer in walk["mixers"][:, 0]]
         for step in range(last + 1):
             word = codes[at]
             for k, sampled in enumerate(walk["tables"]):
@@ -122,7 +191,7 @@ class Search:
         """(place, item, offset) of windows that share a table entry with an item."""
         if len(codes) < 2:
             return
-        known = codes != 0
+        known = codes & 1 == 1
         both = codes[:-1].astype(np.uint64) << np.uint64(32) | codes[1:]
         for group in self.classes:
             pairs = group["pairs"]
@@ -133,7 +202,7 @@ class Search:
                 places = np.union1d(places, np.flatnonzero(_in_sorted(single, codes[:-1])))
             if not len(places):
                 continue
-            padded = np.concatenate([codes, np.zeros(group["steps"] + 1, np.uint32)])
+            padded = np.concatenate([codes, np.zeros(group["reach"] + 1, np.uint32)])
             seen: set[tuple[int, int]] = set()
             for walk in group["walks"]:
                 for keys, (sorted_keys, order) in zip(
@@ -153,8 +222,14 @@ class Search:
         get, lists = self.codes.get, []
         for body in texts:
             words = words_of(body)
-            lists.append(np.fromiter(map(get, words, repeat(0)), np.uint32, len(words)))
-        # One array with a foreign word behind each text, so that no pair spans two texts.
+            codes = np.fromiter(map(get, words, repeat(0)), np.uint32, len(words))
+            # Other words get even codes of their own, which equal no word of an item.
+            other = np.flatnonzero(codes == 0)
+            if len(other):
+                hashed = np.fromiter(map(crc32, map(words.__getitem__, other.tolist())), np.uint32, len(other))
+                codes[other] = np.maximum(hashed & np.uint32(0xFFFFFFFE), np.uint32(2))
+            lists.append(codes)
+        # One array with a gap behind each text, so that no pair spans two texts.
         gap = np.zeros(1, np.uint32)
         codes = np.concatenate([x for c in lists for x in (c, gap)]) if lists else gap
         begins = np.cumsum([0] + [len(c) + 1 for c in lists])

@@ -58,6 +58,31 @@ def test_recall_and_exactness(size):
             assert edits == plain_edits(items[item], text[begin:end])
 
 
+@pytest.mark.parametrize("size", [20, 45, 100, 200, 300])
+@pytest.mark.parametrize("way", ["even", "random"])
+def test_recall_among_foreign_words(size, way):
+    rng = random.Random(size)
+    items = [[f"w{rng.randrange(3000)}" for _ in range(size)] for _ in range(20)]
+    search = deco.Search([(i, " ".join(w).encode()) for i, w in enumerate(items)])
+    most = deco.allowed_edits(size, 0.8)
+    for edits in sorted({1, most // 4, most // 2, 3 * most // 4, most}):
+        texts = []
+        for n in range(100):
+            words = list(items[n % 20])
+            places = rng.sample(range(size), edits) if way == "random" else [(j * size + size // 2) // edits for j in range(edits)]
+            for at in places:
+                words[at] = f"new{rng.randrange(10**6)}"
+            around = [f"far{rng.randrange(10**6)}" for _ in range(30)]
+            texts.append(" ".join(around[:15] + words + around[15:]).encode())
+        found = search.find(texts)
+        assert sum(any(leak[0] == n % 20 for leak in leaks) for n, leaks in enumerate(found)) >= 98, edits
+
+
+def test_items_of_one_word():
+    search = deco.Search([(i, b"item%d" % i) for i in range(40)])
+    assert all(search.find([b"far item%d away" % i])[0] == [(i, 1, 2, 0)] for i in range(40))
+
+
 def test_least_edits_equals_table():
     rng = random.Random(2)
     for _ in range(300):
