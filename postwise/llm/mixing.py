@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postwise.llm.common import remainder, stored, table, text_bytes, whole_text
+from postwise.llm.common import give_back, remainder, stored, table, text_bytes, whole_text
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 # Words with a code of their own; the rest is coded by the band of its count.
@@ -47,8 +47,8 @@ LOWERED = 0x8000
 SLOT_BITS, CONTEXTS, CHUNK = 18, 4, 1 << 14
 SLOTS = 1 << SLOT_BITS
 GATES, KINDS, CELLS = 64, 3, 32
-# Bound of the rows whose decisions fit the gated weights and the refinement.
-FIT_ROWS = 2048
+# Passes over all training rows that fit the gated weights and the refinement.
+ROUNDS = 2
 # Input bytes whose distinct words a task holds at once; larger input splits are cut into several blocks.
 BLOCK_BYTES = 16 << 20
 FLUSH_WORDS = 400_000
@@ -240,36 +240,60 @@ def _softplus(x: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, x)
 
 
-def fit_weights(
-    batches: Iterator[tuple[list[np.ndarray], np.ndarray, int, np.ndarray]], counts: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """Gated weights and refinement, learned online from decisions that ``counts`` contains.
+def _without(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds of every slot for either bit, and its confidence, without the decision itself."""
+    less = np.maximum(counts - 1, 0)
+    odds = np.stack([_odds(less[:, 0], counts[:, 1]), _odds(counts[:, 0], less[:, 1])], axis=1)
+    return odds.ravel(), _confidence(np.maximum(counts.sum(axis=1) - 1, 0))
 
-    Each decision is left out of the counts that predict it.
-    """
+
+def first_weights() -> np.ndarray:
     weights = np.full((KINDS * GATES, CONTEXTS + 1), 0.4)
     weights[:, CONTEXTS] = 0
-    hits = np.tile(1 / (1 + np.exp(-(np.arange(CELLS) - CELLS / 2 + 0.5) * 16 / CELLS)), KINDS) * 8
-    tries = np.full(KINDS * CELLS, 8.0)
+    return weights
+
+
+def learn(
+    batches: Iterator[tuple[list[np.ndarray], np.ndarray, int, np.ndarray]],
+    odds: np.ndarray,
+    confidence: np.ndarray,
+    weights: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Weights learned online from where they stand, decisions per gate, and ones and decisions per cell.
+
+    ``odds`` and ``confidence`` leave each decision out of the counts that predict it.
+    """
+    weights = weights.copy()
+    seen, hits, tries = np.zeros(len(weights)), np.zeros(KINDS * CELLS), np.zeros(KINDS * CELLS)
     for slots, bits, kind, _ in batches:
         for at in range(0, len(bits), 4096):
-            bit = bits[at : at + 4096].astype(np.float64)
-            pairs = [counts[s[at : at + 4096]].astype(np.float64) for s in slots]
-            zeros = [np.maximum(p[:, 0] - (1 - bit), 0) for p in pairs]
-            ones = [np.maximum(p[:, 1] - bit, 0) for p in pairs]
-            inputs = np.stack([*map(_odds, zeros, ones), np.full(len(bit), 0.3)], axis=1).astype(np.float64)
-            gate = _gate([_confidence(z + o) for z, o in zip(zeros, ones, strict=True)], kind)
-            mixed = np.clip((inputs * weights[gate]).sum(axis=1), -16, 16)
+            bit = bits[at : at + 4096]
+            part = [s[at : at + 4096] for s in slots]
+            inputs = [odds[s * 2 + bit] for s in part]
+            gate = _gate([confidence[s] for s in part], kind)
+            now = weights.astype(np.float32)
+            mixed = now[gate, CONTEXTS] * np.float32(0.3)
+            for k, x in enumerate(inputs):
+                mixed += now[gate, k] * x
+            mixed = np.clip(mixed, -16, 16)
             error = bit - 1 / (1 + np.exp(-mixed))
-            seen = np.bincount(gate, minlength=len(weights))
-            for k in range(CONTEXTS + 1):
-                step = np.bincount(gate, error * inputs[:, k], len(weights))
-                weights[:, k] += 0.02 * step / np.sqrt(np.maximum(seen, 1))
+            here = np.bincount(gate, minlength=len(weights))
+            rate = 0.02 / np.sqrt(np.maximum(here, 1))
+            for k, x in enumerate(inputs):
+                weights[:, k] += rate * np.bincount(gate, error * x, len(weights))
+            weights[:, CONTEXTS] += rate * 0.3 * np.bincount(gate, error, len(weights))
             cell = _cell(mixed, kind)
+            seen += here
             hits += np.bincount(cell, bit, len(hits))
             tries += np.bincount(cell, minlength=len(tries))
-    share = hits / tries
-    return weights.astype(np.float32), np.log(share / (1 - share)).astype(np.float32)
+    return weights, seen, hits, tries
+
+
+def _refinement(hits: np.ndarray, tries: np.ndarray) -> np.ndarray:
+    """Log odds of the ones that came in every cell of mixed log odds; 8 decisions stand for the cell's own."""
+    own = np.tile(1 / (1 + np.exp(-(np.arange(CELLS) - CELLS / 2 + 0.5) * 16 / CELLS)), KINDS)
+    share = (hits + own * 8) / (tries + 8)
+    return np.log(share / (1 - share)).astype(np.float32)
 
 
 def log_probability(
@@ -594,7 +618,9 @@ def score(df: DataFrame, training: Column, text: str = "text", id_column: str =
         parts.select("_block", F.lit(1).alias("_kind"), "_body", F.lit(0).cast("long").alias("_count"), "_learn", "_id")
     )
     most = parts.agg(F.max("_block")).first()[0]
-    dealt = both.repartition(max(1, (most or 0) + 1), "_block").sortWithinPartitions("_block", "_kind")
+    dealt = both.repartition(max(1, (most or 0) + 1), "_block").sortWithinPartitions(
+        "_block", "_kind", F.xxhash64("_id"), "_id", "_body"
+    )
     schema = T.StructType([T.StructField("_learn", T.BooleanType()), T.StructField("_id", kind), *CODED])
     head = spark.sparkContext.broadcast((corpus.head, corpus.bands, ends))
 
@@ -632,16 +658,42 @@ def score(df: DataFrame, training: Column, text: str = "text", id_column: str =
     )
 
 
+def _learning(shared, weights: np.ndarray):
+    """Map function: coded training texts to the sums of what a task learns, one row per number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masses, odds, confidence = shared.value
+        coder = Coder(masses)
+        decisions = (d for b in _slices(batches, 64) for d in coder.decisions(*_texts(b, learning=True)))
+        found, seen, hits, tries = learn(decisions, odds, confidence, weights)
+        sums = np.concatenate([(found * seen[:, None]).ravel(), seen, hits, tries])
+        used = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(sums[used])], names=["place", "part"])
+        give_back()
+
+    return run
+
+
 def _fit(coded: DataFrame, corpus: Corpus) -> Model:
-    coder = Coder(corpus.masses)
-    counts = slot_counts(coded, coder)
-    # Texts of at most 32,768 tokens, in the order of an id hash: at most 128 MB, a few as a rule.
-    rows = coded.filter("_learn AND octet_length(codes) <= 65536").orderBy(F.xxhash64("_id"), "_id", "codes")
-    sample = rows.select("codes", "unknown", "rare").limit(FIT_ROWS).toArrow()
-    chosen = (d for b in _slices(iter(sample.to_batches()), 64) for d in coder.decisions(*_texts(b, learning=True)))
-    weights, refined = fit_weights(chosen, counts)
-    confidence = _confidence(counts.sum(axis=1))
-    return Model(corpus.masses, _odds(counts[:, 0], counts[:, 1]), confidence, weights, refined)
+    """Counts, weights and refinement from all training rows.
+
+    In each round the tasks learn online from the same weights; the next weights are the averages
+    of theirs, each gate weighted by its decisions. Ones and decisions per cell are those of the last round.
+    """
+    counts = slot_counts(coded, Coder(corpus.masses))
+    shared = coded.sparkSession.sparkContext.broadcast((corpus.masses, *_without(counts)))
+    rows, weights = coded.filter("_learn").select("codes", "unknown", "rare"), first_weights()
+    sizes = np.cumsum([weights.size, len(weights), KINDS * CELLS])
+    for _ in range(ROUNDS):
+        sums = np.zeros(sizes[-1] + KINDS * CELLS)
+        parts = rows.mapInArrow(_learning(shared, weights), "place int, part double")
+        for r in parts.groupBy("place").agg(F.sum("part").alias("total")).collect():
+            sums[r["place"]] = r["total"]
+        moved, seen, hits, tries = np.split(sums, sizes)
+        weights = np.where(seen[:, None] > 0, moved.reshape(weights.shape) / np.maximum(seen, 1)[:, None], weights)
+    shared.destroy()
+    odds, confidence = _odds(counts[:, 0], counts[:, 1]), _confidence(counts.sum(axis=1))
+    return Model(corpus.masses, odds, confidence, weights.astype(np.float32), _refinement(hits, tries))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

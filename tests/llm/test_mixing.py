@@ -87,3 +87,13 @@ def test_odd_rows(spark):
     untrained = mixing.score(frame, F.lit(False)).collect()
     assert {r["train_tokens"] for r in untrained} == {0} and {r["base_score"] for r in untrained} == {0.0}
     assert {r["held_out"] for r in untrained} == {True}
+
+
+def test_weights_come_from_all_training_rows(spark, monkeypatch):
+    rows = [(i, f"the cat number {i} sat on the mat and then ran away") for i in range(2500)] + [(9000, "long " * 40_000)]
+    frame, seen = spark.createDataFrame(rows, "doc_id long, text string"), []
+    kept = mixing._refinement
+    monkeypatch.setattr(mixing, "_refinement", lambda hits, tries: seen.append((hits, tries)) or kept(hits, tries))
+    assert mixing.score(frame, F.lit(True)).count() == len(rows)
+    # Every token, the end of a text included, takes at least one decision; words take further ones.
+    assert len(seen) == 1 and seen[0][1].sum() >= 2500 * 12 + 40_001 and (seen[0][0] <= seen[0][1]).all()
