@@ -1,6 +1,7 @@
 """License scans: phrase places, and an exact containment join of text blocks with templates.
 
-A block (a line) matches a template when it holds at least ``threshold`` of the template's
+A block is a line; or, for notices that are wrapped, a window of as many words as the template has, over
+line ends. A block matches a template when it holds at least ``threshold`` of the template's
 distinct words. The words of all templates are ordered by their frequency in the whole
 corpus, rarest first. A match must share at least ``need = ceil(threshold * size)`` words, so:
 
@@ -102,6 +103,7 @@ class Matcher:
         ranked = sorted(set().union(*sets.values()), key=lambda w: (counts.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(ranked)}
         self.size, self.need, self.place = {}, {}, {}
+        self.length = {label: len(words_of(t.encode())) for label, t in templates.items()}
         self.index: dict[int, list[tuple[str, int]]] = {}
         for label, words in sorted(sets.items()):
             order = sorted(self.rank[w] for w in words)
@@ -113,6 +115,49 @@ class Matcher:
                 self.index.setdefault(r, []).append((label, i))
         self.prefix_words = frozenset(w for w, r in self.rank.items() if r in self.index)
 
+    def wrapped(self, lines: list[list[bytes]], found: set[tuple[str, int]]) -> list[tuple[str, int, float]]:
+        """(template, first line, containment) of windows over line ends, the best of each template and group.
+
+        Windows that touch a line in ``found``, where the template stands already, are left out.
+        """
+        ranks = [self.rank.get(w, -1) for line in lines for w in line]
+        line_of = [number for number, line in enumerate(lines) for _ in line]
+        where: dict[int, list[int]] = {}
+        for at, r in enumerate(ranks):
+            if r in self.index:
+                where.setdefault(r, []).append(at)
+        out = []
+        for label, place in self.place.items():
+            width, need = self.length[label], self.need[label]
+            # Prefix filter: a window holds one of the template's prefix words.
+            prefix = [r for r in place if r in where and place[r] <= len(place) - need]
+            near = sorted({at for r in prefix for at in where[r]})
+            taken = {number for name, number in found if name == label}
+            group, low = [], 0
+            for k, at in enumerate(near):
+                # Places whose windows meet are counted in one run.
+                if k + 1 < len(near) and near[k + 1] - at < width:
+                    continue
+                group = range(max(0, near[low] - width + 1), min(len(ranks), at + width))
+                low = k + 1
+                best, held = None, Counter()
+                for end in group:
+                    if ranks[end] in place:
+                        held[ranks[end]] += 1
+                    begin = end - width + 1
+                    if begin - 1 >= group[0] and ranks[begin - 1] in place:
+                        held[ranks[begin - 1]] -= 1
+                        if not held[ranks[begin - 1]]:
+                            del held[ranks[begin - 1]]
+                    first = max(begin, group[0])
+                    if len(held) >= need and (best is None or len(held) > best[0]):
+                        if line_of[first] < line_of[end] and taken.isdisjoint(range(line_of[first], line_of[end] + 1)):
+                            inside = next(i for i in range(first, end + 1) if ranks[i] in place)
+                            best = len(held), line_of[inside]
+                if best is not None:
+                    out.append((label, best[1], best[0] / len(place)))
+        return out
+
     def matches(self, words: list[bytes]) -> list[tuple[str, float]]:
         """Templates that the block of these words holds, with their containment."""
         block = sorted({self.rank[w] for w in words if w in self.rank})
@@ -153,7 +198,7 @@ def scan(
     threshold: float = THRESHOLD,
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """``df`` with word count, phrase places and one entry per matching line and template.
+    """``df`` with word count, phrase places and one entry per matching line, or first line of a wrapped notice, and template.
 
     ``first_word`` and ``last_word`` are the smallest and largest start of a phrase place
     (words from 0), null without one; lines count from 0. Null and empty texts have no words and no
@@ -186,10 +231,13 @@ def scan(
             if starts:
                 labels.append(label)
         found = []
-        for number, line in enumerate(body.split(b"\n")):
-            tokens = words_of(line)
+        lines = [words_of(line) for line in body.split(b"\n")]
+        for number, tokens in enumerate(lines):
             if not matcher.prefix_words.isdisjoint(tokens):
                 found += [(label, number, share) for label, share in matcher.matches(tokens)]
+        if len(lines) > 1:
+            found += matcher.wrapped(lines, {(label, number) for label, number, _ in found})
+            found.sort(key=lambda x: (x[1], x[0]))
         first, last = (min(places), max(places)) if places else (None, None)
         by = [list(c) for c in zip(*found, strict=True)] if found else [[], [], []]
         return len(words), len(places), first, last, sorted(set(labels)), *by

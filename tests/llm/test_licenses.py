@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import textwrap
 
 from postwise.llm import licenses
 
@@ -47,3 +48,21 @@ def test_odd_rows(spark):
     assert out[2]["match_lines"] == [1] and out[2]["match_containment"] == [1.0]
     assert (out[3]["n_words"], out[3]["n_base"]) == (4, 2)
     assert out[4]["match_labels"] == []
+
+
+def test_wrapped_notices():
+    matcher = licenses.Matcher(licenses.TEMPLATES, licenses.THRESHOLD, {})
+    for label, template in licenses.TEMPLATES.items():
+        words = template.split()
+        for width in (2, 3, 5, 8, 12):
+            lines = ["zig zag", *(" ".join(words[at : at + width]) for at in range(0, len(words), width)), "zig zag"]
+            tokens = [licenses.words_of(line.encode()) for line in lines]
+            single = {(name, n) for n, line in enumerate(tokens) for name, _ in matcher.matches(line)}
+            found = [(name, n, share) for name, n, share in matcher.wrapped(tokens, single) if name == label]
+            assert found == [(label, 1, 1.0)] or any(name == label for name, _ in single)
+
+
+def test_wrapped_notices_in_a_scan(spark):
+    text = "\n".join(["x", *(textwrap.fill(t, 40) + "\nzig zag " * 40 for t in licenses.TEMPLATES.values())])
+    row = licenses.scan(spark.createDataFrame([(text,)], "text string")).first()
+    assert set(row["match_labels"]) == set(licenses.TEMPLATES)
