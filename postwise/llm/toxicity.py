@@ -25,6 +25,8 @@ ORDERS = (3, 4, 5)
 # Bound of the training sample: rows of each class, and bytes of their texts together.
 SAMPLE_ROWS = 1024
 SAMPLE_BYTES = 8 << 20
+# Texts above this size come after all others of their class, the smallest first.
+LONG_BYTES = 64 << 10
 # n-grams in fewer sample texts have no weight.
 LEAST_TEXTS = 3
 # Log-count ratios nearer to 0 carry no signal and get no weight either.
@@ -129,8 +131,10 @@ def scorer(model: Model) -> Callable[[bytes], float]:
 def sample(rows: DataFrame, texts: DataFrame, id_column: str, text: str, label: str, per_class: int) -> DataFrame:
     """At most ``per_class`` labelled rows of each class with their whole texts, in the order of an id hash.
 
-    Rows are taken until their texts reach SAMPLE_BYTES per class; the ids and sizes that one task orders
-    are at most ``per_class`` for each class. Of several rows with one id the smallest text counts.
+    Rows are taken until their texts reach SAMPLE_BYTES per class, those above LONG_BYTES last and by size, so that
+    a long text displaces no other. If every text of a class is above SAMPLE_BYTES, the begin of the smallest
+    stands for it. The ids and sizes that one task orders are at most ``per_class`` for each class. Of several
+    rows with one id the smallest text counts.
     """
     order = [F.xxhash64(id_column), F.col(id_column)]
     parts = []
@@ -140,10 +144,15 @@ def sample(rows: DataFrame, texts: DataFrame, id_column: str, text: str, label:
     chosen = parts[0].unionByName(parts[1])
     # At most two times ``per_class`` short rows.
     picked = texts.join(F.broadcast(chosen), id_column).groupBy(id_column, label).agg(F.min(text).alias(text))
-    before = Window.partitionBy(label).orderBy(*order)
+    # A text above the bound is cut to a quarter of it in characters, so that it fits whatever they are.
     size = F.coalesce(F.octet_length(text), F.lit(0))
+    cut = F.when(size > SAMPLE_BYTES, F.substring(text, 1, SAMPLE_BYTES // 4)).otherwise(F.col(text))
+    late = F.when(size > LONG_BYTES, size).otherwise(0)
+    picked = picked.withColumn("_late", late).withColumn(text, cut)
+    before = Window.partitionBy(label).orderBy("_late", *order)
     sized = picked.withColumns({"_bytes": F.sum(size).over(before), "_rank": F.row_number().over(before)})
-    return sized.filter((F.col("_bytes") <= SAMPLE_BYTES) | (F.col("_rank") == 1)).drop("_bytes", "_rank")
+    whole = (F.col("_late") <= SAMPLE_BYTES) & (F.col("_bytes") <= SAMPLE_BYTES)
+    return sized.filter(whole | (F.col("_rank") == 1)).drop("_late", "_bytes", "_rank")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str, text: str, label: str, training: Column) -> Model:

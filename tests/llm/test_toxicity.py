@@ -56,3 +56,14 @@ def test_odd_rows(spark):
     none = toxicity.train(docs, empty, "doc_id", "text", "toxic", F.lit(True))
     assert {r["predicted"] for r in toxicity.classify(docs, none).collect()} == {0}
     assert toxicity.classify(docs.limit(0), model).count() == 0
+
+
+def test_a_long_text_displaces_no_other(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 100_000)
+    for long in range(0, 40, 4):
+        docs = spark.createDataFrame([(i, "y " * 60_000 if i == long else f"text {i}") for i in range(40)], "doc_id long, text string")
+        labels = docs.selectExpr("doc_id", "1 AS toxic")
+        found = toxicity.sample(labels, docs, "doc_id", "text", "toxic", 1024).collect()
+        assert {r["doc_id"] for r in found} == set(range(40)) - {long}
+    alone = toxicity.sample(labels.filter(f"doc_id = {long}"), docs, "doc_id", "text", "toxic", 1024).collect()
+    assert len(alone) == 1 and 0 < len(alone[0]["text"].encode()) <= 100_000
