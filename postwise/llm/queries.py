@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postwise.llm import bpe, decontamination, licenses, mixing, quality_rules, quality_votes, sharding, simhash, toxicity, warc
+from postwise.llm import (
+    bpe,
+    content_sort,
+    decontamination,
+    fill_middle,
+    licenses,
+    mixing,
+    quality_rules,
+    quality_votes,
+    sharding,
+    simhash,
+    toxicity,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.query,
@@ -19,9 +32,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": simhash.query,
     "op9_toxicity": toxicity.query,
     "op10_sharding": sharding.query,
+    "op12_exact_dedup": content_sort.query,
+    "op13_fill_middle": fill_middle.query,
 }
 
 ORACLES: dict[str, str] = {
     "op6_licenses": licenses.oracle_sql(),
     "op7_quality_rules": quality_rules.oracle_sql(),
+    "op12_exact_dedup": content_sort.oracle_sql(),
+    "op13_fill_middle": fill_middle.oracle_sql(),
 }
