@@ -35,7 +35,15 @@ def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    frame = df.sparkSession.read.schema(df.schema).parquet(path)
+    frame.stored_at = path
+    return frame
+
+
+def discard(frame: DataFrame) -> None:
+    """Delete the folder of a frame of ``stored`` that nothing will read again."""
+    path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(frame.stored_at)
+    path.getFileSystem(frame.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def remainder(column: str, modulus: int) -> Column:

@@ -12,6 +12,7 @@ from postwise.llm import (
     decontamination,
     fill_middle,
     licenses,
+    merkle,
     mixing,
     quality_rules,
     quality_votes,
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": simhash.query,
     "op9_toxicity": toxicity.query,
     "op10_sharding": sharding.query,
+    "op11_merkle": merkle.query,
     "op12_exact_dedup": content_sort.query,
     "op13_fill_middle": fill_middle.query,
 }
@@ -39,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op6_licenses": licenses.oracle_sql(),
     "op7_quality_rules": quality_rules.oracle_sql(),
+    "op11_merkle": merkle.oracle_sql(),
     "op12_exact_dedup": content_sort.oracle_sql(),
     "op13_fill_middle": fill_middle.oracle_sql(),
 }
