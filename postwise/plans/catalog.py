@@ -139,7 +139,7 @@ def upsert_posts(spark, sf):
     part = tables.key_bucket("unique_id", 16)
     tables.upsert(current.select(*columns), path, "unique_id", schema, part)
     tables.upsert(updates, path, "unique_id", schema, part, [F.desc("round")])
-    return rounded(tables.read_latest(spark, path, schema), "fake_news_prob")
+    return rounded(tables.read_keyed(spark, path, schema), "fake_news_prob")
 
 
 @query
@@ -1062,7 +1062,7 @@ def streamed_cleaning(spark, sf):
 def _stream_to_table(spark, windows):
     path = scratch_path(spark, "windows")
     window_streams.stream_windows(windows, path, scratch_path(spark, "checkpoint"), STATE_PARTITIONS)
-    stored = tables.read_latest(spark, path, windows.schema)
+    stored = tables.read_keyed(spark, path, windows.schema)
     return stored.withColumn("window_start", clock("window_start"))
 
 

@@ -1,4 +1,4 @@
-"""Landing files, projected views, appends and versioned upserts."""
+"""Landing files, projected views, appends and upserts."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from postwise import schemas
 from postwise.functions.scoring import real_fake
 from postwise.operators.dedup import first_rows
-from postwise.session import folder, released, stored
+from postwise.session import exists, folder, released, stored
 
 POSTS_VIEW = ["username", "created_at", "category", "normalized_text"]
 CLASSIFIED_VIEW = ["username", "category", "is_real", "fake_news_prob", "classified_at"]
@@ -73,9 +73,8 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).parquet(path)
 
 
-# A keyed table is cut into parts: key buckets, or the days of a time column. An upsert writes a new version of
-# the parts it touches, then a manifest that names the version of every part. Readers follow
-# the newest manifest; files of other parts are not rewritten.
+# A keyed table is plain Parquet, partitioned by ``part``: key buckets, or the days of a time column.
+PART = "part"
 
 
 def key_bucket(key: str, buckets: int) -> Column:
@@ -86,92 +85,45 @@ def day_of(ts: str) -> Column:
     return F.coalesce(F.date_format(ts, "yyyy-MM-dd"), F.lit("none"))
 
 
-MANIFEST = "part string, version int"
+def _parts(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return read_table(spark, path, T.StructType([*schema.fields, T.StructField(PART, T.StringType())]))
 
 
-def manifests(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the finished manifests; one counts once its commit marker is there."""
-    files, place = folder(spark, f"{path}/manifests")
-    if not files.exists(place):
-        return []
-    found = []
-    for status in files.listStatus(place):
-        if files.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            found.append(int(status.getPath().getName()))
-    return sorted(found)
-
-
-def _current(spark: SparkSession, path: str) -> dict[str, int]:
-    known = manifests(spark, path)
-    if not known:
-        return {}
-    return {r["part"]: r["version"] for r in spark.read.schema(MANIFEST).parquet(f"{path}/manifests/{known[-1]}").collect()}
+def read_keyed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The keyed table at ``path``; an empty frame of the schema before the first upsert."""
+    return _parts(spark, path, schema).select(*schema.names)
 
 
-def _read_parts(spark: SparkSession, path: str, schema: T.StructType, parts: dict[str, int]) -> DataFrame:
-    if not parts:
-        return spark.createDataFrame([], schema)
-    paths = [f"{path}/data/version={version}/part={part}" for part, version in sorted(parts.items())]
-    return spark.read.schema(schema).parquet(*paths)
-
-
-def read_latest(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The table as of the newest manifest; an empty frame of the schema before the first one."""
-    return _read_parts(spark, path, schema, _current(spark, path))
+def _overwrite_parts(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    """Put the parts that an upsert has merged in their places; done again, it changes nothing."""
+    pending = f"{path}/_pending"
+    if not exists(spark, f"{pending}/_SUCCESS"):
+        return
+    # Rows are dealt by part; adaptive execution cuts a large part into several files.
+    rows = _parts(spark, pending, schema).hint("rebalance", PART)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
+    files, place = folder(spark, pending)
+    files.delete(place, True)
 
 
 def upsert(
-    updates: DataFrame,
-    path: str,
-    key: str,
-    schema: T.StructType,
-    part: Column,
-    order: list[Column] | None = None,
-    keep: int | None = None,
-) -> int:
-    """Merge ``updates`` into the table at ``path``; returns the number of the manifest written.
-
-    ``part`` gives the part of a row from its key columns: rows with one key share a part. Only the parts that
-    the updates touch are read and written; the driver holds one version number per part. With ``keep``
-    the versions that only older manifests name are deleted.
+    updates: DataFrame, path: str, key: str, schema: T.StructType, part: Column, order: list[Column] | None = None
+) -> None:
+    """Merge ``updates`` into the keyed table at ``path``, which one job at a time may write.
+
+    ``part`` gives the part of a row from its key columns: rows with one key share a part. Only the
+    parts that the updates touch are read and overwritten; the driver holds their names. The merged parts
+    are written down before they replace the old ones, and the next upsert finishes a
+    replacement that was cut off, so a failed batch can be replayed.
     """
     spark = updates.sparkSession
+    _overwrite_parts(spark, path, schema)
     with released(spark):
         winners = first_rows(updates, key, order) if order else updates
-        winners = stored(winners.select(*schema.names).withColumn("_part", part), "winners")
-        touched = [r["_part"] for r in winners.select("_part").distinct().collect()]
-        current, known = _current(spark, path), manifests(spark, path)
-        number = known[-1] + 1 if known else 1
-        if touched:
-            old = _read_parts(spark, path, schema, {p: v for p, v in current.items() if p in set(touched)})
-            merged = merge_rows(old.withColumn("_part", part), winners, key)
-            # One file per part.
-            dealt = merged.withColumnRenamed("_part", "part").repartition("part")
-            dealt.write.mode("overwrite").partitionBy("part").parquet(f"{path}/data/version={number}")
-        current |= dict.fromkeys(touched, number)
-        rows = spark.createDataFrame(sorted(current.items()), MANIFEST)
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifests/{number}")
-    if keep:
-        _forget(spark, path, [n for n in known if n <= number - keep])
-    return number
-
-
-def _forget(spark: SparkSession, path: str, old: list[int]) -> None:
-    """Delete old manifests, and the parts of versions that no manifest left names."""
-    for number in old:
-        files, place = folder(spark, f"{path}/manifests/{number}")
-        files.delete(place, True)
-    needed = set()
-    for number in manifests(spark, path):
-        needed |= {tuple(r) for r in spark.read.schema(MANIFEST).parquet(f"{path}/manifests/{number}").collect()}
-    files, place = folder(spark, f"{path}/data")
-    if not files.exists(place):
-        return
-    for version in files.listStatus(place):
-        name = version.getPath().getName()
-        if not name.startswith("version="):
-            continue
-        for found in files.listStatus(version.getPath()):
-            part = found.getPath().getName()
-            if part.startswith("part=") and (part.removeprefix("part="), int(name.removeprefix("version="))) not in needed:
-                files.delete(found.getPath(), True)
+        winners = stored(winners.select(*schema.names).withColumn(PART, part), "winners")
+        touched = [r[PART] for r in winners.select(PART).distinct().collect()]
+        if not touched:
+            return
+        old = _parts(spark, path, schema).filter(F.col(PART).isin(touched))
+        merge_rows(old, winners, key).write.mode("overwrite").parquet(f"{path}/_pending")
+    _overwrite_parts(spark, path, schema)

@@ -1,4 +1,4 @@
-"""Windowed counts over event streams, kept in a versioned table.
+"""Windowed counts over event streams, kept in a keyed table.
 
 Late rows older than the watermark are dropped here; the batch reports over
 the stored tables stay the complete totals.
@@ -18,7 +18,6 @@ from postwise.sources.tables import day_of, upsert
 from postwise.streaming.posts import run_available
 
 LATENESS = "10 minutes"
-KEPT_VERSIONS = 5
 
 
 def daily_posts(stream: DataFrame, ts: str = "created_at", delay: str = LATENESS) -> DataFrame:
@@ -54,8 +53,8 @@ def verdict_windows(log: DataFrame, ts: str = "ts", delay: str = LATENESS) -> Da
 def store_windows(path: str, schema: T.StructType) -> Callable[[DataFrame, int], None]:
     """Batch handler: replace the rows of changed windows.
 
-    A window is identified by all columns but the counts. The table is cut by the day of the
-    window, and only the days of a batch are rewritten; the last few versions are kept.
+    A window is identified by all columns but the counts. The table is partitioned by the day of
+    the window, and only the days of a batch are overwritten; a replayed batch changes nothing.
     """
     counts = {"count", "requests", "errors"}
     names = [field.name for field in schema if field.name not in counts]
@@ -64,7 +63,7 @@ def store_windows(path: str, schema: T.StructType) -> Callable[[DataFrame, int],
     def handle(batch: DataFrame, _: int) -> None:
         key = F.concat_ws("|", *[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names])
         changed = batch.withColumn("window_key", key)
-        upsert(changed, path, "window_key", keyed, day_of("window_start"), keep=KEPT_VERSIONS)
+        upsert(changed, path, "window_key", keyed, day_of("window_start"))
 
     return handle
 

@@ -113,27 +113,76 @@ def test_unseen_keeps_repeats_and_drops_known(spark):
     assert incremental.unseen(new.limit(0), known).columns == new.columns
 
 
-def test_upsert_rewrites_touched_parts_only(spark, tmp_path):
-    path = str(tmp_path / "t")
+def _keyed(spark, tmp_path):
     schema = spark.createDataFrame([("a", 1)], "k string, v int").schema
-    part = F.substring("k", 1, 1)
-    assert tables.read_latest(spark, path, schema).count() == 0
+    return str(tmp_path / "t"), schema, F.substring("k", 1, 1)
+
+
+def _values(spark, path, schema):
+    return {r["k"]: r["v"] for r in tables.read_keyed(spark, path, schema).collect()}
+
+
+def test_upsert_overwrites_touched_parts_only(spark, tmp_path):
+    path, schema, part = _keyed(spark, tmp_path)
+    assert tables.read_keyed(spark, path, schema).count() == 0
     tables.upsert(spark.createDataFrame([("a", 1), ("b", 1), ("b2", 1)], schema), path, "k", schema, part)
-    files = {p: p.read_bytes() for p in (tmp_path / "t").rglob("part=a/*.parquet")}
+
+    def files(name):
+        return {p: p.stat().st_mtime_ns for p in (tmp_path / "t" / f"part={name}").glob("*.parquet")}
+
+    untouched, touched = files("a"), files("b")
     update = spark.createDataFrame([("b", 2, 1), ("b", 3, 2), ("c", 4, 1)], "k string, v int, at int")
-    assert tables.upsert(update, path, "k", schema, part, [F.desc("at")]) == 2
-    assert files and {p: p.read_bytes() for p in (tmp_path / "t").rglob("part=a/*.parquet")} == files
-    # An unfinished manifest is not read.
-    (tmp_path / "t" / "manifests" / "3").mkdir()
-    rows = {r["k"]: r["v"] for r in tables.read_latest(spark, path, schema).collect()}
-    assert rows == {"a": 1, "b": 3, "b2": 1, "c": 4}
-    for v in range(4):
-        tables.upsert(spark.createDataFrame([("b", v)], schema), path, "k", schema, part, keep=2)
-    assert len(tables.manifests(spark, path)) == 2
-    assert len(list((tmp_path / "t").rglob("part=b"))) == 2 and len(list((tmp_path / "t").rglob("part=a"))) == 1
-    assert {r["k"]: r["v"] for r in tables.read_latest(spark, path, schema).collect()}["b"] == 3
-    assert tables.upsert(update.limit(0), path, "k", schema, part, [F.desc("at")]) > 0
-    assert tables.read_latest(spark, path, schema).count() == 4
+    tables.upsert(update, path, "k", schema, part, [F.desc("at")])
+    assert untouched and files("a") == untouched and not set(files("b")) & set(touched)
+    wanted = {"a": 1, "b": 3, "b2": 1, "c": 4}
+    assert _values(spark, path, schema) == wanted
+    # The same batch again, and an empty one, change nothing; nothing but the parts is left.
+    tables.upsert(update, path, "k", schema, part, [F.desc("at")])
+    tables.upsert(update.limit(0), path, "k", schema, part, [F.desc("at")])
+    assert _values(spark, path, schema) == wanted
+    assert {p.name for p in (tmp_path / "t").iterdir() if p.is_dir()} == {"part=a", "part=b", "part=c"}
+
+
+def test_upsert_is_replayed_after_a_failure(spark, tmp_path, monkeypatch):
+    path, schema, part = _keyed(spark, tmp_path)
+    tables.upsert(spark.createDataFrame([("a", 1), ("b", 1), ("b2", 1)], schema), path, "k", schema, part)
+    update = spark.createDataFrame([("b", 2)], schema)
+    finish, calls = tables._overwrite_parts, []
+
+    def cut_off(*args):
+        # The job dies after the old part is gone and before the new one is in its place.
+        calls.append(args)
+        if len(calls) == 2:
+            for p in (tmp_path / "t" / "part=b").iterdir():
+                p.unlink()
+            raise RuntimeError("lost")
+        finish(*args)
+
+    monkeypatch.setattr(tables, "_overwrite_parts", cut_off)
+    try:
+        tables.upsert(update, path, "k", schema, part)
+    except RuntimeError:
+        pass
+    assert "b2" not in _values(spark, path, schema)
+    tables.upsert(update, path, "k", schema, part)
+    assert _values(spark, path, schema) == {"a": 1, "b": 2, "b2": 1}
+    # A merge that did not end is no merge.
+    (tmp_path / "t" / "_pending").mkdir()
+    tables.upsert(spark.createDataFrame([("c", 1)], schema), path, "k", schema, part)
+    assert _values(spark, path, schema) == {"a": 1, "b": 2, "b2": 1, "c": 1}
+
+
+def test_hot_part_is_cut_into_files(spark, tmp_path):
+    path, schema, _ = _keyed(spark, tmp_path)
+    rows = spark.range(200_000).select(F.concat(F.lit("k"), F.col("id")).alias("k"), F.col("id").cast("int").alias("v"))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "512k")
+    try:
+        tables.upsert(rows.repartition(8), path, "k", schema, F.lit("hot"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert len(list((tmp_path / "t" / "part=hot").glob("*.parquet"))) > 1
+    assert tables.read_keyed(spark, path, schema).count() == 200_000
 
 
 def _scratch(spark):

@@ -63,5 +63,5 @@ def test_window_table_follows_late_updates(spark, tmp_path):
     run()
     drop(["2024-01-01 00:09:00"])
     result_schema = run()
-    got = {str(r["window_start"])[11:16]: r["errors"] for r in tables.read_latest(spark, table, result_schema).collect()}
+    got = {str(r["window_start"])[11:16]: r["errors"] for r in tables.read_keyed(spark, table, result_schema).collect()}
     assert got == {"00:05": 1, "00:06": 3, "00:07": 3, "00:08": 3, "00:09": 3, "00:10": 2}
