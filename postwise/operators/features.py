@@ -22,7 +22,7 @@ def hashed_embeddings(
 ) -> DataFrame:
     """Add ``embedding``: hashed word counts of unit length (offline default encoder)."""
     counted = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=size).transform(
-        df.withColumn("_words", words(F.col(text)))
+        df.withColumn("_words", words(F.coalesce(text, F.lit(""))))
     )
     unit = Normalizer(inputCol="_counts", outputCol="_unit", p=2.0).transform(counted)
     return unit.withColumn("embedding", vector_to_array("_unit")).drop("_words", "_counts", "_unit")
@@ -34,24 +34,29 @@ def encode(
     text: str = "normalized_text",
     batch_size: int = ENCODE_BATCH,
 ) -> DataFrame:
-    """Add ``embedding`` from a user model, scaled to unit length.
+    """Add ``embedding`` from a user model, scaled to unit length; null where the text is null.
 
     ``load_model`` runs once per Python worker and returns a function from a
-    batch of texts to a matrix.
+    batch of texts to a matrix. It sees no null text.
     """
 
     def make() -> Callable[[np.ndarray], np.ndarray]:
         model = load_model()
 
         def predict(texts: np.ndarray) -> np.ndarray:
-            matrix = np.asarray(model(texts), dtype=np.float64)
+            given = np.array([t is not None for t in texts], dtype=bool)
+            if not given.any():
+                return np.full((len(texts), 1), np.nan)
+            matrix = np.asarray(model(texts[given]), dtype=np.float64)
             norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-            return matrix / np.where(norms > 0, norms, 1.0)
+            rows = np.full((len(texts), matrix.shape[1]), np.nan)
+            rows[given] = matrix / np.where(norms > 0, norms, 1.0)
+            return rows
 
         return predict
 
     encoder = predict_batch_udf(make, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size)
-    return df.withColumn("embedding", encoder(F.col(text)))
+    return df.withColumn("embedding", F.when(F.col(text).isNotNull(), encoder(F.col(text))))
 
 
 def feature_array(embedding: Column, style: Column) -> Column:
@@ -65,21 +70,23 @@ def align_embeddings(
     embeddings: DataFrame,
     key: str = "unique_id",
     encoder: Callable[[DataFrame], DataFrame] | None = None,
+    text: str = "normalized_text",
 ) -> DataFrame:
-    """All posts with their embedding, matched by key and never by position.
+    """All posts with their embedding, matched by key and never by position; the posts are read once.
 
-    Posts without a stored vector are encoded by ``encoder``, which adds ``embedding``; without one the
-    first such post stops the job.
+    Posts without a stored vector are encoded by ``encoder``, which adds ``embedding`` from the text column and is shown a null
+    text for the others; without an encoder the first such post stops the job.
     """
     row = feature_array(F.col("embedding"), F.col("style_features"))
+    vectors = embeddings.withColumn("embedding", F.col("embedding").cast("array<double>"))
     if encoder is None:
-        joined = posts.join(embeddings, key, "left")
+        joined = posts.join(vectors, key, "left")
         missing = F.raise_error(F.concat(F.lit("no embedding for "), F.col(key).cast("string")))
         return joined.withColumn("features", F.when(F.col("embedding").isNotNull(), row).otherwise(missing))
-    vectors = embeddings.withColumn("embedding", F.col("embedding").cast("array<double>"))
-    found = posts.join(vectors, key)
-    rest = encoder(posts.join(vectors.select(key), key, "left_anti"))
-    return found.unionByName(rest, allowMissingColumns=True).withColumn("features", row)
+    joined = posts.withColumnRenamed(text, "_text").join(vectors.withColumnRenamed("embedding", "_given"), key, "left")
+    shown = joined.withColumn(text, F.when(F.col("_given").isNull(), F.coalesce("_text", F.lit(""))))
+    encoded = encoder(shown).withColumn("embedding", F.coalesce("_given", F.col("embedding").cast("array<double>")))
+    return encoded.withColumn(text, F.col("_text")).drop("_text", "_given").withColumn("features", row)
 
 
 def labelled_posts(cleaned: DataFrame, drop_conflicts: bool = False) -> DataFrame:

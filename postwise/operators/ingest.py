@@ -7,15 +7,15 @@ their author and by whole words of their text. All landed posts are kept.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postwise.constants import RELIABLE_ACCOUNTS, RELIABLE_DOMAINS, THEMES
 from postwise.functions.handles import source_label, suffixes, unique_id
-from postwise.functions.text import WORD
+from postwise.functions.phrases import found_phrases, looked_up, one_of
 from postwise.operators.dedup import first_rows
 from postwise.operators.incremental import unseen_batch
 from postwise.session import stored
@@ -29,29 +29,27 @@ def complete(df: DataFrame) -> DataFrame:
     return df.filter((F.length("text") > 0) & (F.length(F.col("created_at").cast("string")) > 0))
 
 
-def has_word(text: Column, word: str) -> Column:
-    """Whether the lower-case text holds the word with no letter, digit or underscore beside it."""
-    return text.rlike(f"(?<![{WORD}]){re.escape(word.lower())}(?![{WORD}])")
+PLACE = T.StructType(
+    [
+        T.StructField("theme_rank", T.IntegerType()),
+        T.StructField("keyword_rank", T.IntegerType()),
+        T.StructField("category", T.StringType()),
+        T.StructField("keyword", T.StringType()),
+    ]
+)
 
 
 def _search_hits(themes: dict[str, list[str]], lang: str) -> Column:
     """Array of (theme_rank, keyword_rank, category, keyword) of the searches that found a payload."""
-    words = [w.lower() for listed in themes.values() for w in listed]
-    term, text = F.lower("term"), F.lower("text")
-    delivered = (F.coalesce(F.col("feed"), F.lit("")) == "search") & F.coalesce(term.isin(*words), F.lit(False))
-    unknown = ~delivered & (F.coalesce(F.col("feed"), F.lit("")) != "account") & (F.col("lang") == lang)
-    entries = []
+    places: dict[str, list[tuple]] = {}
     for theme_rank, (category, listed) in enumerate(themes.items()):
         for keyword_rank, word in enumerate(listed):
-            entry = F.struct(
-                F.lit(theme_rank).alias("theme_rank"),
-                F.lit(keyword_rank).alias("keyword_rank"),
-                F.lit(category).alias("category"),
-                F.lit(word.lower()).alias("keyword"),
-            )
-            found = F.when(delivered, term == word.lower()).when(unknown, has_word(text, word))
-            entries.append(F.when(found, entry))
-    return F.array_compact(F.array(*entries))
+            places.setdefault(word.lower(), []).append((theme_rank, keyword_rank, category, word.lower()))
+    feed, term = F.coalesce(F.col("feed"), F.lit("")), F.lower("term")
+    delivered = (feed == "search") & F.coalesce(F.expr(one_of("lower(term)", places)), F.lit(False))
+    unknown = (feed != "account") & (F.col("lang") == lang)
+    words = F.when(delivered, F.array(term)).when(unknown, found_phrases("text", places))
+    return looked_up(F.coalesce(words, F.array().cast("array<string>")), places, PLACE)
 
 
 def _from_account(accounts: Sequence[str]) -> Column:
@@ -62,15 +60,15 @@ def _from_account(accounts: Sequence[str]) -> Column:
 def keyword_hits(payloads: DataFrame, themes: dict[str, list[str]] = THEMES, lang: str = "en") -> DataFrame:
     """One row per (keyword, post): the search that delivered the post, or the words of its text.
 
-    The keywords are a fixed short list held as literals; matching filters them
-    per row instead of joining, so only actual hits leave the scan.
+    The keywords are constants of the plan and each text is cut into words once, so only actual hits leave the
+    scan. ``operators.phrases`` joins with tables of keywords that are too long for that.
     """
     hits = payloads.select("*", F.explode(_search_hits(themes, lang)).alias("_hit"))
     return hits.select(*payloads.columns, "_hit.*")
 
 
 def _labelled(rows: DataFrame, domains: Sequence[str]) -> DataFrame:
-    keyed = complete(rows).withColumn("unique_id", unique_id(F.col("username"), F.col("created_at")))
+    keyed = rows.withColumn("unique_id", unique_id(F.col("username"), F.col("created_at")))
     return keyed.withColumn("source_label", source_label(F.col("username"), domains))
 
 
@@ -80,9 +78,12 @@ def keyword_posts(
     domains: Sequence[str] = RELIABLE_DOMAINS,
     lang: str = "en",
 ) -> DataFrame:
-    """Themed posts: the first hit in search order owns a post, then one row per key."""
-    owned = _labelled(first_rows(keyword_hits(payloads, themes, lang), "uri", SEARCH_ORDER), domains)
-    unique = first_rows(owned, "unique_id", [*SEARCH_ORDER, "uri"])
+    """Themed posts: the first hit in search order owns a complete post, then one row per key.
+
+    Incomplete payloads go first, so callers that need no text do not shuffle it.
+    """
+    owned = first_rows(keyword_hits(complete(payloads), themes, lang), "uri", SEARCH_ORDER)
+    unique = first_rows(_labelled(owned, domains), "unique_id", [*SEARCH_ORDER, "uri"])
     return unique.select("uri", "unique_id", *POST_COLUMNS)
 
 
@@ -92,7 +93,7 @@ def account_posts(
     domains: Sequence[str] = RELIABLE_DOMAINS,
 ) -> DataFrame:
     """Posts from account feeds or by a listed account, category ``Reliable``."""
-    feed = _labelled(payloads.filter(_from_account(accounts)), domains)
+    feed = _labelled(complete(payloads).filter(_from_account(accounts)), domains)
     return feed.withColumn("category", F.lit("Reliable")).select("uri", "unique_id", *POST_COLUMNS)
 
 
@@ -118,7 +119,8 @@ def themed_rows(
         F.lit(-1).alias("theme_rank"), F.lit(-1).alias("keyword_rank"), F.lit("Reliable").alias("category"), F.lit("").alias("keyword")
     )
     best = F.when(_from_account(accounts), account).otherwise(F.array_min(hits))
-    found = payloads.withColumn("_place", best).filter(F.col("_place").isNotNull())
+    # Exploding drops the rows without a place, and no filter repeats the search below it.
+    found = complete(payloads).select("*", F.explode(F.array_compact(F.array(best))).alias("_place"))
     return _labelled(found.withColumn("category", F.col("_place.category")), domains)
 
 

@@ -25,6 +25,7 @@ from postwise.operators import (
     features,
     incremental,
     ingest,
+    phrases,
     reliability,
     reports,
     retrieval,
@@ -393,6 +394,14 @@ def distinct_keys(spark, sf):
     return incremental.distinct_keys(posts.unionByName(posts))
 
 
+@query
+def phrase_hits(spark, sf):
+    """Documents that hold the first two words of a benchmark item, with the phrase; joins, no list of literals."""
+    two_words = rf"^[{text.WORD}]+[^{text.WORD}]+[{text.WORD}]+"
+    listed = given.table(spark, sf, "benchmark").select(F.regexp_extract(F.lower("text"), two_words, 0).alias("phrase"))
+    return phrases.phrase_hits(_documents(spark, sf), phrases.phrase_table(listed), "doc_id")
+
+
 # Text
 
 

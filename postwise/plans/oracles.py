@@ -358,6 +358,12 @@ ORACLES["first_post_per_author"] = f"""WITH {POSTS}
 SELECT username, doc_id FROM posts
 QUALIFY row_number() OVER (PARTITION BY username ORDER BY created_at, doc_id) = 1"""
 
+ORACLES["phrase_hits"] = r"""WITH phrases AS (
+  SELECT DISTINCT regexp_extract(lower(text), '^[\p{L}\p{N}_]+[^\p{L}\p{N}_]+[\p{L}\p{N}_]+') AS phrase FROM benchmark),
+cut AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS t FROM documents),
+runs AS (SELECT doc_id, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || t[i + 1] || t[i + 2])) AS phrase FROM cut)
+SELECT DISTINCT doc_id, phrase FROM runs SEMI JOIN phrases USING (phrase)"""
+
 ORACLES["merged_feeds"] = f"WITH {_hits(DOCUMENT_THEMES)} SELECT * FROM merged"
 
 ORACLES["themed_in_one_pass"] = ORACLES["merged_feeds"]
