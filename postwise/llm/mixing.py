@@ -629,12 +629,14 @@ def score(df: DataFrame, training: Column, text: str = "text", id_column: str =
 
     coded = stored(dealt.mapInArrow(code, schema), "coded", "zstd")
     model = _fit(coded, corpus)
-    shared = spark.sparkContext.broadcast(model)
+    # Arrays, not the object: what is broadcast is unpickled by workers that may lack this package.
+    shared = spark.sparkContext.broadcast((model.masses, model.odds, model.confidence, model.weights, model.refined))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(shared.value.masses)
+        mixed = Model(*shared.value)
+        coder = Coder(mixed.masses)
         for batch in _slices(batches):
-            logs = log_probability(shared.value, coder.decisions(*_texts(batch, learning=False)), batch.num_rows)
+            logs = log_probability(mixed, coder.decisions(*_texts(batch, learning=False)), batch.num_rows)
             names = [*batch.schema.names[3:], "_log", "_spelling"]
             yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(logs[0]), pa.array(logs[1])], names=names)
 

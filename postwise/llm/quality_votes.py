@@ -1,8 +1,8 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-A text is a vector of tf-idf weights over hashed terms: three-grams of its shape (letters reduced
-to one mark per case and run) and repetition marks (equal neighbouring words, equal lines, few different
-words). A singular value decomposition of the sample gives the latent space. The vectors
+A text is a vector of tf-idf weights over hashed terms: its words in lower case, three-grams of its shape (letters
+reduced to one mark per case and run) and repetition marks (equal neighbouring words, equal lines, few
+different words). A singular value decomposition of the sample gives the latent space. The vectors
 of the labelled sample are broadcast; every document is compared with all of them by exact
 blocked products of unit vectors, and the labels of its nearest neighbours are
 weighted by similarity.
@@ -11,6 +11,8 @@ weighted by similarity.
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from dataclasses import dataclass
 from operator import eq
 
@@ -26,7 +28,10 @@ from postwise.llm.toxicity import sample
 SAMPLE_ROWS = 1024
 GRAMS = 4032
 MARKS = 64
-TERMS = GRAMS + MARKS
+WORDS = 4096
+TERMS = GRAMS + MARKS + WORDS
+# Weight of a word beside a three-gram: shapes recur in texts of any wording, so a word counts for less.
+WORD_SCALE = 0.25
 RANK = 48
 NEIGHBOURS = 15
 THRESHOLD = 0.3
@@ -62,7 +67,13 @@ def term_weights(body: bytes) -> np.ndarray:
         _mark(out, 8, max(0.0, 1 - len(set(words)) / len(words) - 0.1 * np.log10(len(words))))
         lines = body.split(b"\n")
         _mark(out, 16, 1 - len(set(lines)) / len(lines))
-    return np.log1p(out)
+    weights = np.log1p(out)
+    counts = Counter(words)
+    if counts:
+        slots = np.fromiter((zlib.crc32(w.lower()) % WORDS for w in counts), np.int64, len(counts))
+        shares = np.bincount(slots, np.fromiter(counts.values(), np.float64, len(counts)), WORDS) * (1000.0 / len(words))
+        weights[GRAMS + MARKS :] = WORD_SCALE * np.log1p(shares)
+    return weights
 
 
 @dataclass(frozen=True)
@@ -134,10 +145,12 @@ def classify(
     Null and empty texts resemble nothing and get the share of label 1 in the sample. Equal texts get
     equal scores. Input columns named like the new ones are replaced.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    # Arrays, not the object: what is broadcast is unpickled by workers that may lack this package.
+    parts = (model.scale, model.axes, model.vectors, model.labels, model.prior)
+    shared = df.sparkSession.sparkContext.broadcast(parts)
 
     def make():
-        neighbours = shared.value
+        neighbours = Neighbours(*shared.value)
 
         def run(texts: list[bytes]) -> list:
             scores = np.concatenate(

@@ -29,6 +29,16 @@ def test_scores_equal_plain_search():
     assert np.all((np.abs(norms - 1) < 1e-3) | (norms == 0))
 
 
+def test_wording_counts_among_texts_of_one_shape():
+    good, bad = ["calm", "river", "stone", "light"], ["junk", "money", "click", "cheap"]
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice(good if i % 2 else bad, 12)).encode() for i in range(60)]
+    model = votes.fit(texts, np.array([i % 2 for i in range(60)], dtype=np.float64))
+    asked = [b"calm stone river light calm river", b"junk click money cheap junk money"]
+    high, low = model.scores(np.stack([votes.term_weights(t) for t in asked]))
+    assert high > 0.9 and low < 0.1
+
+
 def test_held_out_accuracy(spark):
     out = votes.query(spark, SF_DIR).join(table(spark, SF_DIR, "labels"), "doc_id").filter("held_out").collect()
     assert len(out) > 40 and sum(r["predicted"] == r["quality"] for r in out) / len(out) >= 0.95
