@@ -28,13 +28,6 @@ def term_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return tokens.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def term_weights(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """(term, df, idf) with the smooth idf ``ln((1 + n) / (1 + df)) + 1``."""
-    n = docs.agg(F.count(F.lit(1))).scalar()
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.withColumn("idf", F.log((1 + n) / (1.0 + F.col("df"))) + 1.0)
-
-
 def join_weights(counts: DataFrame, weights: DataFrame) -> DataFrame:
     """Counts with the idf of their term.
 
@@ -57,22 +50,55 @@ def unit_weights(weighted: DataFrame, key: str) -> DataFrame:
     return raw.select(key, "term", (F.col("_raw") / norm).alias("weight"))
 
 
-def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
-    """Store the index: ``counts``, ``terms`` and ``vectors`` tables below ``path``.
+def append_index(docs: DataFrame, path: str, batch: str, key: str = "doc_id", text: str = "text") -> None:
+    """Count the terms of new documents; nothing stored before is read or changed.
 
-    Each table is read back for the next, so the texts are read and tokenised
-    once and a lost executor costs one step at most. ``vectors`` has one row
-    per document with its (term, weight) entries; the grouping follows the
-    placement the unit lengths already need.
+    Three tables grow by one folder each: ``counts`` (key, term, tf), ``frequencies`` (term, df) and
+    ``sizes`` (n). The last one written makes the batch count; a batch of the same name
+    replaces itself, so a failed one can be replayed. Documents must not be in another batch.
     """
     spark = docs.sparkSession
-    term_counts(docs, key, text).write.parquet(f"{path}/counts")
-    counts = spark.read.parquet(f"{path}/counts")
-    term_weights(docs, counts).write.parquet(f"{path}/terms")
-    weights = spark.read.parquet(f"{path}/terms")
-    postings = unit_weights(join_weights(counts, weights), key)
-    vectors = postings.groupBy(key).agg(F.collect_list(F.struct("term", "weight")).alias("entries"))
-    vectors.write.parquet(f"{path}/vectors")
+
+    def folder(name: str) -> str:
+        return f"{path}/{name}/batch={batch}"
+
+    term_counts(docs, key, text).write.mode("overwrite").parquet(folder("counts"))
+    counts = spark.read.parquet(folder("counts"))
+    counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(folder("frequencies"))
+    docs.agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(folder("sizes"))
+
+
+def _batches(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """Rows of the finished batches of a table."""
+    rows = spark.read.parquet(f"{path}/{name}")
+    finished = [str(r["batch"]) for r in spark.read.parquet(f"{path}/sizes").select("batch").distinct().collect()]
+    return rows.filter(F.col("batch").cast("string").isin(finished)).drop("batch")
+
+
+def corpus_terms(spark: SparkSession, path: str) -> DataFrame:
+    """(term, df, idf) of all batches: document frequencies add up. The idf is ``ln((1 + n) / (1 + df)) + 1``."""
+    n = _batches(spark, path, "sizes").agg(F.sum("n")).scalar()
+    df = _batches(spark, path, "frequencies").groupBy("term").agg(F.sum("df").alias("df"))
+    return df.withColumn("idf", F.log((1 + n) / (1.0 + F.col("df"))) + 1.0)
+
+
+def refresh_index(spark: SparkSession, path: str, key: str = "doc_id") -> None:
+    """Weigh the counts of all batches by the frequencies of now: the tables ``terms`` and ``vectors``.
+
+    No text is read. Each table is read back for the next, so a lost executor costs one step at most. ``vectors`` has
+    one row per document with its (term, weight) entries; the grouping follows the placement the
+    unit lengths already need.
+    """
+    corpus_terms(spark, path).write.mode("overwrite").parquet(f"{path}/terms")
+    weighted = join_weights(_batches(spark, path, "counts"), spark.read.parquet(f"{path}/terms"))
+    vectors = unit_weights(weighted, key).groupBy(key).agg(F.collect_list(F.struct("term", "weight")).alias("entries"))
+    vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+
+
+def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
+    """An index of one batch below ``path``, ready for retrieval."""
+    append_index(docs, path, "first", key, text)
+    refresh_index(docs.sparkSession, path, key)
 
 
 def read_postings(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:

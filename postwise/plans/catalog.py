@@ -803,6 +803,16 @@ def tfidf_weights(spark, sf):
     return rounded(retrieval.read_postings(spark, path), "weight")
 
 
+@query
+def appended_weights(spark, sf):
+    """The same weights from an index that grew by three appends."""
+    path = scratch_path(spark, "index")
+    for i in range(3):
+        retrieval.append_index(_documents(spark, sf).filter(F.col("doc_id") % 3 == i), path, str(i))
+    retrieval.refresh_index(spark, path)
+    return rounded(retrieval.read_postings(spark, path), "weight")
+
+
 @query
 def retrieved_documents(spark, sf):
     path = scratch_path(spark, "index")

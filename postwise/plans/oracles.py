@@ -568,6 +568,8 @@ SELECT strftime(ts, {MICROS}) AS asked_at, verdict AS label FROM log WHERE statu
 
 ORACLES["tfidf_weights"] = f"WITH {TFIDF} SELECT doc_id, term, round(weight, 6) AS weight FROM postings"
 
+ORACLES["appended_weights"] = ORACLES["tfidf_weights"]
+
 ORACLES["retrieved_documents"] = rf"""WITH {TFIDF},
 qtf AS (SELECT item_id, term, count(*) AS tf
   FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM benchmark) GROUP BY ALL),

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+import pathlib
+import random
 import re
+import shutil
 from collections import Counter
 
 import pytest
@@ -64,3 +67,34 @@ def test_no_queries(spark, tmp_path):
     retrieval.write_index(docs, path)
     nothing = spark.createDataFrame([], "query_id long, term string, weight double")
     assert retrieval.retrieve(nothing, spark.read.parquet(f"{path}/vectors")).count() == 0
+
+
+def _corpus(n):
+    """Texts of many lengths: frequent words everywhere, rarer ones by chance."""
+    rng = random.Random(8)
+    rare = [f"rare{i}" for i in range(400)]
+
+    def text():
+        return " ".join(rng.choices(["the", "of", "and"], k=rng.choice([2, 5, 20, 60])) + rng.choices(rare, k=rng.choice([0, 1, 3, 10])))
+
+    return [text() for _ in range(n)]
+
+
+def test_three_appends_equal_one_build(spark, tmp_path):
+    docs = spark.createDataFrame(list(enumerate(DOCS + _corpus(60))), "doc_id long, text string")
+    once, grown = str(tmp_path / "once"), str(tmp_path / "grown")
+    retrieval.write_index(docs, once)
+    for i in range(3):
+        before = {p: p.stat().st_mtime_ns for p in pathlib.Path(grown).rglob("batch=*/*.parquet")}
+        retrieval.append_index(docs.filter(f"doc_id % 3 = {i}"), grown, str(i))
+        assert {p: p.stat().st_mtime_ns for p in before} == before
+    # The last batch again, and a batch that was cut off before its size was written.
+    retrieval.append_index(docs.filter("doc_id % 3 = 2"), grown, "2")
+    retrieval.append_index(docs.limit(5), grown, "cut")
+    shutil.rmtree(pathlib.Path(grown) / "sizes" / "batch=cut")
+    retrieval.refresh_index(spark, grown)
+
+    def weights(path):
+        return {(r["doc_id"], r["term"]): round(r["weight"], 9) for r in retrieval.read_postings(spark, path).collect()}
+
+    assert weights(grown) == weights(once)
