@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,11 +12,16 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from postwise.functions.rounding import round_exact
 from postwise.operators.features import label_counts, stratified_folds, with_balanced_weights
+from postwise.session import stored
+
+# Ranges of the unit interval into which the scores of a group are cut.
+AREA_BUCKETS = 65_536
 
 
 def fit_reliability(labelled: DataFrame, tol: float = 1e-6) -> LogisticRegressionModel:
@@ -74,14 +81,32 @@ def penalised_gradient(model: LogisticRegressionModel, labelled: DataFrame) -> n
     return np.append(found["v"].toArray() + penalty, found["e"])
 
 
-def fold_areas(folded: DataFrame, folds: int = 5, score: str = "probability") -> DataFrame:
+def areas(scored: DataFrame, by: str, score: str = "probability") -> DataFrame:
+    """(by, roc_auc) with the exact area under the curve of every group, 0.0 where it has one class; one aggregation.
+
+    The area is a sum over the distinct scores of a group: ones at the score times the zeros below it and half
+    of those at it. Scores are cut into ``AREA_BUCKETS`` ranges of the unit interval; zeros are counted inside a range and
+    shifted by those of the ranges below, so no task holds a group. Rows without score or label are left out.
+    """
+    known = scored.filter(F.col(score).isNotNull() & F.col("label").isNotNull())
+    bucket = F.floor(F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0)) * (AREA_BUCKETS - 1)).alias("_bucket")
+    ones, zeros = F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)
+    steps = known.groupBy(by, bucket, F.col(score).alias("_score")).agg(ones.alias("_ones"), zeros.alias("_zeros"))
+    steps = stored(steps, "steps")
+    ranges = steps.groupBy(by, "_bucket").agg(F.sum("_zeros").alias("_n"))
+    below = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = ranges.select(by, "_bucket", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_shift"))
+    inside = Window.partitionBy(by, "_bucket").orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_zeros").over(inside), F.lit(0)) + F.col("_shift")
+    parts = steps.join(shifts, [by, "_bucket"]).withColumn("_part", F.col("_ones") * (before + F.col("_zeros") / 2))
+    sums = parts.groupBy(by).agg(F.sum("_part").alias("_area"), F.sum("_ones").alias("_p"), F.sum("_zeros").alias("_n"))
+    pairs = F.col("_p").cast("double") * F.col("_n")
+    return sums.select(by, F.when(pairs > 0, F.col("_area") / pairs).otherwise(0.0).alias("roc_auc"))
+
+
+def fold_areas(folded: DataFrame, score: str = "probability") -> DataFrame:
     """ROC-AUC of a given score in each fold."""
-    kept = folded.select("fold", "label", score).persist()
-    try:
-        rows = [(fold, roc_auc(kept.filter(F.col("fold") == fold), score)) for fold in range(folds)]
-    finally:
-        kept.unpersist()
-    return folded.sparkSession.createDataFrame(rows, "fold int, roc_auc double")
+    return areas(folded, "fold", score).withColumn("fold", F.col("fold").cast("int"))
 
 
 def score_reliability(model: LogisticRegressionModel, df: DataFrame, output: str = "reliability") -> DataFrame:
@@ -107,22 +132,33 @@ def evaluate(scored: DataFrame, score: str = "probability") -> dict[str, float]:
     return {"roc_auc": round(auc, 4), "accuracy": round(found["accuracy"] or 0.0, 4)}
 
 
-def cross_validate(labelled: DataFrame, folds: int = 5, key: str = "unique_id") -> DataFrame:
-    """ROC-AUC per fold, each model fitted on the other folds.
+def cross_validated_scores(
+    labelled: DataFrame, folds: int = 5, key: str = "unique_id", held_out: bool = True
+) -> DataFrame:
+    """(fold, label, probability) of every row by the model fitted on the other folds.
 
-    The loop is over the few folds; rows stay distributed and the fold column
-    is computed once and kept for all fits.
+    With ``held_out=False`` the rows are those that the fold's model was fitted on. The folds are stored once as a column and shared by all fits, which run side by side.
     """
-    folded = stratified_folds(labelled, folds, key).select("fold", "label", "features").persist()
-    try:
-        rows = []
-        for fold in range(folds):
-            model = fit_reliability(folded.filter(F.col("fold") != fold))
-            held_out = raw_probability(model, folded.filter(F.col("fold") == fold), "probability")
-            rows.append((fold, roc_auc(held_out)))
-    finally:
-        folded.unpersist()
-    return labelled.sparkSession.createDataFrame(rows, "fold int, roc_auc double")
+    columns = ["fold", "label", "features"]
+    folded = stored(stratified_folds(labelled, folds, key).select(*columns), "folded")
+
+    def fit(fold: int) -> LogisticRegressionModel:
+        return fit_reliability(folded.filter(F.col("fold") != fold))
+
+    with ThreadPoolExecutor(folds) as pool:
+        fitted = list(pool.map(inheritable_thread_target(fit), range(folds)))
+    scored = []
+    for i, model in enumerate(fitted):
+        rows = folded.filter((F.col("fold") == i) if held_out else (F.col("fold") != i))
+        scored.append(raw_probability(model, rows, "probability").withColumn("fold", F.lit(i)))
+    return reduce(DataFrame.unionByName, scored).select("fold", "label", "probability")
+
+
+def cross_validate(labelled: DataFrame, folds: int = 5, key: str = "unique_id") -> DataFrame:
+    """ROC-AUC per fold, each model fitted on the other folds; all areas come from one aggregation."""
+    found = fold_areas(cross_validated_scores(labelled, folds, key))
+    every = labelled.sparkSession.range(folds).select(F.col("id").cast("int").alias("fold"))
+    return every.join(found, "fold", "left").withColumn("roc_auc", F.coalesce("roc_auc", F.lit(0.0)))
 
 
 def summarise_folds(per_fold: DataFrame) -> DataFrame:

@@ -21,23 +21,45 @@ from postwise.operators.dedup import first_rows
 from postwise.session import exists, released, stored
 from postwise.sources import models
 from postwise.sources.tables import append, read_table
-from postwise.streaming.posts import read_payload_stream, stream_posts
+from postwise.streaming.posts import read_payload_stream, stream_posts, stream_rejected
 
 CLEANED_COLUMNS = [f.name for f in schemas.CLEANED if f.name != "utc_saved_at"]
 CLASSIFIED_COLUMNS = [f.name for f in schemas.CLASSIFIED if f.name != "classified_at"]
 EMOTION_COLUMNS = [f.name for f in schemas.EMOTION if f.name != "classified_at"]
 
 
+class Ingested(NamedTuple):
+    """Posts stored by a run, and landed lines that it put aside (0 without a folder for them)."""
+
+    stored: int
+    rejected: int
+
+
+def _rows(spark: SparkSession, path: str) -> int:
+    return spark.read.parquet(path).count() if exists(spark, path) else 0
+
+
 def ingest_stage(
-    spark: SparkSession, landing: str, posts_path: str, checkpoint: str | None = None, state_partitions: int | None = None
-) -> None:
+    spark: SparkSession,
+    landing: str,
+    posts_path: str,
+    checkpoint: str | None = None,
+    state_partitions: int | None = None,
+    rejected_path: str | None = None,
+) -> Ingested:
     """Landed payloads that no earlier run has read, to new raw posts.
 
     The landing folder is read as a file stream, once per file; the checkpoint (beside the posts by
-    default) holds what is done. ``ingest.new_posts`` gives the same rows for a frame of payloads.
+    default) holds what is done. ``ingest.new_posts`` gives the same rows for a frame of payloads. Lines that are
+    no JSON object or lack text or creation time go to the table at ``rejected_path``, where that is given.
     """
     checkpoint = checkpoint or f"{posts_path.rstrip('/')}-checkpoint"
+    counted = [(posts_path, _rows(spark, posts_path))]
     stream_posts(read_payload_stream(spark, landing), posts_path, checkpoint, state_partitions)
+    if rejected_path:
+        counted.append((rejected_path, _rows(spark, rejected_path)))
+        stream_rejected(spark.readStream.text(landing), rejected_path, f"{checkpoint.rstrip('/')}-rejected")
+    return Ingested(*[_rows(spark, path) - before for path, before in counted], *([] if rejected_path else [0]))
 
 
 def releasing(stage: Callable) -> Callable:

@@ -259,6 +259,10 @@ ORACLES["landing_posts"] = f"""WITH {_hits(THEMES)} SELECT uri, username, text,
     [{_strings([w for words in THEMES.values() for w in words])}][(doc_id // 4) % 20 + 1] END AS term,
   ts::DATE AS arrival_date FROM landed"""
 
+ORACLES["quarantined_payloads"] = """SELECT CASE WHEN doc_id % 10 = 3 THEN 'malformed'
+    WHEN doc_id % 10 = 7 OR coalesce(text, '') = '' THEN 'incomplete' ELSE 'stored' END AS outcome, count(*) AS n
+FROM documents JOIN events ON event_id = doc_id GROUP BY ALL"""
+
 ORACLES["posts_view"] = f"""WITH {CLEANED}
 SELECT username, strftime(ts, {MICROS}) AS created_at, category, normalized_text FROM cleaned"""
 
@@ -564,7 +568,7 @@ SELECT strftime(ts, {MICROS}) AS asked_at, probability, label,
        WHEN label IS NOT NULL THEN 'potentially misleading' END AS tone FROM asked"""
 
 ORACLES["verdict_labels_by_table"] = f"""WITH {REQUESTS}
-SELECT strftime(ts, {MICROS}) AS asked_at, verdict AS label FROM log WHERE status = 200"""
+SELECT strftime(ts, {MICROS}) AS asked_at, CASE WHEN status = 200 THEN verdict END AS label FROM log"""
 
 ORACLES["tfidf_weights"] = f"WITH {TFIDF} SELECT doc_id, term, round(weight, 6) AS weight FROM postings"
 

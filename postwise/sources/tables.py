@@ -23,6 +23,36 @@ def read_landing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.PAYLOAD).json(path)
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The landing folder line by line, as ``value``."""
+    return spark.read.text(path)
+
+
+MALFORMED, INCOMPLETE = "malformed", "incomplete"
+
+
+def _parsed(lines: DataFrame) -> DataFrame:
+    """Lines with their ``payload`` under the fixed schema, all ``fields`` as VARIANT, and the ``reason`` to reject them."""
+    fields = F.try_parse_json("value")
+    # Other JSON than an object is no payload.
+    whole = fields.isNotNull() & (F.schema_of_variant(fields).startswith("OBJECT"))
+    payload = F.from_json(F.when(whole, F.col("value")), schemas.PAYLOAD)
+    rows = lines.select("value", F.when(whole, fields).alias("fields"), payload.alias("payload"))
+    present = (F.length("payload.text") > 0) & (F.length("payload.created_at") > 0)
+    reason = F.when(F.col("fields").isNull(), MALFORMED).when(~F.coalesce(present, F.lit(False)), INCOMPLETE)
+    return rows.withColumn("reason", reason)
+
+
+def landed_payloads(lines: DataFrame) -> DataFrame:
+    """Payloads of the complete lines, and all their ``fields``, unknown ones too, as VARIANT."""
+    return _parsed(lines).filter(F.col("reason").isNull()).select("payload.*", "fields")
+
+
+def rejected_lines(lines: DataFrame) -> DataFrame:
+    """(value, reason) of every line that ``landed_payloads`` leaves out: no JSON object, or no text or creation time."""
+    return _parsed(lines).filter(F.col("reason").isNotNull()).select("value", "reason")
+
+
 def parse_instant(c: Column) -> Column:
     """ISO-8601 text to a UTC timestamp; text that is no timestamp gives null."""
     return c.try_cast("timestamp")

@@ -13,7 +13,7 @@ from postwise.operators.dedup import first_rows
 from postwise.operators.incremental import unseen_batch
 from postwise.operators.ingest import POST_COLUMNS, complete, themed_rows
 from postwise.session import released
-from postwise.sources.tables import append, read_table
+from postwise.sources.tables import append, read_table, rejected_lines
 
 REPEAT_WINDOW = "1 day"
 REPEAT_LANES = 32
@@ -111,6 +111,17 @@ def stream_posts(
     run_available(without_repeats(themed), store_new_posts(posts_path), checkpoint, state_partitions=state_partitions)
 
 
+def stream_rejected(lines: DataFrame, path: str, checkpoint: str) -> None:
+    """Landed lines that no post can be made of, to a table of (value, reason, rejected_at); each file is read once."""
+
+    def handle(batch: DataFrame, number: int) -> None:
+        # A replayed batch replaces its own rows.
+        rejected = rejected_lines(batch).withColumn("rejected_at", F.current_timestamp())
+        rejected.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    run_available(lines, handle, checkpoint)
+
+
 def stream_cleaning(posts: DataFrame, cleaned_path: str, checkpoint: str) -> None:
     """Raw posts to the cleaned table."""
     run_available(posts, store_cleaned_posts(cleaned_path), checkpoint)

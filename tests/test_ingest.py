@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import pathlib
 
 from pyspark.sql import functions as F
@@ -80,6 +81,27 @@ def test_batch_and_stream_store_all_landed_posts(spark, tmp_path):
     assert spark.read.parquet(stored).count() == 71
 
 
+def test_every_landed_line_is_stored_or_put_aside(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    good = [json.dumps({"uri": f"u{i}", "username": "a", "text": "news", "created_at": f"2024-01-01T00:00:0{i}Z", "lang": "en", "likes": i}) for i in range(4)]
+    bad = ["{\"uri\": \"cut\", \"te", "not json", "[1, 2]", "7", "", json.dumps({"uri": "x", "text": "", "created_at": "t"}), json.dumps({"uri": "y", "text": "t"})]
+    (landing / "a.json").write_text("\n".join(good + bad) + "\n")
+    lines = tables.read_lines(spark, str(landing))
+    kept, aside = tables.landed_payloads(lines), tables.rejected_lines(lines)
+    assert sorted(r["uri"] for r in kept.collect()) == ["u0", "u1", "u2", "u3"]
+    likes = kept.select(F.variant_get("fields", "$.likes", "int").alias("likes"))
+    assert sorted(r["likes"] for r in likes.collect()) == [0, 1, 2, 3]
+    reasons = sorted(r["reason"] for r in aside.collect())
+    assert reasons == ["incomplete"] * 2 + ["malformed"] * 5
+    assert kept.count() + aside.count() == lines.count()
+    paths = [str(tmp_path / n) for n in ("posts", "aside")]
+    assert jobs.ingest_stage(spark, str(landing), paths[0], state_partitions=4, rejected_path=paths[1]) == (4, 7)
+    assert jobs.ingest_stage(spark, str(landing), paths[0], state_partitions=4, rejected_path=paths[1]) == (0, 0)
+    stored = spark.read.parquet(paths[1])
+    assert sorted(r["value"] for r in stored.collect()) == sorted(bad)
+
+
 def test_account_feed_takes_listed_handles_only(spark):
     rows = [(f"u{i}", "reuters.com", "t", f"2024-01-01T00:00:{i:02d}Z", "en") for i in range(30)]
     rows += [("x", "desk.reuters.com", "t", "2024-01-01T00:00:00Z", "en")]

@@ -76,6 +76,30 @@ def test_label_ranks_number_rows_inside_hash_buckets(spark):
     assert windows and all("_bucket" in line for line in windows)
 
 
+def test_areas_equal_the_pair_count_of_every_group(spark):
+    rng = np.random.default_rng(6)
+    # Ties, a group of one class, scores beyond the unit interval, and a hot score.
+    rows = [(int(g), float(y), float(np.round(rng.normal(0.4 + 0.2 * y, 0.4), 2))) for g, y in rng.integers(0, [3, 2], (900, 2))]
+    rows += [(1, float(i % 2), 0.5) for i in range(500)] + [(3, 1.0, 0.2)] * 4 + [(0, 1.0, None)]
+    frame = spark.createDataFrame(rows, "fold int, label double, probability double").repartition(5)
+    found = {r["fold"]: r["roc_auc"] for r in reliability.fold_areas(frame).collect()}
+    for group in range(3):
+        ones, zeros = (np.array([p for g, y, p in rows if g == group and y == label and p is not None]) for label in (1, 0))
+        gap = ones[:, None] - zeros[None, :]
+        assert abs(found[group] - ((gap > 0) + 0.5 * (gap == 0)).mean()) < 1e-12
+    assert found[3] == 0.0
+
+
+def test_areas_of_all_folds_are_one_aggregation(spark):
+    frame = spark.createDataFrame([(0, 1.0, 0.5)], "fold int, label double, probability double")
+    windows = [w for w in _plan_of(reliability.fold_areas(frame)).splitlines() if "Window [" in w]
+    assert len(windows) == 2 and all("_bucket" in w for w in windows)
+
+
+def _plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cross_validation_uses_every_fold(spark):
     _, _, frame = _rows(spark)
     scores = [r["roc_auc"] for r in reliability.cross_validate(frame, folds=2).collect()]
