@@ -33,7 +33,7 @@ from postwise.operators import (
 from postwise.operators import service_metrics as metrics
 from postwise.plans import given, jobs
 from postwise.session import scratch_path, stored
-from postwise.sources import models, parameters, tables
+from postwise.sources import keys, models, parameters, tables
 from postwise.streaming import posts as post_streams
 from postwise.streaming import windows as window_streams
 
@@ -336,6 +336,18 @@ def posts_to_clean(spark, sf):
     return pending.select("doc_id", "unique_id")
 
 
+@query
+def posts_to_clean_by_keys(spark, sf):
+    """The same with the stored keys in a bucketed table that is not shuffled."""
+    path = scratch_path(spark, "keys")
+    name = f"keys_{path.rsplit('-', 1)[-1]}"
+    buckets = max(STATE_PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys.open_keys(spark, name, path, buckets)
+    keys.add_keys(_judged_keys(spark, sf), name, buckets)
+    pending = keys.unseen_by_keys(given.posts(spark, sf), keys.open_keys(spark, name, path, buckets))
+    return pending.select("doc_id", "unique_id")
+
+
 @query
 def posts_to_classify(spark, sf):
     stored = given.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"))

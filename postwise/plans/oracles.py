@@ -337,6 +337,8 @@ FROM ranked WHERE position < 4 AND score > 0.40"""
 ORACLES["posts_to_clean"] = f"""WITH {POSTS}
 SELECT doc_id, unique_id FROM posts WHERE doc_id NOT IN (SELECT doc_id FROM labels)"""
 
+ORACLES["posts_to_clean_by_keys"] = ORACLES["posts_to_clean"]
+
 ORACLES["posts_to_classify"] = f"""WITH {CLEANED}
 SELECT doc_id, unique_id FROM cleaned
 WHERE normalized_text <> '' AND doc_id NOT IN (SELECT vec_id FROM embeddings)"""
