@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from postwise.constants import CATEGORY_PRIORITY, KEYWORD_BLACKLIST, MIN_KEYWORD_LENGTH
 from postwise.functions.rounding import percent, round_scaled
 from postwise.functions.text import SPACE
+from postwise.session import stored
 
 
 def _counted(df: DataFrame, keys: list[str], name: str = "count") -> DataFrame:
@@ -82,13 +83,20 @@ def classification_by_category(classified: DataFrame) -> DataFrame:
     return _counted(classified, ["category", "label"]).orderBy("category", "label")
 
 
+def _bin(probability: Column, n_bins: int) -> Column:
+    place = F.least(F.greatest((probability * n_bins).cast("int"), F.lit(0)), F.lit(n_bins - 1)) / n_bins
+    return F.when(probability.isNotNull(), place)
+
+
+def _with_side(binned: DataFrame) -> DataFrame:
+    side = F.when(F.col("bin_start") >= 0.5, "real").otherwise("fake")
+    return binned.withColumn("side", side).orderBy("bin_start")
+
+
 def prob_histogram(classified: DataFrame, n_bins: int = 10) -> DataFrame:
     """Posts per probability bin with the side the bin belongs to."""
     scored = classified.filter(F.col("fake_news_prob").isNotNull())
-    bin_at = F.least(F.greatest((F.col("fake_news_prob") * n_bins).cast("int"), F.lit(0)), F.lit(n_bins - 1))
-    binned = _counted(scored.select((bin_at / n_bins).alias("bin_start")), ["bin_start"])
-    side = F.when(F.col("bin_start") >= 0.5, "real").otherwise("fake")
-    return binned.withColumn("side", side).orderBy("bin_start")
+    return _with_side(_counted(scored.select(_bin(F.col("fake_news_prob"), n_bins).alias("bin_start")), ["bin_start"]))
 
 
 def emotion_distribution(emotions: DataFrame) -> DataFrame:
@@ -131,13 +139,7 @@ def corpus_kpis(posts: DataFrame, classified: DataFrame) -> DataFrame:
     )
 
 
-def classification_kpis(classified: DataFrame) -> DataFrame:
-    """One row: real and fake counts with percentages, mean probability."""
-    counted = classified.agg(
-        F.count_if("is_real").alias("n_real"),
-        F.count(F.lit(1)).alias("n"),
-        F.avg("fake_news_prob").alias("avg_probability"),
-    )
+def _kpis(counted: DataFrame) -> DataFrame:
     return counted.select(
         "n_real",
         (F.col("n") - F.col("n_real")).alias("n_fake"),
@@ -147,6 +149,21 @@ def classification_kpis(classified: DataFrame) -> DataFrame:
     )
 
 
+def classification_kpis(classified: DataFrame) -> DataFrame:
+    """One row: real and fake counts with percentages, mean probability."""
+    counted = classified.agg(
+        F.count_if("is_real").alias("n_real"),
+        F.count(F.lit(1)).alias("n"),
+        F.avg("fake_news_prob").alias("avg_probability"),
+    )
+    return _kpis(counted)
+
+
+def _real_shares(shares: DataFrame) -> DataFrame:
+    share = F.when(F.col("n_real") > 0, F.col("n_real") / F.col("n"))
+    return shares.select("category", share.alias("real_share")).orderBy(F.desc_nulls_last("real_share"), "category")
+
+
 def categories_by_real_share(classified: DataFrame) -> DataFrame:
     """Categories by share of real posts; without any real post null and last."""
     shares = (
@@ -154,16 +171,46 @@ def categories_by_real_share(classified: DataFrame) -> DataFrame:
         .groupBy("category")
         .agg(F.count_if(F.col("label") == "Real").alias("n_real"), F.count(F.lit(1)).alias("n"))
     )
-    share = F.when(F.col("n_real") > 0, F.col("n_real") / F.col("n"))
-    return shares.select("category", share.alias("real_share")).orderBy(F.desc_nulls_last("real_share"), "category")
+    return _real_shares(shares)
 
 
-def share_within_category(classified: DataFrame) -> DataFrame:
-    counted = classification_by_category(classified)
+def _shares(counted: DataFrame) -> DataFrame:
     total = F.sum("count").over(Window.partitionBy("category"))
     return counted.select("category", "label", "count", (F.col("count") / total).alias("share"))
 
 
+def share_within_category(classified: DataFrame) -> DataFrame:
+    return _shares(classification_by_category(classified))
+
+
+def classification_tables(classified: DataFrame, n_bins: int = 10) -> dict[str, DataFrame]:
+    """The six reports on classified posts by name, from one read: grouping sets, whose few rows are written down."""
+    rows = classified.select(
+        "label", "category", _bin(F.col("fake_news_prob"), n_bins).alias("bin_start"), "is_real", "fake_news_prob"
+    )
+    sets = [["label"], ["category", "label"], ["bin_start"], []]
+    cube = rows.groupingSets(sets, "label", "category", "bin_start").agg(
+        F.grouping_id().alias("level"),
+        F.count(F.lit(1)).alias("count"),
+        F.count_if("is_real").alias("n_real"),
+        F.avg("fake_news_prob").alias("avg_probability"),
+    )
+    cube = stored(cube, "classification")
+    # One bit per column that a row does not group by: label, category, bin.
+    labels, pairs, bins, whole = (cube.filter(F.col("level") == level) for level in (0b011, 0b001, 0b110, 0b111))
+    pairs = pairs.filter(F.col("category").isNotNull() & F.col("label").isNotNull()).select("category", "label", "count")
+    labels = labels.filter(F.col("label").isNotNull()).select("label", "count")
+    real = F.coalesce(F.sum(F.when(F.col("label") == "Real", F.col("count"))), F.lit(0))
+    return {
+        "fake_real_distribution": labels.orderBy(F.desc("count"), "label"),
+        "classification_by_category": pairs.orderBy("category", "label"),
+        "prob_histogram": _with_side(bins.filter(F.col("bin_start").isNotNull()).select("bin_start", "count")),
+        "classification_kpis": _kpis(whole.withColumnRenamed("count", "n")),
+        "categories_by_real_share": _real_shares(pairs.groupBy("category").agg(real.alias("n_real"), F.sum("count").alias("n"))),
+        "share_within_category": _shares(pairs),
+    }
+
+
 def emotion_kpis(emotions: DataFrame) -> DataFrame:
     """One row: posts analysed and the dominant emotion, capitalised."""
     counted = _counted(emotions, ["emotion"])

@@ -7,7 +7,7 @@ that results of different engines can be compared by value.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector
@@ -905,6 +905,21 @@ def prob_histogram(spark, sf):
     return reports.prob_histogram(given.classified(spark, sf))
 
 
+@query
+def classification_tables(spark, sf):
+    """Rows of the reports on classified posts from one read: name, first and second key, number."""
+    found = reports.classification_tables(given.classified(spark, sf))
+    name, none = F.lit, F.lit(None).cast("string")
+    keyed = [
+        found["fake_real_distribution"].select(name("labels").alias("report"), F.col("label").alias("key"), none.alias("then"), F.col("count").alias("n")),
+        found["classification_by_category"].select(name("categories"), "category", "label", "count"),
+        found["prob_histogram"].select(name("bins"), F.round(F.col("bin_start") * 10).cast("int").cast("string"), "side", "count"),
+        found["classification_kpis"].select(name("real"), none, none, "n_real"),
+        found["classification_kpis"].select(name("fake"), none, none, "n_fake"),
+    ]
+    return reduce(DataFrame.union, keyed)
+
+
 @query
 def emotion_distribution(spark, sf):
     return reports.emotion_distribution(given.emotions(spark, sf))

@@ -607,6 +607,13 @@ ORACLES["prob_histogram"] = f"""WITH {CLASSIFIED}
 SELECT least(greatest(trunc(fake_news_prob * 10), 0), 9) / 10 AS bin_start, count(*) AS count,
   CASE WHEN least(greatest(trunc(fake_news_prob * 10), 0), 9) >= 5 THEN 'real' ELSE 'fake' END AS side
 FROM classified GROUP BY ALL"""
+ORACLES["classification_tables"] = f"""WITH {CLASSIFIED},
+binned AS (SELECT *, least(greatest(trunc(fake_news_prob * 10), 0), 9)::INT AS bin FROM classified)
+SELECT 'labels' AS report, label AS key, NULL AS then, count(*) AS n FROM binned GROUP BY label
+UNION ALL SELECT 'categories', category, label, count(*) FROM binned GROUP BY category, label
+UNION ALL SELECT 'bins', bin::VARCHAR, CASE WHEN bin >= 5 THEN 'real' ELSE 'fake' END, count(*) FROM binned GROUP BY bin
+UNION ALL SELECT 'real', NULL, NULL, count(*) FILTER (is_real) FROM binned
+UNION ALL SELECT 'fake', NULL, NULL, count(*) FILTER (NOT is_real) FROM binned"""
 ORACLES["emotion_distribution"] = f"WITH {EMOTIONS} SELECT emotion, count(*) AS count FROM emotions GROUP BY emotion"
 ORACLES["emotion_by_category"] = f"""WITH {EMOTIONS}
 SELECT category, emotion, count(*) AS count FROM emotions GROUP BY ALL"""
