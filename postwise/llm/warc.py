@@ -177,7 +177,7 @@ def write_archives(
 ) -> DataFrame:
     """Write one record per row to WARC files below ``path``; returns the manifest.
 
-    Null payloads are empty; null keys sort first and are never referred to by another key. Among rows with equal key
+    Null payloads are empty; null keys are spread over the shards, stand first in each, and are never referred to by another key. Among rows with equal key
     and payload the first is the response and the others revisit it. Payloads below
     ``least_bytes`` are all responses. ``path`` must be a folder that all executors reach.
     An empty table gives an empty manifest.
@@ -201,7 +201,9 @@ def write_archives(
     )
     starts = [first for first, _ in ranges[1:]]
     shard = F.size(F.filter(F.lit(starts).cast("array<bigint>"), lambda s: s <= F.col("key"))) if starts else F.lit(0)
-    shard = F.when(F.col("key").isNull(), 0).otherwise(shard)
+    # Rows without a key have no place in the order: they are spread by payload, beside the copies' plan.
+    spread = F.pmod(F.xxhash64("digest"), F.lit(max(1, len(ranges)))).cast("int")
+    shard = F.when(F.col("key").isNull(), spread).otherwise(shard)
     order = ["shard", "key", "digest", "kind", "url"]
     dealt = both.withColumn("shard", shard).repartition(max(1, len(ranges)), "shard").sortWithinPartitions(*order)
 
