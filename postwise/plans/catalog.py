@@ -1180,3 +1180,13 @@ def answered_texts(spark, sf):
     return answered.select(
         "conv_id", "turn", "probability", "based_on", "verdict", "label", "score_pct", "band", "tone"
     )
+
+
+@query
+def finetuned_answers(spark, sf):
+    """User turns answered by all three scorers; the given fine-tuned model comes first."""
+    turns = given.texts(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", "text")
+    encoder = partial(features.encode, load_model=given.stand_in_vectors())
+    models_ = jobs.ClaimModels((GIVEN_CENTERS, 0), (GIVEN_WEIGHTS, GIVEN_INTERCEPT), given.stand_in_logits())
+    answered = jobs.answer_texts(turns, models_, encoder)
+    return answered.select("conv_id", "turn", "probability", "based_on", "verdict", "label", "score_pct", "band", "tone")

@@ -237,6 +237,11 @@ def stand_in_vectors():
     return _letter_counter(VECTOR_PARTS, shares=False)
 
 
+def stand_in_logits():
+    """Loader of two logits per text, its counts of a and e; a stand-in, not a model."""
+    return _letter_counter("ae", shares=False)
+
+
 def stand_in_encoder():
     """Loader of three-letter count vectors; a stand-in, not a model."""
     return _letter_counter("aei", shares=False)

@@ -10,11 +10,13 @@ from functools import wraps
 from typing import NamedTuple
 
 import numpy as np
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postwise import schemas
-from postwise.functions.scoring import answer_claims
+from postwise.functions.scoring import answer_claims, softmax_score
 from postwise.functions.text import clean_text, normalize_text, with_style_features
 from postwise.operators import clustering, emotion, features, incremental, ingest, reliability
 from postwise.operators.dedup import first_rows
@@ -159,15 +161,22 @@ def training_set_stage(
     split.select("unique_id", "normalized_text", "label", "split").write.mode("overwrite").parquet(path)
 
 
+ModelLoader = Callable[[], Callable[[np.ndarray], np.ndarray]]
+
+
 class ClaimModels(NamedTuple):
-    """What answers claims: centres with the fake cluster, and coefficients with the intercept; null where missing."""
+    """What answers claims: centres with the fake cluster, coefficients with the intercept, and a loader of a
+    fine-tuned model, from texts to the logits of fake and real; null where missing."""
 
     clusters: tuple[list[list[float]], int] | None
     reliability: tuple[list[float], float] | None
+    finetuned: ModelLoader | None = None
 
 
-def load_claim_models(spark: SparkSession, clusters_path: str, reliability_path: str) -> ClaimModels:
-    """The models that the stages have stored; a missing folder is a missing scorer."""
+def load_claim_models(
+    spark: SparkSession, clusters_path: str, reliability_path: str, finetuned: ModelLoader | None = None
+) -> ClaimModels:
+    """The models that the stages have stored, and a fine-tuned one of the caller's; a missing folder is a missing scorer."""
     clusters = linear = None
     if exists(spark, clusters_path):
         model, fake_cluster = models.load_clusters(spark, clusters_path)
@@ -175,19 +184,23 @@ def load_claim_models(spark: SparkSession, clusters_path: str, reliability_path:
     if exists(spark, reliability_path):
         fitted = models.load_reliability(reliability_path)
         linear = (list(map(float, fitted.coefficients.toArray())), float(fitted.intercept))
-    return ClaimModels(clusters, linear)
+    return ClaimModels(clusters, linear, finetuned)
 
 
 def answer_texts(claims: DataFrame, stored_models: ClaimModels, encoder: Encoder = features.hashed_embeddings) -> DataFrame:
     """Claims answered from their ``text``: encoded with its style, scored by the stored models, first scorer first.
 
-    As in the service this replaces, the text itself is encoded, not its normalised form. A null text
-    counts as empty. Any number of claims, without a pass over them before the answer.
+    The fine-tuned model comes first, then the linear one, then the clusters. As in the service this replaces, the text itself
+    is encoded, not its normalised form. A null text counts as empty. A limit on the tokens of a text is the
+    model's own: it sees whole texts. Any number of claims, without a pass over them before the answer.
     """
     plain = claims.withColumn("text", F.coalesce("text", F.lit("")))
     rows = feature_rows(with_style_features(plain).withColumn("normalized_text", F.col("text")), encoder)
     nothing = F.lit(None).cast("double")
     rows = rows.withColumn("finetuned", nothing).withColumn("reliability", nothing).withColumn("kmeans", nothing)
+    if stored_models.finetuned:
+        logits = predict_batch_udf(stored_models.finetuned, return_type=T.ArrayType(T.DoubleType()), batch_size=features.ENCODE_BATCH)
+        rows = rows.withColumn("_logits", logits(F.col("text"))).withColumn("finetuned", softmax_score(F.col("_logits"))).drop("_logits")
     if stored_models.reliability:
         rows = rows.withColumn("reliability", reliability.linear_probability(F.col("features"), *stored_models.reliability))
     if stored_models.clusters:

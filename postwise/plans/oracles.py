@@ -558,6 +558,13 @@ scored AS (SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN linear WHEN d0 <
 shown AS (SELECT *, printf('%.4f', p)::DOUBLE AS probability FROM scored)
 SELECT conv_id, turn, probability, based_on, {_answer("p", "probability")} FROM shown"""
 
+ORACLES["finetuned_answers"] = f"""WITH counted AS (
+  SELECT conv_id, turn, length(text) - length(replace(text, 'a', '')) AS a, length(text) - length(replace(text, 'e', '')) AS e
+  FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'user')),
+shown AS (SELECT conv_id, turn, exp(e - greatest(a, e)) / (exp(a - greatest(a, e)) + exp(e - greatest(a, e))) AS p,
+  printf('%.4f', exp(e - greatest(a, e)) / (exp(a - greatest(a, e)) + exp(e - greatest(a, e))))::DOUBLE AS probability FROM counted)
+SELECT conv_id, turn, probability, 'xlm_roberta_finetuned' AS based_on, {_answer("p", "probability")} FROM shown"""
+
 ORACLES["verdict_labels"] = f"""WITH {REQUESTS},
 asked AS (SELECT ts, CASE WHEN status = 200 THEN probability END AS probability,
   CASE WHEN status = 200 THEN verdict END AS label FROM log)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import pathlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from postwise import schemas
@@ -259,3 +260,15 @@ def test_labels_from_a_table_equal_labels_from_the_list(spark):
     listed = posts.withColumn("source_label", handles.source_label(F.col("username")))
     labelled = ingest.label_sources(posts, parameters.reliable_domains(spark)).select("username", "source_label")
     assert sorted(map(str, labelled.collect())) == sorted(map(str, listed.collect()))
+
+
+def test_the_finetuned_model_answers_first(spark):
+    def load():
+        return lambda texts: np.array([[0.0, float(len(t))] for t in texts])
+
+    claims = spark.createDataFrame([(1, "ab"), (2, None), (3, "x" * 5000)], "claim_id long, text string")
+    both = jobs.ClaimModels(None, ([0.1] * 389, 0.0), load)
+    answered = {r["claim_id"]: (r["based_on"], r["probability"]) for r in jobs.answer_texts(claims, both).collect()}
+    assert answered == {i: ("xlm_roberta_finetuned", p) for i, p in ((1, 0.8808), (2, 0.5), (3, 1.0))}
+    without = jobs.answer_texts(claims, both._replace(finetuned=None)).collect()
+    assert {r["based_on"] for r in without} == {"reliability_classifier"}
