@@ -239,7 +239,8 @@ def near_duplicates(
 
     Fingerprints within ``most`` bits are linked, components are closed under links. Texts
     without words have fingerprint 0 and are linked like any other. Null ids keep their rows; a
-    component of null ids alone has a null component. Repeated rows stay repeated.
+    component of null ids alone has a null component. Repeated rows stay repeated. Columns of ``df`` other than
+    the id are left out, whatever their names; an empty table gives an empty result.
     """
     slim = df.select(F.col(f"`{id_column}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
     rows = stored(fingerprints(slim, size, "_text", keep=["_id"]), "fingerprints")

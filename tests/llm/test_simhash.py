@@ -96,3 +96,26 @@ def test_documents_equal_brute_force(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_odd_rows_of_near_duplicates(spark):
+    """Null ids and texts, very long texts, repeated rows, and columns named like those of the result."""
+    rng = random.Random(11)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(60_000))
+    rows = [
+        (7, None), (3, ""), (None, " "), (None, "alone here with no id at all"), (9, long), (4, long + " w1"), (4, long + " w1"),
+        (12, "x" * 300_000), (11, "X" * 300_000), (20, "one two three four five"), (20, "one two three four five"), (21, "entirely other words stand here"),
+    ]
+    frame = spark.createDataFrame([(*r, 1, "c", 2, 3, 4) for r in rows], "doc_id long, text string, FP int, component string, _id int, root int, least int")
+    out = simhash.near_duplicates(frame).collect()
+    assert len(out) == len(rows) and set(out[0].asDict()) == {"doc_id", "fp", "component"}
+    points = sorted({r["fp"] for r in out})
+    groups = {}
+    for r in out:
+        groups.setdefault(r["component"], []).append(r["doc_id"])
+    # Texts without words are linked like any other, the smallest id names them; copies share a component.
+    assert sorted(groups[3], key=str) == [3, 7, None] and groups[4].count(4) == 2 and 9 in groups[4]
+    assert sorted(groups[11]) == [11, 12] and groups[20] == [20, 20] and groups[21] == [21]
+    # A component of null ids alone has no name.
+    assert groups[None] == [None]
+    assert [r["fp"] for r in out if r["doc_id"] in (3, 7)] == [0, 0] and len(points) >= 5
