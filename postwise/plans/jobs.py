@@ -161,6 +161,15 @@ def training_set_stage(
     split.select("unique_id", "normalized_text", "label", "split").write.mode("overwrite").parquet(path)
 
 
+def evaluation_stage(scored: DataFrame, path: str, score: str = "probability") -> dict[str, float]:
+    """Area and accuracy of the scored ``test`` rows of the training set, appended to ``path`` with their number and time."""
+    tested = stored(scored.filter(F.col("split") == "test").select("label", score), "tested")
+    found = reliability.evaluate(tested, score)
+    row = tested.agg(F.count(F.lit(1)).alias("rows"))
+    append(row.select("rows", *[F.lit(v).alias(k) for k, v in found.items()]), path, loaded_at="evaluated_at")
+    return found
+
+
 ModelLoader = Callable[[], Callable[[np.ndarray], np.ndarray]]
 
 

@@ -272,3 +272,13 @@ def test_the_finetuned_model_answers_first(spark):
     assert answered == {i: ("xlm_roberta_finetuned", p) for i, p in ((1, 0.8808), (2, 0.5), (3, 1.0))}
     without = jobs.answer_texts(claims, both._replace(finetuned=None)).collect()
     assert {r["based_on"] for r in without} == {"reliability_classifier"}
+
+
+def test_evaluation_is_written(spark, tmp_path):
+    rows = [("test", 1.0, 0.9), ("test", 0.0, 0.2), ("test", 1.0, 0.4), ("test", 0.0, 0.1), ("train", 0.0, 1.0)]
+    scored = spark.createDataFrame(rows, "split string, label double, probability double")
+    path = str(tmp_path / "metrics")
+    assert jobs.evaluation_stage(scored, path) == {"roc_auc": 1.0, "accuracy": 0.75}
+    jobs.evaluation_stage(scored.filter("label = 1"), path)
+    stored = sorted((r["rows"], r["roc_auc"], r["accuracy"]) for r in spark.read.parquet(path).collect())
+    assert stored == [(2, 0.0, 0.5), (4, 1.0, 0.75)]
