@@ -13,8 +13,8 @@ the text and its bits per byte.
 
 On Spark: word counts come from all training rows. Documents are dealt to blocks, and a block gets the
 counts of its own words by joins on the word, so no task or broadcast holds the vocabulary, and texts
-are shuffled once. The counts of the slots are sums of fixed-size arrays over all training rows. Only
-those, the most frequent words and the band totals, all of fixed size, are broadcast.
+are shuffled once. The counts of the slots are sums of arrays over all training rows; the arrays grow with
+the training tokens up to a bound in bytes. Only those, the most frequent words and the band totals are broadcast.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +45,13 @@ BAND = 2048
 UNKNOWN, END = BAND + BANDS * GROUPS, BAND + BANDS * GROUPS + 1
 # Marks a count that leaving out one occurrence moves to the next lower band.
 LOWERED = 0x8000
-SLOT_BITS, CONTEXTS, CHUNK = 18, 4, 1 << 14
-SLOTS = 1 << SLOT_BITS
+CONTEXTS, CHUNK = 4, 1 << 14
+# Slots of a context: at least 16 per training token, about one per decision, between these powers of two. The upper one bounds what is
+# broadcast: 64 MB while weights are learned, 32 MB when texts are scored.
+LEAST_BITS, MOST_BITS = 16, 22
 GATES, KINDS, CELLS = 64, 3, 32
 # Passes over all training rows that fit the gated weights and the refinement.
-ROUNDS = 2
+ROUNDS = 1
 # Input bytes whose distinct words a task holds at once; larger input splits are cut into several blocks.
 BLOCK_BYTES = 16 << 20
 FLUSH_WORDS = 400_000
@@ -112,13 +115,16 @@ def _mix(*parts: np.ndarray | int) -> np.ndarray:
     return total
 
 
-def _slots(contexts: list[np.ndarray], rows: np.ndarray, nodes: np.ndarray) -> list[np.ndarray]:
-    mixed = nodes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    out = []
-    for k, context in enumerate(contexts):
-        hashed = (context[rows] + mixed) * np.uint64(0xFF51AFD7ED558CCD)
-        out.append((hashed >> np.uint64(64 - SLOT_BITS)).astype(np.int32) + np.int32(k * SLOTS))
-    return out
+def _short(hashed: np.ndarray) -> np.ndarray:
+    """The upper half of a 64-bit hash."""
+    return (hashed >> np.uint64(32)).astype(np.uint32)
+
+
+def _slots(contexts: list[np.ndarray], rows: np.ndarray, nodes: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Slot of every decision in the table of each context; ``contexts`` are 32-bit hashes."""
+    node = _short(nodes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    shift = np.uint32(32 - bits)
+    return [(((c.take(rows) ^ node) * np.uint32(0x9E3779B1)) >> shift).astype(np.intp) for c in contexts]
 
 
 def _token_contexts(codes: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
@@ -145,23 +151,25 @@ def _token_contexts(codes: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     before = np.where(ok, np.maximum(last, 0), 0)
     last2 = np.where(ok, last[before], -1)
     fw2 = np.where(last2 >= first, plain[np.maximum(last2, 0)], END)
-    return [_mix(np.zeros(n, np.int64), 0), _mix(one, 1), _mix(one, two, 2), _mix(fw1, fw2, 3)]
+    return [_short(c) for c in (_mix(np.zeros(n, np.int64), 0), _mix(one, 1), _mix(one, two, 2), _mix(fw1, fw2, 3))]
 
 
 def _byte_contexts(codes: np.ndarray) -> list[np.ndarray]:
-    """Context hashes of every byte of the unknown words; each word ends with a space."""
-    plain = np.concatenate([[32, 32, 32], codes]).astype(np.int64)
-    one, two, three = plain[2:-1], plain[1:-2], plain[:-3]
-    two = np.where(one == 32, 32, two)
-    three = np.where(two == 32, 32, three)
-    return [_mix(np.zeros(len(codes), np.int64), 4), _mix(one, 5), _mix(one, two, 6), _mix(one, two, three, 7)]
+    """Context hashes of every byte of the unknown words: its last one, two, three and five; each word ends with a space."""
+    plain = np.concatenate([[32] * 5, codes]).astype(np.int64)
+    back = [plain[4:-1]]
+    for k in range(1, 5):
+        # Nothing before the word counts.
+        back.append(np.where(back[-1] == 32, 32, plain[4 - k : len(plain) - 1 - k]))
+    return [_short(_mix(*back[:n], 3 + n)) for n in (1, 2, 3, 5)]
 
 
 class Coder:
     """Turns coded texts into decisions: slots of all contexts, bit, kind and owner."""
 
-    def __init__(self, masses: np.ndarray) -> None:
+    def __init__(self, masses: np.ndarray, slot_bits: int) -> None:
         self.nodes, self.bits, self.depth = huffman(masses)
+        self.slot_bits = slot_bits
 
     def decisions(
         self, codes: np.ndarray, starts: np.ndarray, spelled: np.ndarray, owners: np.ndarray
@@ -174,14 +182,14 @@ class Coder:
         if len(codes):
             text = np.repeat(np.arange(len(starts)), np.diff([*starts, len(codes)]))
             contexts, classes = _token_contexts(codes, starts), class_of(codes)
-            depth = self.depth[classes]
+            depth, at = self.depth[classes], self.slot_bits
             rows = np.arange(len(codes))
             for d in range(self.nodes.shape[1]):
                 rows = rows[depth[rows] > d]
                 if not len(rows):
                     break
                 c = classes[rows]
-                yield _slots(contexts, rows, self.nodes[c, d]), self.bits[c, d], 0, text[rows]
+                yield _slots(contexts, rows, self.nodes[c, d], at), self.bits[c, d], 0, text[rows]
             rows = np.flatnonzero((codes < HEAD) & (codes > 0))
             number = codes[rows].astype(np.int64) + 1
             size = classes[rows] - 2
@@ -192,18 +200,18 @@ class Coder:
                     break
                 prefix = number >> (size - d)
                 bit = ((number >> (size - d - 1)) & 1).astype(np.int8)
-                yield _slots(contexts, rows, (size << 12) + prefix + 64), bit, 1, text[rows]
+                yield _slots(contexts, rows, (size << 12) + prefix + 64, at), bit, 1, text[rows]
             rows = np.flatnonzero((codes >= BAND) & (codes < UNKNOWN))
             group = (codes[rows].astype(np.int64) - BAND) % GROUPS | GROUPS
             for d in range(GROUP_BITS if len(rows) else 0):
                 bit = ((group >> (GROUP_BITS - 1 - d)) & 1).astype(np.int8)
-                yield _slots(contexts, rows, (group >> (GROUP_BITS - d)) + (1 << 20)), bit, 1, text[rows]
+                yield _slots(contexts, rows, (group >> (GROUP_BITS - d)) + (1 << 20), at), bit, 1, text[rows]
         if len(spelled):
             contexts, rows = _byte_contexts(spelled), np.arange(len(spelled))
             wide = spelled.astype(np.int64) | 256
             for d in range(8):
                 bit = ((wide >> (7 - d)) & 1).astype(np.int8)
-                yield _slots(contexts, rows, (wide >> (8 - d)) + 65536), bit, 2, owners
+                yield _slots(contexts, rows, (wide >> (8 - d)) + 65536, self.slot_bits), bit, 2, owners
 
 
 # --- the mixed model -----------------------------------------------------------------------------
@@ -211,14 +219,28 @@ class Coder:
 
 @dataclass
 class Model:
-    """Log odds and confidence of every slot, gated weights and the refinement table."""
+    """Log odds and confidence of every slot, gated weights and the refinement table.
+
+    ``slots`` holds one table per context; an entry is the log odds in steps of 1 / ``STEPS`` and, in its
+    last two bits, the confidence.
+    """
 
     masses: np.ndarray
-    odds: np.ndarray
-    confidence: np.ndarray
+    slots: np.ndarray
     weights: np.ndarray
     refined: np.ndarray
 
+    def coder(self) -> Coder:
+        return Coder(self.masses, self.slots.shape[1].bit_length() - 1)
+
+
+STEPS = 256
+
+
+def packed(odds: np.ndarray, confidence: np.ndarray) -> np.ndarray:
+    """Log odds, below 2^5 as counts are below 2^40, and confidence in 16 bits."""
+    return (np.rint(odds * STEPS).astype(np.int16) << 2) | confidence.astype(np.int16)
+
 
 def _odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return np.log((ones + 0.4) / (zeros + 0.4)).astype(np.float32)
@@ -228,70 +250,79 @@ def _confidence(total: np.ndarray) -> np.ndarray:
     return ((total >= 1).astype(np.uint8) + (total >= 4) + (total >= 32)).astype(np.uint8)
 
 
-def _gate(parts: list[np.ndarray], kind: int) -> np.ndarray:
-    return kind * GATES + parts[1].astype(np.int64) * 16 + parts[2] * 4 + parts[3]
+def _inputs(found: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Log odds per context, and the gate that the confidence of the last three chooses."""
+    odds = [(f >> 2).astype(np.float32) * np.float32(1 / STEPS) for f in found]
+    gate = ((found[1] & 3) << 4) | ((found[2] & 3) << 2) | (found[3] & 3)
+    return odds, gate.astype(np.intp)
+
 
+def _mixed(weights: np.ndarray, gate: np.ndarray, odds: list[np.ndarray]) -> np.ndarray:
+    """Mixed log odds under the weights of one kind, a row per context and one for the constant."""
+    out = weights[CONTEXTS].take(gate) * np.float32(0.3)
+    for row, x in zip(weights, odds, strict=False):
+        out += row.take(gate) * x
+    return np.clip(out, -16, 16)
 
-def _cell(mixed: np.ndarray, kind: int) -> np.ndarray:
-    return kind * CELLS + np.clip((mixed + 8) * (CELLS / 16), 0, CELLS - 1).astype(np.int64)
+
+def _cell(mixed: np.ndarray) -> np.ndarray:
+    return np.minimum((mixed + np.float32(8)).clip(0) * np.float32(CELLS / 16), CELLS - 1).astype(np.intp)
 
 
 def _softplus(x: np.ndarray) -> np.ndarray:
-    return np.logaddexp(0, x)
+    return np.maximum(x, 0) + np.log(1 + np.exp(-np.abs(x)))
 
 
-def _without(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds of every slot for either bit, and its confidence, without the decision itself."""
+def _without(counts: np.ndarray) -> np.ndarray:
+    """Packed entries of every slot for either bit without the decision itself: entry 2 * slot + bit of each context."""
     less = np.maximum(counts - 1, 0)
-    odds = np.stack([_odds(less[:, 0], counts[:, 1]), _odds(counts[:, 0], less[:, 1])], axis=1)
-    return odds.ravel(), _confidence(np.maximum(counts.sum(axis=1) - 1, 0))
+    odds = np.stack([_odds(less[..., 0], counts[..., 1]), _odds(counts[..., 0], less[..., 1])], axis=-1)
+    sure = _confidence(np.maximum(counts.sum(axis=-1) - 1, 0))
+    return packed(odds, sure[..., None]).reshape(len(counts), -1)
+
+
+def _slot_table(counts: np.ndarray) -> np.ndarray:
+    return packed(_odds(counts[..., 0], counts[..., 1]), _confidence(counts.sum(axis=-1)))
 
 
 def first_weights() -> np.ndarray:
-    weights = np.full((KINDS * GATES, CONTEXTS + 1), 0.4)
+    """Weights of every kind, context (and the constant) and gate."""
+    weights = np.full((KINDS, CONTEXTS + 1, GATES), 0.4)
     weights[:, CONTEXTS] = 0
     return weights
 
 
 def learn(
-    batches: Iterator[tuple[list[np.ndarray], np.ndarray, int, np.ndarray]],
-    odds: np.ndarray,
-    confidence: np.ndarray,
-    weights: np.ndarray,
+    batches: Iterator[tuple[list[np.ndarray], np.ndarray, int, np.ndarray]], without: np.ndarray, weights: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Weights learned online from where they stand, decisions per gate, and ones and decisions per cell.
 
-    ``odds`` and ``confidence`` leave each decision out of the counts that predict it.
+    ``without`` leaves each decision out of the counts that predict it.
     """
     weights = weights.copy()
-    seen, hits, tries = np.zeros(len(weights)), np.zeros(KINDS * CELLS), np.zeros(KINDS * CELLS)
+    seen = np.zeros((KINDS, GATES))
+    came = np.zeros((KINDS, CELLS * 2))
     for slots, bits, kind, _ in batches:
+        own = weights[kind]
         for at in range(0, len(bits), 4096):
             bit = bits[at : at + 4096]
-            part = [s[at : at + 4096] for s in slots]
-            inputs = [odds[s * 2 + bit] for s in part]
-            gate = _gate([confidence[s] for s in part], kind)
-            now = weights.astype(np.float32)
-            mixed = now[gate, CONTEXTS] * np.float32(0.3)
-            for k, x in enumerate(inputs):
-                mixed += now[gate, k] * x
-            mixed = np.clip(mixed, -16, 16)
+            odds, gate = _inputs([t.take(s[at : at + 4096] * 2 + bit) for t, s in zip(without, slots, strict=True)])
+            mixed = _mixed(own.astype(np.float32), gate, odds)
             error = bit - 1 / (1 + np.exp(-mixed))
-            here = np.bincount(gate, minlength=len(weights))
+            here = np.bincount(gate, minlength=GATES)
             rate = 0.02 / np.sqrt(np.maximum(here, 1))
-            for k, x in enumerate(inputs):
-                weights[:, k] += rate * np.bincount(gate, error * x, len(weights))
-            weights[:, CONTEXTS] += rate * 0.3 * np.bincount(gate, error, len(weights))
-            cell = _cell(mixed, kind)
-            seen += here
-            hits += np.bincount(cell, bit, len(hits))
-            tries += np.bincount(cell, minlength=len(tries))
-    return weights, seen, hits, tries
+            for row, x in zip(own, odds, strict=False):
+                row += rate * np.bincount(gate, error * x, GATES)
+            own[CONTEXTS] += rate * 0.3 * np.bincount(gate, error, GATES)
+            seen[kind] += here
+            came[kind] += np.bincount(_cell(mixed) * 2 + bit, minlength=CELLS * 2)
+    pairs = came.reshape(KINDS, CELLS, 2)
+    return weights, seen, pairs[..., 1], pairs.sum(axis=-1)
 
 
 def _refinement(hits: np.ndarray, tries: np.ndarray) -> np.ndarray:
     """Log odds of the ones that came in every cell of mixed log odds; 8 decisions stand for the cell's own."""
-    own = np.tile(1 / (1 + np.exp(-(np.arange(CELLS) - CELLS / 2 + 0.5) * 16 / CELLS)), KINDS)
+    own = 1 / (1 + np.exp(-(np.arange(CELLS) - CELLS / 2 + 0.5) * 16 / CELLS))
     share = (hits + own * 8) / (tries + 8)
     return np.log(share / (1 - share)).astype(np.float32)
 
@@ -302,18 +333,14 @@ def log_probability(
     """Natural logarithms of the probability of the tokens and of the spelling of unknown words, per text."""
     sums = np.zeros((2, texts))
     for slots, bits, kind, text in batches:
-        for at in range(0, len(bits), 1 << 15):
-            part = [s[at : at + (1 << 15)] for s in slots]
-            gate = _gate([model.confidence[s] for s in part], kind)
-            weights = model.weights
-            mixed = weights[gate, CONTEXTS] * np.float32(0.3)
-            for k, s in enumerate(part):
-                mixed += weights[gate, k] * model.odds[s]
-            mixed = np.clip(mixed, -16, 16)
-            final = (mixed + model.refined[_cell(mixed, kind)]) * np.float32(0.5)
+        for at in range(0, len(bits), 1 << 14):
+            part = slice(at, at + (1 << 14))
+            odds, gate = _inputs([t.take(s[part]) for t, s in zip(model.slots, slots, strict=True)])
+            mixed = _mixed(model.weights[kind], gate, odds)
+            final = (mixed + model.refined[kind].take(_cell(mixed))) * np.float32(0.5)
             # log p of the bit that came: minus softplus of the log odds against it.
-            sign = 1 - 2 * bits[at : at + (1 << 15)].astype(np.float32)
-            sums[kind // 2] -= np.bincount(text[at : at + (1 << 15)], _softplus(sign * final), texts)
+            against = final * (1 - 2 * bits[part]).astype(np.float32)
+            sums[kind // 2] -= np.bincount(text[part], _softplus(against), texts)
     return sums
 
 
@@ -405,7 +432,7 @@ def _coder(head: dict[bytes, int], band_totals: np.ndarray, ends: int, width: in
                         base = np.log10(totals + SMOOTH)
                     tokens = words_of(body)
                     get, none = number.get, len(number)
-                    at = np.fromiter((get(w, none) for w in tokens), np.int64, len(tokens))
+                    at = np.fromiter(map(get, tokens, repeat(none)), np.int64, len(tokens))
                     missing = at == none
                     # A word of a training row that the counts lack occurs there alone.
                     learn = learns[i]
@@ -479,59 +506,92 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
+PACKED = "chunk int, low binary, places binary, rest binary"
+
+
+def _pack(chunk: int, counts: np.ndarray) -> tuple[int, bytes, bytes, bytes]:
+    """Counts of a chunk: one byte each, and what is above 255 with its places."""
+    places = np.flatnonzero(counts > 255)
+    low = zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), 1)
+    return chunk, low, places.astype("<i4").tobytes(), (counts[places] - 255).astype("<i8").tobytes()
+
+
+def _unpack(low: bytes, places: bytes, rest: bytes) -> np.ndarray:
+    counts = np.frombuffer(zlib.decompress(low), np.uint8).astype(np.int64)
+    counts[np.frombuffer(places, "<i4")] += np.frombuffer(rest, "<i8")
+    return counts
+
+
 def _counting(coder: Coder):
     """Map function: coded training texts to packed counts of all slots, one row per chunk."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CONTEXTS * SLOTS * 2, np.int64)
+        # Of the table's own type: other ones are added far more slowly.
+        one, total = np.int32(1), np.zeros((CONTEXTS, 2 << coder.slot_bits), np.int32)
         used = False
-        for batch in _slices(batches, 4096):
+        for batch in _slices(batches):
             for slots, bits, _, _ in coder.decisions(*_texts(batch, learning=True)):
                 used = True
-                for k, s in enumerate(slots):
-                    low = k * SLOTS * 2
-                    total[low : low + SLOTS * 2] += np.bincount(
-                        (s - np.int32(k * SLOTS)) * 2 + bits, minlength=SLOTS * 2
-                    )
-        parts = total.reshape(-1, CHUNK * 2) if used else []
-        packed = [zlib.compress(p.astype("<i8").tobytes(), 1) for p in parts]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(len(packed)), pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "counts"]
-        )
+                for mine, s in zip(total, slots, strict=True):
+                    np.add.at(mine, s * 2 + bits, one)
+        names = [n.split()[0] for n in PACKED.split(", ")]
+        chunks = total.reshape(-1, CHUNK * 2) if used else []
+        for at in range(0, len(chunks), 64):
+            columns = zip(*[_pack(at + k, c) for k, c in enumerate(chunks[at : at + 64])], strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(columns)], names=names
+            )
+        del total, chunks
+        give_back()
 
     return count
 
 
-def _adding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the packed counts of equal chunks, which stand together."""
-    chunk, total = None, None
-    out = []
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Table entries of the chunks, whose packed counts stand together: without the decision itself, and with all."""
+    chunk, total, out = None, None, []
+
+    def add() -> None:
+        if chunk is not None:
+            pairs = total.reshape(1, -1, 2)
+            out.append((chunk, zlib.compress(_without(pairs).tobytes(), 1), zlib.compress(_slot_table(pairs).tobytes(), 1)))
+
     for batch in batches:
-        for c, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            part = np.frombuffer(zlib.decompress(packed.as_py()), "<i8")
+        for c, *parts in zip(*[column.to_pylist() for column in batch.columns], strict=True):
             if c != chunk:
-                if chunk is not None:
-                    out.append((chunk, zlib.compress(total.tobytes(), 1)))
-                chunk, total = c, part.copy()
+                add()
+                chunk, total = c, _unpack(*parts)
             else:
-                total += part
-    if chunk is not None:
-        out.append((chunk, zlib.compress(total.tobytes(), 1)))
-    columns = list(zip(*out, strict=True)) or [[], []]
+                total += _unpack(*parts)
+    add()
+    columns = list(zip(*out, strict=True)) or [[], [], []]
     yield pa.RecordBatch.from_arrays(
-        [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary())], names=["chunk", "counts"]
+        [pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(columns)], names=["chunk", "without", "whole"]
     )
 
 
-def slot_counts(coded: DataFrame, coder: Coder) -> np.ndarray:
-    """Zeros and ones of every slot over all training texts; 16 MB, whatever the corpus."""
-    rows = coded.filter("_learn").select("codes", "unknown", "rare").mapInArrow(_counting(coder), "chunk int, counts binary")
-    chunks = CONTEXTS * SLOTS // CHUNK
-    summed = rows.repartition(chunks, "chunk").sortWithinPartitions("chunk").mapInArrow(_adding, rows.schema)
-    counts = np.zeros((chunks, CHUNK * 2), np.int64)
-    for row in summed.toLocalIterator():
-        counts[row["chunk"]] = np.frombuffer(zlib.decompress(row["counts"]), "<i8")
-    return counts.reshape(-1, 2)
+def slot_bits(tokens: int) -> int:
+    """Bits of a slot number for a training corpus of so many tokens."""
+    return min(max(int(tokens).bit_length() + 4, LEAST_BITS), MOST_BITS)
+
+
+def slot_entries(coded: DataFrame, coder: Coder) -> tuple[np.ndarray, np.ndarray]:
+    """Packed entries of every context, from the zeros and ones of its slots over all training texts.
+
+    The first leaves each decision out (entry 2 * slot + bit), the second has all. The counts are summed and
+    turned into entries in the tasks; the driver gets the entries, at most 96 MB.
+    """
+    rows = coded.filter("_learn").select("codes", "unknown", "rare").mapInArrow(_counting(coder), PACKED)
+    chunks = (CONTEXTS << coder.slot_bits) // CHUNK
+    summed = rows.repartition(min(chunks, 64), "chunk").sortWithinPartitions("chunk")
+    # Written first: an iterator over the driver would run the sums one task after another.
+    entries = stored(summed.mapInArrow(_entries, "chunk int, without binary, whole binary"), "entries")
+    nothing = np.zeros((1, CHUNK, 2), np.int64)
+    without, whole = np.tile(_without(nothing), (chunks, 1)), np.tile(_slot_table(nothing), (chunks, 1))
+    for row in entries.toLocalIterator():
+        without[row["chunk"]] = np.frombuffer(zlib.decompress(row["without"]), np.int16)
+        whole[row["chunk"]] = np.frombuffer(zlib.decompress(row["whole"]), np.int16)
+    return without.reshape(CONTEXTS, -1), whole.reshape(CONTEXTS, -1)
 
 
 @dataclass(frozen=True)
@@ -580,9 +640,9 @@ def score(df: DataFrame, training: Column, text: str = "text", id_column: str =
     """One row per row of ``df``: the id, counts, base score, model score and bits per byte.
 
     ``training`` picks the rows to learn from. Null texts are empty: they have the end alone.
-    ``score`` is the log10 probability of the tokens, over the same events as the base: every training word, the
-    end, and one unknown word. ``spelling_score`` is that of the letters of the unknown words.
-    ``bits_per_byte`` divides the bits of both by the bytes of the text and is null for an empty one. Without training rows every
+    ``score`` is the log10 probability of the text: the sum of ``token_score``, over the same events as the base (every
+    training word, the end, and one unknown word), and ``spelling_score``, for the letters of the unknown words.
+    ``bits_per_byte`` divides the bits of the score by the bytes of the text and is null for an empty one. Without training rows every
     decision has probability one half. Repeated rows stay repeated; other columns are left out.
     """
     spark = df.sparkSession
@@ -630,11 +690,11 @@ def score(df: DataFrame, training: Column, text: str = "text", id_column: str =
     coded = stored(dealt.mapInArrow(code, schema), "coded", "zstd")
     model = _fit(coded, corpus)
     # Arrays, not the object: what is broadcast is unpickled by workers that may lack this package.
-    shared = spark.sparkContext.broadcast((model.masses, model.odds, model.confidence, model.weights, model.refined))
+    shared = spark.sparkContext.broadcast((model.masses, model.slots, model.weights, model.refined))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixed = Model(*shared.value)
-        coder = Coder(mixed.masses)
+        coder = mixed.coder()
         for batch in _slices(batches):
             logs = log_probability(mixed, coder.decisions(*_texts(batch, learning=False)), batch.num_rows)
             names = [*batch.schema.names[3:], "_log", "_spelling"]
@@ -645,8 +705,9 @@ def score(df: DataFrame, training: Column, text: str = "text", id_column: str =
         rate, T.StructType([coded.schema[c] for c in kept] + [T.StructField(c, T.DoubleType()) for c in ("_log", "_spelling")])
     )
     cost = float(np.log10(corpus.tokens + SMOOTH * (corpus.distinct + 1)))
-    total, spelling = F.col("_log") / float(np.log(10)) + F.col("band_log"), F.col("_spelling") / float(np.log(10))
-    bits = F.when(F.col("n_bytes") > 0, -(total + spelling) * float(np.log2(10)) / F.col("n_bytes"))
+    tokens, spelling = F.col("_log") / float(np.log(10)) + F.col("band_log"), F.col("_spelling") / float(np.log(10))
+    total = tokens + spelling
+    bits = F.when(F.col("n_bytes") > 0, -total * float(np.log2(10)) / F.col("n_bytes"))
     return rated.select(
         F.col("_id").alias(id_column),
         (~F.col("_learn")).alias("held_out"),
@@ -655,20 +716,21 @@ def score(df: DataFrame, training: Column, text: str = "text", id_column: str =
         F.lit(corpus.tokens).cast("long").alias("train_tokens"),
         (F.col("base_log") - F.col("n_tokens") * cost).alias("base_score"),
         total.alias("score"),
+        tokens.alias("token_score"),
         spelling.alias("spelling_score"),
         bits.alias("bits_per_byte"),
     )
 
 
-def _learning(shared, weights: np.ndarray):
+def _learning(shared, slot_bits: int, weights: np.ndarray):
     """Map function: coded training texts to the sums of what a task learns, one row per number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masses, odds, confidence = shared.value
-        coder = Coder(masses)
+        masses, without = shared.value
+        coder = Coder(masses, slot_bits)
         decisions = (d for b in _slices(batches, 64) for d in coder.decisions(*_texts(b, learning=True)))
-        found, seen, hits, tries = learn(decisions, odds, confidence, weights)
-        sums = np.concatenate([(found * seen[:, None]).ravel(), seen, hits, tries])
+        found, seen, hits, tries = learn(decisions, without, weights)
+        sums = np.concatenate([x.ravel() for x in (found * seen[:, None], seen, hits, tries)])
         used = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(sums[used])], names=["place", "part"])
         give_back()
@@ -676,26 +738,32 @@ def _learning(shared, weights: np.ndarray):
     return run
 
 
+def _averaged(sums: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights averaged by the decisions of each gate, and ones and decisions per cell, from summed parts."""
+    moved, seen, hits, tries = np.split(sums, np.cumsum([weights.size, KINDS * GATES, KINDS * CELLS]))
+    seen = seen.reshape(KINDS, 1, GATES)
+    mean = np.where(seen > 0, moved.reshape(weights.shape) / np.maximum(seen, 1), weights)
+    return mean, hits.reshape(KINDS, CELLS), tries.reshape(KINDS, CELLS)
+
+
 def _fit(coded: DataFrame, corpus: Corpus) -> Model:
     """Counts, weights and refinement from all training rows.
 
     In each round the tasks learn online from the same weights; the next weights are the averages
     of theirs, each gate weighted by its decisions. Ones and decisions per cell are those of the last round.
     """
-    counts = slot_counts(coded, Coder(corpus.masses))
-    shared = coded.sparkSession.sparkContext.broadcast((corpus.masses, *_without(counts)))
+    coder = Coder(corpus.masses, slot_bits(corpus.tokens))
+    without, whole = slot_entries(coded, coder)
+    shared = coded.sparkSession.sparkContext.broadcast((corpus.masses, without))
     rows, weights = coded.filter("_learn").select("codes", "unknown", "rare"), first_weights()
-    sizes = np.cumsum([weights.size, len(weights), KINDS * CELLS])
     for _ in range(ROUNDS):
-        sums = np.zeros(sizes[-1] + KINDS * CELLS)
-        parts = rows.mapInArrow(_learning(shared, weights), "place int, part double")
+        sums = np.zeros(weights.size + KINDS * (GATES + 2 * CELLS))
+        parts = rows.mapInArrow(_learning(shared, coder.slot_bits, weights), "place int, part double")
         for r in parts.groupBy("place").agg(F.sum("part").alias("total")).collect():
             sums[r["place"]] = r["total"]
-        moved, seen, hits, tries = np.split(sums, sizes)
-        weights = np.where(seen[:, None] > 0, moved.reshape(weights.shape) / np.maximum(seen, 1)[:, None], weights)
+        weights, hits, tries = _averaged(sums, weights)
     shared.destroy()
-    odds, confidence = _odds(counts[:, 0], counts[:, 1]), _confidence(counts.sum(axis=1))
-    return Model(corpus.masses, odds, confidence, weights.astype(np.float32), _refinement(hits, tries))
+    return Model(corpus.masses, whole, weights.astype(np.float32), _refinement(hits, tries))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,7 @@ def check(rows, found):
         assert abs(r["base_score"] - base) < 1e-6 * abs(base) + 1e-9
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0)
         assert r["score"] < 0 and r["spelling_score"] <= 0
+        assert abs(r["score"] - r["token_score"] - r["spelling_score"]) < 1e-9
         assert (r["bits_per_byte"] is None) or r["bits_per_byte"] > 0
 
 
@@ -46,7 +47,15 @@ def test_documents(spark):
     found = mixing.query(spark, SF_DIR).collect()
     check(rows, found)
     held_out = [r for r in found if r["held_out"]]
-    assert sum(r["score"] for r in held_out) > sum(r["base_score"] for r in held_out)
+    # The same events: the base has no letters of unknown words.
+    assert sum(r["token_score"] for r in held_out) > sum(r["base_score"] for r in held_out)
+
+
+def test_score_of_the_whole_text_beats_the_base(spark):
+    """With the letters of unknown words, which the base does not have."""
+    found = mixing.query(spark, "/root/testdata/sf0.01").filter("held_out")
+    total = found.agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
+    assert total["score"] > total["base"]
 
 
 def test_huffman_is_a_prefix_code():
@@ -60,12 +69,12 @@ def test_huffman_is_a_prefix_code():
 def test_probabilities_sum_to_one():
     """All tokens after one context: the products of their decisions sum to 1."""
     rng = np.random.default_rng(3)
-    coder = mixing.Coder(rng.random(mixing.CLASSES) + 0.01)
-    slots = mixing.CONTEXTS * mixing.SLOTS
+    coder = mixing.Coder(rng.random(mixing.CLASSES) + 0.01, 16)
+    slots = (mixing.CONTEXTS, 1 << 16)
     odds, confidence = rng.normal(size=slots).astype(np.float32), rng.integers(0, 4, slots).astype(np.uint8)
-    rows = mixing.KINDS * mixing.GATES
-    weights = rng.normal(size=(rows, mixing.CONTEXTS + 1)).astype(np.float32)
-    model = mixing.Model(np.ones(4), odds, confidence, weights, rng.normal(size=mixing.KINDS * mixing.CELLS).astype(np.float32))
+    weights = rng.normal(size=(mixing.KINDS, mixing.CONTEXTS + 1, mixing.GATES)).astype(np.float32)
+    refined = rng.normal(size=(mixing.KINDS, mixing.CELLS)).astype(np.float32)
+    model = mixing.Model(np.ones(4), mixing.packed(odds, confidence), weights, refined)
     last = np.concatenate([np.arange(mixing.HEAD), np.arange(mixing.BAND, mixing.BAND + mixing.BANDS * mixing.GROUPS)])
     last = np.append(last, [mixing.UNKNOWN, mixing.END]).astype(np.uint16)
     codes = np.stack([np.full(len(last), 7, np.uint16), last], axis=1).ravel()
@@ -97,3 +106,50 @@ def test_weights_come_from_all_training_rows(spark, monkeypatch):
     assert mixing.score(frame, F.lit(True)).count() == len(rows)
     # Every token, the end of a text included, takes at least one decision; words take further ones.
     assert len(seen) == 1 and seen[0][1].sum() >= 2500 * 12 + 40_001 and (seen[0][0] <= seen[0][1]).all()
+
+
+def test_fit_and_score_equal_a_plain_computation(spark, monkeypatch):
+    """Counts by dictionary, then every decision mixed by itself."""
+    words = "the cat sat on a mat and ran away with some other animals".split()
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(rng.choice(words, 12)) + f" w{i % 37} only{i}") for i in range(80)]
+    kept, fitted = mixing._fit, []
+
+    def fit(coded, corpus):
+        fitted.append((kept(coded, corpus), coded.select("_learn", "_id", "codes", "unknown", "rare").toArrow()))
+        return fitted[0][0]
+
+    monkeypatch.setattr(mixing, "_fit", fit)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = {r["doc_id"]: r for r in mixing.score(frame, remainder("doc_id", 10) != 0).collect()}
+    model, coded = fitted[0]
+    coder, counts = model.coder(), Counter()
+
+    def decisions(learning, row):
+        batch = coded.slice(row, 1).select(["codes", "unknown", "rare"]).combine_chunks().to_batches()[0]
+        for slots, bits, kind, _ in coder.decisions(*mixing._texts(batch, learning)):
+            yield from ((*(int(s[i]) for s in slots), int(bits[i]), kind) for i in range(len(bits)))
+
+    learn, ids = coded["_learn"].to_pylist(), coded["_id"].to_pylist()
+    for row in np.flatnonzero(learn):
+        for *slots, bit, _ in decisions(True, int(row)):
+            counts.update((k, s, bit) for k, s in enumerate(slots))
+    for row, doc in enumerate(ids):
+        logs = [0.0, 0.0]
+        for *slots, bit, kind in decisions(False, row):
+            found = [(counts[k, s, 0], counts[k, s, 1]) for k, s in enumerate(slots)]
+            sure = [sum(sum(c) >= least for least in (1, 4, 32)) for c in found]
+            gate = sure[1] * 16 + sure[2] * 4 + sure[3]
+            weights = model.weights[kind, :, gate]
+            odds = [math.log((ones + 0.4) / (zeros + 0.4)) for zeros, ones in found]
+            mixed = min(max(sum(w * x for w, x in zip(weights, [*odds, 0.3], strict=True)), -16), 16)
+            cell = min(max(int((mixed + 8) * mixing.CELLS / 16), 0), mixing.CELLS - 1)
+            final = (mixed + float(model.refined[kind, cell])) / 2
+            logs[kind == 2] -= math.log1p(math.exp(-final if bit else final))
+        band = scores[doc]["token_score"] - logs[0] / math.log(10)
+        # The steps of the packed log odds may move a mixture into the next cell of the refinement.
+        assert abs(logs[1] / math.log(10) - scores[doc]["spelling_score"]) < 0.02 * abs(logs[1]) + 0.01
+        shares = 0.0
+        for code in np.frombuffer(coded["codes"][row].as_py(), "<u2") & 0x7FFF:
+            shares += mixing.BAND <= code < mixing.UNKNOWN
+        assert band <= 0.02 * abs(logs[0]) + 0.01 and (shares or abs(band) <= 0.02 * abs(logs[0]) + 0.01)
