@@ -10,6 +10,8 @@ from postwise.functions.text import WORD
 # A term counts as frequent from one part in this many of all postings, so there
 # are never more frequent terms than this: the bound of the broadcast side.
 FREQUENT_TERMS = 100_000
+# Characters of text that one task of the term counts cuts into words.
+TASK_CHARS = 8_000_000
 
 
 def terms(text: Column) -> Column:
@@ -17,14 +19,22 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(rf"[{WORD}]{{2,}}"), F.lit(0))
 
 
+def _placed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Texts by key, at most some ``TASK_CHARS`` in a partition; where the cores suffice for that, Spark chooses the number."""
+    chars = docs.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0
+    parts = -(-chars // TASK_CHARS)
+    rows = docs.select(key, text)
+    return rows.repartition(parts, key) if parts > docs.sparkSession.sparkContext.defaultParallelism else rows.repartition(key)
+
+
 def term_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, term, tf); a document without terms has no rows.
 
     The texts are placed by document key before they are cut, so the count per
-    document and term needs no shuffle of the much larger token rows.
+    document and term needs no shuffle of the much larger token rows. The number of partitions follows
+    the length of the texts, found by a pass of its own, because a task's counts take many times their room.
     """
-    placed = docs.select(key, text).repartition(key)
-    tokens = placed.select(key, F.explode(terms(F.col(text))).alias("term"))
+    tokens = _placed(docs, key, text).select(key, F.explode(terms(F.col(text))).alias("term"))
     return tokens.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -119,3 +119,12 @@ def test_reports_come_in_their_order(spark):
     posts = spark.createDataFrame([(f"2024-01-0{d} 10:00:00",) for d in (3, 1, 2, 3)], "t string")
     days = reports.posts_per_day(posts.select(F.col("t").cast("timestamp").alias("created_at"))).collect()
     assert [str(r["date"])[:10] for r in days] == sorted(str(r["date"])[:10] for r in days)
+
+
+def test_partitions_of_the_term_counts_follow_the_text(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "TASK_CHARS", 40)
+    docs = spark.createDataFrame([(i, "words of text " * 4) for i in range(30)] + [(30, None), (0, "more")], "doc_id long, text string")
+    counts = retrieval.term_counts(docs, "doc_id")
+    assert "REPARTITION_BY_NUM" in _plan(counts) and ", 43)" in _plan(counts)
+    found = {(r["doc_id"], r["term"]): r["tf"] for r in counts.collect()}
+    assert len(found) == 91 and found[(0, "more")] == 1 and found[(29, "text")] == 4
