@@ -20,7 +20,7 @@ from postwise.functions.scoring import answer_claims, softmax_score
 from postwise.functions.text import clean_text, normalize_text, with_style_features
 from postwise.operators import clustering, emotion, features, incremental, ingest, reliability
 from postwise.operators.dedup import first_rows
-from postwise.session import exists, released, stored
+from postwise.session import exists, narrow_batches, released, stored
 from postwise.sources import models
 from postwise.sources.tables import append, read_table
 from postwise.streaming.posts import read_payload_stream, stream_posts, stream_rejected
@@ -203,6 +203,7 @@ def answer_texts(claims: DataFrame, stored_models: ClaimModels, encoder: Encoder
     is encoded, not its normalised form. A null text counts as empty. A limit on the tokens of a text is the
     model's own: it sees whole texts. Any number of claims, without a pass over them before the answer.
     """
+    narrow_batches(claims.sparkSession)
     plain = claims.withColumn("text", F.coalesce("text", F.lit("")))
     rows = feature_rows(with_style_features(plain).withColumn("normalized_text", F.col("text")), encoder)
     nothing = F.lit(None).cast("double")

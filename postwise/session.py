@@ -17,6 +17,9 @@ DEFAULTS = {
     "spark.driver.maxResultSize": "1g",
 }
 
+# Rows of a batch between Spark and Python unless the session names another number: texts and features are wide rows.
+BATCH_ROWS = 1000
+
 _paths: ContextVar[list[str] | None] = ContextVar("paths", default=None)
 
 
@@ -28,6 +31,13 @@ def build_session(app_name: str = "postwise", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def narrow_batches(spark: SparkSession) -> None:
+    """Smaller batches for wide rows, where the session has the default number of rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared folder named by ``spark.checkpoint.dir``, which must be set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
