@@ -93,15 +93,16 @@ def labelled_posts(cleaned: DataFrame, drop_conflicts: bool = False) -> DataFram
     """Label 1 for reliable sources, 0 for misinformation posts.
 
     A post that is both appears once under each label unless
-    ``drop_conflicts``. One scan: the labels are exploded from the row.
+    ``drop_conflicts``. One scan: the labels are exploded from the row, and posts without text have none,
+    so no filter on the text repeats the cleaning below it.
     """
     reliable = F.col("source_label") == "reliable"
     misinformation = F.col("category") == "Misinformation"
     labels = F.array_compact(F.array(F.when(reliable, 1.0), F.when(misinformation, 0.0)))
-    scored = cleaned.filter((F.col("normalized_text") != "") & (reliable | misinformation))
     if drop_conflicts:
-        scored = scored.filter(F.size(labels) == 1)
-    return scored.withColumn("label", F.explode(labels))
+        labels = F.when(F.size(labels) == 1, labels)
+    labels = F.when(F.col("normalized_text") != "", labels)
+    return cleaned.filter(reliable | misinformation).withColumn("label", F.explode(labels))
 
 
 def label_counts(labelled: DataFrame) -> DataFrame:

@@ -154,11 +154,15 @@ def reliability_stage(
 def training_set_stage(
     cleaned: DataFrame, path: str, min_reliable: int = 30, min_misinformation: int = 30, test_share: float = 0.2
 ) -> None:
-    """The labelled set of the fine-tuning path, guarded and split, written to ``path``."""
-    labelled = features.labelled_posts(cleaned)
-    features.require_samples(labelled, min_reliable, min_misinformation)
-    split = features.stratified_split(labelled, test_share)
-    split.select("unique_id", "normalized_text", "label", "split").write.mode("overwrite").parquet(path)
+    """The labelled set of the fine-tuning path, guarded and split, written to ``path``.
+
+    The labelled rows are written once to the scratch folder: the guard, the ranks and the split all read them.
+    """
+    with released(cleaned.sparkSession):
+        labelled = stored(features.labelled_posts(cleaned).select("unique_id", "normalized_text", "label"), "labelled")
+        features.require_samples(labelled, min_reliable, min_misinformation)
+        split = features.stratified_split(labelled, test_share)
+        split.select("unique_id", "normalized_text", "label", "split").write.mode("overwrite").parquet(path)
 
 
 def evaluation_stage(scored: DataFrame, path: str, score: str = "probability") -> dict[str, float]:

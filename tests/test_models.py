@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from postwise.functions import scoring
 from postwise.operators import clustering, emotion, features, reliability
+from postwise.plans import jobs
 from postwise.sources import models
 
 
@@ -200,3 +201,33 @@ def test_labels_at_the_thresholds(spark):
     percents = spark.createDataFrame([(0.125, 12), (0.135, 14), (0.5, 50)], "p double, wanted long")
     for row in percents.withColumn("got", scoring.score_percent(F.col("p"))).collect():
         assert row["got"] == row["wanted"] == int(round(row["p"] * 100))
+
+
+def test_training_set_cleans_every_post_once(spark, tmp_path):
+    cleaned = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def clean(text):
+        cleaned.add(1)
+        return text
+
+    rows = [(f"k{i}", "reliable" if i % 3 else "unverified", "Misinformation" if i % 2 else "Hot Topics", "" if i == 5 else f"text {i}") for i in range(40)]
+    posts = spark.createDataFrame(rows, "unique_id string, source_label string, category string, text string")
+    posts = posts.withColumn("normalized_text", clean("text"))
+    jobs.training_set_stage(posts, str(tmp_path / "set"), 1, 1)
+    wanted = [(k, t, v) for k, s, c, t in rows if t for v, fits in ((1.0, s == "reliable"), (0.0, c == "Misinformation")) if fits]
+    found = [(r["unique_id"], r["normalized_text"], r["label"]) for r in spark.read.parquet(str(tmp_path / "set")).collect()]
+    assert sorted(found) == sorted(wanted)
+    assert cleaned.value <= len(rows)
+
+
+def test_texts_are_answered_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10000")
+    claims = spark.createDataFrame([("a claim",), (None,)], "text string")
+    answered = jobs.answer_texts(claims, jobs.ClaimModels(None, None))
+    assert spark.conf.get(key) == "1000" and answered.count() == 2
+    spark.conf.set(key, "77")
+    jobs.answer_texts(claims, jobs.ClaimModels(None, None))
+    assert spark.conf.get(key) == "77"
+    spark.conf.unset(key)
