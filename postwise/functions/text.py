@@ -108,10 +108,9 @@ def nfkd_ascii(c: Column) -> Column:
 def collapse_spaces(c: Column) -> Column:
     """One blank per whitespace run, none at the ends; expects ASCII text.
 
-    A single blank is already right and is not matched.
+    Cut and joined: behind the ASCII folding that takes a fraction of the time of a replacement.
     """
-    runs = r"[\t\n\x0b\f\r\x1c-\x1f][\s\x1c-\x1f]*+| [\s\x1c-\x1f]++"
-    return F.trim(F.regexp_replace(c, runs, " "))
+    return F.array_join(F.array_remove(F.split(c, r"[\s\x1c-\x1f]+"), ""), " ")
 
 
 def clean(c: Column) -> Column:

@@ -114,3 +114,11 @@ def test_normalize_needs_clean_text(edges):
 def test_verdict_parsing(spark, answer, verdict, reasoning):
     row = verdicts.parse_verdicts(spark.createDataFrame([(answer,)], "text string")).first()
     assert (row["verdict"], row["reasoning"]) == (verdict, reasoning)
+
+
+def test_blanks_are_collapsed_without_a_replacement(spark):
+    texts = ["", " ", "a", " a  b ", "a\t\tb\x0b\x1c c\r\n", "\x1d\x1f", None, "a \x85 b"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.collapse_spaces(F.col("t")).alias("c"))
+    wanted = {t: None if t is None else re.sub(r"[ \t-\r\x1c-\x1f]+", " ", t).strip(" ") for t in texts}
+    assert {r["t"]: r["c"] for r in frame.collect()} == wanted
+    assert "regexp_replace" not in frame._jdf.queryExecution().optimizedPlan().toString()
