@@ -1112,7 +1112,7 @@ def _event_stream(spark, sf):
 def streamed_posts(spark, sf):
     landing, stored = scratch_path(spark, "landing"), scratch_path(spark, "posts")
     for _ in range(2):
-        given.payloads(spark, sf).write.mode("append").json(landing)
+        given.payloads(spark, sf).write.mode("append").json(landing, compression="gzip")
     arrived = post_streams.read_payload_stream(spark, landing)
     post_streams.stream_posts(arrived, stored, scratch_path(spark, "checkpoint"), STATE_PARTITIONS, themes=DOCUMENT_THEMES)
     return spark.read.parquet(stored).select("unique_id", "username", "category", "source_label")
