@@ -131,8 +131,11 @@ def normalize(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    """Whitespace-separated words; no empty strings."""
-    return F.array_remove(F.split(c, f"[{SPACE}]+"), "")
+    """Whitespace-separated words; no empty strings.
+
+    The intersection lets the matcher pass over printing ASCII without trying the classes.
+    """
+    return F.array_remove(F.split(c, f"[[^!-~]&&[{SPACE}]]+"), "")
 
 
 def with_style_features(df: DataFrame, text: str = "text", output: str = "style_features") -> DataFrame:

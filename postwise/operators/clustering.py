@@ -27,16 +27,14 @@ def fit_clusters(
     With ``key`` the rows are placed by its hash in ``partitions`` and sorted inside
     them first, so the model does not depend on how the input was laid
     out. 389 doubles are about 3 KB a row: 64 partitions suit some ten million
-    rows. The vectors are kept (memory, then disk) for the iterations.
+    rows. The frame is not cached here: the fit then keeps its own vectors with their norms (memory, then disk)
+    for the iterations, which spares every pass the decoding of cached rows.
     """
     rows = features
     if key:
         rows = rows.repartition(partitions, key).sortWithinPartitions(key)
-    vectors = rows.select(array_to_vector("features").alias("vector")).persist()
-    try:
-        return KMeans(k=k, seed=seed, featuresCol="vector", maxIter=300, tol=1e-4).fit(vectors)
-    finally:
-        vectors.unpersist()
+    vectors = rows.select(array_to_vector("features").alias("vector"))
+    return KMeans(k=k, seed=seed, featuresCol="vector", maxIter=300, tol=1e-4).fit(vectors)
 
 
 def centers_of(model: KMeansModel) -> list[list[float]]:

@@ -117,6 +117,19 @@ def _two_groups(spark):
     return spark.createDataFrame(data, "unique_id string, features array<double>, source_label string, category string")
 
 
+def test_a_fit_keeps_its_own_vectors(spark, monkeypatch):
+    """A cached frame would make the fit decode its rows again in every pass."""
+    cached, fit = [], clustering.KMeans.fit
+
+    def watched(self, rows):
+        cached.append(rows.storageLevel.useMemory or rows.storageLevel.useDisk)
+        return fit(self, rows)
+
+    monkeypatch.setattr(clustering.KMeans, "fit", watched)
+    model = clustering.fit_clusters(_two_groups(spark), key="unique_id")
+    assert cached == [False] and len(clustering.centers_of(model)) == 2
+
+
 def test_clusters_orientation_and_reload(spark, tmp_path):
     frame = _two_groups(spark)
     model = clustering.fit_clusters(frame, key="unique_id")
