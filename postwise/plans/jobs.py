@@ -148,7 +148,9 @@ def reliability_stage(
         labelled = labelled.withColumn("style_features", F.array(*[F.lit(0.0)] * 5))
     rows = stored(feature_rows(labelled, encoder).select("unique_id", "label", "features"), "training")
     models.save_reliability(reliability.fit_reliability(rows), model_path)
-    return reliability.summarise_folds(reliability.cross_validate(rows, folds))
+    summary = reliability.summarise_folds(reliability.cross_validate(rows, folds))
+    # One row, computed before the scratch tables that it comes from are deleted.
+    return spark.createDataFrame(summary.collect(), summary.schema)
 
 
 def training_set_stage(
