@@ -106,10 +106,11 @@ def class_of(codes: np.ndarray) -> np.ndarray:
     return np.where(codes == UNKNOWN, 0, np.where(codes == END, 1, out))
 
 
-def _mix(*parts: np.ndarray | int) -> np.ndarray:
-    """A 64-bit hash of several integer columns."""
-    total = np.uint64(0x2545F4914F6CDD1D)
-    for k, part in enumerate(parts):
+def _mix(*parts: np.ndarray | int, total: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of several integer columns; ``total`` is that of the first one, where it is known."""
+    known = total is not None
+    total = total if known else np.uint64(0x2545F4914F6CDD1D)
+    for k, part in enumerate(parts, known):
         total = (np.asarray(part).astype(np.uint64) + total) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
         total = total ^ (total >> np.uint64(29))
     return total
@@ -120,11 +121,26 @@ def _short(hashed: np.ndarray) -> np.ndarray:
     return (hashed >> np.uint64(32)).astype(np.uint32)
 
 
-def _slots(contexts: list[np.ndarray], rows: np.ndarray, nodes: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Slot of every decision in the table of each context; ``contexts`` are 32-bit hashes."""
-    node = _short(nodes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    shift = np.uint32(32 - bits)
-    return [(((c.take(rows) ^ node) * np.uint32(0x9E3779B1)) >> shift).astype(np.intp) for c in contexts]
+def _node_hash(nodes: np.ndarray) -> np.ndarray:
+    return _short(nodes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _slots(contexts: list[np.ndarray], rows: np.ndarray, node: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Slot of every decision in the table of each context; ``contexts`` and ``node`` are 32-bit hashes."""
+    shift, out = np.uint32(32 - bits), []
+    for c in contexts:
+        mixed = c.take(rows)
+        mixed ^= node
+        mixed *= np.uint32(0x9E3779B1)
+        mixed >>= shift
+        out.append(mixed.astype(np.intp))
+    return out
+
+
+# First steps of the hash of a code, and its context hash where it is the only part.
+FIRST_MIX = _mix(np.arange(END + 1))
+ALONE_MIX = _short(_mix(1, total=FIRST_MIX))
+NO_MIX = _short(_mix(np.zeros(1, np.int64), 0))
 
 
 def _token_contexts(codes: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
@@ -151,7 +167,8 @@ def _token_contexts(codes: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     before = np.where(ok, np.maximum(last, 0), 0)
     last2 = np.where(ok, last[before], -1)
     fw2 = np.where(last2 >= first, plain[np.maximum(last2, 0)], END)
-    return [_short(c) for c in (_mix(np.zeros(n, np.int64), 0), _mix(one, 1), _mix(one, two, 2), _mix(fw1, fw2, 3))]
+    pairs = [_short(_mix(b, mark, total=FIRST_MIX.take(a))) for a, b, mark in ((one, two, 2), (fw1, fw2, 3))]
+    return [np.repeat(NO_MIX, n), ALONE_MIX.take(one), *pairs]
 
 
 def _byte_contexts(codes: np.ndarray) -> list[np.ndarray]:
@@ -168,8 +185,26 @@ class Coder:
     """Turns coded texts into decisions: slots of all contexts, bit, kind and owner."""
 
     def __init__(self, masses: np.ndarray, slot_bits: int) -> None:
-        self.nodes, self.bits, self.depth = huffman(masses)
+        nodes, bits, self.depth = huffman(masses)
+        self.classes = class_of(np.arange(END + 1))
         self.slot_bits = slot_bits
+        # Hashed node and bit of every step, by class, by frequent word, by group and by byte.
+        self.class_steps = list(zip(_node_hash(nodes.T), np.ascontiguousarray(bits.T), strict=True))
+        number = np.arange(HEAD, dtype=np.int64) + 1
+        size = class_of(number - 1) - 2
+        self.head_size = size
+        self.head_steps = []
+        for d in range(11):
+            left = np.maximum(size - d, 1)
+            node = (size << 12) + (number >> left) + 64
+            self.head_steps.append((_node_hash(node), ((number >> (left - 1)) & 1).astype(np.int8)))
+        self.group_steps = self._plain_steps(np.arange(GROUPS, dtype=np.int64) | GROUPS, GROUP_BITS, 1 << 20)
+        self.byte_steps = self._plain_steps(np.arange(256, dtype=np.int64) | 256, 8, 65536)
+
+    @staticmethod
+    def _plain_steps(values: np.ndarray, size: int, offset: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        places = range(size - 1, -1, -1)
+        return [(_node_hash((values >> (at + 1)) + offset), ((values >> at) & 1).astype(np.int8)) for at in places]
 
     def decisions(
         self, codes: np.ndarray, starts: np.ndarray, spelled: np.ndarray, owners: np.ndarray
@@ -181,37 +216,34 @@ class Coder:
         """
         if len(codes):
             text = np.repeat(np.arange(len(starts)), np.diff([*starts, len(codes)]))
-            contexts, classes = _token_contexts(codes, starts), class_of(codes)
-            depth, at = self.depth[classes], self.slot_bits
-            rows = np.arange(len(codes))
-            for d in range(self.nodes.shape[1]):
-                rows = rows[depth[rows] > d]
+            contexts, classes = _token_contexts(codes, starts), self.classes.take(codes)
+            at, rows, c = self.slot_bits, np.arange(len(codes)), classes
+            depth = self.depth.take(classes)
+            for d, (nodes, bits) in enumerate(self.class_steps):
+                inside = depth > d
+                if not inside.all():
+                    rows, c, depth = rows[inside], c[inside], depth[inside]
                 if not len(rows):
                     break
-                c = classes[rows]
-                yield _slots(contexts, rows, self.nodes[c, d], at), self.bits[c, d], 0, text[rows]
+                yield _slots(contexts, rows, nodes.take(c), at), bits.take(c), 0, text.take(rows)
             rows = np.flatnonzero((codes < HEAD) & (codes > 0))
-            number = codes[rows].astype(np.int64) + 1
-            size = classes[rows] - 2
-            for d in range(11):
+            c = codes.take(rows).astype(np.intp)
+            size = self.head_size.take(c)
+            for d, (nodes, bits) in enumerate(self.head_steps):
                 inside = size > d
-                rows, number, size = rows[inside], number[inside], size[inside]
+                if not inside.all():
+                    rows, c, size = rows[inside], c[inside], size[inside]
                 if not len(rows):
                     break
-                prefix = number >> (size - d)
-                bit = ((number >> (size - d - 1)) & 1).astype(np.int8)
-                yield _slots(contexts, rows, (size << 12) + prefix + 64, at), bit, 1, text[rows]
+                yield _slots(contexts, rows, nodes.take(c), at), bits.take(c), 1, text.take(rows)
             rows = np.flatnonzero((codes >= BAND) & (codes < UNKNOWN))
-            group = (codes[rows].astype(np.int64) - BAND) % GROUPS | GROUPS
-            for d in range(GROUP_BITS if len(rows) else 0):
-                bit = ((group >> (GROUP_BITS - 1 - d)) & 1).astype(np.int8)
-                yield _slots(contexts, rows, (group >> (GROUP_BITS - d)) + (1 << 20), at), bit, 1, text[rows]
+            c = (codes.take(rows).astype(np.intp) - BAND) % GROUPS
+            for nodes, bits in self.group_steps if len(rows) else ():
+                yield _slots(contexts, rows, nodes.take(c), at), bits.take(c), 1, text.take(rows)
         if len(spelled):
-            contexts, rows = _byte_contexts(spelled), np.arange(len(spelled))
-            wide = spelled.astype(np.int64) | 256
-            for d in range(8):
-                bit = ((wide >> (7 - d)) & 1).astype(np.int8)
-                yield _slots(contexts, rows, (wide >> (8 - d)) + 65536, self.slot_bits), bit, 2, owners
+            contexts, rows, c = _byte_contexts(spelled), np.arange(len(spelled)), spelled.astype(np.intp)
+            for nodes, bits in self.byte_steps:
+                yield _slots(contexts, rows, nodes.take(c), self.slot_bits), bits.take(c), 2, owners
 
 
 # --- the mixed model -----------------------------------------------------------------------------
@@ -262,11 +294,15 @@ def _mixed(weights: np.ndarray, gate: np.ndarray, odds: list[np.ndarray]) -> np.
     out = weights[CONTEXTS].take(gate) * np.float32(0.3)
     for row, x in zip(weights, odds, strict=False):
         out += row.take(gate) * x
-    return np.clip(out, -16, 16)
+    np.maximum(out, np.float32(-16), out=out)
+    return np.minimum(out, np.float32(16), out=out)
 
 
 def _cell(mixed: np.ndarray) -> np.ndarray:
-    return np.minimum((mixed + np.float32(8)).clip(0) * np.float32(CELLS / 16), CELLS - 1).astype(np.intp)
+    place = mixed + np.float32(8)
+    np.maximum(place, np.float32(0), out=place)
+    place *= np.float32(CELLS / 16)
+    return np.minimum(place, np.float32(CELLS - 1), out=place).astype(np.intp)
 
 
 def _softplus(x: np.ndarray) -> np.ndarray:
@@ -292,6 +328,15 @@ def first_weights() -> np.ndarray:
     return weights
 
 
+def _entry(slots: list[np.ndarray], bits: np.ndarray) -> list[np.ndarray]:
+    """Entry 2 * slot + bit of every decision, in the place of its slot."""
+    wide = bits.astype(np.intp)
+    for s in slots:
+        s <<= 1
+        s |= wide
+    return slots
+
+
 def learn(
     batches: Iterator[tuple[list[np.ndarray], np.ndarray, int, np.ndarray]], without: np.ndarray, weights: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -303,10 +348,10 @@ def learn(
     seen = np.zeros((KINDS, GATES))
     came = np.zeros((KINDS, CELLS * 2))
     for slots, bits, kind, _ in batches:
-        own = weights[kind]
+        own, entries = weights[kind], _entry(slots, bits)
         for at in range(0, len(bits), 4096):
             bit = bits[at : at + 4096]
-            odds, gate = _inputs([t.take(s[at : at + 4096] * 2 + bit) for t, s in zip(without, slots, strict=True)])
+            odds, gate = _inputs([t.take(e[at : at + 4096]) for t, e in zip(without, entries, strict=True)])
             mixed = _mixed(own.astype(np.float32), gate, odds)
             error = bit - 1 / (1 + np.exp(-mixed))
             here = np.bincount(gate, minlength=GATES)
@@ -401,6 +446,8 @@ def _coder(head: dict[bytes, int], band_totals: np.ndarray, ends: int, width: in
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, number, counts, codes = None, {}, [], None
+        single = np.zeros(1 << 16, bool)
+        single[BAND : BAND + GROUPS] = single[BAND | LOWERED : (BAND | LOWERED) + GROUPS] = True
         for whole in batches:
             for batch in (whole.slice(at, 512) for at in range(0, whole.num_rows, 512)):
                 blocks, kinds = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -430,26 +477,26 @@ def _coder(head: dict[bytes, int], band_totals: np.ndarray, ends: int, width: in
                             if w in head:
                                 codes[k], share[k] = head[w], 0
                         base = np.log10(totals + SMOOTH)
+                        seen = totals > 0
                     tokens = words_of(body)
                     get, none = number.get, len(number)
                     at = np.fromiter(map(get, tokens, repeat(none)), np.int64, len(tokens))
                     missing = at == none
                     # A word of a training row that the counts lack occurs there alone.
                     learn = learns[i]
-                    known = int((totals[at] > 0).sum()) + (int(missing.sum()) if learn else 0) + (ends > 0)
-                    total = base[at].sum() + np.log10(ends + SMOOTH)
+                    known = int(np.count_nonzero(seen.take(at))) + (int(missing.sum()) if learn else 0) + (ends > 0)
+                    total = base.take(at).sum() + np.log10(ends + SMOOTH)
                     if learn:
                         total += missing.sum() * (np.log10(1 + SMOOTH) - np.log10(SMOOTH))
-                    mine, parts = codes[at], share[at].sum()
-                    lone = np.flatnonzero(missing).tolist()
+                    mine, parts = codes.take(at), share.take(at).sum()
+                    lone = missing.nonzero()[0].tolist()
                     if learn:
                         for k in lone:
                             group = group_of(tokens[k])
                             mine[k] = (BAND + group) | LOWERED
                             parts -= np.log10(max(band_totals[0, group], 1))
                     # In learning, a word that occurs once is unknown without its own occurrence: it is spelled.
-                    once = (mine & 0x7FFF >= BAND) & (mine & 0x7FFF < BAND + GROUPS)
-                    rare = np.flatnonzero(once).tolist() if learn else []
+                    rare = single[mine].nonzero()[0].tolist() if learn else []
                     spelled = [] if learn else lone
                     done.append(i)
                     out.append(
@@ -500,7 +547,11 @@ def _texts(batch: pa.RecordBatch, learning: bool) -> tuple[np.ndarray, np.ndarra
     return joined, starts, letters, np.repeat(np.arange(len(spelled)), [len(x) for x in spelled])
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+# Texts worked on at once where the order of decisions is free: their arrays stay in the processor's cache.
+CACHED_ROWS = 128
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
@@ -529,11 +580,11 @@ def _counting(coder: Coder):
         # Of the table's own type: other ones are added far more slowly.
         one, total = np.int32(1), np.zeros((CONTEXTS, 2 << coder.slot_bits), np.int32)
         used = False
-        for batch in _slices(batches):
+        for batch in _slices(batches, CACHED_ROWS):
             for slots, bits, _, _ in coder.decisions(*_texts(batch, learning=True)):
                 used = True
-                for mine, s in zip(total, slots, strict=True):
-                    np.add.at(mine, s * 2 + bits, one)
+                for mine, entry in zip(total, _entry(slots, bits), strict=True):
+                    np.add.at(mine, entry, one)
         names = [n.split()[0] for n in PACKED.split(", ")]
         chunks = total.reshape(-1, CHUNK * 2) if used else []
         for at in range(0, len(chunks), 64):
@@ -679,7 +730,8 @@ def score(df: DataFrame, training: Column, text: str = "text", id_column: str =
     )
     most = parts.agg(F.max("_block")).first()[0]
     dealt = both.repartition(max(1, (most or 0) + 1), "_block").sortWithinPartitions(
-        "_block", "_kind", F.xxhash64("_id"), "_id", "_body"
+        # Frequent words first: what is looked up most stands together in memory.
+        "_block", "_kind", F.desc("_count"), F.xxhash64("_id"), "_id", "_body"
     )
     schema = T.StructType([T.StructField("_learn", T.BooleanType()), T.StructField("_id", kind), *CODED])
     head = spark.sparkContext.broadcast((corpus.head, corpus.bands, ends))
@@ -695,7 +747,7 @@ def score(df: DataFrame, training: Column, text: str = "text", id_column: str =
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixed = Model(*shared.value)
         coder = mixed.coder()
-        for batch in _slices(batches):
+        for batch in _slices(batches, CACHED_ROWS):
             logs = log_probability(mixed, coder.decisions(*_texts(batch, learning=False)), batch.num_rows)
             names = [*batch.schema.names[3:], "_log", "_spelling"]
             yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(logs[0]), pa.array(logs[1])], names=names)

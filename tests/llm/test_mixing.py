@@ -153,3 +153,48 @@ def test_fit_and_score_equal_a_plain_computation(spark, monkeypatch):
         for code in np.frombuffer(coded["codes"][row].as_py(), "<u2") & 0x7FFF:
             shares += mixing.BAND <= code < mixing.UNKNOWN
         assert band <= 0.02 * abs(logs[0]) + 0.01 and (shares or abs(band) <= 0.02 * abs(logs[0]) + 0.01)
+
+
+def test_steps_come_from_tables():
+    """Hashed nodes and bits are looked up: a coder hashes no node while it cuts texts into decisions, and words come by code."""
+    coder = mixing.Coder(np.arange(1.0, mixing.CLASSES + 1), 16)
+    codes = np.array([0, 5, mixing.HEAD - 1, mixing.BAND + 37, mixing.UNKNOWN, mixing.END], np.uint16)
+    letters = np.frombuffer(b"ab ", np.uint8)
+    kept, hashed = mixing._node_hash, []
+    mixing._node_hash = lambda nodes: hashed.append(len(nodes)) or kept(nodes)
+    try:
+        found = list(coder.decisions(codes, np.zeros(1, int), letters, np.zeros(3, int)))
+    finally:
+        mixing._node_hash = kept
+    assert not hashed
+    taken = [sum(len(bits) for _, bits, kind, _ in found if kind == k) for k in range(mixing.KINDS)]
+    # The places of ranks 6 and 2,047 in their groups, the group of the band, eight bits of every letter.
+    assert taken == [int(coder.depth[mixing.class_of(codes)].sum()), 2 + 10 + mixing.GROUP_BITS, 24]
+    spelled = [bits.tolist() for _, bits, kind, _ in found if kind == 2]
+    assert [int("".join(map(str, b)), 2) for b in zip(*spelled, strict=True)] == list(b"ab ")
+
+
+def test_frequent_words_come_first_in_a_block(spark, monkeypatch):
+    kept = mixing._coder
+
+    def coder(*given):
+        run = kept(*given)
+
+        def watched(batches):
+            def passed():
+                last = None
+                for b in batches:
+                    for now in zip(*[b.column(i).to_pylist() for i in (0, 1, 3)], strict=True):
+                        if last and last[:2] == now[:2] and last[2] < now[2]:
+                            raise AssertionError("a rarer word came first")
+                        last = now
+                    yield b
+
+            return run(passed())
+
+        return watched
+
+    monkeypatch.setattr(mixing, "_coder", coder)
+    # In the order of the bytes the rarest word would come first.
+    rows = [(i, " ".join(f"w{9 - k}" for k in range(1 + i % 9))) for i in range(200)]
+    assert mixing.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True)).count() == 200
