@@ -22,10 +22,9 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +45,8 @@ UNKNOWN, END = BAND + BANDS * GROUPS, BAND + BANDS * GROUPS + 1
 # Marks a count that leaving out one occurrence moves to the next lower band.
 LOWERED = 0x8000
 CONTEXTS, CHUNK = 4, 1 << 14
+# Decisions whose slots are worked out at once, a multiple of those learned from at once: their arrays stay in the processor's cache.
+PART = 1 << 13
 # Slots of a context: at least 16 per training token, about one per decision, between these powers of two. The upper one bounds what is
 # broadcast: 64 MB while weights are learned, 32 MB when texts are scored.
 LEAST_BITS, MOST_BITS = 16, 22
@@ -54,18 +55,81 @@ GATES, KINDS, CELLS = 64, 3, 32
 ROUNDS = 1
 # Input bytes whose distinct words a task holds at once; larger input splits are cut into several blocks.
 BLOCK_BYTES = 16 << 20
-FLUSH_WORDS = 400_000
+# Counts of words that a task holds before it adds them up, and passes them on if most differ.
+HELD_WORDS = 1_600_000
 SMOOTH = 0.1
 
 
-def words_of(body: bytes) -> list[bytes]:
-    return body.translate(LOWER).split()
-
-
 def group_of(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % GROUPS
 
 
+# Bytes of text cut into words at once.
+CUT_BYTES = 4 << 20
+# Lower case, and every blank as a space.
+PLAIN = bytes(0x20 if 0x09 <= b <= 0x0D else b for b in LOWER)
+
+
+def _pieces(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``CUT_BYTES`` bytes."""
+    ends = np.cumsum([len(t) + 1 for t in text_bytes(texts)])
+    at = 0
+    while at < len(ends):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CUT_BYTES, "right")))
+        yield at, upto
+        at = upto
+
+
+def cut(bodies: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of the texts, each with one space behind it, the number of the word at every place, and the words per text."""
+    plain = np.frombuffer(b"\n".join([*bodies, b""]).translate(PLAIN), np.uint8)
+    blank = plain == 32
+    # Every word is followed by a blank; other blanks are left out.
+    last = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
+    ends = np.cumsum([len(b) + 1 for b in bodies])
+    sizes = np.diff(np.searchsorted(last, ends), prepend=0)
+    if np.count_nonzero(blank) > len(last):
+        kept = ~blank
+        kept[last] = True
+        last = np.cumsum(kept)[last] - 1
+        plain = plain[kept]
+    offsets = np.append(0, last + 1).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(last), [None, pa.py_buffer(offsets), pa.py_buffer(plain)])
+    found = words.dictionary_encode()
+    return found.dictionary, found.indices.to_numpy(), sizes
+
+
+def _parts(words: pa.Array, behind: int) -> tuple[memoryview | bytes, np.ndarray, np.ndarray]:
+    """Bytes of some words, and where each begins and ends; the last ``behind`` bytes of a word are left out."""
+    words = words.cast(pa.binary())
+    if not len(words):
+        return b"", np.empty(0, np.int32), np.empty(0, np.int32)
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    return words.buffers()[2], offsets[:-1], offsets[1:] - behind
+
+
+def listed(words: pa.Array, behind: int = 0) -> list[bytes]:
+    """Words as Python objects: cut from one piece of memory, far faster than one by one from Arrow."""
+    data, starts, ends = _parts(words, behind)
+    if not len(starts):
+        return []
+    first = int(starts[0])
+    data = bytes(memoryview(data)[first : int(ends[-1])])
+    return [data[a:b] for a, b in zip((starts - first).tolist(), (ends - first).tolist(), strict=True)]
+
+
+def groups_of(words: pa.Array, behind: int = 0) -> np.ndarray:
+    """``group_of`` of many words, worked out once for each ending."""
+    data, starts, ends = _parts(words, behind)
+    if not len(starts):
+        return np.empty(0, np.int64)
+    data = np.frombuffer(data, np.uint8)
+    before = np.where(ends - starts > 1, data.take(ends - 2, mode="clip").astype(np.int64) << 8, 1 << 16)
+    endings, which = np.unique(before | data.take(ends - 1), return_inverse=True)
+    groups = [group_of(bytes([e & 255]) if e >> 16 else bytes([e >> 8, e & 255])) for e in endings.tolist()]
+    return np.array(groups, np.int64).take(which)
+
+
 # --- decisions -----------------------------------------------------------------------------------
 
 
@@ -125,12 +189,11 @@ def _node_hash(nodes: np.ndarray) -> np.ndarray:
     return _short(nodes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _slots(contexts: list[np.ndarray], rows: np.ndarray, node: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Slot of every decision in the table of each context; ``contexts`` and ``node`` are 32-bit hashes."""
+def _slots(contexts: list[np.ndarray], rows: np.ndarray | None, node: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Slot of every decision in the table of each context; ``contexts`` and ``node`` are 32-bit hashes, ``rows`` None takes all in turn."""
     shift, out = np.uint32(32 - bits), []
     for c in contexts:
-        mixed = c.take(rows)
-        mixed ^= node
+        mixed = c ^ node if rows is None else c.take(rows, mode="clip") ^ node
         mixed *= np.uint32(0x9E3779B1)
         mixed >>= shift
         out.append(mixed.astype(np.intp))
@@ -188,8 +251,8 @@ class Coder:
         nodes, bits, self.depth = huffman(masses)
         self.classes = class_of(np.arange(END + 1))
         self.slot_bits = slot_bits
-        # Hashed node and bit of every step, by class, by frequent word, by group and by byte.
-        self.class_steps = list(zip(_node_hash(nodes.T), np.ascontiguousarray(bits.T), strict=True))
+        # Hashed node, bit and slot without a context of every step, by class, by frequent word, by group and by byte.
+        self.class_steps = [self._step(n, b) for n, b in zip(nodes.T, bits.T, strict=True)]
         number = np.arange(HEAD, dtype=np.int64) + 1
         size = class_of(number - 1) - 2
         self.head_size = size
@@ -197,14 +260,41 @@ class Coder:
         for d in range(11):
             left = np.maximum(size - d, 1)
             node = (size << 12) + (number >> left) + 64
-            self.head_steps.append((_node_hash(node), ((number >> (left - 1)) & 1).astype(np.int8)))
+            self.head_steps.append(self._step(node, (number >> (left - 1)) & 1))
         self.group_steps = self._plain_steps(np.arange(GROUPS, dtype=np.int64) | GROUPS, GROUP_BITS, 1 << 20)
         self.byte_steps = self._plain_steps(np.arange(256, dtype=np.int64) | 256, 8, 65536)
 
-    @staticmethod
-    def _plain_steps(values: np.ndarray, size: int, offset: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    def _step(self, nodes: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        hashed = _node_hash(nodes)
+        alone = _slots([NO_MIX], None, hashed, self.slot_bits)[0]
+        return hashed, bits.astype(np.int8), alone
+
+    def _plain_steps(self, values: np.ndarray, size: int, offset: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         places = range(size - 1, -1, -1)
-        return [(_node_hash((values >> (at + 1)) + offset), ((values >> at) & 1).astype(np.int8)) for at in places]
+        return [self._step((values >> (at + 1)) + offset, (values >> at) & 1) for at in places]
+
+    def _token_steps(
+        self, codes: np.ndarray
+    ) -> Iterator[tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray], int]]:
+        """Tokens that take a step, their places in the tables of the step, the tables, and the kind."""
+        rows, c = np.arange(len(codes)), self.classes.take(codes)
+        sizes = self.depth.take(c)
+        for kind, steps in enumerate((self.class_steps, self.head_steps)):
+            if kind:
+                rows = np.flatnonzero((codes < HEAD) & (codes > 0))
+                c = codes.take(rows).astype(np.intp)
+                sizes = self.head_size.take(c)
+            for d, step in enumerate(steps):
+                inside = np.flatnonzero(sizes > d)
+                if len(inside) < len(rows):
+                    rows, c, sizes = (x.take(inside, mode="clip") for x in (rows, c, sizes))
+                if not len(rows):
+                    break
+                yield rows, c, step, kind
+        rows = np.flatnonzero((codes >= BAND) & (codes < UNKNOWN))
+        c = (codes.take(rows).astype(np.intp) - BAND) % GROUPS
+        for step in self.group_steps if len(rows) else ():
+            yield rows, c, step, 1
 
     def decisions(
         self, codes: np.ndarray, starts: np.ndarray, spelled: np.ndarray, owners: np.ndarray
@@ -216,34 +306,46 @@ class Coder:
         """
         if len(codes):
             text = np.repeat(np.arange(len(starts)), np.diff([*starts, len(codes)]))
-            contexts, classes = _token_contexts(codes, starts), self.classes.take(codes)
-            at, rows, c = self.slot_bits, np.arange(len(codes)), classes
-            depth = self.depth.take(classes)
-            for d, (nodes, bits) in enumerate(self.class_steps):
-                inside = depth > d
-                if not inside.all():
-                    rows, c, depth = rows[inside], c[inside], depth[inside]
-                if not len(rows):
-                    break
-                yield _slots(contexts, rows, nodes.take(c), at), bits.take(c), 0, text.take(rows)
-            rows = np.flatnonzero((codes < HEAD) & (codes > 0))
-            c = codes.take(rows).astype(np.intp)
-            size = self.head_size.take(c)
-            for d, (nodes, bits) in enumerate(self.head_steps):
-                inside = size > d
-                if not inside.all():
-                    rows, c, size = rows[inside], c[inside], size[inside]
-                if not len(rows):
-                    break
-                yield _slots(contexts, rows, nodes.take(c), at), bits.take(c), 1, text.take(rows)
-            rows = np.flatnonzero((codes >= BAND) & (codes < UNKNOWN))
-            c = (codes.take(rows).astype(np.intp) - BAND) % GROUPS
-            for nodes, bits in self.group_steps if len(rows) else ():
-                yield _slots(contexts, rows, nodes.take(c), at), bits.take(c), 1, text.take(rows)
+            contexts = _token_contexts(codes, starts)[1:]
+            for every, places, (nodes, bits, alone), kind in self._token_steps(codes):
+                for at in range(0, len(every), PART):
+                    rows, c = every[at : at + PART], places[at : at + PART]
+                    slots = _slots(contexts, rows, nodes.take(c, mode="clip"), self.slot_bits)
+                    yield [alone.take(c, mode="clip"), *slots], bits.take(c, mode="clip"), kind, text.take(rows, mode="clip")
         if len(spelled):
-            contexts, rows, c = _byte_contexts(spelled), np.arange(len(spelled)), spelled.astype(np.intp)
-            for nodes, bits in self.byte_steps:
-                yield _slots(contexts, rows, nodes.take(c), self.slot_bits), bits.take(c), 2, owners
+            contexts, letters = _byte_contexts(spelled), spelled.astype(np.intp)
+            for nodes, bits, _ in self.byte_steps:
+                for part in (slice(at, at + PART) for at in range(0, len(letters), PART)):
+                    c = letters[part]
+                    slots = _slots([x[part] for x in contexts], None, nodes.take(c, mode="clip"), self.slot_bits)
+                    yield slots, bits.take(c, mode="clip"), 2, owners[part]
+
+    def entries(
+        self, contexts: list[np.ndarray], codes: np.ndarray, spelling: list[np.ndarray], spelled: np.ndarray
+    ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Context, entries (2 * slot + bit) and how often they come, of all decisions of some tokens and bytes.
+
+        Equal pairs of a context and a token, or a byte, are taken together: their decisions are the same.
+        """
+        for k in range(CONTEXTS):
+            context, code, times = _together(contexts[k], codes)
+            for rows, c, (nodes, bits, _), _ in self._token_steps(code) if len(code) else ():
+                slots = _slots([context], rows, nodes.take(c, mode="clip"), self.slot_bits)
+                yield k, _entry(slots, bits.take(c, mode="clip"))[0], times.take(rows, mode="clip")
+            context, letter, times = _together(spelling[k], spelled)
+            c = letter.astype(np.intp)
+            for nodes, bits, _ in self.byte_steps if len(letter) else ():
+                slots = _slots([context], None, nodes.take(c, mode="clip"), self.slot_bits)
+                yield k, _entry(slots, bits.take(c, mode="clip"))[0], times
+
+
+def _together(contexts: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of a context hash and a code, and the count of each."""
+    pairs = (contexts.astype(np.uint64) << np.uint64(16)) | codes.astype(np.uint64)
+    pairs.sort()
+    first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)])
+    times, pairs = np.diff(first, append=len(pairs)), pairs.take(first)
+    return (pairs >> np.uint64(16)).astype(np.uint32), (pairs & np.uint64(0xFFFF)).astype(np.uint16), times.astype(np.int32)
 
 
 # --- the mixed model -----------------------------------------------------------------------------
@@ -291,9 +393,9 @@ def _inputs(found: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
 
 def _mixed(weights: np.ndarray, gate: np.ndarray, odds: list[np.ndarray]) -> np.ndarray:
     """Mixed log odds under the weights of one kind, a row per context and one for the constant."""
-    out = weights[CONTEXTS].take(gate) * np.float32(0.3)
+    out = (weights[CONTEXTS] * np.float32(0.3)).take(gate, mode="clip")
     for row, x in zip(weights, odds, strict=False):
-        out += row.take(gate) * x
+        out += row.take(gate, mode="clip") * x
     np.maximum(out, np.float32(-16), out=out)
     return np.minimum(out, np.float32(16), out=out)
 
@@ -348,10 +450,10 @@ def learn(
     seen = np.zeros((KINDS, GATES))
     came = np.zeros((KINDS, CELLS * 2))
     for slots, bits, kind, _ in batches:
-        own, entries = weights[kind], _entry(slots, bits)
+        own = weights[kind]
+        inputs, gates = _inputs([t.take(e) for t, e in zip(without, _entry(slots, bits), strict=True)])
         for at in range(0, len(bits), 4096):
-            bit = bits[at : at + 4096]
-            odds, gate = _inputs([t.take(e[at : at + 4096]) for t, e in zip(without, entries, strict=True)])
+            bit, gate, odds = bits[at : at + 4096], gates[at : at + 4096], [x[at : at + 4096] for x in inputs]
             mixed = _mixed(own.astype(np.float32), gate, odds)
             error = bit - 1 / (1 + np.exp(-mixed))
             here = np.bincount(gate, minlength=GATES)
@@ -382,7 +484,7 @@ def log_probability(
             part = slice(at, at + (1 << 14))
             odds, gate = _inputs([t.take(s[part]) for t, s in zip(model.slots, slots, strict=True)])
             mixed = _mixed(model.weights[kind], gate, odds)
-            final = (mixed + model.refined[kind].take(_cell(mixed))) * np.float32(0.5)
+            final = (mixed + model.refined[kind].take(_cell(mixed), mode="clip")) * np.float32(0.5)
             # log p of the bit that came: minus softplus of the log odds against it.
             against = final * (1 - 2 * bits[part]).astype(np.float32)
             sums[kind // 2] -= np.bincount(text[part], _softplus(against), texts)
@@ -394,37 +496,44 @@ def log_probability(
 
 def _sum_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, word, training occurrences, in a row held out) of every block in the task."""
-    names = ["block", "word", "n", "outside"]
+    held, size = [], 0
 
-    def rows(block: int, counts: Counter, outside: set) -> pa.RecordBatch:
-        words = list(counts)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([block] * len(words), pa.int64()),
-                pa.array(words, pa.binary()),
-                pa.array([counts[w] for w in words], pa.int64()),
-                pa.array([w in outside for w in words], pa.bool_()),
-            ],
-            names=names,
-        )
+    def summed() -> pa.Table:
+        sums = pa.concat_tables(held).group_by(["block", "word"], use_threads=False).aggregate([("n", "sum"), ("outside", "any")])
+        return sums.select(["block", "word", "n_sum", "outside_any"]).rename_columns(["block", "word", "n", "outside"])
 
-    held: dict[int, tuple[Counter, set]] = {}
     for batch in batches:
-        blocks = batch.column(0).to_pylist()
-        training = batch.column(1).to_pylist()
-        for block, learn, body in zip(blocks, training, text_bytes(batch.column(2)), strict=True):
-            counts, outside = held.setdefault(block, (Counter(), set()))
-            words = words_of(body)
-            if learn:
-                counts.update(words)
-            else:
-                for w in set(words):
-                    counts.setdefault(w, 0)
-                outside.update(words)
-            if len(counts) > FLUSH_WORDS:
-                yield rows(block, *held.pop(block))
-    for block, (counts, outside) in held.items():
-        yield rows(block, counts, outside)
+        for at, upto in _pieces(batch.column(2)):
+            piece = batch.slice(at, upto - at)
+            words, places, sizes = cut(text_bytes(piece.column(2)))
+            blocks, block = np.unique(piece.column(0).to_numpy(), return_inverse=True)
+            inside = np.repeat(np.array(piece.column(1).to_pylist(), bool), sizes)
+            pairs = np.repeat(block * len(words), sizes) + places
+            trained = np.bincount(pairs[inside], minlength=len(blocks) * len(words))
+            others = np.bincount(pairs[~inside], minlength=len(blocks) * len(words))
+            found = np.flatnonzero(trained + others)
+            bare = pa.array(listed(words, behind=1), pa.binary())
+            held.append(
+                pa.table(
+                    {
+                        "block": pa.array(blocks.take(found // max(len(words), 1))),
+                        "word": bare.take(pa.array(found % max(len(words), 1))),
+                        "n": pa.array(trained.take(found)),
+                        "outside": pa.array(others.take(found) > 0),
+                    }
+                )
+            )
+            size += len(found)
+            if size > HELD_WORDS:
+                held = [summed()]
+                size = held[0].num_rows
+                if size > HELD_WORDS // 2:
+                    yield from held[0].to_batches()
+                    held, size = [], 0
+    if held:
+        yield from summed().to_batches()
+    held.clear()
+    give_back()
 
 
 CODED = T.StructType(
@@ -441,89 +550,93 @@ CODED = T.StructType(
 )
 
 
-def _coder(head: dict[bytes, int], band_totals: np.ndarray, ends: int, width: int):
+def _coder(head: dict[bytes, int], band_totals: np.ndarray, ends_seen: int, width: int):
     """Map function: rows of a block, its word counts first, to coded texts."""
 
+    single = np.zeros(1 << 16, bool)
+    single[BAND : BAND + GROUPS] = single[BAND | LOWERED : (BAND | LOWERED) + GROUPS] = True
+    lone_share = np.log10(np.maximum(band_totals[0], 1))
+
+    def tables(words: list[pa.Array], numbers: list[np.ndarray]) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Number of every word of a block; by number, and at the end for other words: code, share, base, whether it is known."""
+        totals = np.concatenate([*numbers, [0]]).astype(np.int64)
+        groups = np.concatenate([*map(groups_of, words), [0]]).astype(np.int64)
+        bands = np.clip(np.frexp(totals.astype(np.float64))[1] - 1, 0, BANDS - 1)
+        codes = (BAND + bands * GROUPS + groups).astype(np.uint16)
+        codes[totals & (totals - 1) == 0] |= LOWERED
+        share = np.log10(np.maximum(totals, 1) / np.maximum(band_totals[bands, groups], 1))
+        codes[-1], share[-1] = UNKNOWN, 0
+        # A block that was counted in parts lists a word again, with the same count.
+        number = dict(zip(chain.from_iterable(map(listed, words)), range(len(totals) - 1), strict=True))
+        for w, rank in head.items():
+            k = number.get(w)
+            if k is not None:
+                codes[k], share[k] = rank, 0
+        return number, codes, share, np.log10(totals + SMOOTH), totals > 0
+
+    def coded(batch: pa.RecordBatch, known: tuple[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        number, codes, share, base, seen = known
+        bodies = text_bytes(batch.column(2))
+        learns = np.array(batch.column(4).to_pylist(), bool)
+        found, places, sizes = cut(bodies)
+        words = listed(found, behind=1)
+        texts, none = len(bodies), len(codes) - 1
+        row = np.repeat(np.arange(texts), sizes)
+        learn = learns.take(row)
+        at = np.fromiter(map(number.get, words, repeat(none)), np.int64, len(words))
+        # A word of a training row that the counts lack occurs there alone.
+        lone = groups_of(found, behind=1)
+        absent = (at == none).take(places)
+        alone = absent & learn
+        at, lone = at.take(places), lone.take(places)
+        mine = np.where(alone, ((BAND + lone) | LOWERED).astype(np.uint16), codes.take(at))
+        parts = np.where(alone, -lone_share.take(lone), share.take(at))
+        bases = base.take(at) + alone * (np.log10(1 + SMOOTH) - np.log10(SMOOTH))
+
+        def spelling(which: np.ndarray) -> list[bytes]:
+            out: list[list[bytes]] = [[] for _ in bodies]
+            which = np.flatnonzero(which)
+            for r, w in zip(row.take(which).tolist(), places.take(which).tolist(), strict=True):
+                out[r].append(words[w] + b" ")
+            return [b"".join(x) for x in out]
+
+        every = np.full(len(mine) + texts, END, "<u2")
+        every[np.arange(len(mine)) + row] = mine
+        ends = np.append(0, np.cumsum(sizes + 1) * 2).astype(np.int32)
+        made = [
+            pa.array(sizes + 1, pa.int64()),
+            pa.array(np.bincount(row, seen.take(at) | alone, texts).astype(np.int64) + (ends_seen > 0)),
+            pa.array(np.bincount(row, bases, texts) + np.log10(ends_seen + SMOOTH)),
+            pa.array(np.bincount(row, parts, texts).astype(np.float64)),
+            pa.array([len(b) for b in bodies], pa.int64()),
+            pa.Array.from_buffers(pa.binary(), texts, [None, pa.py_buffer(ends), pa.py_buffer(every)]),
+            pa.array(spelling(absent & ~learn), pa.binary()),
+            # In learning, a word that occurs once is unknown without its own occurrence: it is spelled.
+            pa.array(spelling(single.take(mine) & learn), pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(
+            [*batch.columns[4:width], *made], names=[*batch.schema.names[4:width], *[f.name for f in CODED]]
+        )
+
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, number, counts, codes = None, {}, [], None
-        single = np.zeros(1 << 16, bool)
-        single[BAND : BAND + GROUPS] = single[BAND | LOWERED : (BAND | LOWERED) + GROUPS] = True
-        for whole in batches:
-            for batch in (whole.slice(at, 512) for at in range(0, whole.num_rows, 512)):
-                blocks, kinds = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                words = text_bytes(batch.column(2))
-                numbers = batch.column(3).to_pylist()
-                learns = batch.column(4).to_pylist()
-                done: list[int] = []
-                out: list[tuple] = []
-                for i, (b, kind, body) in enumerate(zip(blocks, kinds, words, strict=True)):
-                    if b != block:
-                        block, number, counts, codes = b, {}, [], None
-                    if kind == 0:
-                        number.setdefault(body, len(number))
-                        if len(number) > len(counts):
-                            counts.append(numbers[i])
-                        continue
-                    if codes is None:
-                        # One entry more, at the end, for words that the block's counts lack.
-                        totals = np.array([*counts, 0], np.int64)
-                        groups = np.array([*map(group_of, number), 0], np.int64)
-                        bands = np.clip(np.frexp(totals.astype(np.float64))[1] - 1, 0, BANDS - 1)
-                        codes = (BAND + bands * GROUPS + groups).astype(np.uint16)
-                        codes[totals & (totals - 1) == 0] |= LOWERED
-                        share = np.log10(np.maximum(totals, 1) / np.maximum(band_totals[bands, groups], 1))
-                        codes[-1], share[-1] = UNKNOWN, 0
-                        for w, k in number.items():
-                            if w in head:
-                                codes[k], share[k] = head[w], 0
-                        base = np.log10(totals + SMOOTH)
-                        seen = totals > 0
-                    tokens = words_of(body)
-                    get, none = number.get, len(number)
-                    at = np.fromiter(map(get, tokens, repeat(none)), np.int64, len(tokens))
-                    missing = at == none
-                    # A word of a training row that the counts lack occurs there alone.
-                    learn = learns[i]
-                    known = int(np.count_nonzero(seen.take(at))) + (int(missing.sum()) if learn else 0) + (ends > 0)
-                    total = base.take(at).sum() + np.log10(ends + SMOOTH)
-                    if learn:
-                        total += missing.sum() * (np.log10(1 + SMOOTH) - np.log10(SMOOTH))
-                    mine, parts = codes.take(at), share.take(at).sum()
-                    lone = missing.nonzero()[0].tolist()
-                    if learn:
-                        for k in lone:
-                            group = group_of(tokens[k])
-                            mine[k] = (BAND + group) | LOWERED
-                            parts -= np.log10(max(band_totals[0, group], 1))
-                    # In learning, a word that occurs once is unknown without its own occurrence: it is spelled.
-                    rare = single[mine].nonzero()[0].tolist() if learn else []
-                    spelled = [] if learn else lone
-                    done.append(i)
-                    out.append(
-                        (
-                            len(tokens) + 1,
-                            known,
-                            float(total),
-                            float(parts),
-                            len(body),
-                            np.append(mine, np.uint16(END)).astype("<u2").tobytes(),
-                            b"".join([tokens[k] + b" " for k in spelled]),
-                            b"".join([tokens[k] + b" " for k in rare]),
-                        )
-                    )
-                if out:
-                    kept = batch.take(pa.array(done, pa.int64()))
-                    made = [
-                        pa.array(c, t)
-                        for c, t in zip(
-                            zip(*out, strict=True),
-                            [pa.int64()] * 2 + [pa.float64()] * 2 + [pa.int64()] + [pa.binary()] * 3,
-                            strict=True,
-                        )
-                    ]
-                    yield pa.RecordBatch.from_arrays(
-                        [*kept.columns[4:width], *made], names=[*kept.schema.names[4:width], *[f.name for f in CODED]]
-                    )
+        block, words, numbers, known = None, [], [], None
+        for batch in batches:
+            blocks, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            changes = np.flatnonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            runs = [0, *changes.tolist(), batch.num_rows] if batch.num_rows else []
+            for start, stop in zip(runs, runs[1:], strict=False):
+                run = batch.slice(start, stop - start)
+                if blocks[start] != block:
+                    block, words, numbers, known = blocks[start], [], [], None
+                if kinds[start] == 0:
+                    words.append(run.column(2))
+                    numbers.append(run.column(3).to_numpy())
+                    continue
+                if known is None:
+                    known = tables(words, numbers)
+                    words, numbers = [], []
+                for at, upto in _pieces(run.column(2)):
+                    yield coded(run.slice(at, upto - at), known)
 
     return code
 
@@ -548,7 +661,11 @@ def _texts(batch: pa.RecordBatch, learning: bool) -> tuple[np.ndarray, np.ndarra
 
 
 # Texts worked on at once where the order of decisions is free: their arrays stay in the processor's cache.
-CACHED_ROWS = 128
+CACHED_ROWS = 64
+
+
+# Texts whose decisions are learned from step by step together: the order of learning depends on it.
+LEARNED_ROWS = 64
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -557,6 +674,39 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
             yield batch.slice(at, rows)
 
 
+# Tokens and bytes of unknown words whose decisions are counted together.
+GATHERED = 1 << 20
+
+
+def _gathered(
+    texts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]],
+) -> Iterator[tuple[list[np.ndarray], np.ndarray, list[np.ndarray], np.ndarray]]:
+    """Context hashes and codes of the tokens of many texts, and those of the bytes of their unknown words."""
+
+    def joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
+        return np.concatenate([np.empty(0, kind), *parts])
+
+    def all_of(held: list) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray], np.ndarray]:
+        tokens, codes, letters, spelled = zip(*held, strict=True)
+        over = range(CONTEXTS)
+        return (
+            [joined([t[k] for t in tokens], np.uint32) for k in over],
+            joined(codes, np.uint16),
+            [joined([x[k] for x in letters if x], np.uint32) for k in over],
+            joined(spelled, np.uint8),
+        )
+
+    held, size = [], 0
+    for codes, starts, spelled, _ in texts:
+        held.append((_token_contexts(codes, starts), codes, _byte_contexts(spelled) if len(spelled) else [], spelled))
+        size += len(codes) + len(spelled)
+        if size >= GATHERED:
+            yield all_of(held)
+            held, size = [], 0
+    if held:
+        yield all_of(held)
+
+
 PACKED = "chunk int, low binary, places binary, rest binary"
 
 
@@ -577,14 +727,13 @@ def _counting(coder: Coder):
     """Map function: coded training texts to packed counts of all slots, one row per chunk."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Of the table's own type: other ones are added far more slowly.
-        one, total = np.int32(1), np.zeros((CONTEXTS, 2 << coder.slot_bits), np.int32)
+        # Counts of the table's own type: other ones are added far more slowly.
+        total = np.zeros((CONTEXTS, 2 << coder.slot_bits), np.int32)
         used = False
-        for batch in _slices(batches, CACHED_ROWS):
-            for slots, bits, _, _ in coder.decisions(*_texts(batch, learning=True)):
+        for held in _gathered(_texts(b, learning=True) for b in _slices(batches, CACHED_ROWS)):
+            for k, entry, times in coder.entries(*held):
                 used = True
-                for mine, entry in zip(total, _entry(slots, bits), strict=True):
-                    np.add.at(mine, entry, one)
+                np.add.at(total[k], entry, times)
         names = [n.split()[0] for n in PACKED.split(", ")]
         chunks = total.reshape(-1, CHUNK * 2) if used else []
         for at in range(0, len(chunks), 64):
@@ -780,7 +929,7 @@ def _learning(shared, slot_bits: int, weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masses, without = shared.value
         coder = Coder(masses, slot_bits)
-        decisions = (d for b in _slices(batches, 64) for d in coder.decisions(*_texts(b, learning=True)))
+        decisions = (d for b in _slices(batches, LEARNED_ROWS) for d in coder.decisions(*_texts(b, learning=True)))
         found, seen, hits, tries = learn(decisions, without, weights)
         sums = np.concatenate([x.ravel() for x in (found * seen[:, None], seen, hits, tries)])
         used = np.flatnonzero(sums)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from postwise.llm import mixing
@@ -198,3 +199,58 @@ def test_frequent_words_come_first_in_a_block(spark, monkeypatch):
     # In the order of the bytes the rarest word would come first.
     rows = [(i, " ".join(f"w{9 - k}" for k in range(1 + i % 9))) for i in range(200)]
     assert mixing.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True)).count() == 200
+
+
+def test_words_are_cut_as_python_splits_them():
+    rng = np.random.default_rng(7)
+    letters = np.frombuffer(b"aAbZ\xc3\x9f \t\n\x0b\x0c\r\x1c\x00", np.uint8)
+    for _ in range(500):
+        bodies = [rng.choice(letters, rng.integers(12)).tobytes() for _ in range(rng.integers(1, 6))]
+        words, places, sizes = mixing.cut(bodies)
+        plain = mixing.listed(words, behind=1)
+        wanted = [b.translate(mixing.LOWER).split() for b in bodies]
+        assert [plain[k] for k in places] == [w for ws in wanted for w in ws] and sizes.tolist() == [len(ws) for ws in wanted]
+        assert mixing.listed(words) == words.to_pylist() and len(set(plain)) == len(plain)
+        assert mixing.listed(words.slice(1), behind=1) == plain[1:]
+        assert mixing.groups_of(words, behind=1).tolist() == [mixing.group_of(w) for w in plain]
+
+
+def test_groups_are_worked_out_once_for_each_ending(monkeypatch):
+    """The words of a block share few endings; the group of a word is not worked out word by word."""
+    kept, asked = mixing.group_of, []
+    monkeypatch.setattr(mixing, "group_of", lambda word: asked.append(word) or kept(word))
+    words = [f"w{i}ing".encode() for i in range(1000)]
+    rows = [(0, 0, w, 5, None, None) for w in words] + [(0, 1, b" ".join(words) + b" Unseen1ed unseen2ed", 0, False, 7)]
+    names = ["_block", "_kind", "_body", "_count", "_learn", "_id"]
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.bool_(), pa.int64()]
+    arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+    code = mixing._coder({}, np.full((mixing.BANDS, mixing.GROUPS), 5000), 1, 6)
+    (found,) = code(iter([pa.RecordBatch.from_arrays(arrays, names=names)]))
+    assert len(asked) <= 4
+    band = mixing.BAND + 2 * mixing.GROUPS + kept(b"ng")
+    codes = np.frombuffer(found.column("codes")[0].as_py(), "<u2")
+    assert codes.tolist() == [band] * 1000 + [mixing.UNKNOWN] * 2 + [mixing.END]
+    assert found.column("unknown").to_pylist() == [b"unseen1ed unseen2ed "] and found.column("rare").to_pylist() == [b""]
+
+
+def test_equal_decisions_are_counted_together(monkeypatch):
+    """Slots are worked out for distinct pairs of a context and a token or byte; the counts are those of all decisions."""
+    rng = np.random.default_rng(5)
+    texts = [rng.choice([3, 70, 700, mixing.BAND + 37, mixing.UNKNOWN], 20) for _ in range(300)]
+    packed = [np.append(t, mixing.END).astype("<u2").tobytes() for t in texts]
+    spelled = [b"only once " * int(rng.integers(3)) for _ in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (packed, spelled, spelled)], names=["codes", "unknown", "rare"])
+    coder = mixing.Coder(np.arange(1.0, mixing.CLASSES + 1), 16)
+    wanted, decisions = np.zeros((mixing.CONTEXTS, 2 << 16), np.int64), 0
+    for slots, bits, _, _ in coder.decisions(*mixing._texts(batch, learning=True)):
+        decisions += len(bits) * mixing.CONTEXTS
+        for mine, s in zip(wanted, slots, strict=True):
+            np.add.at(mine, 2 * s + bits, 1)
+    kept, made = mixing._slots, []
+    monkeypatch.setattr(mixing, "_slots", lambda c, rows, node, bits: made.append(len(c) * len(node)) or kept(c, rows, node, bits))
+    found = np.zeros_like(wanted).reshape(-1, 2 * mixing.CHUNK)
+    for part in mixing._counting(coder)(iter([batch])):
+        for chunk, *rest in zip(*[c.to_pylist() for c in part.columns], strict=True):
+            found[chunk] += mixing._unpack(*rest)
+    assert (found.reshape(wanted.shape) == wanted).all()
+    assert sum(made) < decisions / 2
