@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postwise.functions.text import WORD
+from postwise.session import folder, writing
 
 # A term counts as frequent from one part in this many of all postings, so there
 # are never more frequent terms than this: the bound of the broadcast side.
 FREQUENT_TERMS = 100_000
 # Characters of text that one task of the term counts cuts into words.
 TASK_CHARS = 8_000_000
+# Counts are stored in this many folders by key; a refresh weighs one folder after another, so that
+# the shuffles of one are all that is on disk beside the tables. A power of two.
+SLICES = 8
+# Postings of a bucket of the stored vectors, about: what one task reads.
+BUCKET_POSTINGS = 1_000_000
+# The tables of an index are stored for long and read seldom.
+CODEC = "zstd"
 
 
 def terms(text: Column) -> Column:
@@ -19,22 +29,23 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(rf"[{WORD}]{{2,}}"), F.lit(0))
 
 
-def _placed(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _placed(docs: DataFrame, key: str, text: str, multiple: int) -> DataFrame:
     """Texts by key, at most some ``TASK_CHARS`` in a partition; where the cores suffice for that, Spark chooses the number."""
     chars = docs.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0
-    parts = -(-chars // TASK_CHARS)
+    parts = -(-chars // (TASK_CHARS * multiple)) * multiple
     rows = docs.select(key, text)
     return rows.repartition(parts, key) if parts > docs.sparkSession.sparkContext.defaultParallelism else rows.repartition(key)
 
 
-def term_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+def term_counts(docs: DataFrame, key: str, text: str = "text", multiple: int = 1) -> DataFrame:
     """(key, term, tf); a document without terms has no rows.
 
     The texts are placed by document key before they are cut, so the count per
     document and term needs no shuffle of the much larger token rows. The number of partitions follows
-    the length of the texts, found by a pass of its own, because a task's counts take many times their room.
+    the length of the texts, found by a pass of its own, because a task's counts take many times their room;
+    it is a ``multiple`` of the caller's.
     """
-    tokens = _placed(docs, key, text).select(key, F.explode(terms(F.col(text))).alias("term"))
+    tokens = _placed(docs, key, text, multiple).select(key, F.explode(terms(F.col(text))).alias("term"))
     return tokens.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -53,11 +64,20 @@ def join_weights(counts: DataFrame, weights: DataFrame) -> DataFrame:
     return hot.unionByName(cold)
 
 
+def unit_vectors(weighted: DataFrame, key: str, parts: int | None = None) -> DataFrame:
+    """(key, entries) with the (term, weight) entries of every document scaled to length one; in ``parts`` by key, if named."""
+    raw = weighted.select(key, "term", (F.col("tf") * F.col("idf")).alias("_raw"))
+    placed = raw.repartition(parts, key) if parts else raw
+    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw"))).alias("_norm")
+    # Two lists of one aggregation have one order.
+    found = placed.groupBy(key).agg(norm, F.collect_list("term").alias("_terms"), F.collect_list("_raw").alias("_raws"))
+    unit = F.zip_with("_terms", "_raws", lambda t, x: F.struct(t.alias("term"), (x / F.col("_norm")).alias("weight")))
+    return found.select(key, unit.alias("entries"))
+
+
 def unit_weights(weighted: DataFrame, key: str) -> DataFrame:
     """(key, term, weight) with every document scaled to length one."""
-    raw = weighted.withColumn("_raw", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", (F.col("_raw") / norm).alias("weight"))
+    return unit_vectors(weighted, key).select(key, F.inline("entries"))
 
 
 def append_index(docs: DataFrame, path: str, batch: str, key: str = "doc_id", text: str = "text") -> None:
@@ -69,13 +89,19 @@ def append_index(docs: DataFrame, path: str, batch: str, key: str = "doc_id", te
     """
     spark = docs.sparkSession
 
-    def folder(name: str) -> str:
+    def place(name: str) -> str:
         return f"{path}/{name}/batch={batch}"
 
-    term_counts(docs, key, text).write.mode("overwrite").parquet(folder("counts"))
-    counts = spark.read.parquet(folder("counts"))
-    counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(folder("frequencies"))
-    docs.agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(folder("sizes"))
+    with writing(spark):
+        # A task's keys are all of one slice, because slices divide the partitions.
+        found = term_counts(docs, key, text, SLICES).withColumn("slice", F.pmod(F.hash(key), F.lit(SLICES)))
+        found.write.mode("overwrite").partitionBy("slice").parquet(place("counts"), compression=CODEC)
+        # A batch without terms leaves its columns all the same.
+        none = spark.createDataFrame([], found.drop("slice").schema)
+        none.write.mode("append").parquet(f"{place('counts')}/slice=0")
+        counts = spark.read.parquet(place("counts"))
+        counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(place("frequencies"))
+        docs.agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(place("sizes"))
 
 
 def _batches(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -96,13 +122,47 @@ def refresh_index(spark: SparkSession, path: str, key: str = "doc_id") -> None:
     """Weigh the counts of all batches by the frequencies of now: the tables ``terms`` and ``vectors``.
 
     No text is read. Each table is read back for the next, so a lost executor costs one step at most. ``vectors`` has
-    one row per document with its (term, weight) entries; the grouping follows the placement the
-    unit lengths already need.
+    one row per document with its (term, weight) entries, in buckets by key, so no later read needs to place
+    them. The slices of the counts are weighed in turn, few of them at once where there are many postings.
     """
-    corpus_terms(spark, path).write.mode("overwrite").parquet(f"{path}/terms")
-    weighted = join_weights(_batches(spark, path, "counts"), spark.read.parquet(f"{path}/terms"))
-    vectors = unit_weights(weighted, key).groupBy(key).agg(F.collect_list(F.struct("term", "weight")).alias("entries"))
-    vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+    with writing(spark):
+        corpus_terms(spark, path).write.mode("overwrite").parquet(f"{path}/terms")
+        weights = spark.read.parquet(f"{path}/terms")
+        counts = _batches(spark, path, "counts")
+        postings = weights.agg(F.sum("df")).first()[0] or 0
+        rounds = 1
+        while rounds < SLICES and rounds * BUCKET_POSTINGS < postings:
+            rounds *= 2
+        buckets = -(-postings // (BUCKET_POSTINGS * rounds)) * rounds
+        spark.range(1).select(F.lit(buckets).alias("n")).write.mode("overwrite").parquet(f"{path}/buckets")
+        if not buckets:
+            unit_vectors(join_weights(counts, weights), key).write.mode("overwrite").parquet(f"{path}/vectors")
+            return
+        files, place = folder(spark, f"{path}/vectors")
+        files.delete(place, True)
+        table = _enter_vectors(spark, path, key, counts.schema[key].dataType.simpleString(), buckets)
+        for i in range(rounds):
+            weighted = join_weights(counts.filter(F.col("slice") % rounds == i), weights)
+            unit_vectors(weighted, key, buckets).write.insertInto(table)
+
+
+def _enter_vectors(spark: SparkSession, path: str, key: str, key_type: str, buckets: int) -> str:
+    """The catalog name of the ``vectors`` below ``path``; this session's catalog then knows their buckets."""
+    name = f"vectors_{hashlib.sha256(path.encode()).hexdigest()[:32]}"
+    at = f"{path}/vectors".replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(
+        f"CREATE TABLE {name} (`{key}` {key_type}, entries ARRAY<STRUCT<term: STRING, weight: DOUBLE>>) USING parquet "
+        f"OPTIONS (compression '{CODEC}') CLUSTERED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{at}'"
+    )
+    return name
+
+
+def read_vectors(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
+    """(key, entries) rows of a stored index, known to Spark as placed by key."""
+    rows = spark.read.parquet(f"{path}/vectors")
+    buckets = spark.read.parquet(f"{path}/buckets").first()["n"]
+    return spark.table(_enter_vectors(spark, path, key, rows.schema[key].dataType.simpleString(), buckets)) if buckets else rows
 
 
 def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
@@ -128,18 +188,20 @@ def retrieve(
     k: int = 5,
     query_key: str = "query_id",
     doc_key: str = "doc_id",
+    placed: bool = False,
 ) -> DataFrame:
     """Top ``k`` documents per query by cosine, similarity above zero only.
 
-    The stored vectors are placed by document once, whatever the number of queries. Each task then joins its
+    The stored vectors are placed by document once, whatever the number of queries, or not at all if they are
+    ``placed`` already, as those of ``read_vectors`` are. Each task then joins its
     documents' terms with the query weights and adds up the similarities of its own documents,
     only for pairs that share a term; the best ``k`` per query of every task are all that is shuffled. Where the
     query weights are beyond the broadcast threshold, terms are joined by shuffle, frequent query
     terms spread by adaptive execution. Ties fall to the lower document key; similarities are
     compared at ten decimals. Keys may be of any orderable type.
     """
-    placed = vectors.select(doc_key, "entries").repartition(doc_key)
-    entries = placed.select(doc_key, F.inline("entries"))
+    rows = vectors.select(doc_key, "entries")
+    entries = (rows if placed else rows.repartition(doc_key)).select(doc_key, F.inline("entries"))
     wanted = query_rows.select(query_key, "term", F.col("weight").alias("_wanted"))
     matched = entries.join(wanted, "term").select(query_key, doc_key, (F.col("weight") * F.col("_wanted")).alias("_part"))
     sums = matched.groupBy(query_key, doc_key).agg(F.round(F.sum("_part"), 10).alias("similarity"))

@@ -853,8 +853,8 @@ def retrieved_documents(spark, sf):
     path = scratch_path(spark, "index")
     retrieval.write_index(_documents(spark, sf), path)
     queries = given.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    wanted = retrieval.query_weights(queries, spark.read.parquet(f"{path}/terms"))
-    found = retrieval.retrieve(wanted, spark.read.parquet(f"{path}/vectors"))
+    wanted = stored(retrieval.query_weights(queries, spark.read.parquet(f"{path}/terms")), "wanted")
+    found = retrieval.retrieve(wanted, retrieval.read_vectors(spark, path), placed=True)
     return found.select("query_id", "doc_id", six("similarity").alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 

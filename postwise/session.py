@@ -74,6 +74,28 @@ def released(spark: SparkSession) -> Iterator[None]:
             files.delete(place, True)
 
 
+# Settings of jobs whose results are written down: their shuffle files go when they end, not when the driver collects
+# garbage. A task keeps some files open instead of sorting its rows by file. Lists are collected from sorted rows, one at a time.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.maxConcurrentOutputFileWriters": "8",
+    "spark.sql.execution.useObjectHashAggregateExec": "false",
+}
+
+
+@contextmanager
+def writing(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside leave no shuffle files behind; frames must not be kept for later actions."""
+    before = {key: spark.conf.get(key, None) for key in WRITING}
+    try:
+        for key, value in WRITING.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the scratch folder and read it back.
 

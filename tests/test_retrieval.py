@@ -98,3 +98,44 @@ def test_three_appends_equal_one_build(spark, tmp_path):
         return {(r["doc_id"], r["term"]): round(r["weight"], 9) for r in retrieval.read_postings(spark, path).collect()}
 
     assert weights(grown) == weights(once)
+
+
+def _rows(frame):
+    return sorted(((r["doc_id"], r["term"], round(r["weight"], 9)) for r in frame.collect()), key=str)
+
+
+def test_vectors_in_rounds_and_buckets_equal_brute_force(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(retrieval, "BUCKET_POSTINGS", 3)
+    monkeypatch.setattr(retrieval, "TASK_CHARS", 4)
+    docs = spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, text string")
+    queries = spark.createDataFrame(list(enumerate(QUERIES)), "query_id long, text string")
+    path = str(tmp_path / "it's an index")
+    retrieval.write_index(docs, path)
+    assert spark.read.parquet(f"{path}/buckets").first()["n"] == retrieval.SLICES * 2
+    assert len({p.parent.name for p in pathlib.Path(path).glob("counts/batch=first/slice=*/*.parquet")}) > 1
+    wanted = retrieval.query_weights(queries, spark.read.parquet(f"{path}/terms"))
+    found = retrieval.retrieve(wanted, retrieval.read_vectors(spark, path), k=3, placed=True)
+    got = {(r["query_id"], r["rank"]): (r["doc_id"], round(r["similarity"], 8)) for r in found.collect()}
+    assert got == _brute_force(3)
+
+
+def test_repeated_and_null_keys_are_one_document(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(retrieval, "BUCKET_POSTINGS", 3)
+    texts = [(7, "cat dog"), (7, "cat élan"), (None, "dog"), (None, "mat dog"), (8, "mat"), (9, None), (10, "x")]
+    retrieval.write_index(spark.createDataFrame(texts, "doc_id long, text string"), str(tmp_path))
+    whole = {7: Counter(cat=2, dog=1, élan=1), None: Counter(dog=2, mat=1), 8: Counter(mat=1)}
+    df = Counter(term for c in whole.values() for term in c)
+    idf = {t: math.log((1 + len(texts)) / (1 + n)) + 1 for t, n in df.items()}
+    wanted = sorted(((key, t, round(w, 9)) for key, c in whole.items() for t, w in _unit(c, idf).items()), key=str)
+    assert _rows(retrieval.read_postings(spark, str(tmp_path))) == wanted
+    vectors = retrieval.read_vectors(spark, str(tmp_path))
+    assert vectors.count() == 3 and _rows(vectors.selectExpr("doc_id", "inline(entries)")) == wanted
+
+
+def test_index_without_terms(spark, tmp_path):
+    path = str(tmp_path / "index")
+    retrieval.write_index(spark.createDataFrame([("a", ""), ("b", None), ("c", "x y")], "doc_id string, text string"), path)
+    assert retrieval.read_postings(spark, path).count() == 0 and retrieval.read_vectors(spark, path).count() == 0
+    retrieval.append_index(spark.createDataFrame([("d", "two words")], "doc_id string, text string"), path, "second")
+    retrieval.refresh_index(spark, path)
+    assert [r["doc_id"] for r in retrieval.read_vectors(spark, path).collect()] == ["d"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from types import SimpleNamespace
 
 import pytest
@@ -88,6 +89,33 @@ def test_retrieval_shuffles_no_pairs(spark, tmp_path):
     assert [r["doc_id"] for r in found.filter("query_id = 'q0'").orderBy("rank").collect()] == ["d07", "d00"]
 
 
+def _shuffle_files(spark) -> int:
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+
+def test_index_leaves_no_shuffle_files_and_retrieval_places_nothing(spark, tmp_path):
+    spark.range(1000).repartition(3, "id").write.format("noop").mode("overwrite").save()
+    before, setting = _shuffle_files(spark), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    docs = spark.createDataFrame([(f"d{i:02d}", f"term{i} shared words") for i in range(50)], "doc_id string, text string")
+    path = str(tmp_path / "index")
+    retrieval.write_index(docs, path)
+    # Executors delete the files when they are told, not at once.
+    until = time.time() + 20
+    while _shuffle_files(spark) > before and time.time() < until:
+        time.sleep(0.2)
+    assert _shuffle_files(spark) <= before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    queries = spark.createDataFrame([("q0", "shared term7"), ("q1", "words")], "query_id string, text string")
+    retrieval.query_weights(queries, spark.read.parquet(f"{path}/terms")).write.parquet(str(tmp_path / "weights"))
+    vectors = retrieval.read_vectors(spark, path)
+    found = retrieval.retrieve(spark.read.parquet(str(tmp_path / "weights")), vectors, k=2, placed=True)
+    plan = _plan(found)
+    # Only the best rows of each task move.
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("WindowGroupLimit") == 2
+    assert [r["doc_id"] for r in found.filter("query_id = 'q0'").orderBy("rank").collect()] == ["d07", "d00"]
+
+
 @pytest.mark.parametrize("folder", ["/shared/folder/", None])
 def test_scratch_folder_follows_the_session(folder):
     settings = SimpleNamespace(get=lambda key, default=None: folder if key == "spark.checkpoint.dir" else default)
